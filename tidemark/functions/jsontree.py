@@ -74,16 +74,21 @@ def replace_strings(value: Column, old: str, new: str, max_depth: int = MAX_DEPT
 
     def walk(v: Column, depth: int) -> Column:
         members, items = as_object(v), as_array(v)
-        nested = members.isNotNull() | items.isNotNull()
+        # object members and array items in one list, so that each level is unrolled once
+        children = F.coalesce(
+            F.map_entries(members),
+            F.transform(items, lambda x: F.struct(F.lit("").alias("key"), x.alias("value"))),
+        )
         if depth == 0:
-            out = F.when(nested, _too_deep(max_depth))
+            nested = F.when(children.isNotNull(), _too_deep(max_depth))
         else:
-            out = F.when(
-                members.isNotNull(),
-                F.to_variant_object(F.transform_values(members, lambda _k, x: walk(x, depth - 1))),
-            ).when(items.isNotNull(), F.to_variant_object(F.transform(items, lambda x: walk(x, depth - 1))))
+            done = F.transform(children, lambda e: F.struct(e["key"].alias("key"), walk(e["value"], depth - 1).alias("value")))
+            rebuilt = F.when(members.isNotNull(), F.to_variant_object(F.map_from_entries(done))).otherwise(
+                F.to_variant_object(F.transform(done, lambda e: e["value"]))
+            )
+            nested = F.when(children.isNotNull(), rebuilt)
         text = F.try_variant_get(v, "$", "string")
-        return out.when(_kind(v) == "STRING", F.replace(text, F.lit(old), F.lit(new)).cast("variant")).otherwise(v)
+        return nested.when(_kind(v) == "STRING", F.replace(text, F.lit(old), F.lit(new)).cast("variant")).otherwise(v)
 
     return walk(value, max_depth)
 

@@ -7,7 +7,7 @@ edges, which then are not shuffled, a large one joins by sort-merge with skew sp
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,8 +56,10 @@ def included(
     all edges. Of a known name: ``app`` when it is included, else ``build_only`` unless excluded.
     """
     runtime = edges.filter(F.col("kind").isin("hard", "soft"))
-    apps = closure(seeds, runtime).select("node").join(excluded, "node", "left_anti")
-    builds = closure(seeds, edges.filter(F.col("kind").isin("hard", "soft", "build"))).select("node")
+    reached = closure(seeds, runtime).select("node")
+    apps = reached.join(excluded, "node", "left_anti")
+    # the closure over more edges starts from what is already reached
+    builds = closure(reached, edges.filter(F.col("kind").isin("hard", "soft", "build"))).select("node")
     both = apps.withColumn("app", F.lit(1)).unionByName(builds.withColumn("app", F.lit(0)))
     named = both.groupBy("node").agg(F.max("app").alias("app"))
     return (
@@ -67,16 +69,15 @@ def included(
     )
 
 
-def _rounds(
-    nodes: DataFrame, edges: DataFrame, start: Column, carry: Column, step: Callable[[DataFrame], DataFrame]
-) -> DataFrame:
-    """Place nodes whose dependencies are all placed, round by round.
+def _rounds(nodes: DataFrame, edges: DataFrame, start: Column, carry: Column | None, finish: Column) -> DataFrame:
+    """Place nodes whose dependencies are all placed, round by round: (node, out, level).
 
     ``nodes``: node and ``own``. ``edges``: (src depends on dst, pos), distinct. The first round
     places nodes without known dependencies, with ``start`` as ``out``. Each further round sends
-    ``carry`` of the new nodes along the edges into them; arrivals wait until all dependencies
-    of a node are there, and ``step`` makes ``out`` of a complete node's arrivals. A dependency
-    arrives exactly once, so all rounds together send each edge once.
+    the new nodes along the edges into them and counts what arrived per waiting node, together
+    with ``carry`` of the sender in ``deps`` where it is asked for. A node is complete when as
+    many arrived as it needs; ``finish`` then makes its ``out``. A dependency arrives exactly
+    once, so all rounds together send each edge once.
     """
     known = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
     degree = known.groupBy("src").agg(F.count("*").alias("need"))
@@ -87,19 +88,25 @@ def _rounds(
             F.col("src").alias("node"), start.alias("out"), F.lit(0).alias("level")
         )
     )
+    keys, counts = ["node", "own", "need"], [F.sum("have").alias("have")]
+    if carry is not None:
+        # at most as long as the dependency list of one node
+        counts.append(F.flatten(F.collect_list("deps")).alias("deps"))
     rounds, waiting = [placed], None
     while not placed.isEmpty():
-        arrived = placed.select(F.col("node").alias("dst"), carry.alias("carry")).join(links, "dst").select(
-            F.col("src").alias("node"), "own", "need", "pos", "carry"
-        )
+        sent = [F.col("src").alias("node"), "own", "need", F.lit(1).cast("long").alias("have")]
+        if carry is not None:
+            sent.append(F.array(F.struct("pos", F.col("_carry").alias("carry"))).alias("deps"))
+            senders = placed.select(F.col("node").alias("dst"), carry.alias("_carry"))
+        else:
+            senders = placed.select(F.col("node").alias("dst"))
+        arrived = senders.join(links, "dst").select(*sent)
         if waiting is not None:
             arrived = arrived.unionByName(waiting)
-        arrived = cut_lineage(arrived)
-        full = arrived.groupBy("node", "need").count().filter(F.col("count") == F.col("need")).select("node")
-        waiting = arrived.join(full, "node", "left_anti")
-        placed = cut_lineage(
-            step(arrived.join(full, "node", "left_semi")).withColumn("level", F.lit(len(rounds)))
-        )
+        state = cut_lineage(arrived.groupBy(*keys).agg(*counts))
+        complete = F.col("have") == F.col("need")
+        waiting = state.filter(~complete)
+        placed = state.filter(complete).select("node", finish.alias("out"), F.lit(len(rounds)).alias("level"))
         rounds.append(placed)
     return _union(rounds)
 
@@ -110,11 +117,8 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Nodes on or behind a cycle never are; they come out with the status ``cyclic``.
     """
     names = nodes.select("node").distinct()
-    links = edges.select("src", "dst").distinct().withColumn("pos", F.lit(0))
-    placed = _rounds(
-        names.withColumn("own", F.lit(0)), links, F.lit(0), F.lit(0),
-        lambda ready: ready.select("node").distinct().withColumn("out", F.lit(0)),
-    )
+    links = edges.select("src", "dst").distinct()
+    placed = _rounds(names.withColumn("own", F.lit(0)), links, F.lit(0), None, F.lit(0))
     return names.join(placed.select("node", "level"), "node", "left").withColumn(
         "status", F.when(F.col("level").isNull(), "cyclic").otherwise("placed")
     )
@@ -125,17 +129,10 @@ def chained_tags(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``nodes``: node, own. ``edges``: src, dst, pos. Unknown dependencies add nothing.
     """
-
-    def combine(ready: DataFrame) -> DataFrame:
-        # as long as the dependency list of one node
-        tags = F.sort_array(F.collect_list(F.struct("pos", "carry")))
-        joined = F.array_join(F.transform(tags, lambda x: x["carry"]), "")
-        return ready.groupBy("node", "own").agg(joined.alias("deps")).select(
-            "node", F.sha1(F.concat("own", "deps")).alias("out")
-        )
-
+    joined = F.array_join(F.transform(F.sort_array("deps"), lambda x: x["carry"]), "")
     placed = _rounds(
-        nodes.select("node", "own"), edges.select("src", "dst", "pos"), F.sha1("own"), F.col("out"), combine
+        nodes.select("node", "own"), edges.select("src", "dst", "pos"), F.sha1("own"), F.col("out"),
+        F.sha1(F.concat(F.col("own"), joined)),
     )
     return placed.select("node", F.col("out").alias("tag"), "level")
 

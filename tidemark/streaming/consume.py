@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType
 
 from tidemark.operators.events import latest_change
 from tidemark.operators.history import TERMINAL
@@ -31,7 +32,7 @@ def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
     if isinstance(schema, str):
         full = f"{schema}, {BATCH} bigint"
     else:
-        full = type(schema)(list(schema.fields)).add(BATCH, "bigint")
+        full = type(schema)(list(schema.fields)).add(BATCH, LongType())
     return spark.read.schema(full).parquet(path)
 
 

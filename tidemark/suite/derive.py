@@ -212,16 +212,17 @@ def user_groups(spark: SparkSession, sf: str) -> DataFrame:
     nation = F.concat(region, F.lit("/"), F.col("n_name"))
     segment = F.concat(nation, F.lit("/"), F.col("c_mktsegment"))
 
-    def attribute(value: Column, when: Column) -> Column:
-        given = F.create_map(F.lit("quota-max"), F.array(value))
-        return F.when(when, given).otherwise(F.create_map(F.lit("other"), F.array(F.lit("x"))))
+    def group(path: Column, value: Column, given: Column) -> Column:
+        key = F.when(given, "quota-max").otherwise("other")
+        return F.struct(path.alias("path"), key.alias("key"), F.when(given, value).otherwise("x").alias("value"))
 
     levels = F.array(
-        F.struct(region.alias("path"), attribute(F.concat(text(F.col("r_regionkey") * 10), F.lit("Gb")), F.lit(True)).alias("attributes")),
-        F.struct(nation.alias("path"), attribute(text("n_nationkey"), F.col("n_nationkey") % 3 != 0).alias("attributes")),
-        F.struct(segment.alias("path"), attribute(text(F.length("c_mktsegment")), F.col("n_nationkey") % 4 == 0).alias("attributes")),
+        group(region, F.concat(text(F.col("r_regionkey") * 10), F.lit("Gb")), F.lit(True)),
+        group(nation, text("n_nationkey"), F.col("n_nationkey") % 3 != 0),
+        group(segment, text(F.length("c_mktsegment")), F.col("n_nationkey") % 4 == 0),
     )
-    return rows.select(F.col("c_custkey").alias("user"), F.explode(levels).alias("g")).select("user", "g.*").distinct()
+    found = rows.select(F.col("c_custkey").alias("user"), F.explode(levels).alias("g")).select("user", "g.*").distinct()
+    return found.select("user", "path", F.create_map("key", F.array("value")).alias("attributes"))
 
 
 SQL_GROUPS = """br AS (

@@ -75,13 +75,13 @@ def ttl_expired(spark, sf):
 # ---- snapshots and sessions
 
 SQL_TIERS = """WITH snaps AS (
-  SELECT DISTINCT 'events' AS kind, ts, TIMESTAMP '2024-01-31' AS asof FROM events
+  SELECT DISTINCT 'events' AS kind, ts, TIMESTAMP '2024-01-31' AS seen_at FROM events
   UNION ALL SELECT DISTINCT 'orders', o_orderdate, TIMESTAMP '2001-08-01' FROM orders),
 tiers AS (
-  SELECT kind, asof, 'daily' AS tier, strftime(ts, '%Y-%m-%d-%H%M%S.%f') AS bucket, ts FROM snaps
-  UNION ALL SELECT kind, asof, 'weekly', strftime(ts, '%G-%V'), max(ts) FROM snaps GROUP BY ALL
-  UNION ALL SELECT kind, asof, 'monthly', strftime(ts, '%Y-%m'), max(ts) FROM snaps GROUP BY ALL),
-aged AS (SELECT *, CAST(floor(epoch_us(asof) / 86400000000.0 - epoch_us(ts) / 86400000000.0) AS BIGINT) AS age_days FROM tiers)
+  SELECT kind, seen_at, 'daily' AS tier, strftime(ts, '%Y-%m-%d-%H%M%S.%f') AS bucket, ts FROM snaps
+  UNION ALL SELECT kind, seen_at, 'weekly', strftime(ts, '%G-%V'), max(ts) FROM snaps GROUP BY ALL
+  UNION ALL SELECT kind, seen_at, 'monthly', strftime(ts, '%Y-%m'), max(ts) FROM snaps GROUP BY ALL),
+aged AS (SELECT *, CAST(floor(epoch_us(seen_at) / 86400000000.0 - epoch_us(ts) / 86400000000.0) AS BIGINT) AS age_days FROM tiers)
 SELECT kind, tier, bucket, """ + d.sql_stamp("ts") + """ AS ts, age_days FROM aged
 WHERE age_days <= CASE tier WHEN 'daily' THEN 7 WHEN 'weekly' THEN 29 ELSE 187 END"""
 

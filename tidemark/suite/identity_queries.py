@@ -333,7 +333,7 @@ def assign_ids(spark, sf):
 
 
 @query("apply_task", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount), 2) AS net,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice * (1 - l_discount) AS net,
        l_quantity >= 25 AS bulk
 FROM lineitem""")
 def apply_task(spark, sf):
@@ -346,5 +346,4 @@ def apply_task(spark, sf):
         return out
 
     schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, net double, bulk boolean"
-    rows = picks.run_task(table(spark, sf, "lineitem").select(*columns), price, schema)
-    return rows.withColumn("net", F.round("net", 2))
+    return picks.run_task(table(spark, sf, "lineitem").select(*columns), price, schema)

@@ -12,9 +12,6 @@ from tidemark.sources import files, store, topics
 from tidemark.suite import derive as d
 from tidemark.suite.registry import query, table
 
-EVENT_FIELDS = "meta struct<app_name:string,description:string>, operation string, uid string, resource struct<value:double,props:string>"
-
-
 def _written_topic(spark, sf):
     path = scratch(spark, "topic")
     topics.write_topic(d.cdc_topic(spark, sf), path)
@@ -263,16 +260,16 @@ def _store_inputs(spark, sf):
 SQL_STORE = f"""WITH {d.SQL_CDC},
 ch AS (SELECT "offset", operation, user_id * 11 + "offset" % 11 AS id, value AS a, CAST("offset" % 100 AS DOUBLE) AS b FROM cdc),
 born AS (
-  SELECT c_custkey AS id, CAST(-1 AS BIGINT) AS at, c_acctbal AS a, CAST(c_nationkey AS DOUBLE) AS b FROM customer
+  SELECT c_custkey AS id, CAST(-1 AS BIGINT) AS born_at, c_acctbal AS a, CAST(c_nationkey AS DOUBLE) AS b FROM customer
   UNION ALL
   SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY "offset"), "offset", a, b FROM ch WHERE operation = 'create'),
-edits AS (SELECT ch.*, born.at FROM ch LEFT JOIN born USING (id) WHERE operation IN ('update', 'delete')),
-gone AS (SELECT id, min("offset") AS dead FROM edits WHERE operation = 'delete' AND "offset" > at GROUP BY id)"""
+edits AS (SELECT ch.*, born.born_at FROM ch LEFT JOIN born USING (id) WHERE operation IN ('update', 'delete')),
+gone AS (SELECT id, min("offset") AS dead FROM edits WHERE operation = 'delete' AND "offset" > born_at GROUP BY id)"""
 
 
 @query("store_apply", SQL_STORE + """,
 ups AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "offset" DESC) AS rn
-        FROM edits WHERE operation = 'update' AND "offset" > at)
+        FROM edits WHERE operation = 'update' AND "offset" > born_at)
 SELECT born.id, round(coalesce(ups.a, born.a), 2) AS a, coalesce(ups.b, born.b) AS b
 FROM born LEFT JOIN ups ON ups.id = born.id AND ups.rn = 1
 WHERE born.id NOT IN (SELECT id FROM gone)""")
@@ -284,7 +281,7 @@ def store_apply(spark, sf):
 
 @query("store_apply_rejects", SQL_STORE + """
 SELECT "offset", operation, edits.id, 'not_found' AS reason FROM edits LEFT JOIN gone USING (id)
-WHERE at IS NULL OR "offset" <= at OR "offset" > dead""")
+WHERE born_at IS NULL OR "offset" <= born_at OR "offset" > dead""")
 def store_apply_rejects(spark, sf):
     base, changes = _store_inputs(spark, sf)
     _, rejects = store.apply_changes(base, changes, STORE_FIELDS)
