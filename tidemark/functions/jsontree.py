@@ -6,7 +6,7 @@ a document that is deeper raises instead of giving a partial answer.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +31,11 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _too_deep(max_depth: int) -> Column:
     return F.raise_error(F.lit(f"JSON nested deeper than {max_depth} levels")).cast("variant")
 
@@ -83,8 +88,11 @@ def replace_strings(value: Column, old: str, new: str, max_depth: int = MAX_DEPT
             nested = F.when(children.isNotNull(), _too_deep(max_depth))
         else:
             done = F.transform(children, lambda e: F.struct(e["key"].alias("key"), walk(e["value"], depth - 1).alias("value")))
-            rebuilt = F.when(members.isNotNull(), F.to_variant_object(F.map_from_entries(done))).otherwise(
-                F.to_variant_object(F.transform(done, lambda e: e["value"]))
+            rebuilt = _let(
+                done,
+                lambda pairs: F.when(members.isNotNull(), F.to_variant_object(F.map_from_entries(pairs))).otherwise(
+                    F.to_variant_object(F.transform(pairs, lambda e: e["value"]))
+                ),
             )
             nested = F.when(children.isNotNull(), rebuilt)
         text = F.try_variant_get(v, "$", "string")

@@ -53,11 +53,22 @@ def path_id(path: Column) -> Column:
     return F.try_element_at(F.split(path, "/"), F.lit(2))
 
 
+PLACEHOLDER = r"\{\{\s*([\w.]+)\s*\}\}"
+
+
 def render(template: Column, values: Mapping[str, Column]) -> Column:
-    """Substitute ``{{ name }}``; unset values render as empty text."""
-    for name, value in values.items():
-        template = F.replace(template, F.lit("{{ " + name + " }}"), F.coalesce(value.cast("string"), F.lit("")))
-    return template
+    """Substitute ``{{ name }}``; names without a value render as empty text.
+
+    The template is cut at its placeholders and put together once, so a value that itself looks
+    like a placeholder stays as it is.
+    """
+    pieces = F.split(template, PLACEHOLDER.replace("(", "(?:"), -1)
+    names = F.regexp_extract_all(template, F.lit(PLACEHOLDER), 1)
+    context = F.create_map(*[x for n, v in values.items() for x in (F.lit(n), v.cast("string"))])
+    filled = F.transform(names, lambda n: F.coalesce(F.try_element_at(context, n), F.lit("")))
+    return F.array_join(
+        F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get(filled, i), F.lit("")))), ""
+    )
 
 
 def any_contains(columns: Sequence[Column], query: str) -> Column:

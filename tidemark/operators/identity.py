@@ -192,8 +192,15 @@ def user_details(users: DataFrame, related: dict[str, tuple[DataFrame, str]], ke
 
 def group_members(groups: DataFrame, members: DataFrame, details: DataFrame, group: str, user: str) -> DataFrame:
     """Members of each group with their details, one row per member (a group may hold any number
-    of users, so they are not collected in one array)."""
-    return groups.join(members.select(group, user).distinct(), group, "left").join(details, user, "left")
+    of users, so they are not collected in one array); an empty group has one row without member.
+
+    An inner join and an anti join instead of one outer join: AQE can split a group with very
+    many members in the first, and the second only sees distinct group names.
+    """
+    pairs = members.select(group, user).distinct()
+    filled = pairs.join(groups, group).join(details, user, "left")
+    empty = groups.join(members.select(group).distinct(), group, "left_anti")
+    return filled.unionByName(empty, allowMissingColumns=True)
 
 
 def members_count(organizations: DataFrame, members: DataFrame, key: str, member: str) -> DataFrame:

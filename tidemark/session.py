@@ -31,6 +31,7 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tidemark")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", memory)
         .getOrCreate()

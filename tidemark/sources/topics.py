@@ -63,7 +63,8 @@ def parse_cdc(messages: DataFrame) -> DataFrame:
         CDC_SCHEMA + ", _corrupt_record string",
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
     )
-    rows = messages.withColumn("_v", parsed)
+    # a one-item explode keeps later filters above the parse: pushed into it, they would repeat it
+    rows = messages.select("*", F.explode(F.array(parsed)).alias("_v"))
     broken = F.col("_v._corrupt_record").isNotNull() | F.col("_v").isNull()
     operation = F.col("_v.operation")
     has_operation = operation.isNotNull() | F.coalesce(

@@ -63,6 +63,29 @@ def consume(
     return messages.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
 
 
+def handle_rows(events: DataFrame, handler: Callable[[dict], object]) -> DataFrame:
+    """Call a Python function once per event, over Arrow batches: (topic, partition, offset, result, error).
+
+    An event on which the handler fails gets the error text and does not stop the others.
+    """
+    keys = ["topic", "partition", "offset"]
+
+    def run(frames):
+        for frame in frames:
+            results, errors = [], []
+            for event in frame.to_dict("records"):
+                try:
+                    answer = handler(event)
+                    results.append(None if answer is None else str(answer))
+                    errors.append(None)
+                except Exception as error:  # the rule: report and go on
+                    results.append(None)
+                    errors.append(f"{type(error).__name__}: {error}")
+            yield frame[keys].assign(result=results, error=errors)
+
+    return events.mapInPandas(run, "topic string, partition int, offset bigint, result string, error string")
+
+
 def maintain_state(events: DataFrame, path: str, checkpoint: str, key: str = "uid", order: str = "offset"):
     """Keep the current record per key: each batch adds its last change per key.
 
