@@ -255,6 +255,8 @@ def test_topic_directory_roundtrip_and_empty(spark, tmp_path):
     assert topics.read_topic(spark, path).count() == 4
     assert rows(topics.decode(topics.read_topic(spark, path, "t"), "a int").select("a")) == [(1,), (2,)]
     assert topics.read_topic(spark, path, "none").count() == 0
+    assert topics.read_topic(spark, str(tmp_path / "new")).count() == 0
+    assert [r["offset"] for r in topics.read_topic(spark, path, "u", in_order=True).collect()] == [0, 1]
 
 
 def test_store_against_sequential_run(spark):

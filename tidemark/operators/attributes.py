@@ -31,12 +31,13 @@ def resolve_groups(attributes: DataFrame, convert: Callable[[Column], Column] =
     tells live rows from covered ones: no pairs of paths are formed, and both groupings combine
     on the map side.
     """
-    own = attributes.select("user", "key", "path", convert(F.col("value")).alias("v"), F.lit(0).alias("covered"))
-    covers = attributes.select(
-        "user", "key", F.explode(ancestors(F.col("path"))).alias("path"),
-        F.lit(None).cast("double").alias("v"), F.lit(1).alias("covered"),
+    marks = F.transform(
+        ancestors(F.col("path")),
+        lambda p: F.struct(p.alias("path"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("covered")),
     )
-    nodes = own.unionByName(covers).groupBy("user", "key", "path").agg(
+    own = F.struct(F.col("path"), convert(F.col("value")).alias("v"), F.lit(0).alias("covered"))
+    rows = attributes.select("user", "key", F.explode(F.concat(F.array(own), marks)).alias("n"))
+    nodes = rows.select("user", "key", "n.*").groupBy("user", "key", "path").agg(
         F.max("v").alias("v"), F.max("covered").alias("covered")
     )
     live = nodes.filter((F.col("covered") == 0) & F.col("v").isNotNull())

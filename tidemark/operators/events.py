@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 # The operations of a change event.
 OPERATIONS = ("create", "update", "delete", "other")
 
+# Patterns a text field must start with or match.
+FIELD_PATTERNS = {
+    "filename": "^[^<>:;,?*|]+$",
+    "path": "^[^<>:;,?|]+$",
+    "database": "^(mongo|postgres|neo4j|sqlite3)$",
+    "image": "^(?:[a-z]+/)?([a-z]+)(?::[0-9]+)?",
+}
+
 CDC_SCHEMA = (
     "message_type string, operation string, uid string, resource string, "
     "meta struct<app_name string, user string, func string, args array<string>, "
@@ -72,6 +80,11 @@ def validate(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return df.withColumn("failed", F.filter(F.array(*checks), lambda name: name.isNotNull()))
 
 
+def matches(column: Column, kind: str) -> Column:
+    """Rule: the field has the form its kind asks for."""
+    return column.rlike(FIELD_PATTERNS[kind])
+
+
 def validation_summary(checked: DataFrame) -> DataFrame:
     """Records per broken rule; ``ok`` counts the good ones."""
     reasons = F.when(F.size("failed") == 0, F.array(F.lit("ok"))).otherwise(F.col("failed"))

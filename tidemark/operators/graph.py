@@ -32,6 +32,8 @@ def closure(seeds: DataFrame, edges: DataFrame, implied: DataFrame | None = None
     links = edges.select("src", "dst")
     if implied is not None:
         links = links.unionByName(implied.select("src", "dst"))
+    # every round reads the edges: keep them as a table of two columns
+    links = cut_lineage(links)
     frontier = cut_lineage(seeds.select("node").distinct().withColumn("round", F.lit(0)))
     rounds = [frontier]
     while not frontier.isEmpty():

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import UUID_PATTERN, path_id
+from tidemark.session import cut_lineage
 
 # Resource types that are listened to, by handler.
 GROUP_TYPES = ("GROUP",)
@@ -63,25 +64,30 @@ def map_user(users: DataFrame, admin: Column, deleted: Column) -> DataFrame:
 def _two_key_match(source: DataFrame, target: DataFrame, only_unlinked: bool) -> DataFrame:
     """Match (ext_id, name) rows to (target_id, name, ext_id) rows: by external id, else by name.
 
-    Columns added: ``target_id``, ``target_name``, ``by`` = id / name / none / conflict. A target
-    that some source matched by id is not taken again by name, and of several sources with one
-    name the lowest external id takes it; the others are conflicts. With ``only_unlinked`` a name
-    only matches targets without an external id. The winner of a name is joined back on its own
-    unique id, so a name shared by very many rows is only ever grouped, never joined on.
+    Columns added: ``target_id``, ``target_name``, ``by`` = id / name / none / conflict / rejected.
+    A target that some source matched by id is not taken again by name, and of several sources
+    with one name the lowest external id takes it; the others are conflicts. With
+    ``only_unlinked`` a name only matches targets without an external id.
+
+    One full outer join on the external id, unique on both sides, tells matched rows, open
+    sources and open targets apart. The winner of a name is joined back on its own unique id, so
+    a name shared by very many rows is only ever grouped, never joined on.
     """
-    links = target.filter(F.col("ext_id").isNotNull()).select(
+    linked = target.filter(F.col("ext_id").isNotNull()).select(
         "ext_id", F.col("target_id").alias("id_target"), F.col("name").alias("id_name")
     )
-    step1 = source.join(links, "ext_id", "left")
+    sides = cut_lineage(source.withColumn("in_source", F.lit(True)).join(linked, "ext_id", "full"))
+    step1 = sides.filter("in_source").drop("in_source")
     winners = step1.filter(F.col("id_target").isNull() & F.col("name").isNotNull()).groupBy("name").agg(
         F.min("ext_id").alias("ext_id")
     )
-    taken = step1.filter(F.col("id_target").isNotNull()).select(F.col("id_target").alias("target_id"), F.lit(True).alias("taken"))
-    free = F.col("taken").isNull()
-    if only_unlinked:
-        free = free & F.col("linked_to").isNull()
-    offers = target.join(taken, "target_id", "left").withColumnRenamed("ext_id", "linked_to").select(
-        "name", F.col("target_id").alias("name_target"), free.alias("name_free")
+    open_target = F.lit(False) if only_unlinked else F.col("in_source").isNull()
+    offers = sides.filter(F.col("id_target").isNotNull()).select(
+        F.col("id_name").alias("name"), F.col("id_target").alias("name_target"), open_target.alias("name_free")
+    ).unionByName(
+        target.filter(F.col("ext_id").isNull()).select(
+            "name", F.col("target_id").alias("name_target"), F.lit(True).alias("name_free")
+        )
     )
     named = winners.join(offers, "name", "left").drop("name").withColumn("winner", F.lit(True))
     rows = step1.join(named, "ext_id", "left")

@@ -34,13 +34,13 @@ def lookup_chain(
 
     ``apps`` and ``task_images`` have (key, image) with unique keys.
     """
-    with_app = salted_lookup(names, apps.withColumnRenamed("image", "app_image"), [key], spread, "left", hot_rows)
-    with_task = salted_lookup(
-        with_app, task_images.withColumnRenamed("image", "task_image"), [key], spread, "left", hot_rows
-    )
-    return with_task.withColumn("image", F.coalesce("app_image", "task_image", F.col(key))).drop(
-        "app_image", "task_image"
+    none = F.lit(None).cast("string")
+    both = apps.select(key, F.col("image").alias("app"), none.alias("task")).unionByName(
+        task_images.select(key, none.alias("app"), F.col("image").alias("task"))
     )
+    images = both.groupBy(key).agg(F.coalesce(F.max("app"), F.max("task")).alias("image"))
+    found = salted_lookup(names, images, [key], spread, "left", hot_rows)
+    return found.withColumn("image", F.coalesce("image", F.col(key)))
 
 
 def host_names(apps: DataFrame, subdomain: Column, aliases: Column, domain: str) -> DataFrame:

@@ -32,7 +32,11 @@ def apply_changes(
         )
     )
     edits = changes.filter(F.col("operation").isin("update", "delete"))
-    dated = salted_lookup(edits, known.select("id", "born"), ["id"], ["offset"], "left", hot_rows)
+    dated = cut_lineage(
+        salted_lookup(
+            edits.select("offset", "operation", "id", *fields), known.select("id", "born"), ["id"], ["offset"], "left", hot_rows
+        )
+    )
     valid = dated.filter(F.col("born").isNotNull() & (F.col("offset") > F.col("born")))
     per_id = valid.groupBy("id").agg(
         F.min(F.when(F.col("operation") == "delete", F.col("offset"))).alias("deleted_at"),
@@ -46,7 +50,7 @@ def apply_changes(
         F.when(F.col("last").isNotNull(), F.col("last")[f]).otherwise(F.col(f)).alias(f) for f in fields
     ])
     deletes = per_id.filter(F.col("deleted_at").isNotNull()).select("id", "deleted_at")
-    judged = salted_lookup(dated, deletes, ["id"], ["offset"], "left", hot_rows)
+    judged = salted_lookup(dated.drop(*fields), deletes, ["id"], ["offset"], "left", hot_rows)
     rejects = judged.filter(
         F.col("born").isNull() | (F.col("offset") <= F.col("born")) | (F.col("offset") > F.col("deleted_at"))
     ).select("offset", "operation", "id", F.lit("not_found").alias("reason"))

@@ -3,6 +3,7 @@ timestamp. The same columns come from Spark's Kafka source, so a frame from ther
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +30,21 @@ def write_topic(messages: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).partitionBy("topic").parquet(path)
 
 
-def read_topic(spark: SparkSession, path: str, topic: str | None = None) -> DataFrame:
+def read_topic(spark: SparkSession, path: str, topic: str | None = None, in_order: bool = False) -> DataFrame:
     """All messages from the earliest offset, of every topic partition.
 
-    An empty or new topic gives an empty frame.
+    ``topic`` prunes to one directory. ``in_order`` sorts by topic, partition and offset, as a
+    range sort over all tasks. A topic that nothing was written to yet gives an empty frame.
     """
-    rows = spark.read.schema(TOPIC_SCHEMA).parquet(path).select(*TOPIC_COLUMNS)
-    return rows if topic is None else rows.filter(F.col("topic") == topic)
+    try:
+        rows = spark.read.schema(TOPIC_SCHEMA).parquet(path).select(*TOPIC_COLUMNS)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], TOPIC_SCHEMA)
+    if topic is not None:
+        rows = rows.filter(F.col("topic") == topic)
+    return rows.orderBy("topic", "partition", "offset") if in_order else rows
 
 
 def stream_topic(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:

@@ -160,11 +160,11 @@ def layer_overlay(spark, sf):
 # ---- graphs
 
 def _seeds(spark, sf):
-    return d.part_nodes(spark, sf).filter("node % 500 = 499")
+    return table(spark, sf, "part").filter("p_size = 50").select(F.col("p_partkey").alias("node"))
 
 
 @query("closure_apps", f"""WITH RECURSIVE {d.SQL_EDGES},
-c(node) AS (SELECT p_partkey FROM part WHERE p_partkey % 500 = 499
+c(node) AS (SELECT p_partkey FROM part WHERE p_size = 50
   UNION SELECT dst FROM c JOIN edges ON src = node WHERE kind IN ('hard', 'soft'))
 SELECT node FROM c""")
 def closure_apps(spark, sf):
@@ -173,21 +173,21 @@ def closure_apps(spark, sf):
 
 
 @query("closure_builds", f"""WITH RECURSIVE {d.SQL_EDGES},
-c(node) AS (SELECT p_partkey FROM part WHERE p_partkey % 500 = 499 UNION SELECT dst FROM c JOIN edges ON src = node)
+c(node) AS (SELECT p_partkey FROM part WHERE p_size = 50 UNION SELECT dst FROM c JOIN edges ON src = node)
 SELECT node FROM c""")
 def closure_builds(spark, sf):
     return graph.closure(_seeds(spark, sf), d.part_edges(spark, sf)).select("node")
 
 
 @query("include_exclude", f"""WITH RECURSIVE {d.SQL_EDGES},
-a(node) AS (SELECT p_partkey FROM part WHERE p_partkey % 500 = 499
+a(node) AS (SELECT p_partkey FROM part WHERE p_size = 50
   UNION SELECT dst FROM a JOIN edges ON src = node WHERE kind IN ('hard', 'soft')),
-b(node) AS (SELECT p_partkey FROM part WHERE p_partkey % 500 = 499 UNION SELECT dst FROM b JOIN edges ON src = node)
+b(node) AS (SELECT p_partkey FROM part WHERE p_size = 50 UNION SELECT dst FROM b JOIN edges ON src = node)
 SELECT node, CASE WHEN node IN (SELECT node FROM a) THEN 'app' ELSE 'build_only' END AS label
-FROM b WHERE node IN (SELECT p_partkey FROM part) AND node % 7 <> 0""")
+FROM b WHERE node IN (SELECT p_partkey FROM part) AND node NOT IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#7')""")
 def include_exclude(spark, sf):
-    nodes = d.part_nodes(spark, sf)
-    return graph.included(_seeds(spark, sf), d.part_edges(spark, sf), nodes.filter("node % 7 = 0"), nodes)
+    excluded = table(spark, sf, "part").filter("p_brand = 'Brand#7'").select(F.col("p_partkey").alias("node"))
+    return graph.included(_seeds(spark, sf), d.part_edges(spark, sf), excluded, d.part_nodes(spark, sf))
 
 
 @query("dep_levels", f"""WITH RECURSIVE
@@ -237,10 +237,12 @@ b AS (SELECT g, substr(k, 1, 2) AS k, sha1(string_agg(k || ':' || h, chr(10) ORD
 tree AS (SELECT g, sha1(string_agg(k || ':' || h, chr(10) ORDER BY k)) AS fingerprint FROM b GROUP BY 1)"""
 
 
-@query("fingerprint", "WITH " + _sql_tree("SELECT source AS g, CAST(doc_id AS VARCHAR) AS p, text AS c FROM documents WHERE NOT regexp_matches(CAST(doc_id AS VARCHAR), '99$')")
+@query("fingerprint", "WITH " + _sql_tree("SELECT source AS g, lang || '/' || doc_id AS p, text AS c FROM documents WHERE lang <> 'de'")
        + " SELECT g AS source, fingerprint FROM tree")
 def fingerprint(spark, sf):
-    return graph.fingerprint(table(spark, sf, "documents"), "source", "doc_id", "text", ignore="99$")
+    """Sources as directories; the folder ``de`` is on the ignore list."""
+    docs = table(spark, sf, "documents").select("source", F.concat_ws("/", "lang", d.text("doc_id")).alias("path"), "text")
+    return graph.fingerprint(docs, "source", "path", "text", ignore="^de/")
 
 
 @query("fingerprint_chain", "WITH RECURSIVE " + _sql_tree("SELECT source AS g, CAST(doc_id AS VARCHAR) AS p, text AS c FROM documents")

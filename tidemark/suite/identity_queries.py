@@ -94,14 +94,14 @@ def upsert_groups(spark, sf):
 
 
 @query("reconcile_members", """
-WITH des AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' AND o_custkey % 2 = 0),
-cur AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' AND o_custkey % 2 = 0),
+WITH des AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')),
+cur AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')),
 ins AS (SELECT * FROM des EXCEPT SELECT * FROM cur), del AS (SELECT * FROM cur EXCEPT SELECT * FROM des)
 SELECT *, 'insert' AS action FROM ins UNION ALL SELECT *, 'delete' FROM del""")
 def reconcile_members(spark, sf):
     orders = table(spark, sf, "orders")
     new = F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")
-    batch = table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    batch = table(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
     return identity.reconcile(orders.filter(new), orders.filter(~new), batch, "o_custkey", "o_orderpriority")
 
 

@@ -151,7 +151,9 @@ SQL_VALIDATE = """WITH f AS (
 @query("validate_records", SQL_VALIDATE + """
 SELECT 'customer' AS kind, c_custkey AS id, array_to_string(failed, ',') AS failed, len(failed) = 0 AS good FROM f
 UNION ALL
-SELECT 'part', p_partkey, CASE WHEN p_size >= 25 THEN 'size' ELSE '' END, p_size < 25 FROM part""")
+SELECT 'part', p_partkey, CASE WHEN p_size >= 25 THEN 'size' ELSE '' END, p_size < 25 FROM part
+UNION ALL
+SELECT 'page', page_id, CASE WHEN contains(url, '?') THEN 'filename,path' ELSE '' END, NOT contains(url, '?') FROM pages""")
 def validate_records(spark, sf):
     def shape(df, kind, key):
         return df.select(
@@ -161,7 +163,11 @@ def validate_records(spark, sf):
 
     customers = ev.validate(table(spark, sf, "customer"), _customer_rules())
     parts = ev.validate(table(spark, sf, "part"), {"size": F.col("p_size") < 25, "type": F.col("p_type").rlike("^[A-Z]+$")})
-    return shape(customers, "customer", "c_custkey").unionByName(shape(parts, "part", "p_partkey"))
+    place = F.regexp_replace("url", "^https?://", "")
+    pages = ev.validate(table(spark, sf, "pages"), {k: ev.matches(place, k) for k in ("filename", "path")})
+    return shape(customers, "customer", "c_custkey").unionByName(shape(parts, "part", "p_partkey")).unionByName(
+        shape(pages, "page", "page_id")
+    )
 
 
 @query("validate_summary", SQL_VALIDATE + """
