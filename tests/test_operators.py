@@ -186,8 +186,9 @@ def test_filter_attributes_of_null_and_empty(spark):
 
 
 def test_render_is_one_pass(spark):
-    df = spark.createDataFrame([("New {{ a }} - {{b}} {{ missing }}!", "{{ b }}", "B")], "t string, a string, b string")
-    out = df.select(tx.render(F.col("t"), {"a": F.col("a"), "b": F.col("b")})).first()[0]
+    df = spark.createDataFrame([("{{ b }}", "B", None)], "a string, b string, c string")
+    template = "New {{ a }} - {{b}} {{ missing }}{{ c }}!"
+    out = df.select(tx.render(template, {x: F.col(x) for x in "abc"})).first()[0]
     assert out == "New {{ b }} - B !"
 
 
@@ -287,12 +288,11 @@ def test_store_against_sequential_run(spark):
 def test_rules_fire_per_entry_and_failures_stay_apart(spark):
     ev = spark.createDataFrame([("t", "create", "1", "app", "t - 1")], "message_type string, operation string, uid string, app_name string, description string")
     rules = notify.rule_frame(spark, [{"app": "other", "message_type": "t", "events": ["create", "create"]}, {"app": "x", "message_type": "u", "events": ["create"]}])
-    channels = notify.channel_frame(
-        spark,
+    setup = (
         {"create": {"subject": "New {{ message_type }} - {{ domain }}", "template": "{{ description }}", "channels": ["m", "c", "gone"]}},
         {"m": {"adapter": "email", "backends": ["email"], "from": "f", "to": ["a", "b"]}, "c": {"adapter": "chat", "backends": ["console"], "from": "f", "to": []}, "gone": None},
     )
-    out = notify.outbox(notify.match_rules(ev, rules), channels, "d.org").collect()
+    out = notify.outbox(notify.match_rules(ev, rules), *setup, "d.org").collect()
     assert sorted((r["channel"], r["status"], r["subject"]) for r in out) == [
         ("c", "failed", None), ("c", "failed", None), ("m", "rendered", "New t - d.org"), ("m", "rendered", "New t - d.org"),
     ]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
 import fnmatch
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,19 +57,19 @@ def path_id(path: Column) -> Column:
 PLACEHOLDER = r"\{\{\s*([\w.]+)\s*\}\}"
 
 
-def render(template: Column, values: Mapping[str, Column]) -> Column:
+def render(template: str, values: Mapping[str, Column]) -> Column:
     """Substitute ``{{ name }}``; names without a value render as empty text.
 
-    The template is cut at its placeholders and put together once, so a value that itself looks
-    like a placeholder stays as it is.
+    The template is cut at its placeholders once, on the driver, and becomes one ``concat``; a
+    value that itself looks like a placeholder stays as it is.
     """
-    pieces = F.split(template, PLACEHOLDER.replace("(", "(?:"), -1)
-    names = F.regexp_extract_all(template, F.lit(PLACEHOLDER), 1)
-    context = F.create_map(*[x for n, v in values.items() for x in (F.lit(n), v.cast("string"))])
-    filled = F.transform(names, lambda n: F.coalesce(F.try_element_at(context, n), F.lit("")))
-    return F.array_join(
-        F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get(filled, i), F.lit("")))), ""
-    )
+    parts = []
+    for i, piece in enumerate(re.split(PLACEHOLDER, template)):
+        if i % 2 == 0:
+            parts.append(F.lit(piece))
+        elif piece in values:
+            parts.append(F.coalesce(values[piece].cast("string"), F.lit("")))
+    return F.concat(*parts)
 
 
 def any_contains(columns: Sequence[Column], query: str) -> Column:

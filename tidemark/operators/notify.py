@@ -27,29 +27,28 @@ def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
     return events.join(rules, ["message_type", "operation"])
 
 
-def channel_frame(spark: SparkSession, operations: Mapping, channels: Mapping) -> DataFrame:
+def channel_frame(spark: SparkSession, notices: Mapping, channels: Mapping) -> DataFrame:
     """One row per operation, channel and backend. Empty channels are skipped."""
     rows = []
-    for operation, notice in operations.items():
+    for operation, notice in notices.items():
         for name in notice["channels"]:
             channel = channels.get(name)
             if not channel:
                 continue
             for backend in channel["backends"]:
                 rows.append((
-                    operation, name, backend, channel["adapter"].lower(), channel["from"],
-                    ",".join(channel["to"]), notice["subject"], notice["template"],
+                    operation, name, backend, channel["adapter"].lower(), channel["from"], ",".join(channel["to"]),
                 ))
-    schema = (
-        "operation string, channel string, backend string, adapter string, email_from string, "
-        "email_to string, subject_template string, body_template string"
-    )
+    schema = "operation string, channel string, backend string, adapter string, email_from string, email_to string"
     return small_frame(spark, rows, schema)
 
 
-def outbox(matched: DataFrame, channels: DataFrame, domain: str) -> DataFrame:
+def outbox(matched: DataFrame, notices: Mapping, channels: Mapping, domain: str) -> DataFrame:
     """Rendered notifications. An adapter other than e-mail gives a ``failed`` row and does not
-    touch the rows of the other channels."""
+    touch the rows of the other channels.
+
+    ``notices`` maps an operation to its subject, template and channels.
+    """
     context = {
         "app_name": F.col("app_name"),
         "message_type": F.col("message_type"),
@@ -59,15 +58,18 @@ def outbox(matched: DataFrame, channels: DataFrame, domain: str) -> DataFrame:
         "domain": F.lit(domain),
     }
     subject_context = {k: context[k] for k in ("message_type", "domain")}
+    subject = message = F.lit(None).cast("string")
+    for operation, notice in notices.items():
+        this = F.col("operation") == operation
+        subject = F.when(this, render(notice["subject"], subject_context)).otherwise(subject)
+        message = F.when(this, render(notice["template"], context)).otherwise(message)
     known = F.col("adapter") == "email"
-    rows = matched.join(channels, "operation")
-    return rows.withColumn(
-        "subject", F.when(known, render(F.col("subject_template"), subject_context))
-    ).withColumn(
-        "message", F.when(known, render(F.col("body_template"), context))
-    ).withColumn("status", F.when(known, "rendered").otherwise("failed")).drop(
-        "subject_template", "body_template"
-    )
+    rendered = matched.withColumn("subject", subject).withColumn("message", message)
+    return rendered.join(channel_frame(matched.sparkSession, notices, channels), "operation").withColumns({
+        "subject": F.when(known, F.col("subject")),
+        "message": F.when(known, F.col("message")),
+        "status": F.when(known, "rendered").otherwise("failed"),
+    })
 
 
 def exit_notices(operations: DataFrame, queue: Column, payload: Column) -> DataFrame:

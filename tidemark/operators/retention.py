@@ -13,18 +13,25 @@ IDLE_SECONDS = 3600
 def tiers(snapshots: DataFrame, *key: str) -> DataFrame:
     """Tier rows of (key..., ts) snapshots: every one is a daily, the latest of each ISO week a
     weekly, the latest of each month a monthly."""
+    starts = F.array(
+        F.struct(F.lit("daily").alias("tier"), F.col("ts").alias("start")),
+        F.struct(F.lit("weekly").alias("tier"), F.date_trunc("week", "ts").cast(snapshots.schema["ts"].dataType).alias("start")),
+        F.struct(F.lit("monthly").alias("tier"), F.date_trunc("month", "ts").cast(snapshots.schema["ts"].dataType).alias("start")),
+    )
+    rows = snapshots.select(*key, "ts", F.explode(starts).alias("b"))
+    # buckets are grouped by their first moment and named afterwards, once per bucket
+    latest = rows.groupBy(*key, "b.tier", "b.start").agg(F.max("ts").alias("ts"))
     week = F.concat_ws(
         "-",
         F.extract(F.lit("YEAROFWEEK"), F.col("ts")).cast("string"),
         F.lpad(F.weekofyear("ts").cast("string"), 2, "0"),
     )
-    buckets = F.array(
-        F.struct(F.lit("daily").alias("tier"), F.date_format("ts", "yyyy-MM-dd-HHmmss.SSSSSS").alias("bucket")),
-        F.struct(F.lit("weekly").alias("tier"), week.alias("bucket")),
-        F.struct(F.lit("monthly").alias("tier"), F.date_format("ts", "yyyy-MM").alias("bucket")),
+    bucket = (
+        F.when(F.col("tier") == "daily", F.date_format("ts", "yyyy-MM-dd-HHmmss.SSSSSS"))
+        .when(F.col("tier") == "weekly", week)
+        .otherwise(F.date_format("ts", "yyyy-MM"))
     )
-    rows = snapshots.select(*key, "ts", F.explode(buckets).alias("b"))
-    return rows.groupBy(*key, "b.tier", "b.bucket").agg(F.max("ts").alias("ts"))
+    return latest.select(*key, "tier", bucket.alias("bucket"), "ts")
 
 
 def retention(

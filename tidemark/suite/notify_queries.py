@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import render
 from tidemark.operators import notify
 from tidemark.sources import topics
 from tidemark.suite import derive as d
@@ -67,7 +68,7 @@ FROM good JOIN rules USING (message_type, operation) JOIN ch USING (operation)""
 
 def outbox_rows(events, spark):
     matched = notify.match_rules(flat(events), notify.rule_frame(spark, RULES))
-    rows = notify.outbox(matched, notify.channel_frame(spark, NOTICES, CHANNELS), DOMAIN)
+    rows = notify.outbox(matched, NOTICES, CHANNELS, DOMAIN)
     return rows.withColumn("rule_id", F.col("rule_id").cast("long")).select(*OUTBOX)
 
 
@@ -80,14 +81,12 @@ def notify_outbox(spark, sf):
 SELECT "offset", 'New ' || message_type || ' - example.org' AS subject, app || ': ' || message_type || ' - ' || uid || ' was made' AS body
 FROM cdc""")
 def render_notifications(spark, sf):
-    from tidemark.functions.text import render
-
     rows = d.cdc(spark, sf)
     context = {
         "message_type": F.col("message_type"), "domain": F.lit(DOMAIN), "app_name": F.col("app"),
         "description": F.concat("message_type", F.lit(" - "), "uid"),
     }
     return rows.select(
-        "offset", render(F.lit(NOTICES["create"]["subject"]), context).alias("subject"),
-        render(F.lit(NOTICES["create"]["template"]), context).alias("body"),
+        "offset", render(NOTICES["create"]["subject"], context).alias("subject"),
+        render(NOTICES["create"]["template"], context).alias("body"),
     )
