@@ -78,8 +78,8 @@ def _rounds(nodes: DataFrame, edges: DataFrame, start: Column, carry: Column | N
     places nodes without known dependencies, with ``start`` as ``out``. Each further round sends
     the new nodes along the edges into them and counts what arrived per waiting node, together
     with ``carry`` of the sender in ``deps`` where it is asked for. A node is complete when as
-    many arrived as it needs; ``finish`` then makes its ``out``. A dependency arrives exactly
-    once, so all rounds together send each edge once.
+    many arrived as it needs; ``finish`` then makes its ``out``. All rounds together send each
+    edge once; what is carried from round to round is one counted row per waiting node.
     """
     known = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
     degree = known.groupBy("src").agg(F.count("*").alias("need"))
