@@ -57,7 +57,7 @@ def compare(spark, con, sf_dir: str, fn, sql: str):
     if got != want:
         a, b = set(got), set(want)
         return f"rows {len(got)} / {len(want)}; only spark {sorted(a - b)[:3]}; only sql {sorted(b - a)[:3]}"
-    numbers = {"bigint": ("BIGINT", "INTEGER", "HUGEINT"), "int": ("BIGINT", "INTEGER"), "double": ("DOUBLE",), "string": ("VARCHAR",), "boolean": ("BOOLEAN",)}
+    numbers = {"bigint": ("BIGINT",), "int": ("INTEGER",), "double": ("DOUBLE",), "string": ("VARCHAR",), "boolean": ("BOOLEAN",)}
     for name, kind in df.dtypes:
         if kinds[name] not in numbers.get(kind, ()):
             return f"type of {name}: {kind} / {kinds[name]} ({len(got)} rows agree)"

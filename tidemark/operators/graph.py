@@ -7,19 +7,10 @@ edges, which then are not shuffled, a large one joins by sort-merge with skew sp
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
-
-
-def _union(frames: Sequence[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+from tidemark.session import Rounds, cut_lineage
 
 
 def closure(seeds: DataFrame, edges: DataFrame, implied: DataFrame | None = None) -> DataFrame:
@@ -34,19 +25,13 @@ def closure(seeds: DataFrame, edges: DataFrame, implied: DataFrame | None = None
         links = links.unionByName(implied.select("src", "dst"))
     # every round reads the edges: keep them as a table of two columns
     links = cut_lineage(links)
-    frontier = cut_lineage(seeds.select("node").distinct().withColumn("round", F.lit(0)))
-    rounds = [frontier]
+    start = seeds.select("node").distinct()
+    reached = Rounds(start.sparkSession, start.schema)
+    frontier = reached.add(start)
     while not frontier.isEmpty():
-        reached = (
-            frontier.select(F.col("node").alias("src"))
-            .join(links, "src")
-            .select(F.col("dst").alias("node"))
-            .distinct()
-            .join(_union(rounds).select("node"), "node", "left_anti")
-        )
-        frontier = cut_lineage(reached.withColumn("round", F.lit(len(rounds))))
-        rounds.append(frontier)
-    return _union(rounds)
+        found = frontier.select(F.col("node").alias("src")).join(links, "src").select(F.col("dst").alias("node"))
+        frontier = reached.add(found.distinct().join(reached.all().select("node"), "node", "left_anti"))
+    return reached.all()
 
 
 def included(
@@ -71,46 +56,41 @@ def included(
     )
 
 
-def _rounds(nodes: DataFrame, edges: DataFrame, start: Column, carry: Column | None, finish: Column) -> DataFrame:
+def _rounds(nodes: DataFrame, edges: DataFrame, finish: Column, with_deps: bool) -> DataFrame:
     """Place nodes whose dependencies are all placed, round by round: (node, out, level).
 
     ``nodes``: node and ``own``. ``edges``: (src depends on dst, pos), distinct. The first round
-    places nodes without known dependencies, with ``start`` as ``out``. Each further round sends
-    the new nodes along the edges into them and counts what arrived per waiting node, together
-    with ``carry`` of the sender in ``deps`` where it is asked for. A node is complete when as
-    many arrived as it needs; ``finish`` then makes its ``out``. All rounds together send each
-    edge once; what is carried from round to round is one counted row per waiting node.
+    places nodes without known dependencies. Each further round sends the new nodes along the
+    edges into them and counts what arrived per waiting node; with ``with_deps`` the ``out`` of
+    the senders is kept in ``deps``. A node is complete when as many arrived as it needs, and
+    ``finish`` makes its ``out``. All rounds together send each edge once; what is carried from
+    round to round is one counted row per waiting node. A round is one write.
     """
     known = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
     degree = known.groupBy("src").agg(F.count("*").alias("need"))
     todo = nodes.withColumnRenamed("node", "src").join(degree, "src", "left")
     links = cut_lineage(known.join(todo.filter(F.col("need").isNotNull()), "src"))
-    placed = cut_lineage(
-        todo.filter(F.col("need").isNull()).select(
-            F.col("src").alias("node"), start.alias("out"), F.lit(0).alias("level")
-        )
-    )
-    keys, counts = ["node", "own", "need"], [F.sum("have").alias("have")]
-    if carry is not None:
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    keys = ["node", "own", "need"]
+    first = [F.col("src").alias("node"), "own", zero.alias("need"), zero.alias("have")]
+    sent = [F.col("src").alias("node"), "own", "need", one.alias("have")]
+    sums = [F.sum("have").alias("have")]
+    if with_deps:
         # at most as long as the dependency list of one node
-        counts.append(F.flatten(F.collect_list("deps")).alias("deps"))
-    rounds, waiting = [placed], None
+        first.append(F.array().cast("array<struct<pos:int,tag:string>>").alias("deps"))
+        sent.append(F.array(F.struct("pos", F.col("out").alias("tag"))).alias("deps"))
+        sums.append(F.flatten(F.collect_list("deps")).alias("deps"))
+    state = todo.filter(F.col("need").isNull()).select(*first)
+    complete = F.col("have") == F.col("need")
+    rounds = Rounds(nodes.sparkSession, state.schema)
+    state = rounds.add(state)
+    placed = state.filter(complete).select("node", finish.alias("out"))
     while not placed.isEmpty():
-        sent = [F.col("src").alias("node"), "own", "need", F.lit(1).cast("long").alias("have")]
-        if carry is not None:
-            sent.append(F.array(F.struct("pos", F.col("_carry").alias("carry"))).alias("deps"))
-            senders = placed.select(F.col("node").alias("dst"), carry.alias("_carry"))
-        else:
-            senders = placed.select(F.col("node").alias("dst"))
-        arrived = senders.join(links, "dst").select(*sent)
-        if waiting is not None:
-            arrived = arrived.unionByName(waiting)
-        state = cut_lineage(arrived.groupBy(*keys).agg(*counts))
-        complete = F.col("have") == F.col("need")
+        arrived = placed.withColumnRenamed("node", "dst").join(links, "dst").select(*sent)
         waiting = state.filter(~complete)
-        placed = state.filter(complete).select("node", finish.alias("out"), F.lit(len(rounds)).alias("level"))
-        rounds.append(placed)
-    return _union(rounds)
+        state = rounds.add(arrived.unionByName(waiting).groupBy(*keys).agg(*sums))
+        placed = state.filter(complete).select("node", finish.alias("out"))
+    return rounds.all().filter(complete).select("node", finish.alias("out"), F.col("round").alias("level"))
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -120,7 +100,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     names = nodes.select("node").distinct()
     links = edges.select("src", "dst").distinct()
-    placed = _rounds(names.withColumn("own", F.lit(0)), links, F.lit(0), None, F.lit(0))
+    placed = _rounds(names.withColumn("own", F.lit(0)), links, F.lit(0), with_deps=False)
     return names.join(placed.select("node", "level"), "node", "left").withColumn(
         "status", F.when(F.col("level").isNull(), "cyclic").otherwise("placed")
     )
@@ -131,11 +111,9 @@ def chained_tags(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``nodes``: node, own. ``edges``: src, dst, pos. Unknown dependencies add nothing.
     """
-    joined = F.array_join(F.transform(F.sort_array("deps"), lambda x: x["carry"]), "")
-    placed = _rounds(
-        nodes.select("node", "own"), edges.select("src", "dst", "pos"), F.sha1("own"), F.col("out"),
-        F.sha1(F.concat(F.col("own"), joined)),
-    )
+    joined = F.array_join(F.transform(F.sort_array("deps"), lambda x: x["tag"]), "")
+    links = edges.select("src", "dst", F.col("pos").cast("int").alias("pos"))
+    placed = _rounds(nodes.select("node", "own"), links, F.sha1(F.concat("own", joined)), with_deps=True)
     return placed.select("node", F.col("out").alias("tag"), "level")
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StructType
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -71,3 +72,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The results of an iteration as one table in the shared folder, a partition per round."""
+
+    def __init__(self, spark: SparkSession, schema: StructType):
+        self._spark, self._schema = spark, schema
+        self._path = scratch(spark, "rounds")
+        self.count = 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write the next round and read it back."""
+        part = f"{self._path}/round={self.count}"
+        df.write.parquet(part)
+        self.count += 1
+        return self._spark.read.schema(self._schema).parquet(part)
+
+    def all(self) -> DataFrame:
+        """All rounds so far with their number in ``round``: one scan, however many there are."""
+        schema = StructType(list(self._schema.fields)).add("round", IntegerType())
+        return self._spark.read.schema(schema).parquet(self._path)

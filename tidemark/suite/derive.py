@@ -246,7 +246,7 @@ def part_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Each part depends on the part with half its key; some also on an unknown part."""
     key = F.col("p_partkey")
     kind = F.element_at(F.array(F.lit("hard"), F.lit("soft"), F.lit("build")), (key % 3 + 1).cast("int"))
-    unknown = F.when(key % 301 == 0, F.array(F.floor(key / 2), -key)).otherwise(F.array(F.floor(key / 2)))
+    unknown = F.when(key % 31 == 0, F.array(F.floor(key / 2), -key)).otherwise(F.array(F.floor(key / 2)))
     return table(spark, sf, "part").filter(key > 0).select(
         key.alias("src"), F.explode(unknown).alias("dst"), kind.alias("kind")
     )
@@ -258,7 +258,7 @@ SQL_EDGES = """edges AS (
   FROM part WHERE p_partkey > 0
   UNION ALL
   SELECT p_partkey, -p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'hard' WHEN 1 THEN 'soft' ELSE 'build' END
-  FROM part WHERE p_partkey > 0 AND p_partkey % 301 = 0)"""
+  FROM part WHERE p_partkey > 0 AND p_partkey % 31 = 0)"""
 
 
 # ---- application configurations from `nation` and `region`

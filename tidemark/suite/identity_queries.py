@@ -205,7 +205,7 @@ APPS = [("m", "mobile", 8080, 0), ("www", "web", 80, 1), ("www", "web-old", 81,
 @query("lookup_default", """
 WITH p AS (SELECT page_id, split_part(split_part(regexp_replace(url, '^https?://', ''), '/', 1), '.', 1) AS sub FROM pages)
 SELECT page_id, sub AS subdomain, CASE sub WHEN 'm' THEN 'mobile' WHEN 'www' THEN 'web' WHEN 'shop' THEN 'shop' ELSE 'hub' END AS app,
-       CASE sub WHEN 'm' THEN 8080 WHEN 'www' THEN 80 WHEN 'shop' THEN 9000 ELSE 8000 END AS port
+       CAST(CASE sub WHEN 'm' THEN 8080 WHEN 'www' THEN 80 WHEN 'shop' THEN 9000 ELSE 8000 END AS BIGINT) AS port
 FROM p""")
 def lookup_default(spark, sf):
     apps = spark.createDataFrame(APPS, "subdomain string, name string, port long, seq int")
@@ -284,7 +284,7 @@ def group_quotas(spark, sf):
 
 
 @query("quota_check", """
-SELECT c_custkey AS "user", coalesce(n, 0) AS n_active, coalesce(q <> 0 AND coalesce(n, 0) > floor(q), false) AS rejected
+SELECT c_custkey AS "user", CAST(coalesce(n, 0) AS BIGINT) AS n_active, coalesce(q <> 0 AND coalesce(n, 0) > floor(q), false) AS rejected
 FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_custkey % 12) * 1.5 END AS q FROM customer)
 LEFT JOIN (SELECT user_id, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS n FROM events GROUP BY 1) ON user_id = c_custkey""")
 def quota_check(spark, sf):

@@ -157,7 +157,7 @@ def result_messages(spark, sf):
 @query("exit_notifications", f"""WITH {d.SQL_OPS}
 SELECT name, CASE WHEN o_orderkey % 2 = 0 THEN 'even-queue' ELSE 'odd-queue' END AS topic, status,
        name AS workflow, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS payload,
-       CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 3 END AS n_keys
+       CAST(CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 3 END AS BIGINT) AS n_keys
 FROM ops WHERE status IN ('Error', 'Succeeded', 'Skipped', 'Failed') AND o_orderkey % 11 <> 0""")
 def exit_notifications(spark, sf):
     key = F.col("o_orderkey")
@@ -174,7 +174,7 @@ def exit_notifications(spark, sf):
 @query("layer_merge_files", """
 WITH a AS (SELECT p_brand, count(*) AS n, min(p_size) AS lo, max(p_size) AS hi, min(p_type) AS t FROM part GROUP BY 1)
 SELECT p_brand AS brand, CAST(lo AS VARCHAR) AS lo, CAST(hi + 100 AS VARCHAR) AS hi, t AS kind,
-       'null' AS n, 'x' AS extra, 'test' AS env, 5 AS n_layers
+       'null' AS n, 'x' AS extra, 'test' AS env, CAST(5 AS BIGINT) AS n_layers
 FROM a""")
 def layer_merge_files(spark, sf):
     """Two roots of one JSON file per brand, with overlays for two environments."""
