@@ -35,11 +35,13 @@ def envelope(
     user: Column | None = None,
     func: str | None = None,
     args: Sequence[Column] = (),
+    kwargs: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add a JSON ``value`` column with the change event of every row.
 
     ``resource`` lists the columns of the object. The object is always sent, also when it is a
-    plain map. Arguments that have no JSON form are left out by the caller.
+    plain map. Arguments that have no JSON form are left out by the caller; keyword arguments
+    become a list of one-entry objects.
     """
     description = F.concat(message_type, F.lit(" - "), uid.cast("string"))
     meta = F.struct(
@@ -47,6 +49,7 @@ def envelope(
         (user if user is not None else F.lit(None).cast("struct<id:string>")).alias("user"),
         F.lit(func).alias("func"),
         F.array(*args).alias("args"),
+        F.array(*[F.create_map(F.lit(k), v.cast("string")) for k, v in (kwargs or {}).items()]).alias("kwargs"),
         description.alias("description"),
     )
     body = F.struct(

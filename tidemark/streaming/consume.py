@@ -146,7 +146,8 @@ def identity_store(written: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def first_terminal_stream(changes: DataFrame, delay: str, key: str = "op") -> DataFrame:
-    """The first terminal status per operation. State is kept until the watermark passes."""
+    """One terminal status per operation, the one that arrives first. An operation ends once, so
+    repeats carry the same status. State is kept until the watermark passes."""
     done = changes.filter(F.col("status").isin(*TERMINAL))
     return done.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 

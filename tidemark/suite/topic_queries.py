@@ -83,7 +83,8 @@ def cdc_quarantine(spark, sf):
 SELECT o_orderkey AS uid, 'orders - ' || o_orderkey AS description, 'shop' AS app_name,
        CASE o_orderstatus WHEN 'O' THEN 'create' WHEN 'P' THEN 'update' ELSE 'other' END AS operation,
        o_orderpriority AS priority, round(o_totalprice, 2) AS total, CAST(o_custkey AS VARCHAR) AS user_id,
-       'save_order' AS func, o_orderstatus AS arg
+       'save_order' AS func, o_orderstatus AS arg,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS kwarg
 FROM orders""")
 def cdc_envelope(spark, sf):
     state = F.col("o_orderstatus")
@@ -92,15 +93,16 @@ def cdc_envelope(spark, sf):
         table(spark, sf, "orders"), F.lit("shop"), F.lit("orders"), operation, F.col("o_orderkey"),
         ["o_orderkey", "o_orderpriority", "o_totalprice"],
         user=F.struct(d.text("o_custkey").alias("id")), func="save_order", args=[state],
+        kwargs={"notify": F.col("o_orderkey") % 2 == 0},
     )
     schema = (
         "uid bigint, operation string, meta struct<app_name:string,description:string,func:string,"
-        "args:array<string>,user:struct<id:string>>, resource struct<o_orderpriority:string,o_totalprice:double>"
+        "args:array<string>,kwargs:array<map<string,string>>,user:struct<id:string>>, resource struct<o_orderpriority:string,o_totalprice:double>"
     )
     v = sent.select(F.from_json("value", schema).alias("v"))
     return v.select(
         "v.uid", "v.operation", "v.meta.app_name", "v.meta.description", "v.meta.func",
-        F.col("v.meta.args")[0].alias("arg"), F.col("v.meta.user.id").alias("user_id"),
+        F.col("v.meta.args")[0].alias("arg"), F.col("v.meta.kwargs")[0]["notify"].alias("kwarg"), F.col("v.meta.user.id").alias("user_id"),
         F.col("v.resource.o_orderpriority").alias("priority"),
         F.round("v.resource.o_totalprice", 2).alias("total"),
     )
