@@ -5,12 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import identity
 from tidemark.session import scratch
 from tidemark.sources import topics
 from tidemark.streaming import consume as st
 from tidemark.suite import derive as d
-from tidemark.suite import history_queries, identity_queries, notify_queries, topic_queries
+from tidemark.suite import history_queries, notify_queries, topic_queries
 from tidemark.suite.registry import query
 
 
