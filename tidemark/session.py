@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # merge sessions before the shuffle, so a hot user ships one row per session
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+    # rows that go to Python at once: rows may hold very long texts
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 
 
