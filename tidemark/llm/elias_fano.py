@@ -85,15 +85,18 @@ class EliasFano:
         start = np.zeros(len(can), np.int64)
         some = np.flatnonzero(high > 0)
         start[some] = self._select(high[some] - 1, False) - (high[some] - 1)
-        live = np.flatnonzero(start < stop)
-        at = start[live]
+        # the low bits ascend among them: halve the range of all queries together
+        want, left, right = low, start.copy(), stop.copy()
+        live = np.flatnonzero(left < right)
         while len(live):
-            now = self._low(at)
-            hit = now == low[live]
-            out[can[live[hit]]] = at[hit]
-            at = at + 1
-            go = ~hit & (now < low[live]) & (at < stop[live])
-            live, at = live[go], at[go]
+            middle = (left[live] + right[live]) >> 1
+            less = self._low(middle) < want[live]
+            left[live[less]] = middle[less] + 1
+            right[live[~less]] = middle[~less]
+            live = live[left[live] < right[live]]
+        hit = np.flatnonzero(left < stop)
+        hit = hit[self._low(left[hit]) == want[hit]]
+        out[can[hit]] = left[hit]
         return out
 
 

@@ -19,12 +19,15 @@ committer makes the write whole or void, and ``start`` tables need no payload.
 from __future__ import annotations
 
 import json
+import re
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +40,12 @@ BLOCK = 128
 PERCENTILES = (0.5, 0.75, 0.9, 0.95, 0.98, 1.0)
 EXCEPTION_BITS = 40
 SEGMENT_TOKENS = 1 << 19
-KNOWN_WORDS = 1 << 17
+KNOWN_WORDS = 1 << 19
+WORDS_A_TEXT = 4096
+PLAIN = re.compile(r"\S+")
+# letters and closing marks that the byte-level pattern parts: "word.***" is "word" and ".***"
+MARKED = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?|*&%$#]+)")
+SLICE = 1 << 22
 SCHEMA = "part int, segment int, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
@@ -130,9 +138,11 @@ class Encoder:
     """Whole texts to ids with a tokenizer file; special tokens' strings are ordinary text.
 
     Where the file's only pre-tokenizer is the byte-level pattern, a space after a character that is
-    no space always begins a new piece, so a text without double spaces is encoded word by word and
-    each word only once while it is remembered (``KNOWN_WORDS`` at most). Other texts and files are
-    encoded whole. The ids are the same either way.
+    no space always begins a new piece, so a text without double spaces is encoded word by word, and
+    each word only once while it is remembered (two generations of ``KNOWN_WORDS``). New words are
+    encoded as the lines of one text, as a line break is a piece of its own between them; closing
+    marks are a piece of their own too. Other texts
+    and files are encoded whole. The ids are the same either way.
     """
 
     def __init__(self, path: str):
@@ -140,32 +150,85 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         made = json.loads(self.tokenizer.to_str())
         pre = made.get("pre_tokenizer") or {}
+        line = self._run(["\n"])[0]
+        self.line = int(line[0]) if len(line) == 1 else None
         self.by_word = (
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-            and made.get("normalizer") is None and made["model"]["type"] == "BPE")
+            and made.get("normalizer") is None and made["model"]["type"] == "BPE" and self.line is not None)
         self.known: dict[str, bytes] = {}
-
-    def _run(self, pieces: list[str]) -> list[bytes]:
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    @staticmethod
+    def of_worker(path: str) -> Encoder:
+        """The encoder that this Python worker keeps for its tasks, so that words stay known."""
+        kept = vars(sys).setdefault("_tidemark_encoders", {})
+        if path not in kept:
+            kept[path] = Encoder(path)
+        return kept[path]
+
+    def _run(self, pieces: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in found]
-
-    def __call__(self, batch: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        cut = []
-        for t in batch:
-            if self.by_word and "  " not in t:
-                head, *tail = t.split(" ")
-                cut.append([head, *[" " + w for w in tail]])
-            else:
-                cut.append(None)
-        new = list({w for pieces in cut if pieces for w in pieces}.difference(self.known))
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
-            new = list({w for pieces in cut if pieces for w in pieces})
-        self.known.update(zip(new, self._run(new)))
-        rest = iter(self._run([t for t, pieces in zip(batch, cut) if pieces is None]))
-        get = self.known.__getitem__
-        return [next(rest) if pieces is None else b"".join(map(get, pieces)) for pieces in cut]
+        return [np.array(e.ids, np.uint32) for e in found]
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember the ids of each word with a space before it."""
+        plain = [w for w in new if PLAIN.fullmatch(w)]
+        groups = [plain[i:i + WORDS_A_TEXT] for i in range(0, len(plain), WORDS_A_TEXT)]
+        for group, ids in zip(groups, self._run([" " + "\n ".join(g) for g in groups])):
+            breaks = np.flatnonzero(ids == self.line) * 4
+            raw = ids.tobytes()
+            starts, stops = [0, *(breaks + 4).tolist()], [*breaks.tolist(), len(raw)]
+            self.known.update((w, raw[a:b]) for w, a, b in zip(group, starts, stops, strict=True))
+        odd = list(set(new).difference(plain))
+        self.known.update((w, ids.tobytes()) for w, ids in zip(odd, self._run([" " + w for w in odd])))
+
+    def _ids(self, different: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it."""
+        if len(self.known) > KNOWN_WORDS:
+            self.older, self.known = self.known, {}
+        new = set(different).difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        new -= again
+        marked = {w: m.groups() for w, m in zip(new, map(MARKED.fullmatch, new)) if m}
+        cores = {core for core, _ in marked.values()}.difference(self.known)
+        again = cores.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        self._learn(list((new.difference(marked) | cores) - again))
+        marks = list({m for _, m in marked.values()}.difference(self.marks))
+        self.marks.update((m, ids.tobytes()) for m, ids in zip(marks, self._run(marks)))
+        self.known.update((w, self.known[core] + self.marks[m]) for w, (core, m) in marked.items())
+        return list(map(self.known.__getitem__, different))
+
+    def __call__(self, batch: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string column."""
+        whole = pc.match_substring(batch, "  ") if self.by_word else pa.array([True] * len(batch))
+        out: list = [None] * len(batch)
+        long = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        for i, ids in zip(long, self._run(batch.take(pa.array(long)).to_pylist())):
+            out[i] = ids
+        short = np.flatnonzero(~whole.to_numpy(zero_copy_only=False))
+        if not len(short):
+            return out
+        split = pc.split_pattern(batch.take(pa.array(short)), " ")
+        found = split.flatten().dictionary_encode()
+        codes = found.indices.to_numpy().astype(np.int64)
+        first = split.offsets.to_numpy()[:-1].astype(np.int64)
+        first -= first[0]
+        # a text's first word has no space before it
+        heads = split.flatten().take(pa.array(first)).to_pylist()
+        parts = self._ids(found.dictionary.to_pylist()) + [ids.tobytes() for ids in self._run(heads)]
+        codes[first] = len(found.dictionary) + np.arange(len(first))
+        sizes = np.array([len(p) for p in parts]) // 4
+        table, starts = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        after = np.cumsum(each)
+        ids = table[np.repeat(starts[codes] - (after - each), each) + np.arange(after[-1])]
+        edges = np.concatenate(((after - each)[first], [after[-1]]))
+        for k, i in enumerate(short):
+            out[i] = ids[edges[k]:edges[k + 1]]
+        return out
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
@@ -181,22 +244,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder, end = Encoder(tokenizer), np.uint32(end_id).tobytes()
+        encoder, end = Encoder.of_worker(tokenizer), np.array([end_id], np.uint32)
         part, number, ids, doc_ids, lengths, total = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def segment() -> pa.RecordBatch:
-            payload = encode(np.frombuffer(b"".join(ids), np.uint32))
+            payload = encode(np.concatenate(ids))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([total], pa.int64()),
                  pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())),
                  pa.array([payload], pa.binary())],
                 ["part", "segment", "n_tokens", "doc_ids", "lengths", "payload"])
 
-        for piece in slices(batches):
-            for doc, own in zip(piece.column("doc_id").to_pylist(), encoder(piece.column("text").to_pylist())):
+        for piece in slices(batches, most=SLICE):
+            for doc, own in zip(piece.column("doc_id").to_pylist(), encoder(piece.column("text"))):
                 ids += (own, end)
                 doc_ids.append(doc)
-                lengths.append(len(own) // 4 + 1)
+                lengths.append(len(own) + 1)
                 total += lengths[-1]
                 if total >= SEGMENT_TOKENS:
                     yield segment()
