@@ -33,7 +33,7 @@ MIN_PAIR = 3
 DISCOUNT = 0.75
 CHUNK_TOKENS = 1 << 20
 CHUNK_DOCS = 60_000
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 3 << 20
 FREQUENT = 64
 
 

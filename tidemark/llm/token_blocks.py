@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tidemark.llm.base import slices, texts
 
@@ -42,10 +42,10 @@ EXCEPTION_BITS = 40
 SEGMENT_TOKENS = 1 << 19
 KNOWN_WORDS = 1 << 19
 WORDS_A_TEXT = 4096
-PLAIN = re.compile(r"\S+")
-# letters and closing marks that the byte-level pattern parts: "word.***" is "word" and ".***"
-MARKED = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?|*&%$#]+)")
-SLICE = 1 << 22
+PLAIN = re.compile(r" ?\S+")
+# letters and closing marks: the byte-level pattern parts " word.***" into " word" and ".***"
+LETTERS = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?|*&%$#]*)")
+SLICE = 1 << 23
 SCHEMA = "part int, segment int, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
@@ -134,15 +134,26 @@ class Segment:
         return out.reshape(-1)[a - first * self.block:b - first * self.block]
 
 
+def _byte_letters() -> str:
+    """The letter by which byte-level vocabularies write each byte: printable bytes stand for
+    themselves, the others follow from code 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b) if b in plain else chr(next(rest)) for b in range(256))
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
     """Whole texts to ids with a tokenizer file; special tokens' strings are ordinary text.
 
     Where the file's only pre-tokenizer is the byte-level pattern, a space after a character that is
     no space always begins a new piece, so a text without double spaces is encoded word by word, and
-    each word only once while it is remembered (two generations of ``KNOWN_WORDS``). New words are
-    encoded as the lines of one text, as a line break is a piece of its own between them; closing
-    marks are a piece of their own too. Other texts
-    and files are encoded whole. The ids are the same either way.
+    each word only once while it is remembered (two generations of ``KNOWN_WORDS``). Many new words
+    are encoded at once, as the lines of a text: a line break between words is a piece of its own.
+    Letters are one piece and closing marks another, so both go to the file's model directly. Other
+    texts and files are encoded whole. The ids are the same either way.
     """
 
     def __init__(self, path: str):
@@ -155,9 +166,11 @@ class Encoder:
         self.by_word = (
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
             and made.get("normalizer") is None and made["model"]["type"] == "BPE" and self.line is not None)
+        # the same model for texts whose pieces are known to be their lines
+        self.pieces = Tokenizer(self.tokenizer.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.Split(BYTE_LETTERS[10], "isolated")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
 
     @staticmethod
     def of_worker(path: str) -> Encoder:
@@ -167,60 +180,71 @@ class Encoder:
             kept[path] = Encoder(path)
         return kept[path]
 
-    def _run(self, pieces: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+    def _run(self, texts_: list[str], by: Tokenizer | None = None) -> list[np.ndarray]:
+        found = (by or self.tokenizer).encode_batch_fast(texts_, add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in found]
 
-    def _learn(self, new: list[str]) -> None:
-        """Remember the ids of each word with a space before it."""
-        plain = [w for w in new if PLAIN.fullmatch(w)]
-        groups = [plain[i:i + WORDS_A_TEXT] for i in range(0, len(plain), WORDS_A_TEXT)]
-        for group, ids in zip(groups, self._run([" " + "\n ".join(g) for g in groups])):
+    def _learn(self, lines: list[str], pieces: bool) -> None:
+        """Remember the ids of words without white space inside."""
+        groups = [lines[i:i + WORDS_A_TEXT] for i in range(0, len(lines), WORDS_A_TEXT)]
+        joined = ["\n".join(g) for g in groups]
+        if pieces:
+            joined = [t.encode().decode("latin-1").translate(BYTE_LETTERS) for t in joined]
+        for group, ids in zip(groups, self._run(joined, self.pieces if pieces else None)):
             breaks = np.flatnonzero(ids == self.line) * 4
             raw = ids.tobytes()
             starts, stops = [0, *(breaks + 4).tolist()], [*breaks.tolist(), len(raw)]
             self.known.update((w, raw[a:b]) for w, a, b in zip(group, starts, stops, strict=True))
-        odd = list(set(new).difference(plain))
-        self.known.update((w, ids.tobytes()) for w, ids in zip(odd, self._run([" " + w for w in odd])))
 
-    def _ids(self, different: list[str]) -> list[bytes]:
-        """Ids of each word with a space before it."""
-        if len(self.known) > KNOWN_WORDS:
-            self.older, self.known = self.known, {}
+    def _unknown(self, different) -> set[str]:
+        """Those not remembered; what the older generation holds is taken over."""
         new = set(different).difference(self.known)
         again = new.intersection(self.older)
         self.known.update((w, self.older[w]) for w in again)
-        new -= again
-        marked = {w: m.groups() for w, m in zip(new, map(MARKED.fullmatch, new)) if m}
-        cores = {core for core, _ in marked.values()}.difference(self.known)
-        again = cores.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in again)
-        self._learn(list((new.difference(marked) | cores) - again))
-        marks = list({m for _, m in marked.values()}.difference(self.marks))
-        self.marks.update((m, ids.tobytes()) for m, ids in zip(marks, self._run(marks)))
-        self.known.update((w, self.known[core] + self.marks[m]) for w, (core, m) in marked.items())
-        return list(map(self.known.__getitem__, different))
+        return new - again
+
+    def _ids(self, different: list[str]) -> list[bytes]:
+        """Ids of each word, which may begin with a space."""
+        if len(self.known) > KNOWN_WORDS:
+            self.older, self.known = self.known, {}
+        marked, letters, plain, odd = [], [], [], []
+        for w in self._unknown(different):
+            m = LETTERS.fullmatch(w)
+            if m is None:
+                (plain if PLAIN.fullmatch(w) else odd).append(w)
+            elif m[2]:
+                marked.append((w, m[1], m[2]))
+            else:
+                letters.append(w)
+        cores = self._unknown([core for _, core, _ in marked]).difference(letters)
+        self._learn([*letters, *cores], True)
+        self._learn([*plain, *self._unknown({m for _, _, m in marked}).difference(plain)], False)
+        self.known.update((w, ids.tobytes()) for w, ids in zip(odd, self._run(odd)))
+        known = self.known
+        known.update([(w, known[core] + known[m]) for w, core, m in marked])
+        return list(map(known.__getitem__, different))
 
     def __call__(self, batch: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a string column."""
         whole = pc.match_substring(batch, "  ") if self.by_word else pa.array([True] * len(batch))
+        whole = whole.to_numpy(zero_copy_only=False)
         out: list = [None] * len(batch)
-        long = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        long, short = np.flatnonzero(whole), np.flatnonzero(~whole)
         for i, ids in zip(long, self._run(batch.take(pa.array(long)).to_pylist())):
             out[i] = ids
-        short = np.flatnonzero(~whole.to_numpy(zero_copy_only=False))
         if not len(short):
             return out
         split = pc.split_pattern(batch.take(pa.array(short)), " ")
-        found = split.flatten().dictionary_encode()
+        flat = split.flatten()
+        found = flat.dictionary_encode()
         codes = found.indices.to_numpy().astype(np.int64)
         first = split.offsets.to_numpy()[:-1].astype(np.int64)
         first -= first[0]
         # a text's first word has no space before it
-        heads = split.flatten().take(pa.array(first)).to_pylist()
-        parts = self._ids(found.dictionary.to_pylist()) + [ids.tobytes() for ids in self._run(heads)]
-        codes[first] = len(found.dictionary) + np.arange(len(first))
-        sizes = np.array([len(p) for p in parts]) // 4
+        heads = flat.take(pa.array(first)).dictionary_encode()
+        parts = self._ids([" " + w for w in found.dictionary.to_pylist()] + heads.dictionary.to_pylist())
+        codes[first] = len(found.dictionary) + heads.indices.to_numpy()
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         table, starts = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(sizes) - sizes
         each = sizes[codes]
         after = np.cumsum(each)
