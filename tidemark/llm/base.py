@@ -99,3 +99,16 @@ def broadcast_object(spark, value):
     """A function that gives ``value`` in a task; its classes travel with it."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: cloudpickle.loads(sent.value)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], text: str = "text", least: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold ``least`` bytes of text, for work that shares words within one."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(text).nbytes
+        if size >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()

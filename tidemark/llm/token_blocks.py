@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from tidemark.llm.base import slices, texts
+from tidemark.llm.base import gathered, slices, texts
 
 MAGIC = b"PFR1"
 BLOCK = 128
-PERCENTILES = (0.5, 0.75, 0.9, 0.95, 0.98, 1.0)
+PERCENTILES = (0.75, 0.9, 0.97, 1.0)
 EXCEPTION_BITS = 40
 SEGMENT_TOKENS = 1 << 19
 KNOWN_WORDS = 1 << 19
@@ -45,7 +45,7 @@ WORDS_A_TEXT = 4096
 PLAIN = re.compile(r" ?\S+")
 # letters and closing marks: the byte-level pattern parts " word.***" into " word" and ".***"
 LETTERS = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?|*&%$#]*)")
-SLICE = 1 << 23
+SLICE = 1 << 24
 SCHEMA = "part int, segment int, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
@@ -279,7 +279,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
                  pa.array([payload], pa.binary())],
                 ["part", "segment", "n_tokens", "doc_ids", "lengths", "payload"])
 
-        for piece in slices(batches, most=SLICE):
+        for piece in slices(gathered(batches), most=SLICE):
             for doc, own in zip(piece.column("doc_id").to_pylist(), encoder(piece.column("text"))):
                 ids += (own, end)
                 doc_ids.append(doc)
