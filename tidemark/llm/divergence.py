@@ -131,32 +131,30 @@ def _base_failed(limits: Limits) -> Column:
 
 
 def references(featured: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row per language: summed counts over all documents fit to be a model."""
+    """One row per language: the shares over all documents fit to be a model."""
     sizes = {"chars": len(CLASSES), "common": len(COMMON_WORDS) + 1}
     sums = [F.sum(F.col("f")[k][i]).alias(f"{k}{i}") for k, n in sizes.items() for i in range(n)]
     f = F.col("f")
     fit = ~_base_failed(limits) & (f["n_symbols"] <= limits.model_symbols * f["n_words"])
     out = featured.filter(fit).groupBy(F.col("f.lang").alias("lang")).agg(*sums)
     return out.select(
-        "lang", *[F.array(*[F.col(f"{k}{i}") for i in range(n)]).alias(f"ref_{k}") for k, n in sizes.items()]
+        "lang", *[shares(F.array(*[F.col(f"{k}{i}") for i in range(n)])).alias(f"ref_{k}") for k, n in sizes.items()]
     )
 
 
-def distance(left: Column, right: Column) -> Column:
-    """Jensen-Shannon distance of two count arrays; null where either is empty."""
-    def total(a):
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+def shares(counts: Column) -> Column:
+    """Counts as shares of their sum; null where there are none."""
+    total = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
+    return F.when(total > 0, F.transform(F.arrays_zip(counts.alias("x"), F.array_repeat(total, F.size(counts)).alias("n")), lambda z: z["x"] / z["n"]))
+
 
+def distance(left: Column, right: Column) -> Column:
+    """Jensen-Shannon distance of two arrays of shares; null where either is null."""
     def part(x, y):
         return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
 
-    def both(x, y, n, m):
-        u, v = x / n, y / m
-        return part(u, v) + part(v, u)
-
-    n, m = total(left), total(right)
-    raw = F.aggregate(F.zip_with(left, right, lambda x, y: both(x, y, n, m)), F.lit(0.0), lambda s, x: s + x)
-    return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(raw, F.lit(0.0)) / 2))
+    parts = F.zip_with(left, right, lambda x, y: part(x, y) + part(y, x))
+    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)) / 2)
 
 
 def verdict(featured: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -169,8 +167,8 @@ def verdict(featured: DataFrame, limits: Limits = Limits()) -> DataFrame:
     df = featured.join(references(featured, limits).withColumnRenamed("lang", "ref_lang"), f["lang"] == F.col("ref_lang"), "left")
     df = df.select(
         "row", "f",
-        distance(f["chars"], F.col("ref_chars")).alias("char_distance"),
-        distance(f["common"], F.col("ref_common")).alias("word_distance"),
+        distance(shares(f["chars"]), F.col("ref_chars")).alias("char_distance"),
+        distance(shares(f["common"]), F.col("ref_common")).alias("word_distance"),
         _base_failed(limits).alias("base_failed"),
     )
     chars = f["word_chars"] + f["chars"][1]
