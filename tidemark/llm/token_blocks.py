@@ -40,12 +40,12 @@ BLOCK = 128
 PERCENTILES = (0.75, 0.9, 0.97, 1.0)
 EXCEPTION_BITS = 40
 SEGMENT_TOKENS = 1 << 19
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 18
 WORDS_A_TEXT = 4096
 PLAIN = re.compile(r" ?\S+")
 # letters and closing marks: the byte-level pattern parts " word.***" into " word" and ".***"
 LETTERS = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?|*&%$#]*)")
-SLICE = 1 << 24
+SLICE = 1 << 23
 SCHEMA = "part int, segment int, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
@@ -237,19 +237,16 @@ class Encoder:
         split = pc.split_pattern(batch.take(pa.array(short)), " ")
         flat = split.flatten()
         found = flat.dictionary_encode()
-        codes = found.indices.to_numpy().astype(np.int64)
+        codes = found.indices.to_numpy().copy()
         first = split.offsets.to_numpy()[:-1].astype(np.int64)
         first -= first[0]
         # a text's first word has no space before it
         heads = flat.take(pa.array(first)).dictionary_encode()
         parts = self._ids([" " + w for w in found.dictionary.to_pylist()] + heads.dictionary.to_pylist())
         codes[first] = len(found.dictionary) + heads.indices.to_numpy()
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        table, starts = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(sizes) - sizes
-        each = sizes[codes]
-        after = np.cumsum(each)
-        ids = table[np.repeat(starts[codes] - (after - each), each) + np.arange(after[-1])]
-        edges = np.concatenate(((after - each)[first], [after[-1]]))
+        ids = np.frombuffer(b"".join(np.array(parts, object)[codes].tolist()), np.uint32)
+        sizes = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+        edges = np.concatenate(([0], np.cumsum(np.add.reduceat(sizes[codes], first, dtype=np.int64))))
         for k, i in enumerate(short):
             out[i] = ids[edges[k]:edges[k + 1]]
         return out
@@ -279,7 +276,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
                  pa.array([payload], pa.binary())],
                 ["part", "segment", "n_tokens", "doc_ids", "lengths", "payload"])
 
-        for piece in slices(gathered(batches), most=SLICE):
+        for piece in slices(gathered(batches, least=SLICE), most=SLICE):
             for doc, own in zip(piece.column("doc_id").to_pylist(), encoder(piece.column("text"))):
                 ids += (own, end)
                 doc_ids.append(doc)
