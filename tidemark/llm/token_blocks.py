@@ -40,7 +40,7 @@ BLOCK = 128
 PERCENTILES = (0.75, 0.9, 0.97, 1.0)
 EXCEPTION_BITS = 40
 SEGMENT_TOKENS = 1 << 19
-KNOWN_WORDS = 1 << 18
+KNOWN_WORDS = 400_000
 WORDS_A_TEXT = 4096
 PLAIN = re.compile(r" ?\S+")
 # letters and closing marks: the byte-level pattern parts " word.***" into " word" and ".***"
@@ -54,13 +54,18 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.uint8)
 
 
+def _beyond(rest: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Which differences do not fit the width of their block."""
+    return rest > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
+
+
 def _widths(rest: np.ndarray) -> np.ndarray:
     """Per block the width of the percentile that makes it smallest, with its exceptions."""
     best = cost = None
     ordered = np.sort(rest, axis=1)
     for p in PERCENTILES:
         width = _bits(ordered[:, max(0, int(np.ceil(BLOCK * p)) - 1)])
-        beyond = ((rest.astype(np.uint64) >> width[:, None].astype(np.uint64)) != 0).sum(axis=1)
+        beyond = _beyond(rest, width).sum(axis=1)
         now = width.astype(np.int64) * BLOCK + EXCEPTION_BITS * beyond
         best = width if best is None else np.where(now < cost, width, best)
         cost = now if cost is None else np.minimum(now, cost)
@@ -79,15 +84,17 @@ def encode(ids: np.ndarray) -> bytes:
     low = padded.min(axis=1) if blocks else np.empty(0, np.uint32)
     rest = padded - low[:, None]
     width = _widths(rest) if blocks else np.empty(0, np.uint8)
-    outlier = (rest.astype(np.uint64) >> width[:, None].astype(np.uint64)) != 0
+    outlier = _beyond(rest, width)
     block_of, place = np.nonzero(outlier)
     exceptions = np.concatenate(([0], np.cumsum(outlier.sum(axis=1)))).astype("<u8")
     starts = np.concatenate(([0], np.cumsum(width.astype(np.uint64) * (BLOCK // 8)))).astype("<u8")
     packed = np.zeros(int(starts[-1]), np.uint8)
     for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
-        bits = np.unpackbits(np.where(outlier[own], 0, rest[own]).astype(">u4").view(np.uint8).reshape(len(own), BLOCK, 4), axis=2)
-        body = np.packbits(bits[:, :, 32 - w:].reshape(len(own), -1), axis=1)
+        lane = 16 if w <= 16 else 32
+        low_part = np.where(outlier[own], 0, rest[own]).astype(f">u{lane // 8}")
+        bits = np.unpackbits(low_part.view(np.uint8).reshape(len(own), BLOCK, lane // 8), axis=2)
+        body = np.packbits(bits[:, :, lane - w:].reshape(len(own), -1), axis=1)
         packed[starts[own].astype(np.int64)[:, None] + np.arange(body.shape[1])] = body
     return b"".join([
         MAGIC, struct.pack("<IQQ", BLOCK, len(ids), blocks), low.astype("<u4").tobytes(), width.tobytes(),
@@ -99,7 +106,7 @@ class Segment:
     """Random access to a payload: ``ids(a, b)`` decodes only the blocks that hold the range."""
 
     def __init__(self, payload: bytes):
-        if payload[:4] != MAGIC:
+        if bytes(payload[:4]) != MAGIC:
             raise ValueError("not a token segment")
         self.block, self.n, blocks = struct.unpack_from("<IQQ", payload, 4)
         at = 24
@@ -124,9 +131,11 @@ class Segment:
             own = np.flatnonzero(width == w)
             size = w * self.block // 8
             body = self.packed[self.starts[first + own].astype(np.int64)[:, None] + np.arange(size)]
-            bits = np.zeros((len(own), self.block, 32), np.uint8)
-            bits[:, :, 32 - w:] = np.unpackbits(body, axis=1).reshape(len(own), self.block, w)
-            out[own] = np.packbits(bits, axis=2).view(">u4").reshape(len(own), self.block)
+            lane = 16 if w <= 16 else 32
+            bits = np.unpackbits(body, axis=1).reshape(len(own), self.block, w)
+            if w < lane:
+                bits = np.pad(bits, ((0, 0), (0, 0), (lane - w, 0)))
+            out[own] = np.packbits(bits, axis=2).view(f">u{lane // 8}").reshape(len(own), self.block)
         begin, end = int(self.exceptions[first]), int(self.exceptions[last])
         block_of = np.repeat(np.arange(last - first), np.diff(self.exceptions[first:last + 1].astype(np.int64)))
         out[block_of, self.places[begin:end]] = self.values[begin:end]
@@ -308,10 +317,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids = Segment(batch.column("payload")[row].as_py()).ids().astype("<u4")
+                ids = Segment(batch.column("payload")[row].as_buffer()).ids().astype("<u4", copy=False)
                 lengths = batch.column("lengths")[row].values.to_numpy()
                 ends = np.cumsum(lengths)
-                crc = [zlib.crc32(ids[e - n:e].tobytes()) for e, n in zip(ends.tolist(), lengths.tolist())]
+                crc = [zlib.crc32(ids[e - n:e]) for e, n in zip(ends.tolist(), lengths.tolist())]
                 count = len(lengths)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(count, batch.column("part")[row].as_py(), np.int32)),
