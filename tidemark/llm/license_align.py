@@ -118,8 +118,10 @@ class Scanner:
         self.templates = {n: tokens(t.encode()) for n, t in sorted(templates.items()) if tokens(t.encode())}
         self.keys: dict[bytes, list[str]] = {}
         self.reach: dict[str, int] = {}
+        self.single: dict[str, set[bytes]] = {}
         for name, found in self.templates.items():
             keys = set(found) - FUNCTION_WORDS or set(found)
+            self.single[name] = {w for w in keys if found.count(w) == 1}
             for w in keys:
                 self.keys.setdefault(w, []).append(name)
             at = [-1, *[i for i, w in enumerate(found) if w in keys], len(found)]
@@ -139,16 +141,20 @@ class Scanner:
         out = []
         for name, at in places.items():
             template, reach = self.templates[name], self.reach[name]
-            begin = 0
+            begin, seen = 0, {}
             for k in range(1, len(at) + 1):
-                # a new stretch begins after a gap, or where the template's first key word comes again
-                if k < len(at) and at[k] - at[k - 1] <= reach and not (found[at[k]] == found[at[begin]] and at[k] - at[begin] >= len(template) // 2):
+                # a new stretch begins after a gap, or where a word that the template has once comes
+                # again, half a template on
+                word = found[at[k - 1]]
+                if word in self.single[name]:
+                    seen.setdefault(word, at[k - 1])
+                if k < len(at) and at[k] - at[k - 1] <= reach and at[k] - seen.get(found[at[k]], at[k]) < max(1, len(template) // 2):
                     continue
                 # few different words cannot cover enough
                 a, b = max(0, at[begin] - reach), min(len(found), at[k - 1] + 1 + reach)
                 if k < len(at):
                     b = min(b, at[k])
-                begin = k
+                begin, seen = k, {}
                 stretch = found[a:b]
                 if len(set(stretch) & set(template)) < least * len(set(template)):
                     continue

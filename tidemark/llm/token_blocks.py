@@ -132,9 +132,8 @@ class Segment:
             size = w * self.block // 8
             body = self.packed[self.starts[first + own].astype(np.int64)[:, None] + np.arange(size)]
             lane = 16 if w <= 16 else 32
-            bits = np.unpackbits(body, axis=1).reshape(len(own), self.block, w)
-            if w < lane:
-                bits = np.pad(bits, ((0, 0), (0, 0), (lane - w, 0)))
+            bits = np.zeros((len(own), self.block, lane), np.uint8)
+            bits[:, :, lane - w:] = np.unpackbits(body, axis=1).reshape(len(own), self.block, w)
             out[own] = np.packbits(bits, axis=2).view(f">u{lane // 8}").reshape(len(own), self.block)
         begin, end = int(self.exceptions[first]), int(self.exceptions[last])
         block_of = np.repeat(np.arange(last - first), np.diff(self.exceptions[first:last + 1].astype(np.int64)))
