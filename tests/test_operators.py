@@ -402,16 +402,60 @@ def test_layer_files_of_two_roots_and_envs(spark):
     assert json.loads(alone["a.json"])["a"] == "dev"
 
 
-def test_result_messages_are_one_per_file(spark):
+def test_result_messages_send_every_content(spark):
     df = spark.createDataFrame([("d/a.txt", "x" * 10), ("d/b.txt", "x" * 11)], "p string, c string")
-    got = {r["path"]: (r["status"], json.loads(r["value"])) for r in files.result_messages(df, F.col("p"), F.col("c"), 10).collect()}
-    assert got == {"d/a.txt": ("ok", {"a.txt": "x" * 10}), "d/b.txt": ("too_large", {"d/b.txt": "Error: size exceeded"})}
+    got = sorted((r["path"], r["status"], list(json.loads(r["value"]).items())[0]) for r in files.result_messages(df, F.col("p"), F.col("c"), 10).collect())
+    assert got == [
+        ("d/a.txt", "ok", ("a.txt", "x" * 10)), ("d/b.txt", "ok", ("b.txt", "x" * 11)),
+        ("d/b.txt", "too_large", ("d/b.txt", "Error: size exceeded"))]
 
 
-def test_read_files_leaves_out_undecodable(spark, tmp_path):
+def test_layers_that_change_nothing(spark):
+    data = [(0, "a.json", '{"x":1}'), (0, "a-dev.1.json", "{broken"), (0, "a-devX1.json", '{"x":9}'), (1, "a.json", '{"y":2}'),
+            *[(2 + i, "a.json", c) for i, c in enumerate(("null", "[]", '""', "{}"))], (9, "a.json", '{"z":3}')]
+    df = spark.createDataFrame(data, "root int, file string, content string")
+    got = {r["file"]: r["content"] for r in files.merge_layers(df, ["dev.1"]).collect()}
+    assert json.loads(got["a.json"]) == {"x": 1, "y": 2, "z": 3}
+
+
+def test_binary_layers_keep_their_bytes(spark):
+    df = spark.createDataFrame([(0, "a.bin", "t", b"t"), (1, "a.bin", None, b"\xff")], "root int, file string, content string, raw binary")
+    row = files.merge_layers(df).first()
+    assert row["content"] is None and bytes(row["raw"]) == b"\xff"
+
+
+def test_final_breaks_of_a_file(spark):
+    df = spark.createDataFrame([(1, "a\n\n"), (2, "a\n\n\n"), (3, "a"), (4, "\n"), (5, "")], "k int, c string")
+    got = {k: n for k, n in textset.explode_lines(df, "k", "c").groupBy("k").count().collect()}
+    assert got == {1: 2, 2: 3, 3: 1, 4: 1, 5: 1}
+
+
+def test_nulls_do_not_vanish(spark):
+    users = spark.createDataFrame([("u", "ann")], "id string, username string")
+    asked = identity.find_users(spark.createDataFrame([(None,), ("ann",)], "arg string"), users)
+    assert sorted((r["arg"] or "", r["status"]) for r in asked.collect()) == [("", "not_found"), ("ann", "found")]
+    edges = spark.createDataFrame([("a", "gone", None)], "src string, dst string, kind string")
+    node = spark.createDataFrame([("a",)], "node string")
+    assert [r["severity"] for r in graph.broken_references(edges, node, node).collect()] == ["error"]
+
+
+def test_camel_request_finds_snake_key(spark):
+    df = spark.createDataFrame([({"user_name": "ann"},)], "m map<string,string>")
+    assert df.select(maps.resolve_key(F.col("m"), "userName")).first()[0] == "ann"
+
+
+def test_text_hook(spark):
+    df = spark.createDataFrame([("u", "/a", "k", "x"), ("u", "/a/b", "k", "y")], "user string, path string, key string, value string")
+    got = attributes.resolve_groups(df, lambda v: F.concat(v, F.lit("!"))).collect()
+    assert [tuple(r) for r in got] == [("u", "k", "y!")]
+
+
+def test_read_files_marks_undecodable(spark, tmp_path):
     (tmp_path / "a.txt").write_text("héllo")
     (tmp_path / "b.bin").write_bytes(b"\xff\xfe\xfa")
-    assert [r["content"] for r in files.read_files(spark, str(tmp_path)).collect()] == ["héllo"]
+    got = {r["path"].rsplit("/", 1)[1]: r for r in files.read_files(spark, str(tmp_path)).collect()}
+    assert (got["a.txt"]["content"], got["a.txt"]["status"]) == ("héllo", "ok")
+    assert (got["b.bin"]["content"], got["b.bin"]["status"], bytes(got["b.bin"]["raw"])) == (None, "not_text", b"\xff\xfe\xfa")
 
 
 def test_overlay_null_wins(spark):

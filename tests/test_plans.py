@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from tidemark.operators import history, notify
 from tidemark.plans.skew import MAX_SMALL_ROWS, small_frame
 from tidemark.sources import topics
-from tidemark.suite import derive
+from tidemark.suite import derive, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-BATCH = sorted(n for n in entry.queries() if not n.startswith("stream_"))
+BATCH = sorted(n for n in registry.QUERIES if not n.startswith("stream_"))
 
 
 # numbering adds up one row per partition in a window of its own

@@ -39,9 +39,14 @@ def camel_name(name: str) -> str:
     return re.sub(r"_([a-z0-9])", lambda m: m.group(1).upper(), name)
 
 
+def snake_name(name: str) -> str:
+    """camelCase to snake_case for a Python string."""
+    return re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name).lower()
+
+
 def resolve_key(record: Column, name: str, alias: str | None = None) -> Column:
     """Value of a field under any of its spellings: alias, snake form, camel form."""
-    spellings = [s for s in (alias, name, camel_name(name)) if s]
+    spellings = [s for s in (alias, name, snake_name(name), camel_name(name)) if s]
     return F.coalesce(*[F.try_element_at(record, F.lit(s)) for s in dict.fromkeys(spellings)])
 
 

@@ -31,9 +31,10 @@ def resolve_groups(attributes: DataFrame, convert: Callable[[Column], Column] =
     tells live rows from covered ones: no pairs of paths are formed, and both groupings combine
     on the map side.
     """
+    none = F.when(F.lit(False), convert(F.col("value")))  # a null of the hook's type
     marks = F.transform(
         ancestors(F.col("path")),
-        lambda p: F.struct(p.alias("path"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("covered")),
+        lambda p: F.struct(p.alias("path"), none.alias("v"), F.lit(1).alias("covered")),
     )
     own = F.struct(F.col("path"), convert(F.col("value")).alias("v"), F.lit(0).alias("covered"))
     rows = attributes.select("user", "key", F.explode(F.concat(F.array(own), marks)).alias("n"))

@@ -143,7 +143,7 @@ def broken_references(edges: DataFrame, apps: DataFrame, images: DataFrame) -> D
     build dependency may also be an image."""
     known = apps.select(F.col("node").alias("dst")).distinct()
     buildable = known.unionByName(images.select(F.col("node").alias("dst"))).distinct()
-    build = F.col("kind") == "build"
+    build = F.coalesce(F.col("kind") == "build", F.lit(False))
     bad = edges.filter(~build).join(known, "dst", "left_anti").unionByName(
         edges.filter(build).join(buildable, "dst", "left_anti")
     )

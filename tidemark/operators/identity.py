@@ -31,9 +31,9 @@ def find_users(requests: DataFrame, users: DataFrame, arg: str = "arg") -> DataF
     """Look up each argument by id when it is a UUID, else by exact user name.
 
     ``users`` has (id, username); of several users with one name the first id is taken. A request
-    without a hit has the status ``not_found``.
+    without a hit, or without an argument, has the status ``not_found``.
     """
-    by_id = F.col(arg).rlike(UUID_PATTERN)
+    by_id = F.coalesce(F.col(arg).rlike(UUID_PATTERN), F.lit(False))
     ids = users.select(F.col("id").alias(arg), F.col("id").alias("found"))
     names = users.groupBy(F.col("username").alias(arg)).agg(F.min("id").alias("found"))
     hits = requests.filter(by_id).join(ids, arg, "left").unionByName(

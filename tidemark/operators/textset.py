@@ -43,7 +43,8 @@ def bulk_replace(content: Column, path: Column, rules: Sequence[Mapping]) -> Col
 
 def explode_lines(files: DataFrame, key: str, content: str) -> DataFrame:
     """(key, pos, line) rows; a final line break does not start another line."""
-    text = F.regexp_replace(F.col(content), "\n$", "")
+    text = F.col(content)
+    text = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
     return files.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
 

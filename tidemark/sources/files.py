@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,29 +10,37 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.jsontree import deep_merge
 
-# Fixed value: a result file above this size is reported, not sent.
+# Fixed value: a result file above this size is also reported.
 RESULT_CAP = 2**20
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """One (path, content) row per file below a folder. Unreadable files are left out."""
-    files = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
-    binary = files.format("binaryFile").load(path)
-    return binary.filter(F.is_valid_utf8(F.col("content").cast("string"))).select(
-        "path", F.col("content").cast("string").alias("content")
+    """One (path, content, raw, status) row per file below a folder. A file that is not UTF-8 has the
+    status ``not_text``, no ``content`` and its bytes in ``raw``; no file is left out, and one that
+    can not be read fails the job."""
+    binary = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(path)
+    is_text = F.is_valid_utf8(F.col("content").cast("string"))
+    return binary.select(
+        "path",
+        F.when(is_text, F.col("content").cast("string")).alias("content"),
+        F.col("content").alias("raw"),
+        F.when(is_text, "ok").otherwise("not_text").alias("status"),
     )
 
 
 def result_messages(files: DataFrame, path: Column, content: Column, cap: int = RESULT_CAP) -> DataFrame:
-    """One message per file: ``{basename: content}``, or ``{path: "Error: size exceeded"}`` with
-    status ``too_large`` when the file is above the cap. Never both for one file."""
+    """The message ``{basename: content}`` of every file, whatever its size, and for a file above the
+    cap also the notice ``{path: "Error: size exceeded"}`` with the status ``too_large``."""
     large = F.octet_length(content) > cap
     name = F.substring_index(path, "/", -1)
-    message = F.when(large, F.create_map(path, F.lit("Error: size exceeded"))).otherwise(
-        F.create_map(name, content)
-    )
-    status = F.when(large, "too_large").otherwise("ok")
-    return files.select(path.alias("path"), status.alias("status"), F.to_json(message).alias("value"))
+
+    def message(status: str, key: Column, body: Column) -> Column:
+        return F.struct(F.lit(status).alias("status"), F.to_json(F.create_map(key, body)).alias("value"))
+
+    sent = message("ok", name, content)
+    notice = message("too_large", path, F.lit("Error: size exceeded"))
+    both = F.when(large, F.array(notice, sent)).otherwise(F.array(sent))
+    return files.select(path.alias("path"), F.explode(both).alias("m")).select("path", "m.status", "m.value")
 
 
 def layered_targets(files: DataFrame, envs: Sequence[str]) -> DataFrame:
@@ -40,21 +49,22 @@ def layered_targets(files: DataFrame, envs: Sequence[str]) -> DataFrame:
     A file goes to the target of its own name. ``name-env.json`` next to ``name.json`` also goes
     to ``name.json``, after the base file of that root, in the order of ``envs``.
     """
+    body = ["content", *(["raw"] if "raw" in files.columns else [])]
     own = files.select(
-        "file", "content", F.struct(F.col("root").alias("root"), F.lit(0).alias("env")).alias("rank")
+        "file", *body, F.struct(F.col("root").alias("root"), F.lit(0).alias("env")).alias("rank")
     )
     if not envs:
         return own
-    pattern = r"^(.*)-(" + "|".join(envs) + r")(\.json)$"
+    pattern = r"^(.*)-(" + "|".join(re.escape(e) for e in envs) + r")(\.json)$"
     env = F.regexp_extract("file", pattern, 2)
     overlays = files.filter(env != "").select(
         "root",
         F.concat(F.regexp_extract("file", pattern, 1), F.regexp_extract("file", pattern, 3)).alias("file"),
-        "content",
+        *body,
         F.array_position(F.array(*[F.lit(e) for e in envs]), env).cast("int").alias("env"),
     )
     applied = overlays.join(files.select("root", "file"), ["root", "file"], "left_semi").select(
-        "file", "content", F.struct(F.col("root"), F.col("env")).alias("rank")
+        "file", *body, F.struct(F.col("root"), F.col("env")).alias("rank")
     )
     return own.unionByName(applied)
 
@@ -62,23 +72,31 @@ def layered_targets(files: DataFrame, envs: Sequence[str]) -> DataFrame:
 def merge_layers(files: DataFrame, envs: Sequence[str] = ()) -> DataFrame:
     """Merge same-named files of several roots; rows are (root number, file, content).
 
-    JSON files merge key by key, a file that does not parse and any other type is replaced whole.
+    JSON files merge key by key. An empty layer (null, false, 0, "", [] or {}) changes nothing, nor
+    does an environment's overlay that does not parse; another file that does not parse, and any
+    other type, replaces the target whole. With a ``raw`` column the last layer's bytes come too.
     A target has one row per root and environment, so the list that is folded is as long as the
     number of layers.
     """
-    layers = F.sort_array(F.collect_list(F.struct("rank", "content")))
+    body = ["content", *(["raw"] if "raw" in files.columns else [])]
+    layers = F.sort_array(F.collect_list(F.struct("rank", *body)))
     grouped = layered_targets(files, envs).groupBy("file").agg(layers.alias("layers"))
     contents = F.transform("layers", lambda x: x["content"])
 
-    def fold(done: Column, new: Column) -> Column:
+    def fold(done: Column, layer: Column) -> Column:
+        new, overlay = layer["content"], layer["rank"]["env"] > 0
         left, right = F.try_parse_json(done), F.try_parse_json(new)
         merged = F.to_json(deep_merge(left, right))
-        return F.when(left.isNull() | right.isNull(), new).otherwise(merged)
+        empty = F.to_json(right).isin("null", "false", "0", '""', "[]", "{}")
+        keep = F.coalesce(empty, F.lit(False)) | (overlay & right.isNull())
+        return F.when(keep, done).when(left.isNull() | right.isNull(), new).otherwise(merged)
 
-    merged = F.aggregate(F.slice(contents, F.lit(2), F.size("layers")), F.element_at(contents, 1), fold)
+    merged = F.aggregate(F.slice("layers", F.lit(2), F.size("layers")), F.element_at(contents, 1), fold)
     whole = F.element_at(contents, -1)
+    raw = [F.element_at("layers", -1)["raw"].alias("raw")] if "raw" in files.columns else []
     return grouped.select(
         "file",
         F.size("layers").alias("n_layers"),
+        *raw,
         F.when(F.lower(F.col("file")).endswith(".json"), merged).otherwise(whole).alias("content"),
     )

@@ -144,11 +144,11 @@ def cdc_latest(spark, sf):
 
 
 @query("result_messages", """
-SELECT 'out/' || source || '/' || doc_id || '.txt' AS path,
-       CASE WHEN octet_length(encode(text)) > 16384 THEN 'too_large' ELSE 'ok' END AS status,
-       CASE WHEN octet_length(encode(text)) > 16384 THEN 'out/' || source || '/' || doc_id || '.txt' ELSE doc_id || '.txt' END AS name,
-       sha1(CASE WHEN octet_length(encode(text)) > 16384 THEN 'Error: size exceeded' ELSE text END) AS body_hash
-FROM documents""")
+SELECT 'out/' || source || '/' || doc_id || '.txt' AS path, 'ok' AS status, doc_id || '.txt' AS name, sha1(text) AS body_hash
+FROM documents
+UNION ALL
+SELECT 'out/' || source || '/' || doc_id || '.txt', 'too_large', 'out/' || source || '/' || doc_id || '.txt', sha1('Error: size exceeded')
+FROM documents WHERE octet_length(encode(text)) > 16384""")
 def result_messages(spark, sf):
     path = F.concat(F.lit("out/"), F.col("source"), F.lit("/"), d.text("doc_id"), F.lit(".txt"))
     sent = files.result_messages(table(spark, sf, "documents"), path, F.col("text"), cap=16_384)
