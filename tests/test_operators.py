@@ -12,7 +12,6 @@ from tidemark.functions import jsontree, maps
 from tidemark.functions import text as tx
 from tidemark.operators import attributes, events, graph, history, identity, layers, notify, picks, retention, textset
 from tidemark.plans.numbering import number_rows
-from tidemark.plans.skew import salted_lookup
 from tidemark.sources import files, store, topics
 
 
@@ -277,10 +276,9 @@ def test_store_against_sequential_run(spark):
             del state[key]
     b = spark.createDataFrame([(k, v[0]) for k, v in base.items()], "id long, a double")
     c = spark.createDataFrame(changes, "offset long, operation string, id long, a double")
-    for hot_rows in (1_000_000, 3):
-        kept, bad = store.apply_changes(b, c, ["a"], hot_rows)
-        assert rows(kept) == sorted((k, v[0]) for k, v in state.items())
-        assert sorted(r["offset"] for r in bad.collect()) == rejected
+    kept, bad = store.apply_changes(b, c, ["a"])
+    assert rows(kept) == sorted((k, v[0]) for k, v in state.items())
+    assert sorted(r["offset"] for r in bad.collect()) == rejected
 
 
 # ---- notifications
@@ -548,9 +546,8 @@ def test_keep_best_prefers_real_runs(spark):
 def test_leading_run_with_hot_group(spark):
     data = [("hot", i, i < 700) for i in range(1000)] + [("none", 0, False), ("all", 0, True), ("all", 1, True)]
     df = spark.createDataFrame(data, "k string, pos int, ok boolean")
-    for hot_rows in (10, 1_000_000):
-        got = textset.leading_run(df, "k", "pos", F.col("ok"), hot_rows).groupBy("k").count()
-        assert rows(got) == [("all", 2), ("hot", 700)]
+    got = textset.leading_run(df, "k", "pos", F.col("ok")).groupBy("k").count()
+    assert rows(got) == [("all", 2), ("hot", 700)]
 
 
 def test_argument_lines(spark):
@@ -598,16 +595,6 @@ def test_sessions_against_a_loop(spark):
 
 # ---- plans
 
-def test_salted_lookup_equals_join(spark):
-    facts = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"))
-    lookup = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    for how in ("left", "inner"):
-        want = rows(facts.join(lookup, "k", how).select("id", "k", "v").fillna(-1))
-        for hot_rows in (1, 100, 10**9):
-            got = salted_lookup(facts, lookup, ["k"], ["id"], how, hot_rows, 8).select("id", "k", "v").fillna(-1)
-            assert rows(got) == want
-
-
 def test_numbers_are_consecutive_in_order(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k")).repartition(7)
     got = number_rows(df, ["k"], "n", 5).sort("k").collect()

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import topics
@@ -79,42 +80,73 @@ def test_handler_errors_stay_with_their_row(spark):
 
 def test_dedup_across_batches(spark, tmp_path):
     src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    keys = ["topic", "key", "offset"]
 
     def run(offsets):
         messages(spark, [event(o, str(o)) for o in offsets]).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(topics.TOPIC_SCHEMA).parquet(src)
-        once = st.distinct_messages(stream, ["topic", "key", "offset"], "timestamp").select("offset")
-        st.run_to_end(once.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark))
+        stream = spark.readStream.schema(topics.TOPIC_SCHEMA).parquet(src).select(*keys, "timestamp")
+        st.run_to_end(st.distinct_messages(stream, keys, out, mark, "timestamp"))
 
-    run([1, 2, 3])
-    run([2, 3, 4])
-    assert sorted(r[0] for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
+    run([90_000, 90_001])
+    run([2, 3, 90_001])  # more than a day late
+    found = st.first_rows(spark, out, "topic string, key string, offset bigint, timestamp timestamp", keys, "timestamp")
+    assert sorted(r["offset"] for r in found.collect()) == [2, 3, 90_000, 90_001]
 
 
-def test_first_terminal_once(spark, tmp_path):
+def test_first_terminal_takes_late_rows(spark, tmp_path):
     src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
     start = dt.datetime(2024, 1, 1)
+    schema = "op string, status string, ts timestamp"
 
     def run(items):
         rows = [(op, status, start + dt.timedelta(minutes=m)) for op, status, m in items]
-        spark.createDataFrame(rows, "op string, status string, ts timestamp").write.mode("append").parquet(src)
-        stream = spark.readStream.schema("op string, status string, ts timestamp").parquet(src)
-        first = st.first_terminal_stream(stream, "1 day").select("op", "status")
-        st.run_to_end(first.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark))
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        st.run_to_end(st.first_terminal_stream(spark.readStream.schema(schema).parquet(src), out, mark))
 
-    run([("a", "Running", 0), ("a", "Succeeded", 1), ("b", "Pending", 1)])
-    run([("a", "Succeeded", 2), ("b", "Failed", 3)])
-    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [("a", "Succeeded"), ("b", "Failed")]
+    run([("a", "Running", 0), ("a", "Succeeded", 9000), ("b", "Pending", 9000)])
+    run([("a", "Failed", 2), ("b", "Failed", 3)])
+    found = st.first_rows(spark, out, "op string, ts timestamp, status string", ["op"], "ts")
+    assert sorted((r["op"], r["status"]) for r in found.collect()) == [("a", "Failed"), ("b", "Failed")]
 
 
-def test_identity_batches_use_the_store_of_earlier_ones(spark, tmp_path):
+def test_sessions_take_late_rows_and_show_open_ones(spark, tmp_path):
     src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    start = dt.datetime(2024, 1, 1)
+
+    def run(items):
+        rows = [(u, start + dt.timedelta(minutes=m)) for u, m in items]
+        spark.createDataFrame(rows, "user bigint, ts timestamp").write.mode("append").parquet(src)
+        stream = spark.readStream.schema("user bigint, ts timestamp").parquet(src)
+        st.run_to_end(st.sessions_stream(stream, out, mark, 3600))
+
+    run([(1, 0), (1, 100), (2, 1000)])
+    run([(1, 50), (3, 5)])
+    found = st.current_sessions(spark, out, timeout=3600).collect()
+    assert sorted((r["user"], r["n_events"], r["open"]) for r in found) == [(1, 3, False), (2, 1, True), (3, 1, False)]
+
+
+def test_failing_handler_gives_bad_rows_first_and_frees_the_batch(spark, tmp_path):
+    src, bad, mark = (str(tmp_path / n) for n in ("src", "bad", "mark"))
+    topics.write_topic(messages(spark, [event(0, "x"), (1, "{broken")]), src)
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+
+    def handler(df, n):
+        raise ValueError("no")
+
+    with pytest.raises(Exception, match="no"):
+        st.run_to_end(st.consume(topics.stream_topic(spark, src), handler, mark, lambda df, n: st.write_batch(df, bad, n)))
+    assert [r["reason"] for r in spark.read.parquet(bad).collect()] == ["not_json"]
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_identity_batches_use_the_store_of_earlier_ones(spark, tmp_path):
+    src, out, mark, refused = (str(tmp_path / n) for n in ("src", "out", "mark", "refused"))
     schema = "seq long, ext_id string, username string, email string"
     target = spark.createDataFrame([("t1", "ann", None)], "target_id string, username string, ext_id string")
 
     def run(items):
         spark.createDataFrame(items, schema).write.mode("append").parquet(src)
-        st.run_to_end(st.sync_identity(spark.readStream.schema(schema).parquet(src), out, mark, target))
+        st.run_to_end(st.sync_identity(spark.readStream.schema(schema).parquet(src), out, mark, target, refused))
 
     run([(1, "e1", "ann", None), (2, "e2", "old", None), (3, "e2", "bob", None)])
     run([(4, "e2", "bobby", None), (5, "e3", None, None)])
@@ -124,3 +156,5 @@ def test_identity_batches_use_the_store_of_earlier_ones(spark, tmp_path):
         ("new-e2", "bobby", "e2"), ("t1", "ann", "e1"),
     ]
     assert written.filter(F.col("ext_id") == "e2").count() == 2
+    lost = st.read_batches(spark, refused, "ext_id string, username string, label string")
+    assert [(r["ext_id"], r["label"]) for r in lost.collect()] == [("e3", "rejected")]

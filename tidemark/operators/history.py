@@ -9,8 +9,6 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.skew import salted_lookup
-
 # Phases of an operation, page limits and expiry seconds.
 PENDING, RUNNING, SUCCEEDED, SKIPPED, FAILED, ERROR = (
     "Pending", "Running", "Succeeded", "Skipped", "Failed", "Error",
@@ -84,11 +82,11 @@ def concat_logs(lines: DataFrame, key: str, seq: str, text: str, lines_per_part:
     )
 
 
-def results_of(operations: DataFrame, results: DataFrame, key: str, spread: list[str]) -> DataFrame:
+def results_of(operations: DataFrame, results: DataFrame, key: str) -> DataFrame:
     """The result messages of each operation, one row per message, and one ``missing`` row for
-    an operation without any. Rows are not collected per operation, which may have any number."""
-    names = operations.select(key)
-    found = salted_lookup(results, names, [key], spread, "inner").withColumn("result_status", F.lit("ok"))
+    an operation without any. Rows are not collected per operation, which may have any number;
+    AQE splits the side of the results where one operation has very many."""
+    found = results.join(operations.select(key), key).withColumn("result_status", F.lit("ok"))
     missing = missing_results(operations, results, key)
     return found.unionByName(missing.withColumn("result_status", F.lit("missing")), allowMissingColumns=True)
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.skew import HOT_ROWS, salted_lookup
-
 
 def overlay(rows: DataFrame, *key: str) -> DataFrame:
     """(key..., path, value, rank) rows: the value of the highest rank that sets a path wins, also
@@ -28,7 +26,7 @@ def lookup_default(requests: DataFrame, apps: DataFrame, key: str, fields: list[
 
 
 def lookup_chain(
-    names: DataFrame, apps: DataFrame, task_images: DataFrame, key: str, spread: list[str], hot_rows: int = HOT_ROWS
+    names: DataFrame, apps: DataFrame, task_images: DataFrame, key: str
 ) -> DataFrame:
     """Image of a base name: the app's image, else the task image, else the name itself.
 
@@ -39,7 +37,7 @@ def lookup_chain(
         task_images.select(key, none.alias("app"), F.col("image").alias("task"))
     )
     images = both.groupBy(key).agg(F.coalesce(F.max("app"), F.max("task")).alias("image"))
-    found = salted_lookup(names, images, [key], spread, "left", hot_rows)
+    found = names.join(images, key, "left")
     return found.withColumn("image", F.coalesce("image", F.col(key)))
 
 

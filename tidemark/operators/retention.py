@@ -65,10 +65,19 @@ def sessions(activity: DataFrame, timeout: int = IDLE_SECONDS) -> DataFrame:
     are always in one session, so this is exact, and it bounds what one user sends to the window
     by the time range, however many events the user has.
     """
+    return join_slots(time_slots(activity, timeout), timeout)
+
+
+def time_slots(activity: DataFrame, timeout: int = IDLE_SECONDS) -> DataFrame:
+    """(user, slot, lo, hi, n): activity combined per slot of one timeout length."""
     slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(timeout * 1_000_000))
-    slots = activity.groupBy("user", slot.alias("slot")).agg(
+    return activity.groupBy("user", slot.alias("slot")).agg(
         F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("n")
     )
+
+
+def join_slots(slots: DataFrame, timeout: int = IDLE_SECONDS) -> DataFrame:
+    """Sessions of time slots (one row per user and slot)."""
     in_order = Window.partitionBy("user").orderBy("slot")
     gap = F.unix_micros(F.col("lo").cast("timestamp")) - F.unix_micros(F.lag("hi").over(in_order).cast("timestamp"))
     starts = F.when(gap.isNull() | (gap > timeout * 1_000_000), 1).otherwise(0)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import matches_glob
-from tidemark.plans.skew import HOT_ROWS, salted_lookup
 
 
 def keyword_search(files: DataFrame, content: str, word: str, path: str | None = None, glob: str | None = None) -> DataFrame:
@@ -70,12 +69,10 @@ def keep_best(rows: DataFrame, name: str, seq: str, skipped: Column, pattern: st
     return best.select(name, "_b.*")
 
 
-def leading_run(
-    rows: DataFrame, key: str, seq: str, holds: Column, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def leading_run(rows: DataFrame, key: str, seq: str, holds: Column) -> DataFrame:
     """The rows of each group from the top while ``holds`` is true."""
     stops = rows.filter(~F.coalesce(holds, F.lit(False))).groupBy(key).agg(F.min(seq).alias("_stop"))
-    marked = salted_lookup(rows, stops, [key], [seq], "left", hot_rows)
+    marked = rows.join(stops, key, "left")
     return marked.filter(F.col("_stop").isNull() | (F.col(seq) < F.col("_stop"))).drop("_stop")
 
 

@@ -1,4 +1,4 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Small frames that may be broadcast. Skewed joins are left to AQE, which splits the larger side."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-SALTS = 64
 MAX_SMALL_ROWS = 100_000
 
 
@@ -16,47 +14,3 @@ def small_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
     """A frame from a configuration list; its length is known, so it may be broadcast."""
     frame = spark.createDataFrame(list(rows), schema)
     return F.broadcast(frame) if len(rows) <= MAX_SMALL_ROWS else frame
-
-
-def salted_lookup(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    spread: Sequence[str],
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join ``facts`` to ``lookup`` (one row per key), spreading the hot keys of ``facts``.
-
-    Keys with at least ``hot_rows`` rows are found by a map-side combined count. Their fact
-    rows get a salt from the ``spread`` columns and their lookup row is repeated once per salt;
-    all other keys join as usual. The list of hot keys holds 64-bit key hashes, and at most
-    ``row count / hot_rows`` of them, which bounds the broadcast (a hash clash only means that
-    a cold key is salted too). ``how`` is ``left`` or ``inner``.
-    """
-    if how not in ("left", "inner"):
-        raise ValueError("salted_lookup supports left and inner joins")
-    on = list(on)
-    hot = (
-        facts.select(F.xxhash64(*on).alias("_kh"))
-        .groupBy("_kh")
-        .count()
-        .filter(F.col("count") >= hot_rows)
-        .select("_kh", F.lit(True).alias("_hot"))
-    )
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    salted_facts = (
-        facts.withColumn("_kh", F.xxhash64(*on))
-        .join(F.broadcast(hot), "_kh", "left")
-        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
-        .drop("_kh", "_hot")
-    )
-    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_lookup_side = (
-        lookup.withColumn("_kh", F.xxhash64(*on))
-        .join(F.broadcast(hot), "_kh", "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0)))))
-        .drop("_kh", "_hot")
-    )
-    return salted_facts.join(salted_lookup_side, [*on, "_salt"], how).drop("_salt")

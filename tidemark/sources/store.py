@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.numbering import number_rows
-from tidemark.plans.skew import HOT_ROWS, salted_lookup
 from tidemark.session import cut_lineage
 
 
 def apply_changes(
-    base: DataFrame, changes: DataFrame, fields: Sequence[str], hot_rows: int = HOT_ROWS
+    base: DataFrame, changes: DataFrame, fields: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
     """Return (store after the batch, rejected changes).
 
@@ -33,9 +32,7 @@ def apply_changes(
     )
     edits = changes.filter(F.col("operation").isin("update", "delete"))
     dated = cut_lineage(
-        salted_lookup(
-            edits.select("offset", "operation", "id", *fields), known.select("id", "born"), ["id"], ["offset"], "left", hot_rows
-        )
+        edits.select("offset", "operation", "id", *fields).join(known.select("id", "born"), "id", "left")
     )
     valid = dated.filter(F.col("born").isNotNull() & (F.col("offset") > F.col("born")))
     per_id = valid.groupBy("id").agg(
@@ -50,7 +47,7 @@ def apply_changes(
         F.when(F.col("last").isNotNull(), F.col("last")[f]).otherwise(F.col(f)).alias(f) for f in fields
     ])
     deletes = per_id.filter(F.col("deleted_at").isNotNull()).select("id", "deleted_at")
-    judged = salted_lookup(dated.drop(*fields), deletes, ["id"], ["offset"], "left", hot_rows)
+    judged = dated.drop(*fields).join(deletes, "id", "left")
     rejects = judged.filter(
         F.col("born").isNull() | (F.col("offset") <= F.col("born")) | (F.col("offset") > F.col("deleted_at"))
     ).select("offset", "operation", "id", F.lit("not_found").alias("reason"))

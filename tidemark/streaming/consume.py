@@ -6,7 +6,7 @@ when a batch is repeated after a failure. A repeated batch therefore never count
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql.types import LongType
 from tidemark.operators.events import latest_change
 from tidemark.operators.history import TERMINAL
 from tidemark.operators.identity import resolve_users
-from tidemark.operators.retention import IDLE_SECONDS
+from tidemark.operators.retention import IDLE_SECONDS, join_slots, time_slots
 from tidemark.sources.topics import parse_cdc
 
 BATCH = "batch_id"
@@ -45,19 +45,20 @@ def run_to_end(writer) -> StreamingQuery:
 
 def consume(
     messages: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str,
-    bad: Callable[[DataFrame, int], None] | None = None,
+    bad: Callable[[DataFrame, int], None],
 ):
     """Call ``handler(events, batch_id)`` with the good change events of each micro-batch; bad
-    records go to ``bad`` and never stop the others. New consumers start at the earliest
-    message; the checkpoint keeps the offsets over restarts."""
+    records go to ``bad`` first and never stop the others. New consumers start at the earliest
+    message; the checkpoint keeps the offsets over restarts. An error of ``handler`` itself ends
+    the stream, which repeats the batch when it starts again; see ``consume_rows`` for handlers
+    of single events."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_cdc(batch)
-        if bad is not None:
-            parsed.persist()
-        handler(parsed.filter(F.col("reason").isNull()).drop("reason", "value"), batch_id)
-        if bad is not None:
+        parsed = parse_cdc(batch).persist()
+        try:
             bad(parsed.filter(F.col("reason").isNotNull()).select("topic", "partition", "offset", "reason"), batch_id)
+            handler(parsed.filter(F.col("reason").isNull()).drop("reason", "value"), batch_id)
+        finally:
             parsed.unpersist()
 
     return messages.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
@@ -86,6 +87,16 @@ def handle_rows(events: DataFrame, handler: Callable[[dict], object]) -> DataFra
     return events.mapInPandas(run, "topic string, partition int, offset bigint, result string, error string")
 
 
+def consume_rows(messages: DataFrame, handler: Callable[[dict], object], path: str, checkpoint: str,
+                 bad: Callable[[DataFrame, int], None]):
+    """Call a Python function once per good event and write its results below ``path``; an event on
+    which it fails is written with the error, and the stream goes on."""
+    return consume(messages, lambda events, n: write_batch(handle_rows(events, handler), path, n), checkpoint, bad)
+
+
+HANDLED = "topic string, partition int, offset bigint, result string, error string"
+
+
 def maintain_state(events: DataFrame, path: str, checkpoint: str, key: str = "uid", order: str = "offset"):
     """Keep the current record per key: each batch adds its last change per key.
 
@@ -110,8 +121,9 @@ def compact_state(spark: SparkSession, path: str, schema, into: str, key: str =
     write_batch(latest_change(read_batches(spark, path, schema).drop(BATCH), key, order), into, 0)
 
 
-def sync_identity(users: DataFrame, path: str, checkpoint: str, target: DataFrame):
-    """Upsert users of each batch into the target store.
+def sync_identity(users: DataFrame, path: str, checkpoint: str, target: DataFrame, refused: str):
+    """Upsert users of each batch into the target store; users in conflict and rejected ones are
+    written below ``refused``.
 
     Each batch is reduced to one row per external id, resolved against the store as it is after
     the earlier batches, and its written rows are added. The store is the original target under
@@ -127,7 +139,10 @@ def sync_identity(users: DataFrame, path: str, checkpoint: str, target: DataFram
         store = target if batch_id == 0 else identity_store(
             read_batches(spark, path, schema).filter(F.col(BATCH) < batch_id), target
         )
-        done = resolve_users(source, store).filter(F.col("label").isin("matched_id", "matched_name", "new"))
+        resolved = resolve_users(source, store)
+        taken = F.col("label").isin("matched_id", "matched_name", "new")
+        write_batch(resolved.filter(~taken).select("ext_id", F.col("name").alias("username"), "label"), refused, batch_id)
+        done = resolved.filter(taken)
         rows = done.select(
             F.coalesce("target_id", F.concat(F.lit("new-"), "ext_id")).alias("target_id"),
             F.col("name").alias("username"), "ext_id", "label",
@@ -145,22 +160,56 @@ def identity_store(written: DataFrame, target: DataFrame) -> DataFrame:
     return last.select("target_id", "t.*")
 
 
-def first_terminal_stream(changes: DataFrame, delay: str, key: str = "op") -> DataFrame:
-    """One terminal status per operation, the one that arrives first. An operation ends once, so
-    repeats carry the same status. State is kept until the watermark passes."""
-    done = changes.filter(F.col("status").isin(*TERMINAL))
-    return done.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+def keep_first(rows: DataFrame, keys: Sequence[str], order: str, path: str, checkpoint: str):
+    """Keep one row per key, the first by ``order``: each batch adds its own first rows.
+
+    No state grows in the executors and no row is too late: ``first_rows`` folds the batches, so a
+    row that arrives long after others of its key still counts.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        write_batch(_first(batch, keys, order), path, batch_id)
+
+    return rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+
 
+def _first(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    # the order column first, so that equal times are settled by the other columns
+    body = F.struct(order, *[c for c in rest if c != order])
+    return rows.groupBy(*keys).agg(F.min(body).alias("_f")).select(*keys, "_f.*")
+
+
+def first_rows(spark: SparkSession, path: str, schema, keys: Sequence[str], order: str) -> DataFrame:
+    """The kept row of each key over all batches."""
+    return _first(read_batches(spark, path, schema).drop(BATCH), keys, order)
+
+
+def first_terminal_stream(changes: DataFrame, path: str, checkpoint: str, key: str = "op"):
+    """Keep the first terminal status of each operation; read it with ``first_rows``."""
+    return keep_first(changes.filter(F.col("status").isin(*TERMINAL)), [key], "ts", path, checkpoint)
+
+
+def distinct_messages(messages: DataFrame, keys: Sequence[str], path: str, checkpoint: str, ts: str = "ts"):
+    """Keep each message once, however late it or a repeat of it comes; read with ``first_rows``."""
+    return keep_first(messages, keys, ts, path, checkpoint)
+
+
+def sessions_stream(activity: DataFrame, path: str, checkpoint: str, timeout: int = IDLE_SECONDS):
+    """Combine (user, ts) activity per time slot; read the sessions with ``current_sessions``."""
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        write_batch(time_slots(batch, timeout), path, batch_id)
 
-def distinct_messages(messages: DataFrame, keys: list[str], ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Each message once, although it is delivered or sent again within ``delay``."""
-    return messages.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+    return activity.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
 
 
-def sessions_stream(activity: DataFrame, delay: str, timeout: int = IDLE_SECONDS) -> DataFrame:
-    """Closed sessions of (user, ts) activity, emitted when the watermark is past their end."""
-    window = F.session_window("ts", f"{timeout} seconds")
-    found = activity.withWatermark("ts", delay).groupBy("user", window.alias("w")).agg(
-        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n_events")
-    )
-    return found.drop("w")
+def current_sessions(spark: SparkSession, path: str, user_type: str = "bigint", timeout: int = IDLE_SECONDS) -> DataFrame:
+    """All sessions of the batches so far; ``open`` where the last activity seen by anybody is not
+    yet ``timeout`` seconds after the session's end."""
+    schema = f"user {user_type}, slot bigint, lo timestamp, hi timestamp, n bigint"
+    slots = read_batches(spark, path, schema).groupBy("user", "slot").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    latest = slots.agg(F.max("hi")).scalar()
+    quiet = F.unix_micros(latest) - F.unix_micros("end_ts")
+    return join_slots(slots, timeout).withColumn("open", quiet <= timeout * 1_000_000)

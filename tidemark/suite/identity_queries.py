@@ -196,7 +196,7 @@ def lookup_chain(spark, sf):
     names = part.withColumn("sk", key % count).join(suppliers, "sk").select("p_partkey", base.alias("base_name"))
     apps = part.select(F.col("p_brand").alias("base_name")).distinct().withColumn("image", F.concat(F.lit("app/"), "base_name"))
     tasks = supplier.select(F.col("s_name").alias("base_name")).distinct().withColumn("image", F.concat(F.lit("task/"), "base_name"))
-    return layers.lookup_chain(names, apps, tasks, "base_name", ["p_partkey"]).select("p_partkey", "base_name", "image")
+    return layers.lookup_chain(names, apps, tasks, "base_name").select("p_partkey", "base_name", "image")
 
 
 APPS = [("m", "mobile", 8080, 0), ("www", "web", 80, 1), ("www", "web-old", 81, 2), ("shop", "shop", 9000, 3), ("hub", "hub", 8000, 4)]

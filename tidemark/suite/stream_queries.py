@@ -1,5 +1,6 @@
-"""Streaming queries. The input is written in event-time order in two steps; after each step the
-stream runs to its end, so every query also goes through a restart from its checkpoint."""
+"""Streaming queries. The input is written in several steps, for queries that fold late rows in an
+order that has nothing to do with event time; after each step the stream runs to its end, so every
+query also goes through a restart from its checkpoint."""
 
 from __future__ import annotations
 
@@ -16,10 +17,15 @@ from tidemark.suite.registry import query
 def _replay(spark, rows, earlier, start, read=None):
     """Write ``rows`` in two steps (first those where ``earlier`` holds); run the query that
     ``start(stream)`` describes after each."""
+    _replay_steps(spark, rows, F.when(earlier, 0).otherwise(1), 2, start, read)
+
+
+def _replay_steps(spark, rows, step, steps, start, read=None):
+    """Write ``rows`` in several steps, by their number; run the query after each."""
     source = scratch(spark, "stream-in")
     read = read or (lambda path: spark.readStream.schema(rows.schema).parquet(path))
-    for step in (earlier, ~F.coalesce(earlier, F.lit(False))):
-        rows.filter(step).write.mode("append").parquet(source)
+    for number in range(steps):
+        rows.filter(step == number).write.mode("append").parquet(source)
         st.run_to_end(start(read(source)))
 
 
@@ -90,12 +96,12 @@ res AS (SELECT coalesce(tid, t.target_id, 'new-' || b.ext_id) AS target_id, b.na
 SELECT target_id, coalesce(res.username, tgt.username) AS username, coalesce(res.ext_id, tgt.ext_id) AS ext_id
 FROM tgt FULL JOIN res USING (target_id)""")
 def stream_identity(spark, sf):
-    out, mark = scratch(spark, "identity"), scratch(spark, "mark")
+    out, mark, refused = (scratch(spark, n) for n in ("identity", "mark", "refused"))
     target = d.identity_target(spark, sf)
     rows = d.identity_source(spark, sf, shared_names=False)
 
     def start(stream):
-        return st.sync_identity(stream, out, mark, target)
+        return st.sync_identity(stream, out, mark, target, refused)
 
     _replay(spark, rows, F.col("seq") % 2 == 0, start)
     written = st.read_batches(spark, out, "target_id string, username string, ext_id string, label string")
@@ -105,30 +111,30 @@ def stream_identity(spark, sf):
     return store.join(before, "target_id", "left").select("target_id", kept.alias("username"), "ext_id")
 
 
-@query("stream_first_terminal", history_queries.SQL_FIRST.replace(f", {d.sql_stamp('ts')} AS ts", ""))
-def stream_first_terminal(spark, sf):
-    out, mark = scratch(spark, "terminal"), scratch(spark, "mark")
-    rows = d.status_changes(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+def _shuffled(rows, *key):
+    """Four arrival steps that have nothing to do with event time."""
+    return F.pmod(F.xxhash64(*key), F.lit(4))
 
-    def start(stream):
-        return _to_files(st.first_terminal_stream(stream, "2 days").select("op", "status"), out, mark)
 
-    _replay(spark, rows, F.col("ts") < F.lit("1998-06-01").cast("timestamp"), start)
-    return spark.read.schema("op bigint, status string").parquet(out)
+@query("stream_first_terminal", history_queries.SQL_FIRST)
+def stream_first_terminal(spark, sf):
+    out, mark = scratch(spark, "terminal"), scratch(spark, "mark")
+    rows = d.status_changes(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).select("op", "status", "ts")
+    _replay_steps(spark, rows, _shuffled(rows, "op", "ts"), 4, lambda stream: st.first_terminal_stream(stream, out, mark))
+    found = st.first_rows(spark, out, "op bigint, ts timestamp, status string", ["op"], "ts")
+    return found.select("op", "status", d.stamp("ts").alias("ts"))
 
 
-# a session is out when the watermark (largest time less ten minutes) has passed its end
-@query("stream_sessions", history_queries.SQL_SESSIONS + f"""
-WHERE hi + INTERVAL {history_queries.SESSION_GAP} SECOND <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+@query("stream_sessions", history_queries.SQL_SESSIONS)
 def stream_sessions(spark, sf):
     out, mark = scratch(spark, "sessions"), scratch(spark, "mark")
     rows = history_queries._activity(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
 
     def start(stream):
-        return _to_files(st.sessions_stream(stream, "10 minutes", history_queries.SESSION_GAP), out, mark)
+        return st.sessions_stream(stream, out, mark, history_queries.SESSION_GAP)
 
-    _replay(spark, rows, F.col("ts") < F.lit("2024-01-16").cast("timestamp"), start)
-    found = spark.read.schema("user bigint, start_ts timestamp, end_ts timestamp, n_events bigint").parquet(out)
+    _replay_steps(spark, rows, _shuffled(rows, "user", "ts"), 4, start)
+    found = st.current_sessions(spark, out, timeout=history_queries.SESSION_GAP)
     return found.select("user", d.stamp("start_ts").alias("start_ts"), d.stamp("end_ts").alias("end_ts"), "n_events")
 
 
@@ -141,9 +147,23 @@ def stream_dedup(spark, sf):
     rows = d.cdc(spark, sf).select(
         topic.alias("topic"), "uid", "offset", F.col("ts").cast("timestamp").alias("ts"), F.explode(copies).alias("copy")
     )
-
-    def start(stream):
-        return _to_files(st.distinct_messages(stream, ["topic", "uid", "offset"]).select("topic", "uid", "offset"), out, mark)
-
-    _replay(spark, rows, F.col("ts") < F.lit("2024-01-16").cast("timestamp"), start)
-    return spark.read.schema("topic string, uid string, offset bigint").parquet(out)
+    keys = ["topic", "uid", "offset"]
+    _replay_steps(spark, rows, _shuffled(rows, "offset", "copy"), 4,
+                  lambda stream: st.distinct_messages(stream.drop("copy"), keys, out, mark))
+    return st.first_rows(spark, out, "topic string, uid string, offset bigint, ts timestamp", keys, "ts").select(*keys)
+
+
+@query("stream_handler", f"""WITH {d.SQL_GOOD}
+SELECT "offset", CASE WHEN "offset" % 7 = 3 THEN NULL ELSE upper(operation) END AS result,
+       CASE WHEN "offset" % 7 = 3 THEN 'ValueError: no' END AS error FROM good""")
+def stream_handler(spark, sf):
+    """A handler that fails on some events: they carry the error, all others arrive."""
+    out, bad, mark = (scratch(spark, n) for n in ("handled", "bad", "mark"))
+
+    def handler(event):
+        if event["offset"] % 7 == 3:
+            raise ValueError("no")
+        return event["operation"].upper()
+
+    _replay_topic(spark, sf, lambda stream: st.consume_rows(stream, handler, out, mark, lambda df, n: st.write_batch(df, bad, n)))
+    return st.read_batches(spark, out, st.HANDLED).select("offset", "result", "error")

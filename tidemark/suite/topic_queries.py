@@ -233,8 +233,7 @@ SELECT o_orderkey, CASE WHEN l_orderkey IS NULL THEN 'missing' ELSE 'ok' END AS
        CAST(l_linenumber AS VARCHAR) AS line, round(l_extendedprice, 2) AS price
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey""")
 def op_results(spark, sf):
-    spread = ["l_partkey", "l_suppkey", "l_linenumber", "price"]
-    rows = history.results_of(d.operations(spark, sf), _results(spark, sf), "o_orderkey", spread)
+    rows = history.results_of(d.operations(spark, sf), _results(spark, sf), "o_orderkey")
     return rows.select("o_orderkey", "result_status", d.text("l_linenumber").alias("line"), "price")
 
 
