@@ -130,8 +130,21 @@ def test_deep_merge_sides_and_depth(spark):
     deep = '{"a":{"a":{"a":{"a":1}}}}'
     df = spark.createDataFrame([(deep, deep)], "a string, b string")
     assert df.select(F.to_json(jsontree.deep_merge(a, b, max_depth=4))).first()[0] == deep
-    with pytest.raises(Exception, match="nested deeper"):
-        df.select(F.to_json(jsontree.deep_merge(a, b, max_depth=2))).collect()
+    assert df.select(F.to_json(jsontree.deep_merge(a, b, max_depth=2))).first()[0] == deep
+
+
+def test_documents_of_twenty_levels(spark):
+    def nest(inner, n=20):
+        return '{"d":[' * n + inner + "]}" * n
+
+    df = spark.createDataFrame([('{"d":' * 20 + '{"l":"é s"}' + "}" * 20, '{"d":' * 20 + '{"r":null}' + "}" * 20, nest('"a s \\\" ] s"'))], "a string, b string, c string")
+    a, b, c = (F.parse_json(x) for x in "abc")
+    got = df.select(F.to_json(jsontree.deep_merge(a, b)), F.to_json(jsontree.replace_strings(c, "s", "t"))).first()
+    assert got[0] == '{"d":' * 20 + '{"l":"é s","r":null}' + "}" * 20
+    assert got[1] == nest('"a t \\\" ] t"')
+    layers = df.select(F.explode(F.array(F.struct(F.lit(0).alias("root"), F.col("a").alias("content")), F.struct(F.lit(1).alias("root"), F.col("b").alias("content")))).alias("x"))
+    merged = files.merge_layers(layers.select("x.root", F.lit("a.json").alias("file"), "x.content")).first()["content"]
+    assert merged == got[0]
 
 
 def test_replace_strings_at_any_depth(spark):

@@ -1,15 +1,17 @@
 """Nested JSON as VARIANT: lookup, filter, deep merge and value replacement.
 
-All functions are row-local column expressions. Recursion is unrolled to ``max_depth`` levels;
-a document that is deeper raises instead of giving a partial answer.
+All functions are row-local column expressions. Recursion is unrolled to ``max_depth`` levels; the
+rare document that is deeper goes through a plain recursive function over Arrow batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 MAX_DEPTH = 8
 _OBJECT = "map<string,variant>"
@@ -40,6 +42,84 @@ def _too_deep(max_depth: int) -> Column:
     return F.raise_error(F.lit(f"JSON nested deeper than {max_depth} levels")).cast("variant")
 
 
+def deeper_than(value: Column, depth: int) -> Column:
+    """True when objects and arrays nest more than ``depth`` levels: without strings and scalars,
+    each pass takes the innermost pairs of brackets away."""
+    text = F.regexp_replace(F.to_json(value), r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    text = F.regexp_replace(text, r"[^\[\]{}]++", "")
+    for _ in range(depth):
+        text = F.regexp_replace(text, r"\[\]|\{\}", "")
+    return F.coalesce(F.length(text) > 0, F.lit(False))
+
+
+def _deep_fold(add_keys: bool, merge_none: bool):
+    """Fold a list of JSON texts from the left, at any depth. ``overlay`` marks layers that change
+    nothing when they do not parse; None (no rules for layers) merges every text."""
+
+    def run(layers: pd.Series, overlay: pd.Series) -> pd.Series:
+        import json
+        import sys
+
+        sys.setrecursionlimit(20_000)
+
+        def merge(old, new, none):
+            if not (isinstance(old, dict) and isinstance(new, dict)):
+                return new
+            out = dict(old)
+            for key, value in new.items():
+                if value is None and not none:
+                    continue
+                if key in old:
+                    out[key] = merge(old[key], value, True)
+                elif add_keys:
+                    out[key] = value
+            return out
+
+        def parsed(text):
+            try:
+                return True, json.loads(text)
+            except (TypeError, ValueError):
+                return False, None
+
+        def fold(texts, marks):
+            done = texts[0]
+            for i in range(1, len(texts)):
+                (ok, old), (good, new) = parsed(done), parsed(texts[i])
+                if marks is not None and (good and not new or marks[i] and not good):
+                    continue
+                done = json.dumps(merge(old, new, merge_none), ensure_ascii=False) if ok and good else texts[i]
+            return done
+
+        return pd.Series([None if t is None else fold(list(t), m) for t, m in zip(layers, overlay)], dtype=object)
+
+    return pandas_udf(run, "string")
+
+
+def _deep_replace(old: str, new: str):
+    def run(texts: pd.Series) -> pd.Series:
+        import json
+        import sys
+
+        sys.setrecursionlimit(20_000)
+
+        def walk(v):
+            if isinstance(v, dict):
+                return {k: walk(x) for k, x in v.items()}
+            if isinstance(v, list):
+                return [walk(x) for x in v]
+            return v.replace(old, new) if isinstance(v, str) else v
+
+        return pd.Series([None if t is None else json.dumps(walk(json.loads(t)), ensure_ascii=False) for t in texts], dtype=object)
+
+    return pandas_udf(run, "string")
+
+
+def fold_deep(layers: Column, overlay: Column) -> Column:
+    """JSON text of layers (array of texts) merged from the left at any depth; ``overlay`` is an array
+    of flags. Empty layers and overlays that do not parse change nothing."""
+    return _deep_fold(True, True)(layers, overlay)
+
+
 def _merge(left: Column, right: Column, depth: int, max_depth: int, add_keys: bool, merge_none: bool) -> Column:
     both = as_object(left).isNotNull() & as_object(right).isNotNull()
     if depth == 0:
@@ -70,6 +150,17 @@ def deep_merge(
     keys of the left side; ``merge_none=False`` ignores JSON nulls at the top level of the right
     side. An SQL NULL side gives the other side.
     """
+    deep = deeper_than(left, max_depth) | deeper_than(right, max_depth)
+    both = F.when(deep, F.array(F.to_json(left), F.to_json(right)))
+    far = F.parse_json(_deep_fold(add_keys, merge_none)(both, F.lit(None).cast("array<boolean>")))
+    merged = merge_levels(left, right, add_keys, merge_none, max_depth)
+    return F.when(deep & left.isNotNull() & right.isNotNull(), far).otherwise(merged)
+
+
+def merge_levels(
+    left: Column, right: Column, add_keys: bool = True, merge_none: bool = True, max_depth: int = MAX_DEPTH
+) -> Column:
+    """``deep_merge`` as one expression, which may stand in a lambda; deeper documents raise."""
     merged = _merge(left, right, max_depth, max_depth, add_keys, merge_none)
     return F.when(right.isNull(), left).when(left.isNull(), right).otherwise(merged)
 
@@ -98,7 +189,9 @@ def replace_strings(value: Column, old: str, new: str, max_depth: int = MAX_DEPT
         text = F.try_variant_get(v, "$", "string")
         return nested.when(_kind(v) == "STRING", F.replace(text, F.lit(old), F.lit(new)).cast("variant")).otherwise(v)
 
-    return walk(value, max_depth)
+    deep = deeper_than(value, max_depth)
+    far = F.parse_json(_deep_replace(old, new)(F.when(deep, F.to_json(value))))
+    return F.when(deep, far).otherwise(walk(value, max_depth))
 
 
 def lookup(json_text: Column, path: str) -> Column:

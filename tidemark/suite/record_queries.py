@@ -234,7 +234,8 @@ SELECT p_partkey, p_brand AS plain_brand, CASE WHEN p_partkey % 2 = 0 THEN CAST(
        'x' AS plain_extra, CAST(NULL AS VARCHAR) AS keys_extra,
        '"' || p_type || '"' AS none_type,
        CASE WHEN p_partkey % 3 = 0 THEN '7' ELSE '{"a":1,"b":2}' END AS plain_box,
-       CASE WHEN p_partkey % 3 = 0 THEN '7' ELSE '{"a":1}' END AS keys_box
+       CASE WHEN p_partkey % 3 = 0 THEN '7' ELSE '{"a":1}' END AS keys_box,
+       CASE WHEN p_partkey % 7 = 0 THEN repeat('{"d":', 20) || '{"l":' || p_size || ',"r":1}' || repeat('}', 20) END AS plain_deep
 FROM part""")
 def deep_merge(spark, sf):
     key = F.col("p_partkey")
@@ -243,10 +244,17 @@ def deep_merge(spark, sf):
         F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size")).alias("core"),
         F.col("p_type").alias("type"), F.struct(F.lit(1).alias("a")).alias("box"),
     ), keep)
+
+    def deep(name, value):
+        """One part in seven also holds a document of more than twenty levels."""
+        body = F.concat(F.lit(',"deep":' + '{"d":' * 20 + '{"' + name + '":'), value, F.lit("}" * 21))
+        return F.when(key % 7 == 0, body).otherwise("")
+
+    left = F.concat(F.substring(left, F.lit(1), F.length(left) - 1), deep("l", d.text("p_size")), F.lit("}"))
     size = F.when(key % 2 == 0, F.concat(F.lit('{"size":'), d.text(F.col("p_size") + 1), F.lit("}"))).otherwise("{}")
     kind = F.when(key % 5 == 0, ',"type":null').otherwise("")
     box = F.when(key % 3 == 0, "7").otherwise('{"b":2}')
-    right = F.concat(F.lit('{"core":'), size, kind, F.lit(',"box":'), box, F.lit(',"extra":"x"}'))
+    right = F.concat(F.lit('{"core":'), size, kind, F.lit(',"box":'), box, deep("r", F.lit("1")), F.lit(',"extra":"x"}'))
     rows = table(spark, sf, "part").select("p_partkey", F.parse_json(left).alias("l"), F.parse_json(right).alias("r"))
     left, right = F.col("l"), F.col("r")
     merged = rows.select(
@@ -267,6 +275,7 @@ def deep_merge(spark, sf):
         as_json("plain", "$.type").alias("plain_type"), as_text("plain", "$.extra").alias("plain_extra"),
         as_text("keys", "$.extra").alias("keys_extra"), as_json("none", "$.type").alias("none_type"),
         as_json("plain", "$.box").alias("plain_box"), as_json("keys", "$.box").alias("keys_box"),
+        as_json("plain", "$.deep").alias("plain_deep"),
     )
 
 
