@@ -608,6 +608,11 @@ def test_sessions_against_a_loop(spark):
 
 # ---- plans
 
+def test_numbering_sorts_once(spark):
+    plan = number_rows(spark.range(100).repartition(4), ["id"], "n")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") <= 1 and "hashpartitioning(id" not in plan and "Sort [id" not in plan
+
+
 def test_numbers_are_consecutive_in_order(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k")).repartition(7)
     got = number_rows(df, ["k"], "n", 5).sort("k").collect()

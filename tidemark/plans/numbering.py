@@ -13,23 +13,24 @@ from tidemark.session import cut_lineage
 def number_rows(df: DataFrame, order: Sequence[str], into: str, start: int | Column = 1) -> DataFrame:
     """Number rows ``start, start+1, ...`` in the order of ``order`` (a unique key).
 
-    Rows are range-partitioned and checkpointed, so that partition numbers are fixed. Every
-    partition numbers its own rows; the offsets come from one count per partition.
+    Rows are range-partitioned and sorted once; partition and place of a row are taken then and
+    written with it. The offsets come from one count per partition.
     """
     ranged = cut_lineage(
         df.repartitionByRange(*[F.col(c) for c in order])
         .sortWithinPartitions(*order)
-        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_row", F.monotonically_increasing_id())
     )
-    local = Window.partitionBy("_pid").orderBy(*order)
+    # the id holds the partition above 33 bits of the row's place in it
+    ranged = ranged.withColumn("_pid", F.shiftright("_row", 33)).withColumn(
+        "_local", F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)))
     # one row per partition of the range exchange: the size of this frame is the partition count
     offsets = ranged.groupBy("_pid").count()
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select("_pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     first = start if isinstance(start, Column) else F.lit(start)
     return (
-        ranged.withColumn("_local", F.row_number().over(local))
-        .join(F.broadcast(offsets), "_pid")
-        .withColumn(into, (first + F.col("_before") + F.col("_local") - 1).cast("long"))
-        .drop("_pid", "_local", "_before")
+        ranged.join(F.broadcast(offsets), "_pid")
+        .withColumn(into, (first + F.col("_before") + F.col("_local")).cast("long"))
+        .drop("_row", "_pid", "_local", "_before")
     )

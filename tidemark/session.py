@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegerType, StructType
 
+_made: list[str] = []
+
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -22,7 +24,8 @@ RUNTIME_SETTINGS = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings the operators rely on; all are settable at run time."""
+    """Apply the SQL settings the operators rely on to this session (the time zone too); all are
+    settable at run time, and stay set."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
@@ -40,29 +43,37 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return prepare(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
-
-    Only a local session may fall back to a temporary folder.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, where that is unset the
+    context's checkpoint folder, else one in the warehouse, which is shared too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="tidemark-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; ``drop_stages`` removes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the tables that this process has written to the shared folder so far. Frames that were
+    made from them can no longer be read: call it when their results are stored."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -25,11 +25,9 @@ def apply_changes(
     created = number_rows(
         changes.filter(F.col("operation") == "create").select("offset", *fields), ["offset"], "id", F.lit(1)
     ).withColumn("id", F.col("id") + top)
-    known = cut_lineage(
-        base.select("id", F.lit(-1).cast("long").alias("born"), *fields).unionByName(
-            created.select("id", F.col("offset").alias("born"), *fields)
-        )
-    )
+    # only the created rows are written; the base is read where it is
+    created = cut_lineage(created.select("id", F.col("offset").alias("born"), *fields))
+    known = base.select("id", F.lit(-1).cast("long").alias("born"), *fields).unionByName(created)
     edits = changes.filter(F.col("operation").isin("update", "delete"))
     dated = cut_lineage(
         edits.select("offset", "operation", "id", *fields).join(known.select("id", "born"), "id", "left")
