@@ -56,6 +56,16 @@ def test_json_is_parsed_once_per_message(spark):
     assert text.count("from_json(") == 1
 
 
+def test_relations_of_one_frame_are_grouped_once(spark):
+    text = plan(entry.queries()["user_details"](spark, SF))
+    assert text.count("orders.parquet") == 1
+
+
+def test_results_are_read_twice_at_most(spark):
+    text = plan(entry.queries()["op_results"](spark, SF))
+    assert text.count("lineitem.parquet") <= 2 and text.count("orders.parquet") <= 2
+
+
 def test_only_short_lists_are_broadcast(spark):
     short = small_frame(spark, [(1,)], "a int")
     long = small_frame(spark, [(i,) for i in range(MAX_SMALL_ROWS + 1)], "a int")

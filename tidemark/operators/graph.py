@@ -41,14 +41,22 @@ def included(
 
     Applications: closure over hard and soft edges, less the excluded. Build images: closure over
     all edges. Of a known name: ``app`` when it is included, else ``build_only`` unless excluded.
+
+    One loop finds both: a node carries whether a way without a build edge leads to it, and goes
+    into the frontier again when such a way is found after another.
     """
-    runtime = edges.filter(F.col("kind").isin("hard", "soft"))
-    reached = closure(seeds, runtime).select("node")
-    apps = reached.join(excluded, "node", "left_anti")
-    # the closure over more edges starts from what is already reached
-    builds = closure(reached, edges.filter(F.col("kind").isin("hard", "soft", "build"))).select("node")
-    both = apps.withColumn("app", F.lit(1)).unionByName(builds.withColumn("app", F.lit(0)))
-    named = both.groupBy("node").agg(F.max("app").alias("app"))
+    kept = F.col("kind").isin("hard", "soft").cast("int").alias("runtime")
+    links = cut_lineage(edges.filter(F.col("kind").isin("hard", "soft", "build")).select("src", "dst", kept))
+    start = seeds.select("node").distinct().withColumn("app", F.lit(1))
+    reached = Rounds(start.sparkSession, start.schema)
+    frontier = reached.add(start)
+    while not frontier.isEmpty():
+        found = frontier.withColumnRenamed("node", "src").join(links, "src").groupBy(F.col("dst").alias("node")).agg(
+            F.max(F.col("app") * F.col("runtime")).alias("app"))
+        before = reached.all().groupBy("node").agg(F.max("app").alias("before"))
+        news = found.join(before, "node", "left").filter("before is null or app > before")
+        frontier = reached.add(news.select("node", "app"))
+    named = reached.all().groupBy("node").agg(F.max("app").alias("app"))
     return (
         named.join(known.select("node"), "node", "left_semi")
         .join(excluded, "node", "left_anti")

@@ -183,17 +183,19 @@ def flag_members(users: DataFrame, members: DataFrame, key: str, flag: str) -> D
 def user_details(users: DataFrame, related: dict[str, tuple[DataFrame, str]], key: str) -> DataFrame:
     """Users with one sorted array per relation.
 
-    ``related`` maps the new column to (frame, value column). Pairs are made distinct on the map
-    side first; an array is then at most as long as there are groups, roles or organizations.
+    ``related`` maps the new column to (frame, value column). All relations of one frame come from
+    one grouping of it. Values are made distinct on the map side; an array is at most as long as
+    there are groups, roles or organizations.
     """
+    frames = {id(frame): frame for frame, _ in related.values()}
     out = users
-    for name, (frame, value) in related.items():
-        pairs = frame.select(key, value).distinct()
-        arrays = pairs.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias(name))
-        out = out.join(arrays, key, "left").withColumn(
-            name, F.coalesce(name, F.array().cast(arrays.schema[name].dataType))
-        )
-    return out
+    for one, frame in frames.items():
+        sets = [F.sort_array(F.collect_set(value)).alias(name) for name, (of, value) in related.items() if id(of) == one]
+        arrays = frame.groupBy(key).agg(*sets)
+        out = out.join(arrays, key, "left").withColumns({
+            c: F.coalesce(c, F.array().cast(arrays.schema[c].dataType)) for c in arrays.columns if c != key
+        })
+    return out.select(*users.columns, *related)
 
 
 def group_members(groups: DataFrame, members: DataFrame, details: DataFrame, group: str, user: str) -> DataFrame:
