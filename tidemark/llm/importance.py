@@ -119,7 +119,7 @@ def top_k(frame: DataFrame, key: str, k: int) -> DataFrame:
     return frame.withColumn("selected", F.coalesce(F.col(key) >= low, F.lit(False)))
 
 
-def resample(docs: DataFrame, target: DataFrame, k: int | None = None, share: float = 0.75, seed: int = 7,
+def resample(docs: DataFrame, target: DataFrame, k: int | None = None, share: float = 0.85, seed: int = 7,
              target_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", target_id_col: str = "doc_id") -> DataFrame:
     """(``doc_id``, ``version``, ``log_weight``, ``n_grams``, ``key``, ``selected``) of every row.
 
