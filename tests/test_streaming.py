@@ -50,7 +50,7 @@ def test_repeated_batch_does_not_count_twice(spark, tmp_path):
 
 
 def test_state_ignores_late_older_changes_and_compacts(spark, tmp_path):
-    src, out, mark, small = (str(tmp_path / n) for n in ("src", "out", "mark", "small"))
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
     schema = topics.good_events(messages(spark, [])).schema
 
     def run():
@@ -62,8 +62,13 @@ def test_state_ignores_late_older_changes_and_compacts(spark, tmp_path):
     run()
     want = [("w", 8), ("x", 5)]
     assert sorted((r["uid"], r["offset"]) for r in st.current_state(spark, out, schema).collect()) == want
-    st.compact_state(spark, out, schema, small)
-    assert sorted((r["uid"], r["offset"]) for r in st.current_state(spark, small, schema).collect()) == want
+    st.compact_state(spark, out, schema)
+    assert sorted((r["uid"], r["offset"]) for r in st.current_state(spark, out, schema).collect()) == want
+    assert [r[0] for r in st.read_batches(spark, out, schema).select(st.BATCH).distinct().collect()] == [-1]
+    topics.write_topic(messages(spark, [event(1, "y"), event(9, "x", v=9)]), src)
+    run()
+    st.compact_state(spark, out, schema)
+    assert sorted((r["uid"], r["offset"]) for r in st.current_state(spark, out, schema).collect()) == [("w", 8), ("x", 9)]
 
 
 def test_handler_errors_stay_with_their_row(spark):

@@ -116,9 +116,33 @@ def current_state(spark: SparkSession, path: str, schema, key: str = "uid", orde
     return latest_change(changes, key, order).filter(F.col("operation") != "delete")
 
 
-def compact_state(spark: SparkSession, path: str, schema, into: str, key: str = "uid", order: str = "offset") -> None:
-    """Fold all batches into one batch of a new folder (deletes stay, to win over late changes)."""
-    write_batch(latest_change(read_batches(spark, path, schema).drop(BATCH), key, order), into, 0)
+def compact(spark: SparkSession, path: str, schema, fold: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace the batches of a sink folder by one that holds their fold, while the stream goes on.
+
+    ``fold`` must give the same for rows that it meets twice. The fold is written under a batch number
+    below all others, then the batches it was made from are deleted: a reader in between, or after
+    a crash in between, sees rows twice, which the fold takes away.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {f.getPath().getName(): f.getPath() for f in files.listStatus(root)}
+    batches = {int(name.split("=")[1]): at for name, at in found.items() if name.startswith(f"{BATCH}=")}
+    if len(batches) < 2:
+        return
+    rows = read_batches(spark, path, schema).filter(F.col(BATCH).isin(*batches)).drop(BATCH)
+    write_batch(fold(rows), path, min(0, *batches) - 1)
+    for at in batches.values():
+        files.delete(at, True)
+
+
+def compact_state(spark: SparkSession, path: str, schema, key: str = "uid", order: str = "offset") -> None:
+    """Fold the batches of a maintained state (deletes stay, to win over late changes)."""
+    compact(spark, path, schema, lambda rows: latest_change(rows, key, order))
+
+
+def compact_first(spark: SparkSession, path: str, schema, keys: Sequence[str], order: str) -> None:
+    """Fold the batches that ``keep_first`` writes."""
+    compact(spark, path, schema, lambda rows: _first(rows, keys, order))
 
 
 def sync_identity(users: DataFrame, path: str, checkpoint: str, target: DataFrame, refused: str):

@@ -20,23 +20,25 @@ def _replay(spark, rows, earlier, start, read=None):
     _replay_steps(spark, rows, F.when(earlier, 0).otherwise(1), 2, start, read)
 
 
-def _replay_steps(spark, rows, step, steps, start, read=None):
-    """Write ``rows`` in several steps, by their number; run the query after each."""
+def _replay_steps(spark, rows, step, steps, start, read=None, after=None):
+    """Write ``rows`` in several steps, by their number; run the query, and ``after``, after each."""
     source = scratch(spark, "stream-in")
     read = read or (lambda path: spark.readStream.schema(rows.schema).parquet(path))
     for number in range(steps):
         rows.filter(step == number).write.mode("append").parquet(source)
         st.run_to_end(start(read(source)))
+        if after:
+            after()
 
 
 def _to_files(stream, out, checkpoint):
     return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
 
 
-def _replay_topic(spark, sf, start):
+def _replay_topic(spark, sf, start, files_per_batch=None, after=None):
     rows = d.cdc_topic(spark, sf).select(*topics.TOPIC_COLUMNS)
-    cut = F.col("timestamp") < F.lit("2024-01-16").cast("timestamp")
-    _replay(spark, rows, cut, start, lambda path: topics.stream_topic(spark, path))
+    step = F.when(F.col("timestamp") < F.lit("2024-01-16").cast("timestamp"), 0).otherwise(1)
+    _replay_steps(spark, rows, step, 2, start, lambda path: topics.stream_topic(spark, path, files_per_batch), after)
 
 
 @query("stream_consume", topic_queries.SQL_PARSED)
@@ -66,12 +68,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY "offset" DESC) AS r
 SELECT uid, "offset", operation, message_type, round(value, 2) AS value FROM r WHERE rn = 1 AND operation <> 'delete'""")
 def stream_cdc_state(spark, sf):
     out, mark = scratch(spark, "state"), scratch(spark, "mark")
+    schema = topics.good_events(d.cdc_topic(spark, sf)).schema
 
     def start(stream):
         return st.maintain_state(topics.good_events(stream), out, mark)
 
-    _replay_topic(spark, sf, start)
-    schema = topics.good_events(d.cdc_topic(spark, sf)).schema
+    _replay_topic(spark, sf, start, 2, lambda: st.compact_state(spark, out, schema))
     rows = st.current_state(spark, out, schema)
     value = F.round(F.get_json_object("resource", "$.value").cast("double"), 2)
     return rows.select("uid", "offset", "operation", "message_type", value.alias("value"))
