@@ -40,7 +40,7 @@ BLOCK = 128
 PERCENTILES = (0.75, 0.9, 0.97, 1.0)
 EXCEPTION_BITS = 40
 SEGMENT_TOKENS = 1 << 19
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
 WORDS_A_TEXT = 4096
 PLAIN = re.compile(r" ?\S+")
 # letters and closing marks: the byte-level pattern parts " word.***" into " word" and ".***"
