@@ -41,7 +41,7 @@ PERCENTILES = (0.75, 0.9, 0.97, 1.0)
 EXCEPTION_BITS = 40
 SEGMENT_TOKENS = 1 << 19
 KNOWN_WORDS = 600_000
-WORDS_A_TEXT = 4096
+WORDS_A_TEXT = 256
 PLAIN = re.compile(r" ?\S+")
 # letters and closing marks: the byte-level pattern parts " word.***" into " word" and ".***"
 LETTERS = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?|*&%$#]*)")
