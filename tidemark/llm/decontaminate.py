@@ -3,12 +3,15 @@
 Every passage of every document (``PASSAGE`` words, a new one each ``STRIDE`` words) is a query. An
 item's impacts are divided by its own score, so a passage with all words of an item scores 1 and one
 threshold serves items of any length. A passage is retrieved for every item part that reaches the
-threshold; a hit counts when both question and answer overlap in five-word shingles.
+threshold; a hit counts when both question and answer overlap in five-word shingles, or in shorter ones
+where a side has so few words that one edited word breaks more than a fifth of its shingles, or when the
+passage holds the item's words without a change.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import broadcast_object, rows, slices, texts, unpack, utf8, words
+from tidemark.llm.base import broadcast_object, rows, slices, texts, unpack, utf8
 from tidemark.session import cut_lineage
 
 STRIDE = 64
@@ -26,12 +29,13 @@ PASSAGE = 2 * STRIDE
 BLOCK = 32
 RANGES = 64
 K1, B = 1.2, 0.75
-EDGE = b".,;:!?\"'()[]|"
+SHINGLE = 5
+WORD = re.compile(r"[^\W_]+")
 
 
 def tokens(raw: bytes) -> list[bytes]:
-    """Lower-case words without punctuation at their ends."""
-    return [w for w in (x.strip(EDGE) for x in words(raw)) if w]
+    """Runs of letters and digits, A-Z in lower case: no mark beside a word or in it makes another word."""
+    return " ".join(WORD.findall(raw.lower().decode("utf-8", "replace"))).encode().split()
 
 
 def question_and_answer(raw: bytes) -> tuple[list[bytes], list[bytes]]:
@@ -51,24 +55,47 @@ def shingles(found: list[bytes], size: int) -> set[tuple[bytes, ...]]:
     return {tuple(found[i:i + size]) for i in range(len(found) - size + 1)}
 
 
+class Side:
+    """Question or answer of an item, held against a region of a document."""
+
+    def __init__(self, found: list[bytes]):
+        self.n = len(found)
+        self.size = min(SHINGLE, self.n)
+        self.whole = shingles(found, self.size) if found else set()
+        # the longest shingles of which one edited word breaks at most a fifth
+        self.short = max(1, min(SHINGLE, (self.n + 1) // 6))
+        self.parts = Counter(tuple(found[i:i + self.short]) for i in range(self.n - self.short + 1))
+
+    def share(self, region: list[bytes]) -> float:
+        """Share of the shingles that the region holds; the short ones have to be in twice the side's length."""
+        if not self.n:
+            return 1.0
+        best = len(self.whole & shingles(region, self.size)) / len(self.whole)
+        if self.short == SHINGLE or best == 1.0:
+            return best
+        for at in range(0, len(region), self.n):
+            near = region[at:at + 2 * self.n]
+            held = Counter(tuple(near[i:i + self.short]) for i in range(len(near) - self.short + 1))
+            best = max(best, sum((self.parts & held).values()) / (self.n - self.short + 1))
+        return best
+
+
 class Index:
     """Inverted index of item parts of at most ``STRIDE`` words: a passage holds any part whole."""
 
     def __init__(self, items: Iterable[tuple[int, bytes]]):
         self.terms: dict[bytes, int] = {}
         self.item: list[int] = []
-        self.sides: dict[int, list[tuple[set, int]]] = {}
+        self.sides: dict[int, list[Side]] = {}
         self.length: dict[int, int] = {}
+        self.joined: dict[int, bytes] = {}
         parts = []
         for item, raw in items:
             found = tokens(raw)
             if not found:
                 continue
-            sides = []
-            for side in question_and_answer(raw):
-                size = min(5, len(side))
-                sides.append((shingles(side, size) if side else set(), size))
-            self.sides[item], self.length[item] = sides, len(found)
+            self.sides[item] = [Side(x) for x in question_and_answer(raw)]
+            self.length[item], self.joined[item] = len(found), b" ".join(found)
             for at in range(0, len(found), STRIDE):
                 parts.append(Counter(found[max(0, min(at, len(found) - STRIDE)):at + STRIDE]))
                 self.item.append(item)
@@ -157,9 +184,9 @@ class Index:
                     continue
                 reach = self.length[item]
                 region = found[max(0, at - reach):at + PASSAGE + reach]
-                shares = []
-                for side, size in self.sides[item]:
-                    shares.append(len(side & shingles(region, size)) / len(side) if side else 1.0)
+                shares = [side.share(region) for side in self.sides[item]]
+                if min(shares) < overlap and self.joined[item] in b" ".join(region):
+                    shares = [1.0] * len(shares)  # word for word, with letters beside its ends
                 if min(shares) >= overlap:
                     best[item] = (score, *shares, at)
         return best
