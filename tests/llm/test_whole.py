@@ -1,10 +1,14 @@
 """Cases that the operators once left out, against what the text itself says."""
 
+import math
 import random
+import zlib
+from collections import Counter
 
 import duckdb
+import pytest
 
-from tidemark.llm import decontaminate
+from tidemark.llm import decontaminate, ngram_lm, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -40,3 +44,28 @@ def test_one_edited_word():
             assert leaks([f"{' '.join(question)}? {' '.join(answer)}"], ["pad " * 90 + " ".join(held) + " pad" * 90]) == {(0, 0)}
     # the question with another answer is no leak
     assert not leaks([f"{' '.join(question)}? a b c d e f"], [" ".join([*question, *"u v w x y z".split()])])
+
+
+# ---- language model
+
+@pytest.mark.parametrize("shard_tokens", [1 << 20, 4000])
+def test_lm_of_all_pairs(spark, monkeypatch, shard_tokens):
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", shard_tokens)
+    if shard_tokens < 10_000:
+        monkeypatch.setattr(ngram_lm, "CHUNK_TOKENS", 2000)
+        monkeypatch.setattr(ngram_lm, "FREQUENT", 2)
+    small = "/root/testdata/sf0.001"
+    docs = [(d, ["begin", *t.encode().lower().split(), "end"]) for d, t in duckdb.sql(f"SELECT doc_id, text FROM '{small}/documents.parquet'").fetchall()]
+    train = [x for d, x in docs if zlib.crc32(str(d).encode()) % 7 != 2]
+    count, pairs = Counter(w for x in train for w in x[1:]), Counter(p for x in train for p in zip(x, x[1:]))
+    context, follow = Counter(), Counter(u for u, _ in pairs)
+    for (u, _), n in pairs.items():
+        context[u] += n
+    space = sum(count.values()) + len(count) + 1
+    got = {r["doc_id"]: r["score"] for r in queries.QUERIES["op4_ngram_lm"](spark, small).collect()}
+    for doc, x in docs:
+        score = 0
+        for u, w in zip(x, x[1:]):
+            single = (count[w] + 1) / space
+            score += math.log10((max(pairs[u, w] - 0.75, 0) + 0.75 * follow[u] * single) / context[u] if context[u] else single)
+        assert abs(got[doc] - score) < 0.05 * len(x)  # 8-bit probabilities

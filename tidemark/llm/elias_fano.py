@@ -38,8 +38,11 @@ class EliasFano:
         n, top = len(values), int(values[-1]) if len(values) else 0
         low_bits = _low_bits(n, top + 1)
         low = values & np.uint64((1 << low_bits) - 1)
-        bits = np.unpackbits(low.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :low_bits]
-        packed = np.packbits(bits.reshape(-1), bitorder="little").tobytes() + bytes(8)
+        pieces = []
+        for a in range(0, n, PART):
+            bits = np.unpackbits(low[a:a + PART].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :low_bits]
+            pieces.append(np.packbits(bits.reshape(-1), bitorder="little").tobytes())
+        packed = b"".join(pieces) + bytes(8)
         places = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         words = ((int(places[-1]) if n else 0) + 1) // 64 + 1
         high = np.zeros(words * 64, np.uint8)

@@ -1,7 +1,6 @@
 """A bigram language model in Elias-Fano tries, one per shard of contexts.
 
-p(w | u) = max(n(u,w) - D, 0) / c(u) + b(u) p(w) over the pairs seen at least ``MIN_PAIR`` times,
-p(w) add-one smoothed. A text's log10 probability is its unigram score plus the gain of each pair
+p(w | u) = (n(u,w) - D) / c(u) + b(u) p(w) over all pairs seen, p(w) add-one smoothed. A text's log10 probability is its unigram score plus the gain of each pair
 over the unigram, so every shard can add up its own pairs.
 
 The pairs of all documents are dealt once, by the hash of the context; contexts with many pairs are
@@ -29,7 +28,6 @@ from tidemark.session import cut_lineage
 
 BOS, END = 1, 2
 ID_BITS = np.uint64((1 << 48) - 1)
-MIN_PAIR = 3
 DISCOUNT = 0.75
 CHUNK_TOKENS = 1 << 20
 CHUNK_DOCS = 60_000
@@ -193,17 +191,14 @@ def _own(shard: int) -> int:
     return shard
 
 
-def _count(rows, deal: Deal) -> Iterator[tuple]:
-    """Per shard: contexts with counts, kept pairs, and the parts of spread contexts."""
-    us, ws, ns, shard, texts = [], [], [], None, 0
-    for shard, (_, train, payload) in rows:
-        if train:
-            _, u, per, w, uses, _ = _unpack(payload, KINDS)
-            us.append(np.repeat(_eight(u), per))
-            ws.append(_eight(w))
-            ns.append(uses)
-    if not us:
-        return
+def _pairs(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Ids and counts of contexts, pairs of each, their words and counts; sorted by context and word."""
+    us, ws, ns = [], [], []
+    for payload in payloads:
+        _, u, per, w, uses, _ = _unpack(payload, KINDS)
+        us.append(np.repeat(_eight(u), per))
+        ws.append(_eight(w))
+        ns.append(uses)
     u, w, n = np.concatenate(us), np.concatenate(ws), np.concatenate(ns).astype(np.int64)
     us, ws, ns = None, None, None
     order = np.lexsort((w, u))
@@ -211,13 +206,23 @@ def _count(rows, deal: Deal) -> Iterator[tuple]:
     begin = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
     u, w, n = u[begin], w[begin], np.add.reduceat(n, begin)
     edge = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
-    ids, counts = u[edge], np.add.reduceat(n, edge)
-    keep = n >= MIN_PAIR
-    mass = np.add.reduceat(np.where(keep, n - DISCOUNT, 0.0), edge)
+    return u[edge], np.add.reduceat(n, edge), np.diff(np.concatenate((edge, [len(u)]))), w, n
+
+
+def _count(rows, deal: Deal) -> Iterator[tuple]:
+    """Per shard: contexts with counts, the parts of spread contexts, and the different next words."""
+    shard, held = None, []
+    for shard, (_, train, payload) in rows:
+        if train:
+            held.append(payload)
+    if not held:
+        return
+    ids, counts, per, w, _ = _pairs(held)
+    mass = counts - DISCOUNT * per
     hot = deal.is_hot(ids)
     yield (shard, int(counts[~hot & (ids != BOS)].sum()), int((~hot & (ids != BOS)).sum()),
            bytearray(_pack([ids[~hot], counts[~hot], mass[~hot]])), bytearray(_pack([ids[hot], counts[hot], mass[hot]])),
-           bytearray(_pack([u[keep], w[keep], n[keep]])))
+           bytearray(_pack([np.unique(w)])))
 
 
 def _columns(frame: DataFrame, payload: str, kinds: list[str], schema: str) -> DataFrame:
@@ -255,7 +260,7 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
 
     counted = spark.createDataFrame(
         dealt.mapPartitions(lambda part: _count(part, sent())),
-        "shard int, tokens long, types long, contexts binary, spread binary, pairs binary")
+        "shard int, tokens long, types long, contexts binary, spread binary, next binary")
     counted = cut_lineage(counted)
     # a spread context has one row in each of its shards; their number follows that of the shards
     parts = _columns(counted, "spread", ["<u8", "<i8", "<f8"], "shard int, id long, n long, mass double")
@@ -270,29 +275,23 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     more = spark.createDataFrame([(i, n) for i, (n, _) in whole.items() if i != BOS] + [(END, ends)], "id long, n long")
     unigrams = unigrams.filter(F.col("id") != BOS).union(more)
 
-    pairs = _columns(counted, "pairs", ["<u8", "<u8", "<i8"], "shard int, u long, w long, n long")
-    known = pairs.join(unigrams.withColumnRenamed("n", "c"), pairs["w"] == unigrams["id"]).select("shard", "u", "w", "n", "c")
-    grouped = known.repartition("shard").sortWithinPartitions("shard", "u", "w")
+    # a shard gets the counts of its different next words, not one for each pair
+    following = _columns(counted, "next", ["<u8"], "shard int, id long")
+    known = following.join(unigrams.withColumnRenamed("n", "c"), "id").select("shard", "id", "c")
+    grouped = known.repartition("shard").sortWithinPartitions("shard", "id")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, "shard"):
-            packed = _pack([part.column(c).to_numpy() for c in ("u", "w", "n", "c")])
+            packed = _pack([part.column(c).to_numpy() for c in ("id", "c")])
             yield pa.RecordBatch.from_arrays([part.column("shard").slice(0, 1).combine_chunks(), pa.array([packed])], ["shard", "bundle"])
 
-    bundles = grouped.mapInArrow(bundle, "shard int, bundle binary")
-    whole_sent = broadcast_object(spark, (whole, n_total + n_types + 1))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, space = whole_sent()
-        for batch in batches:
-            for shard, contexts, spread, packed in zip(*[batch.column(c).to_pylist() for c in ("shard", "contexts", "spread", "bundle")]):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int32()), pa.array([_trie(contexts, spread, packed, whole, space)])], ["shard", "trie"])
-
-    tries = counted.select("shard", "contexts", "spread").join(bundles, "shard", "left").mapInArrow(build, "shard int, trie binary")
-    tries = cut_lineage(tries).rdd.map(lambda r: (r[0], (None, None, bytes(r[1])))).partitionBy(deal.shards, _own)
+    bundles = grouped.mapInArrow(bundle, "shard int, bundle binary").rdd.map(lambda r: (r[0], (None, None, bytes(r[1]))))
     space = n_total + n_types + 1
-    partial = tries.union(dealt).mapPartitions(lambda part: _score(part, space)).reduceByKey(
+    whole_sent = broadcast_object(spark, whole)
+    # the counts of a shard's words come before its rows, which are counted again and then scored: their
+    # pairs take more room on disk than time
+    held = bundles.partitionBy(deal.shards, _own).union(dealt)
+    partial = held.mapPartitions(lambda part: _score(part, whole_sent, space)).reduceByKey(
         lambda a, b: a if b is None else [a[0], *[x + y for x, y in zip(a[1:], b[1:])]])
     out = spark.createDataFrame(partial.map(lambda x: (x[0][1], bytearray(_pack(x[1])))), "train boolean, sums binary")
     end_score = float(np.log10((ends + 1) / space))
@@ -312,33 +311,35 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _trie(contexts: bytes, spread: bytes, packed: bytes | None, whole: dict, space: int) -> bytes:
+def _trie(payloads: list[bytes], bundle: bytes, whole: dict, space: int) -> bytes:
     """The trie of a shard; a spread context has its whole count and back-off in every shard."""
-    ids, counts, mass = _unpack(contexts, ["<u8", "<i8", "<f8"])
-    own = _unpack(spread, ["<u8"])[0]
-    ids = np.concatenate((ids, own))
-    counts = np.concatenate((counts, np.array([whole[int(i)][0] for i in own], np.int64)))
-    mass = np.concatenate((mass, np.array([whole[int(i)][1] for i in own], np.float64)))
-    order = np.argsort(ids)
-    ids, counts, mass = ids[order], counts[order], mass[order]
+    ids, counts, per, w, n = _pairs(payloads)
+    mass = counts - DISCOUNT * per
+    for at in np.flatnonzero(np.isin(ids, np.array(list(whole), np.uint64))):
+        counts[at], mass[at] = whole[int(ids[at])]
     backoff = 1 - mass / counts
-    none = np.empty(0, np.int64)
-    u, w, n, c = _unpack(packed, ["<u8", "<u8", "<i8", "<i8"]) if packed else (none, none, none, none)
-    place = np.searchsorted(ids, u.astype(np.uint64)) if len(u) else none
-    single = (c + 1) / space
-    gain = np.log10((n - DISCOUNT) / counts[place] / single + backoff[place]) if len(u) else np.empty(0)
-    short = w.astype(np.uint64) & np.uint64(0xFFFFFFFF)
+    place = np.repeat(np.arange(len(ids)), per)
+    words_known, c = _unpack(bundle, ["<i8", "<i8"])
+    single = (c[np.searchsorted(words_known, w.view("<i8"))] + 1) / space
+    gain = np.log10((n - DISCOUNT) / counts[place] / single + backoff[place])
+    short = w & np.uint64(0xFFFFFFFF)
     order = np.lexsort((short, place))
     return Trie.encode(ids, counts, np.log10(backoff), place[order], short[order], gain[order])
 
 
-def _score(rows, space: int) -> Iterator[tuple]:
+def _score(rows, whole, space: int) -> Iterator[tuple]:
     """((chunk, train), [doc keys, base, gain, words, known words]) of each payload of a shard."""
-    trie = None
+    held, bundle = [], None
     for _, (chunk, train, payload) in rows:
         if chunk is None:
-            trie = Trie(payload)
-            continue
+            bundle = payload
+        else:
+            held.append((chunk, train, payload))
+    own = [payload for _, train, payload in held if train]
+    trie = Trie(_trie(own, bundle, whole(), space)) if own else None
+    own = None
+    while held:
+        chunk, train, payload = held.pop()
         docs, u, per, w, uses, used = _unpack(payload, KINDS)
         docs, u, w = np.cumsum(docs), _eight(u), _eight(w)
         if trie is None:
