@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tidemark.llm import decontaminate, ngram_lm, queries
+from tidemark.llm import decontaminate, license_align, ngram_lm, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -69,3 +69,25 @@ def test_lm_of_all_pairs(spark, monkeypatch, shard_tokens):
             single = (count[w] + 1) / space
             score += math.log10((max(pairs[u, w] - 0.75, 0) + 0.75 * follow[u] * single) / context[u] if context[u] else single)
         assert abs(got[doc] - score) < 0.05 * len(x)  # 8-bit probabilities
+
+
+# ---- licenses
+
+def test_edited_notices():
+    scanner = license_align.Scanner(license_align.TEMPLATES)
+    pad = [b"pad%d" % i for i in range(60)]
+    for name, template in scanner.templates.items():
+        def found(*parts):
+            return sorted(x[2:4] for x in scanner.scan([w for p in parts for w in p], 0.8) if x[0] == name)
+
+        count, half = Counter(template), len(template) // 2
+        once = [w for w in template if count[w] == 1]
+        for k in range(1, len(once)):
+            left = [w for w in template if w not in once[:k]]
+            if len(license_align.align([*pad, *left, *pad], template)) >= 0.8 * len(template):
+                assert found(pad, left, pad), (name, k)
+        gap = pad[:min(12, len(template))]
+        assert found(pad, template[:half], gap, template[half:], pad) == [(60, 60 + len(template) + len(gap))]
+        # a notice after a piece of it
+        at = 60 + len(template) - half + 20
+        assert (at, at + len(template)) in found(pad, template[half:], pad[:20], template, pad)

@@ -117,16 +117,20 @@ class Scanner:
     def __init__(self, templates: Mapping[str, str]):
         self.templates = {n: tokens(t.encode()) for n, t in sorted(templates.items()) if tokens(t.encode())}
         self.keys: dict[bytes, list[str]] = {}
-        self.reach: dict[str, int] = {}
+        self.reach: dict[str, tuple[int, int]] = {}
         self.single: dict[str, set[bytes]] = {}
+        self.count: dict[str, Counter] = {}
         for name, found in self.templates.items():
             keys = set(found) - FUNCTION_WORDS or set(found)
+            self.count[name] = Counter(found)
             self.single[name] = {w for w in keys if found.count(w) == 1}
             for w in keys:
                 self.keys.setdefault(w, []).append(name)
             at = [-1, *[i for i, w in enumerate(found) if w in keys], len(found)]
-            # a run of key words may be broken for twice the longest stretch without one
-            self.reach[name] = 2 * max(b - a for a, b in zip(at, at[1:])) + 4
+            # a run of key words may be broken for twice the longest stretch without one; or, in a second
+            # search, by as many words as the template has
+            longest = max(b - a for a, b in zip(at, at[1:]))
+            self.reach[name] = (2 * longest + 4, max(2 * longest + 4, len(found) + longest))
 
     def scan(self, found: list[bytes], least: float) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, first word, word after the last, matched words) of each stretch covered
@@ -140,28 +144,40 @@ class Scanner:
                     places.setdefault(name, []).append(i)
         out = []
         for name, at in places.items():
-            template, reach = self.templates[name], self.reach[name]
-            begin, seen = 0, {}
-            for k in range(1, len(at) + 1):
-                # a new stretch begins after a gap, or where a word that the template has once comes
-                # again, half a template on
-                word = found[at[k - 1]]
-                if word in self.single[name]:
-                    seen.setdefault(word, at[k - 1])
-                if k < len(at) and at[k] - at[k - 1] <= reach and at[k] - seen.get(found[at[k]], at[k]) < max(1, len(template) // 2):
-                    continue
-                # few different words cannot cover enough
-                a, b = max(0, at[begin] - reach), min(len(found), at[k - 1] + 1 + reach)
-                if k < len(at):
-                    b = min(b, at[k])
-                begin, seen = k, {}
-                stretch = found[a:b]
-                if len(set(stretch) & set(template)) < least * len(set(template)):
-                    continue
-                pairs = align(stretch, template)
-                share = len(pairs) / len(template)
-                if share >= least:
-                    out.append((name, share, a + pairs[0][0], a + pairs[-1][0] + 1, len(pairs)))
+            near, far = self.reach[name]
+            own = self._stretches(name, found, at, near, least)
+            for wide in self._stretches(name, found, at, far, least) if far > near else ():
+                same = [x for x in own if x[2] < wide[3] and wide[2] < x[3]]
+                if not same:
+                    own.append(wide)
+                elif len(same) == 1 and wide[4] > same[0][4]:
+                    own[own.index(same[0])] = wide
+            out += own
+        return out
+
+    def _stretches(self, name: str, found: list[bytes], at: list[int], reach: int, least: float) -> list[tuple[str, float, int, int, int]]:
+        out, template = [], self.templates[name]
+        begin, seen = 0, {}
+        for k in range(1, len(at) + 1):
+            # a new stretch begins after a gap, or where a word that the template has once comes
+            # again, half a template on
+            word = found[at[k - 1]]
+            if word in self.single[name]:
+                seen.setdefault(word, at[k - 1])
+            if k < len(at) and at[k] - at[k - 1] <= reach and at[k] - seen.get(found[at[k]], at[k]) < max(1, len(template) // 2):
+                continue
+            # words match as often as both sides have them at most, which bounds the coverage
+            a, b = max(0, at[begin] - reach), min(len(found), at[k - 1] + 1 + reach)
+            if k < len(at):
+                b = min(b, at[k])
+            begin, seen = k, {}
+            stretch = found[a:b]
+            if sum((Counter(stretch) & self.count[name]).values()) < least * len(template):
+                continue
+            pairs = align(stretch, template)
+            share = len(pairs) / len(template)
+            if share >= least:
+                out.append((name, share, a + pairs[0][0], a + pairs[-1][0] + 1, len(pairs)))
         return out
 
 
