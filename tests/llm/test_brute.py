@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm import (
     components, decontaminate, divergence, elias_fano, importance, license_align, line_winnow, ngram_lm, packing, queries,
-    simhash, token_blocks, toxicity,
+    simhash, token_blocks, toxicity, word_ids,
 )
 from tidemark.session import scratch
 
@@ -58,16 +58,37 @@ def test_blocks_round_trip(ids, data):
     assert (segment.ids(a, b) == ids[a:b]).all()
 
 
-PIECES = ["word", "Ünd", "ß", "12", " ", " ", "  ", "\n", "\t", "'s", "!", "...", "***", "中", "😀", "²", "_", "<|endoftext|>", "\x1c", "\x85", "don't"]
+PIECES = ["word", "Ünd", "ß", "12", " ", " ", "  ", "\n", "\t", "'s", "!", "...", "***", "中", "😀", "²", "_", "<|endoftext|>", "<|ENDoftext|>",
+          "\x1c", "\x85", "don't", "É", "é", "İ", "Σ", "\u0301", "\u00a0", "K", "\r", "\x0b", "ª", "½", "ﬃ"]
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=30).map("".join), min_size=1, max_size=8))
-def test_encoder_equals_the_tokenizer(batch):
-    plain = Tokenizer.from_file(TOKENIZER)
-    plain.encode_special_tokens = True
-    want = [e.ids for e in plain.encode_batch(batch, add_special_tokens=False)]
-    assert [ids.tolist() for ids in token_blocks.Encoder.of_worker(TOKENIZER)(pa.array(batch))] == want
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_word_ids_equal_the_library(name, batch):
+    path = public_tokenizers.path(name)
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(batch, add_special_tokens=False)]
+    ids, edges = word_ids.WordIds.of_worker(path)(pa.array(batch))
+    assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == want
+
+
+def test_word_ids_after_forgetting(docs, monkeypatch):
+    monkeypatch.setattr(word_ids, "KNOWN_WORDS", 50)
+    encoder, plain = word_ids.WordIds(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    for _, text, _ in docs[:60]:
+        assert encoder(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_special_string_and_rows_of_one_id(spark):
+    rows = [(7, "hello <|endoftext|> world"), (7, "b"), (7, "a"), (7, "a"), (None, "first"), (None, None)]
+    path = scratch(spark, "tokens")
+    token_blocks.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, TOKENIZER)
+    got = token_blocks.read_documents(spark, path).orderBy("start").collect()
+    sizes = {"hello <|endoftext|> world": 5, "b": 2, "a": 2, "first": 2, None: 1}
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == sorted((d or 0, sizes[t]) for d, t in rows)
+    assert [r["doc_id"] for r in got] == [None, None, 7, 7, 7, 7]
+    flat = [r["id"] for r in token_blocks.read_range(spark, path, 0, 100).orderBy("position").collect()]
+    assert any(flat[i:i + 5] == [31373, 220, 50256, 995, 0] for i in range(len(flat)))
 
 
 def test_token_query(spark, docs):
@@ -183,14 +204,14 @@ def test_lm_query(spark, docs, monkeypatch, shard_tokens):
     context, mass = Counter(), Counter()
     for (u, _), n in pairs.items():
         context[u] += n
-        mass[u] += n - 0.75 if n >= 3 else 0
+        mass[u] += n - 0.75
     got = {r["doc_id"]: r for r in queries.QUERIES["op4_ngram_lm"](spark, SF).collect()}
     for doc, text, _ in docs:
         seq, row = [*text.encode().lower().split(), "end"], got[doc]
         base = [math.log10((count[w] + 1) / (total + types + 1)) for w in seq]
         score = 0
         for u, w, b in zip(["begin", *seq], seq, base):
-            kept = pairs[u, w] - 0.75 if pairs[u, w] >= 3 else 0
+            kept = max(pairs[u, w] - 0.75, 0)
             score += math.log10(kept / context[u] + (1 - mass[u] / context[u]) * 10**b) if context[u] else b
         assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (len(seq), sum(count[w] > 0 for w in seq), total)
         assert row["base_score"] == pytest.approx(sum(base), rel=1e-9)

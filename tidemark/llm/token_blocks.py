@@ -18,33 +18,24 @@ committer makes the write whole or void, and ``start`` tables need no payload.
 
 from __future__ import annotations
 
-import json
-import re
 import struct
-import sys
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, pre_tokenizers
 
 from tidemark.llm.base import gathered, slices, texts
+from tidemark.llm.word_ids import WordIds
 
 MAGIC = b"PFR1"
 BLOCK = 128
 PERCENTILES = (0.75, 0.9, 0.97, 1.0)
 EXCEPTION_BITS = 40
 SEGMENT_TOKENS = 1 << 19
-KNOWN_WORDS = 600_000
-WORDS_A_TEXT = 256
-PLAIN = re.compile(r" ?\S+")
-# letters and closing marks: the byte-level pattern parts " word.***" into " word" and ".***"
-LETTERS = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?|*&%$#]*)")
 SLICE = 1 << 23
 SCHEMA = "part int, segment int, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 
@@ -142,158 +133,53 @@ class Segment:
         return out.reshape(-1)[a - first * self.block:b - first * self.block]
 
 
-def _byte_letters() -> str:
-    """The letter by which byte-level vocabularies write each byte: printable bytes stand for
-    themselves, the others follow from code 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return "".join(chr(b) if b in plain else chr(next(rest)) for b in range(256))
-
-
-BYTE_LETTERS = _byte_letters()
-
-
-class Encoder:
-    """Whole texts to ids with a tokenizer file; special tokens' strings are ordinary text.
-
-    Where the file's only pre-tokenizer is the byte-level pattern, a space after a character that is
-    no space always begins a new piece, so a text without double spaces is encoded word by word, and
-    each word only once while it is remembered (two generations of ``KNOWN_WORDS``). Many new words
-    are encoded at once, as the lines of a text: a line break between words is a piece of its own.
-    Letters are one piece and closing marks another, so both go to the file's model directly. Other
-    texts and files are encoded whole. The ids are the same either way.
-    """
-
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        made = json.loads(self.tokenizer.to_str())
-        pre = made.get("pre_tokenizer") or {}
-        line = self._run(["\n"])[0]
-        self.line = int(line[0]) if len(line) == 1 else None
-        self.by_word = (
-            pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-            and made.get("normalizer") is None and made["model"]["type"] == "BPE" and self.line is not None)
-        # the same model for texts whose pieces are known to be their lines
-        self.pieces = Tokenizer(self.tokenizer.model)
-        self.pieces.pre_tokenizer = pre_tokenizers.Split(BYTE_LETTERS[10], "isolated")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    @staticmethod
-    def of_worker(path: str) -> Encoder:
-        """The encoder that this Python worker keeps for its tasks, so that words stay known."""
-        kept = vars(sys).setdefault("_tidemark_encoders", {})
-        if path not in kept:
-            kept[path] = Encoder(path)
-        return kept[path]
-
-    def _run(self, texts_: list[str], by: Tokenizer | None = None) -> list[np.ndarray]:
-        found = (by or self.tokenizer).encode_batch_fast(texts_, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
-
-    def _learn(self, lines: list[str], pieces: bool) -> None:
-        """Remember the ids of words without white space inside."""
-        groups = [lines[i:i + WORDS_A_TEXT] for i in range(0, len(lines), WORDS_A_TEXT)]
-        joined = ["\n".join(g) for g in groups]
-        if pieces:
-            joined = [t.encode().decode("latin-1").translate(BYTE_LETTERS) for t in joined]
-        for group, ids in zip(groups, self._run(joined, self.pieces if pieces else None)):
-            breaks = np.flatnonzero(ids == self.line) * 4
-            raw = ids.tobytes()
-            starts, stops = [0, *(breaks + 4).tolist()], [*breaks.tolist(), len(raw)]
-            self.known.update((w, raw[a:b]) for w, a, b in zip(group, starts, stops, strict=True))
-
-    def _unknown(self, different) -> set[str]:
-        """Those not remembered; what the older generation holds is taken over."""
-        new = set(different).difference(self.known)
-        again = new.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in again)
-        return new - again
-
-    def _ids(self, different: list[str]) -> list[bytes]:
-        """Ids of each word, which may begin with a space."""
-        if len(self.known) > KNOWN_WORDS:
-            self.older, self.known = self.known, {}
-        marked, letters, plain, odd = [], [], [], []
-        for w in self._unknown(different):
-            m = LETTERS.fullmatch(w)
-            if m is None:
-                (plain if PLAIN.fullmatch(w) else odd).append(w)
-            elif m[2]:
-                marked.append((w, m[1], m[2]))
-            else:
-                letters.append(w)
-        cores = self._unknown([core for _, core, _ in marked]).difference(letters)
-        self._learn([*letters, *cores], True)
-        self._learn([*plain, *self._unknown({m for _, _, m in marked}).difference(plain)], False)
-        self.known.update((w, ids.tobytes()) for w, ids in zip(odd, self._run(odd)))
-        known = self.known
-        known.update([(w, known[core] + known[m]) for w, core, m in marked])
-        return list(map(known.__getitem__, different))
-
-    def __call__(self, batch: pa.Array) -> list[np.ndarray]:
-        """Ids of each text of a string column."""
-        whole = pc.match_substring(batch, "  ") if self.by_word else pa.array([True] * len(batch))
-        whole = whole.to_numpy(zero_copy_only=False)
-        out: list = [None] * len(batch)
-        long, short = np.flatnonzero(whole), np.flatnonzero(~whole)
-        for i, ids in zip(long, self._run(batch.take(pa.array(long)).to_pylist())):
-            out[i] = ids
-        if not len(short):
-            return out
-        split = pc.split_pattern(batch.take(pa.array(short)), " ")
-        flat = split.flatten()
-        found = flat.dictionary_encode()
-        codes = found.indices.to_numpy().copy()
-        first = split.offsets.to_numpy()[:-1].astype(np.int64)
-        first -= first[0]
-        # a text's first word has no space before it
-        heads = flat.take(pa.array(first)).dictionary_encode()
-        parts = self._ids([" " + w for w in found.dictionary.to_pylist()] + heads.dictionary.to_pylist())
-        codes[first] = len(found.dictionary) + heads.indices.to_numpy()
-        ids = np.frombuffer(b"".join(np.array(parts, object)[codes].tolist()), np.uint32)
-        sizes = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
-        edges = np.concatenate(([0], np.cumsum(np.add.reduceat(sizes[codes], first, dtype=np.int64))))
-        for k, i in enumerate(short):
-            out[i] = ids[edges[k]:edges[k + 1]]
-        return out
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
                  id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all texts, each followed by ``end_id``, in ascending order of the id column.
 
     Null text is empty; null ids come first; rows that repeat an id follow each other in the order of
-    their text. ``tokenizer`` is a path every executor can open.
+    a hash of their text, so that one id with very many rows still spreads over tasks. Equal rows are
+    written as often as they occur; an empty table makes a folder without segments. ``tokenizer`` is a
+    path every executor can open.
     """
-    ordered = texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    place = ["doc_id", "mark"]
+    ordered = texts(docs, id_col, text_col).withColumn("mark", F.xxhash64("text")).repartitionByRange(*place)
+    ordered = ordered.sortWithinPartitions(*place, "text").drop("mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder, end = Encoder.of_worker(tokenizer), np.array([end_id], np.uint32)
-        part, number, ids, doc_ids, lengths, total = TaskContext.get().partitionId(), 0, [], [], [], 0
+        encoder, part, number = WordIds.of_worker(tokenizer), TaskContext.get().partitionId(), 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # doc ids, lengths, ids
+        total = 0
 
         def segment() -> pa.RecordBatch:
-            payload = encode(np.concatenate(ids))
+            lengths = np.concatenate([h[1] for h in held])
+            payload = encode(np.concatenate([h[2] for h in held]))
+            doc_ids = pa.concat_arrays([h[0] for h in held])
+            whole = pa.array([0, len(lengths)], pa.int32())
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([total], pa.int64()),
-                 pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())),
+                 pa.ListArray.from_arrays(whole, doc_ids), pa.ListArray.from_arrays(whole, pa.array(lengths)),
                  pa.array([payload], pa.binary())],
                 ["part", "segment", "n_tokens", "doc_ids", "lengths", "payload"])
 
         for piece in slices(gathered(batches, least=SLICE), most=SLICE):
-            for doc, own in zip(piece.column("doc_id").to_pylist(), encoder(piece.column("text"))):
-                ids += (own, end)
-                doc_ids.append(doc)
-                lengths.append(len(own) + 1)
-                total += lengths[-1]
+            ids, edges = encoder(piece.column("text"))
+            ids = np.insert(ids, edges[1:], end_id)
+            ends = edges[1:] + np.arange(1, len(edges))
+            lengths, at = np.diff(ends, prepend=0), 0
+            while at < len(ends):
+                begin = int(ends[at] - lengths[at])
+                # up to the document with which the segment is full
+                to = min(int(np.searchsorted(ends, begin + SEGMENT_TOKENS - total)) + 1, len(ends))
+                held.append((piece.column("doc_id").slice(at, to - at), lengths[at:to], ids[begin:ends[to - 1]]))
+                total, at = total + int(ends[to - 1]) - begin, to
                 if total >= SEGMENT_TOKENS:
                     yield segment()
-                    number, ids, doc_ids, lengths, total = number + 1, [], [], [], 0
-        if doc_ids:
+                    held, total, number = [], 0, number + 1
+        if held:
             yield segment()
 
     ordered.mapInArrow(run, SCHEMA).write.option("compression", "uncompressed").parquet(path)
