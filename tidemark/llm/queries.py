@@ -17,6 +17,7 @@ from tidemark.llm import (
     ngram_lm,
     packing,
     simhash,
+    slack_packing,
     token_blocks,
     toxicity,
 )
@@ -111,3 +112,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 2,048 words, no source or copy twice in one."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048).drop("version")
+
+
+@_query
+def op11_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in sequences of 2,048, with a digest of each piece."""
+    pieces = slack_packing.pack_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return slack_packing.digest(pieces)
