@@ -25,9 +25,9 @@ def test_best_set_equals_trying_all():
         counts = [rng.randint(1, 3) for _ in lengths]
         target = rng.randint(1, 90)
         sums = {sum(n * x for n, x in zip(lengths, own)) for own in product(*[range(c + 1) for c in counts])}
-        best, chosen = slack_packing.best_set(lengths, counts, target)
+        best, chosen = slack_packing.best_set(lengths, dict(zip(lengths, counts)).get, target)
         assert best == max(s for s in sums if s <= target)
-        assert sum(lengths[i] * n for i, n in chosen) == best and all(0 < n <= counts[i] for i, n in chosen)
+        assert sum(size * n for size, n in chosen) == best and all(0 < n <= counts[lengths.index(size)] for size, n in chosen)
 
 
 @pytest.mark.parametrize("seed", range(5))

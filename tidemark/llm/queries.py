@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import (
     decontaminate,
     divergence,
+    hard_negatives,
     importance,
+    lexical_search,
     license_align,
     line_winnow,
     ngram_lm,
@@ -26,7 +28,11 @@ from tidemark.llm.divergence_sql import ORACLE as DIVERGENCE_SQL
 from tidemark.session import prepare, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op6_quality_rules": DIVERGENCE_SQL}
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": DIVERGENCE_SQL,
+    "op12_lexical_search": lexical_search.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
+}
 
 
 def _query(fn):
@@ -119,3 +125,17 @@ def op11_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents in sequences of 2,048, with a digest of each piece."""
     pieces = slack_packing.pack_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return slack_packing.digest(pieces)
+
+
+@_query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each test item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+@_query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives for every fiftieth vector; every seventh has a wrong label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)

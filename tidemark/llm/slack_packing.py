@@ -13,7 +13,10 @@ Documents are packed where they are read: nothing is shuffled, and a task holds
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -34,25 +37,25 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 PART_BITS = 40
 
 
-def best_set(lengths: list[int], counts: list[int], target: int) -> tuple[int, list[tuple[int, int]]]:
-    """(sum, [(index, count)]) of the multiset of ``lengths`` whose sum is closest below ``target``.
-
-    Length ``i`` is there ``counts[i]`` times. The steps end as soon as the target itself is reached.
+def best_set(lengths: Iterable[int], count: Callable[[int], int], target: int) -> tuple[int, list[tuple[int, int]]]:
+    """(sum, [(length, count)]) of the multiset of different ``lengths`` whose sum is closest below
+    ``target``. A length is there ``count(length)`` times. The steps end as soon as the target itself
+    is reached.
     """
     mask = (1 << (target + 1)) - 1
     reached = [1]
-    steps: list[tuple[int, int]] = []  # index, copies in the chunk
-    for i, size in enumerate(lengths):
+    steps: list[tuple[int, int]] = []  # length, copies in the chunk
+    for size in lengths:
         if size > target:
             continue
-        left, chunk = min(counts[i], target // size), 1
+        left, chunk = min(count(size), target // size), 1
         while left:
             take = min(chunk, left)
             before = reached[-1]
             now = (before | before << size * take) & mask
             if now != before:
                 reached.append(now)
-                steps.append((i, take))
+                steps.append((size, take))
                 if now >> target & 1:
                     left = take
             left -= take
@@ -63,9 +66,9 @@ def best_set(lengths: list[int], counts: list[int], target: int) -> tuple[int, l
     chosen: dict[int, int] = {}
     for k in range(len(steps) - 1, -1, -1):
         if not reached[k] >> at & 1:
-            i, take = steps[k]
-            at -= lengths[i] * take
-            chosen[i] = chosen.get(i, 0) + take
+            size, take = steps[k]
+            at -= size * take
+            chosen[size] = chosen.get(size, 0) + take
     return best, list(chosen.items())
 
 
@@ -74,14 +77,13 @@ class Pool:
 
     def __init__(self):
         self.by_length: dict[int, list[tuple[int, int]]] = {}
-        self.order: list[int] = []  # lengths, longest first; empty ones are dropped when the order is made
+        self.order: list[int] = []  # the different lengths, negative: longest first
         self.total = 0
-        self.stale = True
 
     def add(self, length: int, doc: int, start: int) -> None:
         if length not in self.by_length:
             self.by_length[length] = []
-            self.stale = True
+            insort(self.order, -length)
         self.by_length[length].append((doc, start))
         self.total += length
 
@@ -90,32 +92,28 @@ class Pool:
         found = held.pop()
         self.total -= length
         if not held:
-            del self.by_length[length]
-            self.stale = True
+            del self.by_length[length], self.order[bisect_left(self.order, -length)]
         return found
 
-    def lengths(self) -> list[int]:
-        if self.stale:
-            self.order = sorted(self.by_length, reverse=True)
-            self.stale = False
-        return self.order
+    def longest(self) -> int:
+        return -self.order[0]
+
+    def best(self, room: int) -> tuple[int, list[tuple[int, int]]]:
+        fitting = islice(self.order, bisect_left(self.order, -room), None)
+        return best_set(map(neg, fitting), lambda size: len(self.by_length[size]), room)
 
 
 def fill(pool: Pool, capacity: int) -> list[tuple[int, int, int]]:
     """Take (document, start, length) of one full sequence from a pool that holds enough ids."""
-    out, room = [], capacity
-    longest = pool.lengths()[0]
+    out, room, longest = [], capacity, pool.longest()
     if longest < room:
         out.append((*pool.take(longest), longest))
-        room -= longest
-        order = pool.lengths()
-        best, chosen = best_set(order, [len(pool.by_length[x]) for x in order], room)
-        for i, count in chosen:
-            out += [(*pool.take(order[i]), order[i]) for _ in range(count)]
-        room -= best
+        best, chosen = pool.best(room - longest)
+        out += [(*pool.take(size), size) for size, count in chosen for _ in range(count)]
+        room -= longest + best
     if room:
         # the set leaves some room, or one stretch is longer than all of it: cut the longest one
-        longest = pool.lengths()[0]
+        longest = pool.longest()
         doc, start = pool.take(longest)
         out.append((doc, start, room))
         if longest > room:
