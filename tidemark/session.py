@@ -18,8 +18,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # merge sessions before the shuffle, so a hot user ships one row per session
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
-    # rows that go to Python at once: rows may hold very long texts
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # what goes to Python at once is bounded in bytes: rows may hold very long texts
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
@@ -50,11 +50,15 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, where that is unset the
-    context's checkpoint folder, else one in the warehouse, which is shared too."""
+    context's checkpoint folder. Only a session on one machine may go without (its warehouse is used);
+    on a cluster it is an error, as a folder of one machine would lose tables."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
