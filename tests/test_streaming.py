@@ -1,12 +1,14 @@
 """Streams: restart, repeats, bad rows, late changes."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import topics
 from tidemark.streaming import consume as st
+from tidemark.streaming import stateful
 
 GOOD = '{{"message_type":"t","operation":"{op}","uid":"{uid}","resource":{{"v":{v}}},"meta":{{"app_name":"a"}}}}'
 
@@ -61,14 +63,48 @@ def test_state_ignores_late_older_changes_and_compacts(spark, tmp_path):
     topics.write_topic(messages(spark, [event(3, "x", v=3), event(4, "y"), event(7, "z", "delete"), event(8, "w")]), src)
     run()
     want = [("w", 8), ("x", 5)]
-    assert sorted((r["uid"], r["offset"]) for r in st.current_state(spark, out, schema).collect()) == want
-    st.compact_state(spark, out, schema)
-    assert sorted((r["uid"], r["offset"]) for r in st.current_state(spark, out, schema).collect()) == want
-    assert [r[0] for r in st.read_batches(spark, out, schema).select(st.BATCH).distinct().collect()] == [-1]
+
+    def shown():
+        return sorted((r["uid"], r["offset"]) for r in st.current_state(spark, out, schema).collect())
+
+    assert shown() == want
+    st.compact_state(spark, out, schema)  # the newest batch is left alone, so there is nothing to fold yet
+    assert shown() == want and sorted(st.committed_batches(spark, out)) == [0, 1]
     topics.write_topic(messages(spark, [event(1, "y"), event(9, "x", v=9)]), src)
     run()
     st.compact_state(spark, out, schema)
-    assert sorted((r["uid"], r["offset"]) for r in st.current_state(spark, out, schema).collect()) == [("w", 8), ("x", 9)]
+    assert shown() == [("w", 8), ("x", 9)] and sorted(st.committed_batches(spark, out)) == [-2, 0, 1, 2]
+    for offset in (10, 11):
+        topics.write_topic(messages(spark, [event(offset, "v")]), src)
+        run()
+    st.compact_state(spark, out, schema)
+    assert shown() == [("v", 11), ("w", 8), ("x", 9)] and sorted(st.committed_batches(spark, out)) == [-4, -2, 2, 3, 4]
+
+
+def test_compaction_leaves_a_batch_that_is_written_meanwhile(spark, tmp_path):
+    out, schema = str(tmp_path / "out"), "a bigint, n bigint"
+
+    def rows(a):
+        return spark.createDataFrame([(a, 1)], schema)
+
+    def total():
+        return {r["a"]: r["n"] for r in st.read_batches(spark, out, schema).groupBy("a").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+
+    def fold(df):
+        # a batch is committed, and another one begun, after the folder was listed
+        st.write_batch(rows(4), out, 3)
+        spark.createDataFrame([(9, 1)], schema).write.parquet(f"{out}/batch_id=4/_temporary/0")
+        return df.groupBy("a").agg(F.sum("n").alias("n"))
+
+    for n in range(3):
+        st.write_batch(rows(n), out, n)
+    st.compact(spark, out, schema, fold)
+    assert total() == {0: 1, 1: 1, 2: 1, 4: 1}
+    st.write_batch(rows(0), out, 0)  # a folded batch written again does not count twice
+    assert total() == {0: 1, 1: 1, 2: 1, 4: 1}
+    st.write_batch(rows(5), out, 4)
+    st.compact(spark, out, schema, lambda df: df.groupBy("a").agg(F.sum("n").alias("n")))
+    assert total() == {0: 1, 1: 1, 2: 1, 4: 1, 5: 1} and 0 not in st.committed_batches(spark, out)
 
 
 def test_handler_errors_stay_with_their_row(spark):
@@ -163,3 +199,90 @@ def test_identity_batches_use_the_store_of_earlier_ones(spark, tmp_path):
     assert written.filter(F.col("ext_id") == "e2").count() == 2
     lost = st.read_batches(spark, refused, "ext_id string, username string, label string")
     assert [(r["ext_id"], r["label"]) for r in lost.collect()] == [("e3", "rejected")]
+
+
+START = dt.datetime(2024, 1, 1)
+
+
+def steps_of(spark, tmp_path, schema, start):
+    """Give each step's rows to the stream and return what its sink holds."""
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    stateful.use_rocksdb(spark)
+
+    def run(items):
+        spark.createDataFrame(items, schema).write.mode("append").parquet(src)
+        df = start(spark.readStream.schema(schema).parquet(src))
+        st.run_to_end(df.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark))
+        return sorted(map(tuple, spark.read.schema(df.schema).parquet(out).collect()))
+
+    return run
+
+
+def test_exit_notice_is_sent_once(spark, tmp_path):
+    at = [START + dt.timedelta(minutes=m) for m in range(10)]
+    run = steps_of(spark, tmp_path, "op string, status string, ts timestamp", stateful.exit_notices)
+    first = run([("a", "Running", at[0]), ("a", "Succeeded", at[5]), ("a", "Failed", at[3]), ("b", "Pending", at[9]), (None, "Failed", at[1])])
+    assert first == [("a", "Failed", at[3])]
+    assert run([("a", "Error", at[1]), ("a", "Failed", at[3]), ("b", "Skipped", at[2])]) == [("a", "Failed", at[3]), ("b", "Skipped", at[2])]
+    assert len(run([("a", "Error", at[1]), ("b", "Skipped", at[2])])) == 2
+
+
+def plain_culls(rows, timeout, max_age, every, end):
+    """Walk the checks one by one."""
+    out, users = [], {u for u, _ in rows}
+    for user in users:
+        moments, session = sorted(s for u, s in rows if u == user), None
+        for tick in range(0, end, every):
+            for s in [m for m in moments if tick - every < m <= tick]:
+                session = (session[0], s) if session else (s, s)
+            if session and max_age and tick - session[0] > max_age and not tick - session[1] > timeout:
+                out.append((user, tick, "age"))
+                session = None
+            elif session and tick - session[1] > timeout:
+                out.append((user, tick, "idle"))
+                session = None
+    return sorted(out)
+
+
+@pytest.mark.parametrize("max_age", [0, 5000])
+def test_culled_sessions(spark, tmp_path, max_age):
+    rng = random.Random(max_age)
+    base = int(START.replace(tzinfo=dt.timezone.utc).timestamp())
+    rows = sorted(((u, s) for u in (1, 2, 3) for s in rng.sample(range(0, 60_000, 50), 40)), key=lambda r: r[1])
+    rows += [(u, s) for u, s in [(7, 600), (7, 600 + 3600), (8, 0)]]  # just at a check; long over the limit
+    rows.sort(key=lambda r: r[1])
+    run = steps_of(spark, tmp_path, "user bigint, ts timestamp", lambda df: stateful.culled_sessions(df, 3600, max_age, 600))
+
+    def given(part):
+        return [(u, START + dt.timedelta(seconds=s)) for u, s in part]
+
+    for k in range(3):
+        run(given(rows[k * 40:(k + 1) * 40]))
+    run(given(rows[120:]))
+    found = run(given([(0, 80_000)]))
+    got = sorted((u, int((t - START).total_seconds()), r) for u, t, r in found if u)
+    assert base % 600 == 0 and got == plain_culls(rows, 3600, max_age, 600, 80_000)
+
+
+def test_results_in_and_after_the_limit(spark, tmp_path):
+    def minute(m):
+        return START + dt.timedelta(minutes=m)
+
+    paths = {n: str(tmp_path / n) for n in ("ops", "results", "in", "late", "m1", "m2")}
+    kinds = {"ops": "op bigint, start_ts timestamp", "results": "op bigint, seq int, ts timestamp"}
+
+    def run(ops, results):
+        for name, rows in (("ops", ops), ("results", results)):
+            spark.createDataFrame(rows, kinds[name]).write.mode("append").parquet(paths[name])
+        read = [spark.readStream.schema(kinds[n]).parquet(paths[n]) for n in ("ops", "results")]
+        for df, out, mark in ((stateful.results_in_time(*read, 300), "in", "m1"), (stateful.results_too_late(*read, 300, 3600), "late", "m2")):
+            st.run_to_end(df.select("op", "seq").writeStream.format("parquet").option("path", paths[out]).option("checkpointLocation", paths[mark]))
+
+    run([(1, minute(0)), (2, minute(0)), (3, minute(1))], [(1, 1, minute(2)), (2, 1, minute(6))])
+    run([(4, minute(10))], [(1, 2, minute(5)), (1, 3, minute(7)), (4, 1, minute(15))])
+    run([(9, minute(500))], [(9, 1, minute(500))])
+    schema = "op bigint, seq int"
+    got = sorted((r["op"], r["seq"] or 0) for r in spark.read.schema(schema).parquet(paths["in"]).collect() if r["op"] < 9)
+    assert got == [(1, 1), (1, 2), (2, 0), (3, 0), (4, 1)]
+    late = sorted((r["op"], r["seq"]) for r in spark.read.schema(schema).parquet(paths["late"]).collect())
+    assert late == [(1, 3), (2, 1)]

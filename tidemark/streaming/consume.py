@@ -6,7 +6,7 @@ when a batch is repeated after a failure. A repeated batch therefore never count
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +28,19 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
-    """All batches of a sink folder, with their ``batch_id``."""
+    """All batches of a sink folder, with their ``batch_id``; folded ones have the number of their fold."""
+    done = committed_batches(spark, path)
+    return _read(spark, path, schema, [done[n] for n in current_batches(done)])
+
+
+def _read(spark: SparkSession, path: str, schema, paths: list[str]) -> DataFrame:
     if isinstance(schema, str):
         full = f"{schema}, {BATCH} bigint"
     else:
         full = type(schema)(list(schema.fields)).add(BATCH, LongType())
-    return spark.read.schema(full).parquet(path)
+    if not paths:
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).option("basePath", path).parquet(*paths)
 
 
 def run_to_end(writer) -> StreamingQuery:
@@ -116,23 +123,43 @@ def current_state(spark: SparkSession, path: str, schema, key: str = "uid", orde
     return latest_change(changes, key, order).filter(F.col("operation") != "delete")
 
 
+def committed_batches(spark: SparkSession, path: str) -> dict[int, str]:
+    """The batches of a sink folder whose write has ended, with their paths. A negative number is the
+    fold of all batches from 0 to ``-number - 1``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = {}
+    for found in files.listStatus(root) if files.exists(root) else []:
+        at = found.getPath()
+        if at.getName().startswith(f"{BATCH}=") and files.exists(hadoop.Path(at, "_SUCCESS")):
+            done[int(at.getName().split("=")[1])] = at.toString()
+    return done
+
+
+def current_batches(done: Iterable[int]) -> list[int]:
+    """The newest fold and what came after it: together every batch once."""
+    fold = min([n for n in done if n < 0], default=0)
+    return sorted(n for n in done if n == fold < 0 or n >= -fold)
+
+
 def compact(spark: SparkSession, path: str, schema, fold: Callable[[DataFrame], DataFrame]) -> None:
-    """Replace the batches of a sink folder by one that holds their fold, while the stream goes on.
+    """Put the older batches of a sink folder in one that holds their fold, while the stream goes on.
 
-    ``fold`` must give the same for rows that it meets twice. The fold is written under a batch number
-    below all others, then the batches it was made from are deleted: a reader in between, or after
-    a crash in between, sees rows twice, which the fold takes away.
+    Exactly the batches that are committed when this begins are folded, but for the newest one, which
+    a restarted stream may write again; a batch written meanwhile is not touched. The fold's number
+    tells which batches it stands for, so ``read_batches`` meets each batch once, before, while and
+    after this runs, and after a crash. What a fold replaces is deleted by the next ``compact``, when
+    readers that began before the fold have had that long to end.
     """
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = {f.getPath().getName(): f.getPath() for f in files.listStatus(root)}
-    batches = {int(name.split("=")[1]): at for name, at in found.items() if name.startswith(f"{BATCH}=")}
-    if len(batches) < 2:
-        return
-    rows = read_batches(spark, path, schema).filter(F.col(BATCH).isin(*batches)).drop(BATCH)
-    write_batch(fold(rows), path, min(0, *batches) - 1)
-    for at in batches.values():
-        files.delete(at, True)
+    done = committed_batches(spark, path)
+    now = current_batches(done)
+    for n in set(done).difference(now):
+        old = spark._jvm.org.apache.hadoop.fs.Path(done[n])
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    older = now[:-1]
+    if len(older) >= 2:
+        write_batch(fold(_read(spark, path, schema, [done[n] for n in older]).drop(BATCH)), path, -older[-1] - 1)
 
 
 def compact_state(spark: SparkSession, path: str, schema, key: str = "uid", order: str = "offset") -> None:
@@ -228,12 +255,23 @@ def sessions_stream(activity: DataFrame, path: str, checkpoint: str, timeout: in
     return activity.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
 
 
+def _slots(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("user", "slot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+
+
+def _slot_schema(user_type: str) -> str:
+    return f"user {user_type}, slot bigint, lo timestamp, hi timestamp, n bigint"
+
+
+def compact_sessions(spark: SparkSession, path: str, user_type: str = "bigint") -> None:
+    """Fold the time slots that ``sessions_stream`` writes."""
+    compact(spark, path, _slot_schema(user_type), _slots)
+
+
 def current_sessions(spark: SparkSession, path: str, user_type: str = "bigint", timeout: int = IDLE_SECONDS) -> DataFrame:
     """All sessions of the batches so far; ``open`` where the last activity seen by anybody is not
     yet ``timeout`` seconds after the session's end."""
-    schema = f"user {user_type}, slot bigint, lo timestamp, hi timestamp, n bigint"
-    slots = read_batches(spark, path, schema).groupBy("user", "slot").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    slots = _slots(read_batches(spark, path, _slot_schema(user_type)))
     latest = slots.agg(F.max("hi")).scalar()
     quiet = F.unix_micros(latest) - F.unix_micros("end_ts")
     return join_slots(slots, timeout).withColumn("open", quiet <= timeout * 1_000_000)

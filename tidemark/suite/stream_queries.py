@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from tidemark.session import scratch
 from tidemark.sources import topics
 from tidemark.streaming import consume as st
+from tidemark.streaming import stateful
 from tidemark.suite import derive as d
 from tidemark.suite import history_queries, notify_queries, topic_queries
-from tidemark.suite.registry import query
+from tidemark.suite.registry import query, table
 
 
 def _replay(spark, rows, earlier, start, read=None):
@@ -122,11 +123,104 @@ def _shuffled(rows, *key):
 def stream_first_terminal(spark, sf):
     out, mark = scratch(spark, "terminal"), scratch(spark, "mark")
     rows = d.status_changes(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).select("op", "status", "ts")
-    _replay_steps(spark, rows, _shuffled(rows, "op", "ts"), 4, lambda stream: st.first_terminal_stream(stream, out, mark))
-    found = st.first_rows(spark, out, "op bigint, ts timestamp, status string", ["op"], "ts")
+    schema = "op bigint, ts timestamp, status string"
+    _replay_steps(spark, rows, _shuffled(rows, "op", "ts"), 4, lambda stream: st.first_terminal_stream(stream, out, mark),
+                  after=lambda: st.compact_first(spark, out, schema, ["op"], "ts"))
+    found = st.first_rows(spark, out, schema, ["op"], "ts")
     return found.select("op", "status", d.stamp("ts").alias("ts"))
 
 
+def _arrival(bits):
+    """A number from 0 to 3 that the SQL twin can compute too, unrelated to event time."""
+    return F.expr(f"(({bits}) * 7919 + 13) % 4")
+
+
+@query("stream_exit_once", f"""WITH {d.SQL_CHANGES},
+t AS (SELECT op, status, ts, ((op * 3 + epoch(ts)::BIGINT // 60) * 7919 + 13) % 4 AS step FROM changes
+  WHERE status IN ('Error', 'Succeeded', 'Skipped', 'Failed'))
+SELECT op, status, {d.sql_stamp('ts')} AS ts FROM t
+QUALIFY row_number() OVER (PARTITION BY op ORDER BY step, ts, status) = 1""")
+def stream_exit_once(spark, sf):
+    """The notice of the first terminal status to arrive, straight from the sink, over four restarts."""
+    out, mark = scratch(spark, "exits"), scratch(spark, "mark")
+    rows = d.status_changes(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).select("op", "status", "ts")
+    stateful.use_rocksdb(spark)
+    _replay_steps(spark, rows, _arrival("op * 3 + unix_seconds(ts) div 60"), 4,
+                  lambda stream: _to_files(stateful.exit_notices(stream), out, mark))
+    found = spark.read.schema("op bigint, status string, ts timestamp").parquet(out)
+    return found.select("op", "status", d.stamp("ts").alias("ts"))
+
+
+CULL_END = "2024-03-01 00:00:00"
+
+
+@query("stream_cull", f"""WITH g AS (
+  SELECT user_id AS "user", epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM events),
+t AS (SELECT "user", nxt, ((us + 21600000000) // 600000000 + 1) * 600000000 AS tick FROM g)
+SELECT "user", {d.sql_stamp('make_timestamp(tick)')} AS tick, 'idle' AS reason FROM t WHERE nxt IS NULL OR nxt > tick""")
+def stream_cull(spark, sf):
+    """Every session that the ten-minute checks end, over four steps in event-time order; a last
+    activity of nobody in particular moves the clock past the last check."""
+    out, mark = scratch(spark, "culled"), scratch(spark, "mark")
+    rows = history_queries._activity(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    clock = spark.createDataFrame([(-1, CULL_END)], "user bigint, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    steps = F.when(F.col("user") == -1, 4).otherwise(F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)))
+    stateful.use_rocksdb(spark)
+    _replay_steps(spark, rows.unionByName(clock), steps, 5, lambda stream: _to_files(
+        stateful.culled_sessions(stream, history_queries.SESSION_GAP), out, mark))
+    found = spark.read.schema("user bigint, tick timestamp, reason string").parquet(out)
+    return found.select("user", d.stamp("tick").alias("tick"), "reason")
+
+
+RESULT_LIMIT, RESULT_HORIZON = 180, 86_400
+SQL_RESULTS = f"""WITH {d.SQL_OPS}, pairs AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem),
+r AS (SELECT o_orderkey AS op, l_linenumber AS seq, l_linenumber * 60 + o_orderkey % 4 * 30 AS secs FROM ops JOIN pairs ON l_orderkey = o_orderkey)"""
+
+
+def _run_results(spark, sf):
+    """Operations and their results, and one of each that moves the clock past the last limit."""
+    key = F.col("o_orderkey")
+    ops = d.operations(spark, sf).select(key.alias("op"), F.col("create_time").cast("timestamp").alias("start_ts"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("op"), F.col("l_linenumber").cast("int").alias("seq")).distinct()
+    results = lines.join(ops, "op").select(
+        "op", "seq", (F.col("start_ts") + F.make_dt_interval(secs=F.col("seq") * 60 + F.col("op") % 4 * 30)).alias("ts"))
+    end = F.lit("2100-01-01").cast("timestamp")
+    clock = spark.range(1).select(F.lit(-1).cast("long").alias("op"), F.lit(0).alias("seq"), end.alias("ts"))
+    return (ops.unionByName(clock.select("op", end.alias("start_ts"))), results.unionByName(clock))
+
+
+def _replay_both(spark, ops, results, start):
+    """Both inputs year by year, so that each side's clock moves with the other's."""
+    places = [scratch(spark, n) for n in ("ops-in", "results-in")]
+    for low, high in ((0, 1994), (1994, 1997), (1997, 2000), (2000, 2050), (2050, 9999)):
+        for df, ts, path in ((ops, "start_ts", places[0]), (results, "ts", places[1])):
+            df.filter((F.year(ts) >= low) & (F.year(ts) < high)).write.mode("append").parquet(path)
+        st.run_to_end(start(*[spark.readStream.schema(df.schema).parquet(p) for df, p in zip((ops, results), places)]))
+
+
+@query("stream_results", f"""{SQL_RESULTS}
+SELECT op, seq, 'ok' AS result_status FROM r WHERE secs <= {RESULT_LIMIT}
+UNION ALL SELECT o_orderkey, NULL, 'missing' FROM ops WHERE o_orderkey NOT IN (SELECT op FROM r WHERE secs <= {RESULT_LIMIT})""")
+def stream_results(spark, sf):
+    """Results in the time limit of their operation, and a row for each operation without one."""
+    out, mark = scratch(spark, "results"), scratch(spark, "mark")
+    stateful.use_rocksdb(spark)
+    _replay_both(spark, *_run_results(spark, sf), lambda ops, found: _to_files(
+        stateful.results_in_time(ops, found, RESULT_LIMIT).select("op", "seq", "result_status"), out, mark))
+    return spark.read.schema("op bigint, seq int, result_status string").parquet(out).filter("op >= 0")
+
+
+@query("stream_results_late", f"""{SQL_RESULTS}
+SELECT op, seq FROM r WHERE secs > {RESULT_LIMIT}""")
+def stream_results_late(spark, sf):
+    """The side output: results after the limit."""
+    out, mark = scratch(spark, "late"), scratch(spark, "mark")
+    stateful.use_rocksdb(spark)
+    _replay_both(spark, *_run_results(spark, sf), lambda ops, found: _to_files(
+        stateful.results_too_late(ops, found, RESULT_LIMIT, RESULT_HORIZON).select("op", "seq"), out, mark))
+    return spark.read.schema("op bigint, seq int").parquet(out)
+
+
 @query("stream_sessions", history_queries.SQL_SESSIONS)
 def stream_sessions(spark, sf):
     out, mark = scratch(spark, "sessions"), scratch(spark, "mark")
@@ -135,7 +229,7 @@ def stream_sessions(spark, sf):
     def start(stream):
         return st.sessions_stream(stream, out, mark, history_queries.SESSION_GAP)
 
-    _replay_steps(spark, rows, _shuffled(rows, "user", "ts"), 4, start)
+    _replay_steps(spark, rows, _shuffled(rows, "user", "ts"), 4, start, after=lambda: st.compact_sessions(spark, out))
     found = st.current_sessions(spark, out, timeout=history_queries.SESSION_GAP)
     return found.select("user", d.stamp("start_ts").alias("start_ts"), d.stamp("end_ts").alias("end_ts"), "n_events")
 
@@ -149,10 +243,11 @@ def stream_dedup(spark, sf):
     rows = d.cdc(spark, sf).select(
         topic.alias("topic"), "uid", "offset", F.col("ts").cast("timestamp").alias("ts"), F.explode(copies).alias("copy")
     )
-    keys = ["topic", "uid", "offset"]
+    keys, schema = ["topic", "uid", "offset"], "topic string, uid string, offset bigint, ts timestamp"
     _replay_steps(spark, rows, _shuffled(rows, "offset", "copy"), 4,
-                  lambda stream: st.distinct_messages(stream.drop("copy"), keys, out, mark))
-    return st.first_rows(spark, out, "topic string, uid string, offset bigint, ts timestamp", keys, "ts").select(*keys)
+                  lambda stream: st.distinct_messages(stream.drop("copy"), keys, out, mark),
+                  after=lambda: st.compact_first(spark, out, schema, keys, "ts"))
+    return st.first_rows(spark, out, schema, keys, "ts").select(*keys)
 
 
 @query("stream_handler", f"""WITH {d.SQL_GOOD}
