@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tidemark.sources import topics
 from tidemark.streaming import consume as st
+from tidemark.streaming import identity as sync
 from tidemark.streaming import stateful
+from tidemark.streaming.keyed import KeyedTable
 
 GOOD = '{{"message_type":"t","operation":"{op}","uid":"{uid}","resource":{{"v":{v}}},"meta":{{"app_name":"a"}}}}'
 
@@ -180,25 +182,66 @@ def test_failing_handler_gives_bad_rows_first_and_frees_the_batch(spark, tmp_pat
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
 
 
-def test_identity_batches_use_the_store_of_earlier_ones(spark, tmp_path):
-    src, out, mark, refused = (str(tmp_path / n) for n in ("src", "out", "mark", "refused"))
-    schema = "seq long, ext_id string, username string, email string"
-    target = spark.createDataFrame([("t1", "ann", None)], "target_id string, username string, ext_id string")
-
-    def run(items):
-        spark.createDataFrame(items, schema).write.mode("append").parquet(src)
-        st.run_to_end(st.sync_identity(spark.readStream.schema(schema).parquet(src), out, mark, target, refused))
-
-    run([(1, "e1", "ann", None), (2, "e2", "old", None), (3, "e2", "bob", None)])
-    run([(4, "e2", "bobby", None), (5, "e3", None, None)])
-    written = st.read_batches(spark, out, "target_id string, username string, ext_id string, label string")
-    store = st.identity_store(written, target)
-    assert sorted(tuple(r) for r in store.select("target_id", "username", "ext_id").collect()) == [
-        ("new-e2", "bobby", "e2"), ("t1", "ann", "e1"),
-    ]
-    assert written.filter(F.col("ext_id") == "e2").count() == 2
-    lost = st.read_batches(spark, refused, "ext_id string, username string, label string")
-    assert [(r["ext_id"], r["label"]) for r in lost.collect()] == [("e3", "rejected")]
+def admin(spark, items):
+    return spark.createDataFrame(
+        [(kind, op, f"x/{i}/more", n) for n, (kind, op, i) in enumerate(items)],
+        "resource_type string, operation_type string, resource_path string, seq bigint")
+
+
+def provider(spark, users, groups=(), members=()):
+    kinds = ("ext_id string, username string, email string, enabled boolean", "ext_id string, name string",
+             "user_ext string, kind string, ext_id string, name string")
+    frames = [spark.createDataFrame(list(rows), kind) for rows, kind in zip((users, groups, members), kinds)]
+    return sync.Source(*[lambda f=f: f for f in frames])
+
+
+def test_identity_batches_use_the_state_of_earlier_ones(spark, tmp_path):
+    store = sync.IdentityStore(spark, str(tmp_path / "store"), buckets=4)
+    store.users.load(spark.createDataFrame([("t1", "ann", None), ("t2", "old", "e2"), ("t3", "cid", "e9")], "target_id string, name string, ext_id string"))
+
+    def users():
+        return sorted((r["target_id"], r["name"], r["ext_id"], r["active"]) for r in store.users.records().collect())
+
+    def refused():
+        return sorted(tuple(r) for r in st.read_batches(spark, store.refused, sync.REFUSED).select(st.BATCH, "kind", "ext_id", "label").collect())
+
+    first = provider(spark, [("e1", "ann", None, None), ("e2", "bob", None, None), ("e3", None, "dan@x", None), ("e4", "", "", None), ("e5", "cid", None, None)],
+                     [("g1", "staff")], [("e1", "group", None, "staff"), ("e1", "group", None, "all"), ("e2", "organization", "o1", "Org"), ("e5", "group", None, "no")])
+    events = admin(spark, [("USER", "UPDATE", i) for i in ("e1", "e2", "e3", "e4", "e5")] + [("GROUP", "UPDATE", "g1"), ("CLIENT", "UPDATE", "e1")])
+    for _ in range(2):  # a batch that is repeated after a failure gives the same
+        store.apply(events, 0, first)
+        assert users() == [("new-e3", "dan@x", "e3", True), ("t1", "ann", "e1", True), ("t2", "bob", "e2", True), ("t3", "cid", "e9", True)]
+        assert refused() == [(0, "user", "e4", "rejected"), (0, "user", "e5", "conflict")]
+        assert sorted((r["name"], r["target_id"], r["ext_id"]) for r in store.groups.records().collect()) == [("all", "new-all", None), ("staff", "new-g1", "g1")]
+        held = sorted(tuple(r) for r in store.members.read().collect())
+        assert held == [("e1", "group", "new-all"), ("e1", "group", "new-g1"), ("e2", "organization", "new-o1")]
+    # the name that e2 gives up is free from the next batch on; a deleted user is inactive, memberships follow
+    second = provider(spark, [("e2", "bobby", None, None), ("e6", "bob", None, None), ("e3", "dan", None, True)], [("g1", "team")], [("e2", "group", None, "all")])
+    store.apply(admin(spark, [("USER", "UPDATE", "e2"), ("USER", "UPDATE", "e6"), ("USER", "UPDATE", "e1"), ("USER", "DELETE", "e1"), ("USER", "DELETE", "e3"), ("GROUP", "UPDATE", "g1")]), 1, second)
+    assert users() == [("new-e3", "dan", "e3", True), ("t1", "ann", "e1", False), ("t2", "bobby", "e2", True), ("t3", "cid", "e9", True)]
+    assert refused()[-1] == (1, "user", "e6", "conflict")
+    assert sorted(tuple(r) for r in store.members.read().collect()) == [("e2", "group", "new-all")]
+    store.apply(admin(spark, [("GROUP_MEMBERSHIP", "CREATE", "e6")]), 2, second)
+    assert ("new-e6", "bob", "e6", True) in users()
+    assert sorted((r["name"], r["target_id"]) for r in store.groups.records().collect()) == [("all", "new-all"), ("team", "new-g1")]
+    for table in (store.users.entries, store.members):
+        table.vacuum(2)
+    assert ("new-e6", "bob", "e6", True) in users() and len(users()) == 5
+
+
+def test_a_batch_reads_only_the_buckets_it_touches(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "keyed"), "key string, v bigint", "key", 32)
+    table.load(spark.range(500).select(F.concat(F.lit("k"), F.col("id")).alias("key"), F.col("id").alias("v")))
+    before = {r["key"]: r["v"] for r in table.read().collect()}
+    for n, keys in enumerate((["k1", "k2", "k3"], ["k7"], ["new"])):
+        rows = spark.createDataFrame([(k, -1) for k in keys], table.schema)
+        table.replace(rows, rows.select("key"), n)
+        assert 0 < len(table.last_read) <= len(keys)
+        before |= dict.fromkeys(keys, -1)
+        assert {r["key"]: r["v"] for r in table.read().collect()} == before and len(table.last_read) == 32
+    assert {f.split("bucket=")[1].split("/")[0] for f in table.read(3, [0]).inputFiles()} == {"0"}
+    # the state before a batch stays readable while its versions are kept
+    assert {r["key"]: r["v"] for r in table.read(1).collect()}["k7"] == 7
 
 
 START = dt.datetime(2024, 1, 1)

@@ -1,4 +1,4 @@
-"""Streams over topics: consume with error isolation, notices, identity and state.
+"""Streams over topics: consume with error isolation, notices and state.
 
 All sinks are written per micro-batch into a folder named after the batch, which is overwritten
 when a batch is repeated after a failure. A repeated batch therefore never counts twice.
@@ -15,7 +15,6 @@ from pyspark.sql.types import LongType
 
 from tidemark.operators.events import latest_change
 from tidemark.operators.history import TERMINAL
-from tidemark.operators.identity import resolve_users
 from tidemark.operators.retention import IDLE_SECONDS, join_slots, time_slots
 from tidemark.sources.topics import parse_cdc
 
@@ -172,45 +171,6 @@ def compact_first(spark: SparkSession, path: str, schema, keys: Sequence[str], o
     compact(spark, path, schema, lambda rows: _first(rows, keys, order))
 
 
-def sync_identity(users: DataFrame, path: str, checkpoint: str, target: DataFrame, refused: str):
-    """Upsert users of each batch into the target store; users in conflict and rejected ones are
-    written below ``refused``.
-
-    Each batch is reduced to one row per external id, resolved against the store as it is after
-    the earlier batches, and its written rows are added. The store is the original target under
-    the newest written row per target user.
-    """
-    spark = users.sparkSession
-    schema = "target_id string, username string, ext_id string, label string"
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        source = batch.groupBy("ext_id").agg(
-            F.max_by(F.struct("username", "email"), "seq").alias("u")
-        ).select("ext_id", "u.*")
-        store = target if batch_id == 0 else identity_store(
-            read_batches(spark, path, schema).filter(F.col(BATCH) < batch_id), target
-        )
-        resolved = resolve_users(source, store)
-        taken = F.col("label").isin("matched_id", "matched_name", "new")
-        write_batch(resolved.filter(~taken).select("ext_id", F.col("name").alias("username"), "label"), refused, batch_id)
-        done = resolved.filter(taken)
-        rows = done.select(
-            F.coalesce("target_id", F.concat(F.lit("new-"), "ext_id")).alias("target_id"),
-            F.col("name").alias("username"), "ext_id", "label",
-        )
-        write_batch(rows, path, batch_id)
-
-    return users.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-
-
-def identity_store(written: DataFrame, target: DataFrame) -> DataFrame:
-    """Target rows with the newest written row of each."""
-    base = target.select("target_id", "username", "ext_id", F.lit(-1).cast("long").alias(BATCH))
-    rows = base.unionByName(written.select("target_id", "username", "ext_id", BATCH))
-    last = rows.groupBy("target_id").agg(F.max_by(F.struct("username", "ext_id"), BATCH).alias("t"))
-    return last.select("target_id", "t.*")
-
-
 def keep_first(rows: DataFrame, keys: Sequence[str], order: str, path: str, checkpoint: str):
     """Keep one row per key, the first by ``order``: each batch adds its own first rows.
 

@@ -186,6 +186,154 @@ SQL_TARGET = """tgt AS (
   FROM customer WHERE c_custkey % 3 <> 0)"""
 
 
+# ---- admin events, and what the identity provider and the target hold
+
+SYNC_STEPS = 4
+
+
+def admin_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Admin events in four arrival steps: every user once, some again, some deleted, every nation's
+    group, and kinds that nobody listens to."""
+    key, nation = F.col("c_custkey"), F.col("n_nationkey")
+    user = F.format_string("users/u%09d", key)
+    step = (key * 7919 + 13) % SYNC_STEPS
+
+    def event(kind: str, operation: Column, path: Column, seq: Column, at: Column, given: Column) -> Column:
+        return F.when(given, F.struct(
+            F.lit(kind).alias("resource_type"), operation.alias("operation_type"), path.alias("resource_path"),
+            seq.cast("long").alias("seq"), at.cast("int").alias("step")))
+
+    def rows(frame: DataFrame, *sent: Column) -> DataFrame:
+        return frame.select(F.explode(F.filter(F.array(*sent), lambda e: e.isNotNull())).alias("e")).select("e.*")
+
+    update = F.lit("UPDATE")
+    users = rows(
+        table(spark, sf, "customer"),
+        event("USER", F.when(key % 29 == 0, "DELETE").otherwise("UPDATE"), user, key * 10, step, F.lit(True)),
+        event("GROUP_MEMBERSHIP", update, F.concat(user, F.lit("/groups/x")), key * 10 + 1, (step + 2) % SYNC_STEPS, key % 10 == 0),
+        event("CLIENT_ROLE_MAPPING", update, F.concat(user, F.lit("/role-mappings")), key * 10 + 2, step, key % 15 == 0),
+        event("CLIENT", update, user, key * 10 + 3, step, key % 11 == 0),
+    )
+    group = F.concat(F.lit("groups/g"), text(nation))
+    groups = rows(
+        table(spark, sf, "nation"),
+        event("GROUP", update, group, nation * 10 + 4, nation % SYNC_STEPS, F.lit(True)),
+        event("GROUP", update, group, nation * 10 + 5, (nation + 1) % SYNC_STEPS, nation % 5 == 0),
+    )
+    return users.unionByName(groups)
+
+
+def provider_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of the provider; some carry the name of another one."""
+    key = F.col("n_nationkey")
+    nation = table(spark, sf, "nation")
+    other = nation.select((key + 1).alias("n_nationkey"), F.col("n_name").alias("before"))
+    return nation.join(other, "n_nationkey", "left").select(
+        F.concat(F.lit("g"), text("n_nationkey")).alias("ext_id"),
+        F.when(key % 6 == 5, F.col("before")).otherwise(F.col("n_name")).alias("name"))
+
+
+def provider_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Memberships of the provider's users in a nation's and a region's group and in an organization."""
+    places = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, sf, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    none = F.lit(None).cast("string")
+    org = F.when(F.col("c_custkey") % 4 != 0, F.struct(
+        F.lit("organization").alias("kind"), F.concat(F.lit("o"), "c_mktsegment").alias("ext_id"), F.col("c_mktsegment").alias("name")))
+    groups = [F.struct(F.lit("group").alias("kind"), none.alias("ext_id"), F.col(c).alias("name")) for c in ("n_name", "r_name")]
+    return rows.select(
+        F.format_string("u%09d", "c_custkey").alias("user_ext"),
+        F.explode(F.filter(F.array(*groups, org), lambda m: m.isNotNull())).alias("m")).select("user_ext", "m.*")
+
+
+def target_groups(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    return table(spark, sf, "nation").filter(key % 3 != 0).select(
+        F.concat(F.lit("tg"), text(key)).alias("target_id"),
+        F.when(key % 4 == 0, F.concat("n_name", F.lit("-old"))).otherwise(F.col("n_name")).alias("name"),
+        F.when(key % 5 != 0, F.concat(F.lit("g"), text(key))).alias("ext_id"))
+
+
+def target_organizations(spark: SparkSession, sf: str) -> DataFrame:
+    """Organizations with an even number of letters wait for a link, the others have one and an old name."""
+    even = F.length("s") % 2 == 0
+    return table(spark, sf, "customer").select(F.col("c_mktsegment").alias("s")).distinct().select(
+        F.concat(F.lit("to"), "s").alias("target_id"),
+        F.when(even, F.col("s")).otherwise(F.concat("s", F.lit("-old"))).alias("name"),
+        F.when(~even, F.concat(F.lit("o"), "s")).alias("ext_id"))
+
+
+def sql_directory(p: str, init: str, asked: dict[int, str]) -> str:
+    """The states ``{p}s0`` to ``{p}s4`` of a directory and the labels ``{p}t0`` to ``{p}t3`` of each step's rows."""
+    parts = [f"{p}s0 AS MATERIALIZED ({init})"]
+    for b in range(SYNC_STEPS):
+        parts.append(f"""{p}a{b} AS MATERIALIZED ({asked[b]}),
+{p}k{b} AS (SELECT a.ext_id, a.name, a.active, s.name AS old_name, s.target_id AS own FROM {p}a{b} a LEFT JOIN {p}s{b} s ON s.ext_id = a.ext_id),
+{p}w{b} AS (SELECT name, min(ext_id) AS winner FROM {p}k{b} WHERE ext_id IS NOT NULL AND name IS NOT NULL AND old_name IS DISTINCT FROM name GROUP BY name),
+{p}r{b} AS MATERIALIZED (SELECT k.*, o.target_id AS owner, winner, CASE
+    WHEN k.ext_id IS NULL THEN CASE WHEN o.target_id IS NOT NULL THEN 'there' WHEN winner IS NULL THEN 'insert' ELSE 'claimed' END
+    WHEN old_name IS NOT NULL AND (k.name IS NULL OR k.name = old_name) THEN 'noop'
+    WHEN k.name IS NULL THEN 'rejected' WHEN winner <> k.ext_id THEN 'conflict'
+    WHEN o.target_id IS NULL THEN CASE WHEN old_name IS NULL THEN 'insert' ELSE 'rename' END
+    WHEN o.ext_id IS NULL AND old_name IS NULL THEN 'adopt' ELSE 'conflict' END AS label
+  FROM {p}k{b} k LEFT JOIN {p}s{b} o ON o.name = k.name LEFT JOIN {p}w{b} w ON w.name = k.name),
+{p}t{b} AS MATERIALIZED (SELECT r.ext_id, r.name, r.old_name, r.active, r.label, CASE
+    WHEN r.label IN ('noop', 'rename') THEN r.own WHEN r.label IN ('adopt', 'there') THEN r.owner
+    WHEN r.label = 'insert' THEN 'new-' || coalesce(r.ext_id, r.name) WHEN r.label = 'claimed' THEN coalesce(c.own, 'new-' || c.ext_id) END AS target_id
+  FROM {p}r{b} r LEFT JOIN {p}r{b} c ON r.label = 'claimed' AND c.ext_id = r.winner),
+{p}s{b + 1} AS MATERIALIZED (
+  SELECT s.target_id, CASE WHEN t.label IN ('rename', 'adopt') THEN t.name ELSE s.name END AS name, coalesce(t.ext_id, s.ext_id) AS ext_id, coalesce(t.active, s.active) AS active
+  FROM {p}s{b} s LEFT JOIN {p}t{b} t ON t.target_id = s.target_id AND t.label IN ('noop', 'rename', 'adopt')
+  UNION ALL SELECT target_id, name, ext_id, active FROM {p}t{b} WHERE label = 'insert')""")
+    return ",\n".join(parts)
+
+
+def _sql_sync() -> str:
+    steps = range(SYNC_STEPS)
+    users = {b: f"SELECT e.ext_id, s.name, coalesce(s.enabled, NOT e.deleted) AS active FROM ev{b} e LEFT JOIN usrc s USING (ext_id)" for b in steps}
+    groups = {b: f"""SELECT ext_id, name, true AS active FROM gsrc WHERE gkey % 4 = {b} OR gkey % 5 = 0 AND (gkey + 1) % 4 = {b}
+    UNION ALL SELECT DISTINCT NULL, name, true FROM want{b} WHERE kind = 'group'""" for b in steps}
+    orgs = {b: f"SELECT ext_id, min(name) AS name, true AS active FROM want{b} WHERE kind = 'organization' GROUP BY ext_id" for b in steps}
+    events = ",\n".join(f"""ev{b} AS MATERIALIZED (SELECT ext_id, max_by(del, seq) AS deleted FROM aev WHERE step = {b} GROUP BY ext_id)""" for b in steps)
+    wants = ",\n".join(
+        f"want{b} AS MATERIALIZED (SELECT m.* FROM msrc m JOIN ut{b} t ON t.ext_id = m.user_ext AND t.label IN ('noop', 'rename', 'adopt', 'insert'))"
+        for b in steps)
+    last = " UNION ALL ".join(f"SELECT ext_id, {b} AS b FROM ut{b} WHERE label IN ('noop', 'rename', 'adopt', 'insert')" for b in steps)
+    members = " UNION ALL ".join(f"""SELECT DISTINCT {b} AS b, w.user_ext, w.kind, coalesce(g.target_id, o.target_id) AS target_id FROM want{b} w
+      LEFT JOIN gt{b} g ON w.kind = 'group' AND g.ext_id IS NULL AND g.name = w.name
+      LEFT JOIN ot{b} o ON w.kind = 'organization' AND o.ext_id = w.ext_id AND o.label IN ('noop', 'rename', 'adopt', 'insert')""" for b in steps)
+    refused = " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, {b} AS b, ext_id, name, label FROM {p}t{b} WHERE label IN ('conflict', 'rejected')"
+        for p, kind in (("u", "user"), ("g", "group"), ("o", "organization")) for b in steps)
+    n = SYNC_STEPS
+    return f"""WITH {sql_source()}, {SQL_TARGET},
+usrc AS (SELECT ext_id, name, CASE WHEN c_custkey % 31 = 0 THEN true END AS enabled FROM src),
+aev AS (
+  SELECT c_custkey, printf('u%09d', c_custkey) AS ext_id, unnest([0, 1, 2]) AS j, (c_custkey * 7919 + 13) % 4 AS st FROM customer),
+{events.replace("FROM aev WHERE step", "FROM (SELECT ext_id, j = 0 AND c_custkey % 29 = 0 AS del, c_custkey * 10 + j AS seq, CASE j WHEN 1 THEN (st + 2) % 4 ELSE st END AS step FROM aev WHERE j = 0 OR j = 1 AND c_custkey % 10 = 0 OR j = 2 AND c_custkey % 15 = 0) WHERE step")},
+gsrc AS (SELECT n.n_nationkey AS gkey, 'g' || n.n_nationkey AS ext_id, CASE WHEN n.n_nationkey % 6 = 5 THEN b.n_name ELSE n.n_name END AS name
+  FROM nation n LEFT JOIN nation b ON b.n_nationkey = n.n_nationkey - 1),
+msrc AS MATERIALIZED (
+  SELECT printf('u%09d', c_custkey) AS user_ext, 'group' AS kind, NULL AS ext_id, unnest([n_name, r_name]) AS name
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT printf('u%09d', c_custkey), 'organization', 'o' || c_mktsegment, c_mktsegment FROM customer WHERE c_custkey % 4 <> 0),
+{sql_directory("u", "SELECT target_id, username AS name, ext_id, true AS active FROM tgt", users)},
+{wants},
+{sql_directory("g", "SELECT 'tg' || n_nationkey AS target_id, CASE WHEN n_nationkey % 4 = 0 THEN n_name || '-old' ELSE n_name END AS name, CASE WHEN n_nationkey % 5 <> 0 THEN 'g' || n_nationkey END AS ext_id, true AS active FROM nation WHERE n_nationkey % 3 <> 0", groups)},
+{sql_directory("o", "SELECT DISTINCT 'to' || c_mktsegment AS target_id, CASE WHEN length(c_mktsegment) % 2 = 0 THEN c_mktsegment ELSE c_mktsegment || '-old' END AS name, CASE WHEN length(c_mktsegment) % 2 = 1 THEN 'o' || c_mktsegment END AS ext_id, true AS active FROM customer", orgs)},
+last AS (SELECT ext_id, max(b) AS b FROM ({last}) GROUP BY ext_id),
+members AS ({members}),
+refused AS ({refused})
+SELECT 'user' AS kind, target_id AS id, name, ext_id, active, NULL AS label FROM us{n}
+UNION ALL SELECT 'group', target_id, name, ext_id, active, NULL FROM gs{n}
+UNION ALL SELECT 'organization', target_id, name, ext_id, active, NULL FROM os{n}
+UNION ALL SELECT 'member of ' || m.kind, m.user_ext, m.target_id, NULL, NULL, NULL FROM members m JOIN last l ON l.ext_id = m.user_ext AND l.b = m.b WHERE m.target_id IS NOT NULL
+UNION ALL SELECT 'refused ' || kind, CAST(b AS VARCHAR), name, ext_id, NULL, label FROM refused"""
+
+
+SQL_SYNC = _sql_sync()
+
+
 def roles(spark: SparkSession, sf: str) -> DataFrame:
     """Role assignments: the order priorities of a customer."""
     return table(spark, sf, "orders").select(F.col("o_custkey").alias("user"), F.col("o_orderpriority").alias("role"))

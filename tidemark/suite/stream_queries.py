@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.session import scratch
 from tidemark.sources import topics
 from tidemark.streaming import consume as st
+from tidemark.streaming import identity as sync
 from tidemark.streaming import stateful
 from tidemark.suite import derive as d
 from tidemark.suite import history_queries, notify_queries, topic_queries
@@ -92,26 +93,33 @@ def stream_notify(spark, sf):
     return spark.read.schema(schema).parquet(out)
 
 
-@query("stream_identity", f"""WITH {d.sql_source(False)}, {d.SQL_TARGET},
-byid AS (SELECT src.*, tgt.target_id AS tid FROM src LEFT JOIN tgt USING (ext_id)),
-res AS (SELECT coalesce(tid, t.target_id, 'new-' || b.ext_id) AS target_id, b.name AS username, b.ext_id
-  FROM byid b LEFT JOIN tgt t ON b.tid IS NULL AND t.username = b.name WHERE b.tid IS NOT NULL OR b.name IS NOT NULL)
-SELECT target_id, coalesce(res.username, tgt.username) AS username, coalesce(res.ext_id, tgt.ext_id) AS ext_id
-FROM tgt FULL JOIN res USING (target_id)""")
+@query("stream_identity", d.SQL_SYNC)
 def stream_identity(spark, sf):
-    out, mark, refused = (scratch(spark, n) for n in ("identity", "mark", "refused"))
-    target = d.identity_target(spark, sf)
-    rows = d.identity_source(spark, sf, shared_names=False)
-
-    def start(stream):
-        return st.sync_identity(stream, out, mark, target, refused)
-
-    _replay(spark, rows, F.col("seq") % 2 == 0, start)
-    written = st.read_batches(spark, out, "target_id string, username string, ext_id string, label string")
-    store = st.identity_store(written, target)
-    kept = F.coalesce(F.col("username"), F.col("old"))
-    before = target.select("target_id", F.col("username").alias("old"))
-    return store.join(before, "target_id", "left").select("target_id", kept.alias("username"), "ext_id")
+    """Admin events in four steps keep users, groups, organizations and memberships in step with the
+    provider: the records, the memberships and the refused rows of each step."""
+    path, mark = scratch(spark, "identity"), scratch(spark, "mark")
+    store = sync.IdentityStore(spark, path, buckets=8)
+    store.users.load(d.identity_target(spark, sf).withColumnRenamed("username", "name"))
+    store.groups.load(d.target_groups(spark, sf))
+    store.organizations.load(d.target_organizations(spark, sf))
+    enabled = F.when(F.col("seq") % 31 == 0, True)
+    source = sync.Source(
+        users=lambda: d.identity_source(spark, sf).withColumn("enabled", enabled).drop("seq"),
+        groups=lambda: d.provider_groups(spark, sf),
+        members=lambda: d.provider_members(spark, sf))
+    rows = d.admin_events(spark, sf)
+    _replay_steps(spark, rows, F.col("step"), d.SYNC_STEPS, lambda stream: sync.sync_admin_events(stream, store, mark, source))
+    none = F.lit(None).cast("string")
+    out = store.members.read().select(
+        F.concat(F.lit("member of "), "kind").alias("kind"), F.col("user_ext").alias("id"), F.col("target_id").alias("name"),
+        none.alias("ext_id"), F.lit(None).cast("boolean").alias("active"), none.alias("label"))
+    for kind, held in (("user", store.users), ("group", store.groups), ("organization", store.organizations)):
+        out = out.unionByName(held.records().select(
+            F.lit(kind).alias("kind"), F.col("target_id").alias("id"), "name", "ext_id", "active", none.alias("label")))
+    refused = st.read_batches(spark, store.refused, sync.REFUSED)
+    return out.unionByName(refused.select(
+        F.concat(F.lit("refused "), "kind").alias("kind"), F.col(st.BATCH).cast("string").alias("id"), "name", "ext_id",
+        F.lit(None).cast("boolean").alias("active"), "label"))
 
 
 def _shuffled(rows, *key):
