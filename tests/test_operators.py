@@ -127,10 +127,23 @@ def test_deep_merge_sides_and_depth(spark):
     df = spark.createDataFrame([('{"a":1}', None)], "a string, b string")
     a, b = F.parse_json("a"), F.parse_json("b")
     assert df.select(F.to_json(jsontree.deep_merge(a, b)), F.to_json(jsontree.deep_merge(b, a))).first() == ('{"a":1}', '{"a":1}')
-    deep = '{"a":{"a":{"a":{"a":1}}}}'
-    df = spark.createDataFrame([(deep, deep)], "a string, b string")
-    assert df.select(F.to_json(jsontree.deep_merge(a, b, max_depth=4))).first()[0] == deep
-    assert df.select(F.to_json(jsontree.deep_merge(a, b, max_depth=2))).first()[0] == deep
+    for x, y, want in (("7", '{"a":1}', '{"a":1}'), ('{"a":1}', "[1]", "[1]"), ("{}", "{}", "{}"), ("null", "{}", "{}"), ('{"a":{"b":1}}', '{"a":{}}', '{"a":{"b":1}}'),
+                       ('{"a:1":{"":1},"é\\"":2}', '{"a:1":{"1:":3},"é\\"":{"x":[]}}', '{"a:1":{"":1,"1:":3},"é\\"":{"x":[]}}')):
+        df = spark.createDataFrame([(x, y)], "a string, b string")
+        assert df.select(F.to_json(jsontree.deep_merge(a, b))).first()[0] == want
+        plan = df.select(jsontree.deep_merge(a, b), jsontree.replace_strings(a, "x", "y"))._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan
+
+
+@pytest.mark.parametrize("levels", [2, 8, 40, 200])
+def test_numbers_stay_exact_at_any_depth(spark, levels):
+    number = "0.12345678901234567890123"
+    nest = lambda inner: '{"d":' * levels + inner + "}" * levels
+    df = spark.createDataFrame([(nest(f'{{"l":{number},"s":"old"}}'), nest('{"r":12345678901234567890123}'))], "a string, b string")
+    a, b = F.parse_json("a"), F.parse_json("b")
+    got = df.select(F.to_json(jsontree.deep_merge(a, b)), F.to_json(jsontree.replace_strings(a, "old", "new"))).first()
+    assert got[0] == nest(f'{{"l":{number},"r":12345678901234567890123,"s":"old"}}')
+    assert got[1] == nest(f'{{"l":{number},"s":"new"}}')
 
 
 def test_documents_of_twenty_levels(spark):
@@ -147,6 +160,15 @@ def test_documents_of_twenty_levels(spark):
     assert merged == got[0]
 
 
+def test_replace_of_texts_that_json_escapes(spark):
+    value = {'a"b': 'say "hi"\\ \n and/or é', "k": ["\n", 'a"b', {"a": "\t"}]}
+    df = spark.createDataFrame([(json.dumps(value),)], "j string")
+    for old, new in (('"', "'"), ("\n", "<br>"), ("\\", "/"), ("é", '"'), ("n", "\\n"), ("", "x")):
+        got = json.loads(df.select(F.to_json(jsontree.replace_strings(F.parse_json("j"), old, new))).first()[0])
+        swap = (lambda t: t.replace(old, new)) if old else (lambda t: t)
+        assert got == {'a"b': swap(value['a"b']), "k": [swap("\n"), swap('a"b'), {"a": swap("\t")}]}
+
+
 def test_replace_strings_at_any_depth(spark):
     def walk(value):
         if isinstance(value, str):

@@ -1,22 +1,23 @@
 """Nested JSON as VARIANT: lookup, filter, deep merge and value replacement.
 
-All functions are row-local column expressions. Recursion is unrolled to ``max_depth`` levels; the
-rare document that is deeper goes through a plain recursive function over Arrow batches.
+All functions are row-local column expressions of built-in functions, for any depth that the JSON
+parser takes (1,000 levels; a deeper text does not parse). A merge parts both trees into leaves with
+their paths, by as many steps as the deeper one has levels, decides leaf by leaf and writes the tree
+again; numbers stay the text they were read as.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-MAX_DEPTH = 8
 _OBJECT = "map<string,variant>"
-_ARRAY = "array<variant>"
 _NUMERIC = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
+# a JSON string, and one with what follows it in compact JSON: a colon after a key
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_TOKEN = _STRING + ':?+|[^"]++'
 
 
 def as_object(value: Column) -> Column:
@@ -24,11 +25,6 @@ def as_object(value: Column) -> Column:
     return F.try_variant_get(value, "$", _OBJECT)
 
 
-def as_array(value: Column) -> Column:
-    """The items of a JSON array, SQL NULL for anything else."""
-    return F.try_variant_get(value, "$", _ARRAY)
-
-
 def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
@@ -38,160 +34,128 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _too_deep(max_depth: int) -> Column:
-    return F.raise_error(F.lit(f"JSON nested deeper than {max_depth} levels")).cast("variant")
+def _levels(text: Column) -> Column:
+    """How deep the braces of a JSON text nest."""
+    braces = F.regexp_replace(F.regexp_replace(text, _STRING, ""), "[^{}]++", "")
 
+    def step(seen: Column, brace: Column) -> Column:
+        now = seen["now"] + F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(seen["most"], now).alias("most"))
 
-def deeper_than(value: Column, depth: int) -> Column:
-    """True when objects and arrays nest more than ``depth`` levels: without strings and scalars,
-    each pass takes the innermost pairs of brackets away."""
-    text = F.regexp_replace(F.to_json(value), r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
-    text = F.regexp_replace(text, r"[^\[\]{}]++", "")
-    for _ in range(depth):
-        text = F.regexp_replace(text, r"\[\]|\{\}", "")
-    return F.coalesce(F.length(text) > 0, F.lit(False))
+    begin = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.split(braces, ""), begin, step)["most"]
 
 
-def _deep_fold(add_keys: bool, merge_none: bool):
-    """Fold a list of JSON texts from the left, at any depth. ``overlay`` marks layers that change
-    nothing when they do not parse; None (no rules for layers) merges every text."""
+def _quoted(key: Column) -> Column:
+    return F.to_json(key.cast("variant"))
 
-    def run(layers: pd.Series, overlay: pd.Series) -> pd.Series:
-        import json
-        import sys
 
-        sys.setrecursionlimit(20_000)
+def leaves(value: Column) -> Column:
+    """Array of (path, place, text) of everything in a JSON value that is not an object with members.
 
-        def merge(old, new, none):
-            if not (isinstance(old, dict) and isinstance(new, dict)):
-                return new
-            out = dict(old)
-            for key, value in new.items():
-                if value is None and not none:
-                    continue
-                if key in old:
-                    out[key] = merge(old[key], value, True)
-                elif add_keys:
-                    out[key] = value
-            return out
-
-        def parsed(text):
-            try:
-                return True, json.loads(text)
-            except (TypeError, ValueError):
-                return False, None
+    ``path`` holds the keys; ``place`` is the path as one text in which each key comes after its length,
+    so one place begins with another exactly where its path does. ``text`` is JSON.
+    """
+    top = F.array(F.struct(F.array().cast("array<string>").alias("path"), F.lit("").alias("place"), value.alias("leaf")))
 
-        def fold(texts, marks):
-            done = texts[0]
-            for i in range(1, len(texts)):
-                (ok, old), (good, new) = parsed(done), parsed(texts[i])
-                if marks is not None and (good and not new or marks[i] and not good):
-                    continue
-                done = json.dumps(merge(old, new, merge_none), ensure_ascii=False) if ok and good else texts[i]
-            return done
+    def open_object(node: Column) -> Column:
+        def members(held: Column) -> Column:
+            inside = F.transform(F.map_entries(held), lambda m: F.struct(
+                F.concat(node["path"], F.array(m["key"])).alias("path"),
+                F.concat(node["place"], F.length(m["key"]).cast("string"), F.lit(":"), m["key"]).alias("place"),
+                m["value"].alias("leaf")))
+            return F.when(F.size(held) > 0, inside).otherwise(F.array(node))
 
-        return pd.Series([None if t is None else fold(list(t), m) for t, m in zip(layers, overlay)], dtype=object)
+        return _let(as_object(node["leaf"]), members)
 
-    return pandas_udf(run, "string")
+    opened = F.aggregate(
+        F.array_repeat(F.lit(0), _levels(F.to_json(value))), top, lambda nodes, _: F.flatten(F.transform(nodes, open_object)))
+    return F.transform(opened, lambda n: F.struct(n["path"].alias("path"), n["place"].alias("place"), F.to_json(n["leaf"]).alias("text")))
 
 
-def _deep_replace(old: str, new: str):
-    def run(texts: pd.Series) -> pd.Series:
-        import json
-        import sys
+def tree_text(found: Column) -> Column:
+    """JSON text of leaves as ``leaves`` gives them, with paths that form a tree."""
 
-        sys.setrecursionlimit(20_000)
+    def keys(path: Column) -> Column:
+        return F.array_join(F.transform(path, lambda k: F.concat(_quoted(k), F.lit(":"))), "{")
 
-        def walk(v):
-            if isinstance(v, dict):
-                return {k: walk(x) for k, x in v.items()}
-            if isinstance(v, list):
-                return [walk(x) for x in v]
-            return v.replace(old, new) if isinstance(v, str) else v
+    def write(ordered: Column) -> Column:
+        def piece(leaf: Column, i: Column) -> Column:
+            path, before = leaf["path"], F.get(ordered, i - 1)["path"]
+            depth, last = F.size(path), F.size(before)
+            shared = F.size(F.filter(
+                F.sequence(F.lit(1), F.least(depth, last)), lambda j: F.slice(path, F.lit(1), j) == F.slice(before, F.lit(1), j)))
+            next_ = F.concat(
+                F.repeat(F.lit("}"), last - 1 - shared), F.lit(","), keys(F.slice(path, shared + 1, depth)), leaf["text"])
+            first = F.concat(F.when(depth > 0, "{").otherwise(""), keys(path), leaf["text"])
+            return F.when(i == 0, first).otherwise(next_)
 
-        return pd.Series([None if t is None else json.dumps(walk(json.loads(t)), ensure_ascii=False) for t in texts], dtype=object)
+        end = F.repeat(F.lit("}"), F.size(F.element_at(ordered, -1)["path"]))
+        return F.concat(F.array_join(F.transform(ordered, piece), ""), end)
 
-    return pandas_udf(run, "string")
+    return _let(F.sort_array(found), write)
 
 
-def fold_deep(layers: Column, overlay: Column) -> Column:
-    """JSON text of layers (array of texts) merged from the left at any depth; ``overlay`` is an array
-    of flags. Empty layers and overlays that do not parse change nothing."""
-    return _deep_fold(True, True)(layers, overlay)
+def merge_text(left: Column, right: Column, add_keys: bool = True, merge_none: bool = True) -> Column:
+    """JSON text of variant ``right`` merged over variant ``left``, neither of them NULL; may stand in a lambda.
 
+    A leaf of the left side stays unless the right side has a leaf at its place or above it, or one
+    below it, which makes an object of it. A row costs the product of both numbers of leaves.
+    """
 
-def _merge(left: Column, right: Column, depth: int, max_depth: int, add_keys: bool, merge_none: bool) -> Column:
-    both = as_object(left).isNotNull() & as_object(right).isNotNull()
-    if depth == 0:
-        return F.when(both, _too_deep(max_depth)).otherwise(right)
+    def meets(a: Column, b: Column) -> Column:
+        return a["place"].startswith(b["place"])
 
-    def member(_key: Column, old: Column, new: Column) -> Column:
-        # a key missing on one side is SQL NULL here, a JSON null is a VOID variant
-        added = new if add_keys else F.lit(None).cast("variant")
-        if not merge_none:
-            added = F.when(_kind(new) == "VOID", F.lit(None).cast("variant")).otherwise(added)
-        out = F.when(new.isNull(), old).when(old.isNull(), added)
+    def merge(both: Column) -> Column:
+        old, new = both[0], both[1]
+        is_empty = lambda leaf: leaf["text"] == "{}"
+        # an empty object changes nothing where the left side has an object
+        kept = F.filter(new, lambda r: ~(is_empty(r) & F.exists(
+            old, lambda l: meets(l, r) & ((l["place"] != r["place"]) | is_empty(l)))))
         if not merge_none:
-            out = out.when(_kind(new) == "VOID", old)
-        # the null flag holds for the top level only, add_keys for all levels
-        return out.otherwise(_merge(old, new, depth - 1, max_depth, add_keys, True))
+            top_object = ~F.exists(old, lambda l: (l["place"] == "") & ~is_empty(l))
+            kept = F.filter(kept, lambda r: ~(top_object & (F.size(r["path"]) == 1) & (r["text"] == "null")))
+        if not add_keys:
+            # the left side has the key, or a leaf in the place of an object on the way
+            kept = F.filter(kept, lambda r: F.exists(old, lambda l: meets(l, r) | (meets(r, l) & ~is_empty(l))))
+        return _let(kept, lambda k: tree_text(F.concat(
+            F.filter(old, lambda l: ~F.exists(k, lambda r: meets(l, r) | meets(r, l))), k)))
 
-    merged = F.map_zip_with(as_object(left), as_object(right), member)
-    present = F.map_filter(merged, lambda _k, v: v.isNotNull())
-    return F.when(both, F.to_variant_object(present)).otherwise(right)
+    return _let(F.array(leaves(left), leaves(right)), merge)
 
 
-def deep_merge(
-    left: Column, right: Column, add_keys: bool = True, merge_none: bool = True, max_depth: int = MAX_DEPTH
-) -> Column:
+def deep_merge(left: Column, right: Column, add_keys: bool = True, merge_none: bool = True) -> Column:
     """Merge variant ``right`` over variant ``left``.
 
     Objects merge member by member, anything else is replaced. ``add_keys=False`` keeps only the
     keys of the left side; ``merge_none=False`` ignores JSON nulls at the top level of the right
     side. An SQL NULL side gives the other side.
     """
-    deep = deeper_than(left, max_depth) | deeper_than(right, max_depth)
-    both = F.when(deep, F.array(F.to_json(left), F.to_json(right)))
-    far = F.parse_json(_deep_fold(add_keys, merge_none)(both, F.lit(None).cast("array<boolean>")))
-    merged = merge_levels(left, right, add_keys, merge_none, max_depth)
-    return F.when(deep & left.isNotNull() & right.isNotNull(), far).otherwise(merged)
-
-
-def merge_levels(
-    left: Column, right: Column, add_keys: bool = True, merge_none: bool = True, max_depth: int = MAX_DEPTH
-) -> Column:
-    """``deep_merge`` as one expression, which may stand in a lambda; deeper documents raise."""
-    merged = _merge(left, right, max_depth, max_depth, add_keys, merge_none)
+    merged = F.parse_json(F.when(left.isNotNull() & right.isNotNull(), merge_text(left, right, add_keys, merge_none)))
     return F.when(right.isNull(), left).when(left.isNull(), right).otherwise(merged)
 
 
-def replace_strings(value: Column, old: str, new: str, max_depth: int = MAX_DEPTH) -> Column:
-    """Replace a substring in every string value at any depth; keys and other types stay."""
-
-    def walk(v: Column, depth: int) -> Column:
-        members, items = as_object(v), as_array(v)
-        # object members and array items in one list, so that each level is unrolled once
-        children = F.coalesce(
-            F.map_entries(members),
-            F.transform(items, lambda x: F.struct(F.lit("").alias("key"), x.alias("value"))),
-        )
-        if depth == 0:
-            nested = F.when(children.isNotNull(), _too_deep(max_depth))
-        else:
-            done = F.transform(children, lambda e: F.struct(e["key"].alias("key"), walk(e["value"], depth - 1).alias("value")))
-            rebuilt = _let(
-                done,
-                lambda pairs: F.when(members.isNotNull(), F.to_variant_object(F.map_from_entries(pairs))).otherwise(
-                    F.to_variant_object(F.transform(pairs, lambda e: e["value"]))
-                ),
-            )
-            nested = F.when(children.isNotNull(), rebuilt)
-        text = F.try_variant_get(v, "$", "string")
-        return nested.when(_kind(v) == "STRING", F.replace(text, F.lit(old), F.lit(new)).cast("variant")).otherwise(v)
-
-    deep = deeper_than(value, max_depth)
-    far = F.parse_json(_deep_replace(old, new)(F.when(deep, F.to_json(value))))
-    return F.when(deep, far).otherwise(walk(value, max_depth))
+def replace_strings(value: Column, old: str, new: str) -> Column:
+    """Replace a substring in every string value at any depth; keys and other types stay.
+
+    The JSON text is cut into strings and the rest; a string that no colon follows is a value.
+    """
+    plain = old.isascii() and old.isprintable() and not set(old) & set('"\\/')
+    if old == "":
+        return value
+
+    def changed(token: Column) -> Column:
+        text = F.variant_get(F.parse_json(token), "$", "string")
+        return F.when(token.startswith('"') & token.endswith('"'), _quoted(F.replace(text, F.lit(old), F.lit(new)))).otherwise(token)
+
+    def walk(text: Column) -> Column:
+        done = F.array_join(F.transform(
+            F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)),
+            lambda t: F.when(t.contains(old), changed(t)).otherwise(t) if plain else changed(t)), "")
+        # texts without it are not cut at all; escapes may hide one that is not plain
+        return F.when(text.contains(old), done).otherwise(text) if plain else done
+
+    return F.parse_json(_let(F.to_json(value), walk))
 
 
 def lookup(json_text: Column, path: str) -> Column:

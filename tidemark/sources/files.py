@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.jsontree import MAX_DEPTH, deeper_than, fold_deep, merge_levels
+from tidemark.functions.jsontree import merge_text
 
 # Fixed value: a result file above this size is also reported.
 RESULT_CAP = 2**20
@@ -86,17 +86,13 @@ def merge_layers(files: DataFrame, envs: Sequence[str] = ()) -> DataFrame:
     def fold(done: Column, layer: Column) -> Column:
         new, overlay = layer["content"], layer["rank"]["env"] > 0
         left, right = F.try_parse_json(done), F.try_parse_json(new)
-        merged = F.to_json(merge_levels(left, right))
+        merged = merge_text(left, right)
         empty = F.to_json(right).isin("null", "false", "0", '""', "[]", "{}")
         keep = F.coalesce(empty, F.lit(False)) | (overlay & right.isNull())
         return F.when(keep, done).when(left.isNull() | right.isNull(), new).otherwise(merged)
 
     merged = F.aggregate(F.slice("layers", F.lit(2), F.size("layers")), F.element_at(contents, 1), fold)
     is_json = F.lower(F.col("file")).endswith(".json")
-    deep = is_json & F.exists(contents, lambda c: deeper_than(F.try_parse_json(c), MAX_DEPTH))
-    overlay = F.transform("layers", lambda x: x["rank"]["env"] > 0)
-    far = fold_deep(F.when(deep, contents), F.when(deep, overlay))
-    merged = F.when(deep, F.coalesce(F.to_json(F.try_parse_json(far)), far)).otherwise(merged)
     whole = F.element_at(contents, -1)
     raw = [F.element_at("layers", -1)["raw"].alias("raw")] if "raw" in files.columns else []
     return grouped.select(
