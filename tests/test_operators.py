@@ -538,7 +538,7 @@ def test_chained_tags_against_brute_force(spark):
 
 
 def test_fingerprint_changes_with_path_and_content(spark):
-    def tag(data, ignore=None):
+    def tag(data, ignore=()):
         df = spark.createDataFrame([("g", p, c) for p, c in data], "g string, p string, c string")
         return graph.fingerprint(df, "g", "p", "c", ignore).first()["fingerprint"]
 
@@ -546,7 +546,7 @@ def test_fingerprint_changes_with_path_and_content(spark):
     assert tag(base) == tag(list(reversed(base)))
     assert tag(base) != tag([("g0", "text 0"), *base[1:]])
     assert tag(base) != tag([("f0", "other"), *base[1:]])
-    assert tag(base[1:]) == tag(base, ignore="^f0$")
+    assert tag(base[1:]) == tag(base, ignore=["/f0"])
 
 
 def test_integrity_levels(spark):
@@ -652,3 +652,119 @@ def test_validation_treats_null_as_broken(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (-1, "b")], "n int, s string")
     checked = events.validate(df, {"n": F.col("n") > 0, "s": F.col("s").rlike("^[a-z]$")})
     assert {r["rule"]: r["n"] for r in events.validation_summary(checked).collect()} == {"ok": 1, "n": 1, "s": 1}
+
+
+# ---- ignore lists, hash trees, images, tasks and hooks
+
+def plain_ignored(path, patterns):
+    """Segment by segment, without regular expressions over whole paths."""
+    import fnmatch
+
+    def segments(parts, pattern):
+        if not pattern:
+            return True  # what lies inside matches too
+        if not parts:
+            return pattern == ["**"] and False
+        if pattern[0] == "**":
+            if len(pattern) == 1:
+                return True
+            return any(segments(parts[i:], pattern[1:]) for i in range(len(parts)))
+        return fnmatch.fnmatchcase(parts[0], pattern[0]) and segments(parts[1:], pattern[1:])
+
+    ignored = False
+    for p in patterns:
+        if not p.strip("/ ") or p.startswith("#"):
+            continue
+        again, p = p.startswith("!"), p.lstrip("!")
+        folder, body = p.endswith("/"), p.rstrip("/")
+        pattern = body.lstrip("/").split("/")
+        if "/" not in body:
+            pattern = ["**", *pattern]
+        parts = path.split("/")
+        if folder:
+            parts = parts[:-1]  # the folder itself has to match, not the file
+        if parts and segments(parts, pattern):
+            ignored = not again
+    return ignored
+
+
+def test_ignore_lists_equal_a_plain_matcher(spark):
+    from tidemark.functions.text import ignored_path
+
+    rng = random.Random(7)
+    paths = sorted({"/".join(rng.choice(["a", "b", "ab", "a.py", "build", "x1"]) for _ in range(rng.randint(1, 4))) for _ in range(150)})
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    pool = ["a", "/a", "a/", "b/a", "*.py", "!a.py", "**/b", "a/**/b", "b/**", "!b/a/*", "x?", "x[0-9]", "[!a]", "# a", "", "/", "/build/", "!/build/a", "a*", "**/a/*"]
+    for _ in range(40):
+        patterns = rng.sample(pool, rng.randint(0, 5))
+        got = {r["p"] for r in df.filter(ignored_path(F.col("p"), patterns)).collect()}
+        assert got == {p for p in paths if plain_ignored(p, patterns)}, patterns
+
+
+def test_tag_of_a_node_with_very_many_dependencies(spark):
+    import hashlib
+
+    n, chunk = 100_000, 1024
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    leaf = F.concat(F.lit("d"), F.col("id"))
+    nodes = spark.range(n).select(leaf.alias("node"), F.lit("x").alias("own")).union(spark.createDataFrame([("top", "o"), ("next", "p")], "node string, own string"))
+    edges = spark.range(n).select(F.lit("top").alias("src"), leaf.alias("dst"), F.col("id").alias("pos")).union(
+        spark.createDataFrame([("next", "top", 1), ("next", "gone", 0), ("d7", "d7", 0)], "src string, dst string, pos bigint"))
+    got = {r["node"]: (r["tag"], r["level"]) for r in graph.chained_tags(nodes, edges.filter("src != 'd7'"), chunk).filter("node in ('top', 'next', 'd0')").collect()}
+    tags = [sha("x")] * n
+    top = sha("o" + "".join(sha("".join(tags[i:i + chunk])) for i in range(0, n, chunk)))
+    assert got == {"d0": (sha("x"), 0), "top": (top, 1), "next": (sha("p" + top), 2)}
+
+
+def test_images_inside_an_application(spark):
+    def frame(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    apps = frame([("web", "web:1"), ("flows", "flows:1"), ("base", "base:1"), ("tools", None), ("idle", "idle:1")], "node string, image string")
+    images = frame([("flows", "flows-send", "s"), ("flows", "flows-read", "r"), ("tools", "tools-zip", "z"), ("tools", "tools-tar", "t"), ("idle", "idle-x", "i")],
+                   "app string, name string, image string")
+    edges = frame([("web", "flows", "hard"), ("web", "base", "build"), ("flows", "tools-zip", "build"), ("tools-zip", "none-such", "build")], "src string, dst string, kind string")
+    seeds = frame([("web",)], "node string")
+
+    def found(*gone):
+        rows = graph.included_images(seeds, edges, frame([(g,) for g in gone], "node string"), apps, images).collect()
+        return sorted((r["name"], r["app"], r["image"]) for r in rows)
+
+    every = [("base", "base", "base:1"), ("flows-read", "flows", "r"), ("flows-send", "flows", "s"), ("tools-zip", "tools", "z")]
+    assert found() == every
+    assert found("flows-send") == [r for r in every if r[0] != "flows-send"]
+    assert found("flows", "base") == [("tools-zip", "tools", "z")]
+
+
+def test_isolated_task_tries_again(spark, tmp_path):
+    seen = str(tmp_path)
+
+    def task(frame):
+        import os
+
+        if (frame["a"] == 13).any():
+            raise ValueError("thirteen")
+        for a in frame["a"][frame["a"] % 50 == 7]:
+            mark = f"{seen}/{a}"
+            tries = int(open(mark).read()) if os.path.exists(mark) else 0
+            open(mark, "w").write(str(tries + 1))
+            if tries < 8:
+                raise RuntimeError("not yet")
+        return frame.assign(b=frame["a"] * 2)[["a", "b"]]
+
+    rows = picks.run_task_isolated(spark.range(200).select(F.col("id").alias("a")).coalesce(1), task, "a long, b long", ["a"]).collect()
+    assert sorted((r["a"], r["b"], r["error"]) for r in rows if r["a"] != 13) == [(a, 2 * a, None) for a in range(200) if a != 13]
+    assert [(r["b"], r["error"]) for r in rows if r["a"] == 13] == [(None, "ValueError: thirteen")]
+
+
+def test_python_hook_skips_values_on_which_it_fails(spark):
+    rows = spark.createDataFrame([(1, "/a", "k", "2"), (1, "/a/b", "k", "x"), (1, "/c", "k", "7"), (2, "/a", "k", None), (3, "/a", "k", "0")],
+                                 "user int, path string, key string, value string")
+    got = attributes.resolve_groups_with(rows, lambda v: 10 // int(v), "int").collect()
+    assert sorted(map(tuple, got)) == [(1, "k", 1)]
+
+
+def test_skipped_folders_and_files(spark):
+    names = ["a.json", "node_modules/x.json", "d/.git/y", "d/.github/z", "d/node_modules", "e/.tox/1/2.txt", "node_modules.json"]
+    df = spark.createDataFrame([(0, n, "") for n in names], "root int, file string, content string")
+    assert {r["file"] for r in files.mergeable(df).collect()} == {"a.json", "node_modules.json"}

@@ -99,3 +99,44 @@ def with_unit(value: Column, unit: str) -> Column:
     number = value.cast("double")
     plain = F.when(number == F.floor(number), F.floor(number).cast("string")).otherwise(number.cast("string"))
     return F.when(number.isNotNull() & (number != 0), F.concat(plain, F.lit(unit)))
+
+
+def _path_pattern(pattern: str) -> str:
+    """Regular expression of the paths that an ignore pattern (without ``!``) matches."""
+    folder, body = pattern.endswith("/"), pattern.rstrip("/")
+    anchored = "/" in body
+    body = body.lstrip("/")
+    out, i = "", 0
+    while i < len(body):
+        c = body[i]
+        if body.startswith("**/", i) and (i == 0 or body[i - 1] == "/"):
+            out, i = out + "(?:.*/)?", i + 3
+        elif body[i:] == "**" and (i == 0 or body[i - 1] == "/"):
+            out, i = out + ".*", i + 2
+        elif c in "*?":
+            out, i = out + ("[^/]*" if c == "*" else "[^/]"), i + 1
+        elif c == "[" and (end := body.find("]", i + 2)) > 0:
+            inside = body[i + 1:end].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+            out, i = out + "[" + ("^" + inside[1:] if inside[0] == "!" else inside) + "]", end + 1
+        else:
+            c, i = (body[i + 1], i + 2) if c == "\\" and i + 1 < len(body) else (c, i + 1)
+            out += re.escape(c)
+    return ("^" if anchored else "^(?:.*/)?") + out + ("/.*$" if folder else "(?:/.*)?$")
+
+
+def ignored_path(path: Column, patterns: Sequence[str]) -> Column:
+    """Is a relative path on an ignore list? The last pattern that matches decides.
+
+    ``!`` at the front takes a path back in. A ``/`` at the front or inside ties a pattern to the top
+    folder, else it holds in every folder; one at the end matches folders only. ``*`` and ``?`` stay in
+    one segment, ``**`` stands for any number of them, ``[a-c]`` and ``[!a-c]`` for one character, and a backslash
+    takes the next character as it is. What lies in a matching folder matches too. Empty
+    patterns and those that begin with ``#`` count for nothing.
+    """
+    ignored = F.lit(False)
+    for pattern in patterns:
+        again = pattern.startswith("!")
+        body = pattern[1:] if again else pattern
+        if body.strip("/ ") and not pattern.startswith("#"):
+            ignored = F.when(path.rlike(_path_pattern(body)), F.lit(not again)).otherwise(ignored)
+    return F.coalesce(ignored, F.lit(False))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,33 @@ def resolve_groups(attributes: DataFrame, convert: Callable[[Column], Column] =
     return live.groupBy("user", "key").agg(F.max("v").alias("value"))
 
 
+def convert_values(attributes: DataFrame, hook: Callable[[str], object], kind: str = "double") -> DataFrame:
+    """(..., value) rows with each value put through a Python function, as ``kind``.
+
+    The function runs once per distinct value, over Arrow batches; a value on which it fails, or for
+    which it gives None, becomes NULL, which ``resolve_groups`` skips. NULL values are not given to it.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            done = []
+            for value in frame["value"]:
+                try:
+                    done.append(hook(value))
+                except Exception:  # the rule: a value that fails is skipped
+                    done.append(None)
+            yield pd.DataFrame({"value": frame["value"], "_done": pd.Series(done, dtype=object, index=frame.index)})
+
+    distinct = attributes.select("value").filter(F.col("value").isNotNull()).distinct()
+    converted = distinct.mapInPandas(run, f"value string, _done {kind}")
+    rest = [c for c in attributes.columns if c != "value"]
+    return attributes.join(converted, "value", "left").select(*rest, F.col("_done").alias("value"))
+
+
+def resolve_groups_with(attributes: DataFrame, hook: Callable[[str], object], kind: str = "double") -> DataFrame:
+    """``resolve_groups`` with a Python function for the values."""
+    return resolve_groups(convert_values(attributes, hook, kind), lambda value: value)
+
+
 def effective(
     users: DataFrame, own: DataFrame, group: DataFrame, defaults: Mapping[str, float | str],
     convert: Callable[[Column], Column] = to_number,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from tidemark.functions.jsontree import merge_text
 
 # Fixed value: a result file above this size is also reported.
 RESULT_CAP = 2**20
+# Folders that are not merged (as part of a folder's path), and files that are not.
+SKIPPED_FOLDERS = ("node_modules", ".git", ".tox")
+SKIPPED_FILES = ("node_modules",)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -69,6 +74,15 @@ def layered_targets(files: DataFrame, envs: Sequence[str]) -> DataFrame:
     return own.unionByName(applied)
 
 
+def mergeable(files: DataFrame, skipped_folders: Sequence[str] = SKIPPED_FOLDERS, skipped_files: Sequence[str] = SKIPPED_FILES) -> DataFrame:
+    """(root, file, ...) rows without those in a skipped folder (its path holds one of the names) and
+    without skipped files. ``file`` is the path below the root."""
+    folder = F.regexp_extract("file", "^(.*)/[^/]*$", 1)
+    name = F.substring_index("file", "/", -1)
+    inside = reduce(or_, [folder.contains(part) for part in skipped_folders], F.lit(False))
+    return files.filter(~inside & ~name.isin(*skipped_files))
+
+
 def merge_layers(files: DataFrame, envs: Sequence[str] = ()) -> DataFrame:
     """Merge same-named files of several roots; rows are (root number, file, content).
 

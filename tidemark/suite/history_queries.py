@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import graph, history, layers, retention, textset
+from tidemark.plans.numbering import number_rows
 from tidemark.suite import derive as d
 from tidemark.suite.registry import query, table
 
@@ -190,6 +191,51 @@ def include_exclude(spark, sf):
     return graph.included(_seeds(spark, sf), d.part_edges(spark, sf), excluded, d.part_nodes(spark, sf))
 
 
+@query("include_images", """WITH RECURSIVE
+apps AS (SELECT 'p' || p_partkey AS node, p_partkey AS k, CASE WHEN p_partkey % 3 <> 0 THEN 'img' || p_partkey END AS image FROM part),
+images AS (
+  SELECT node AS app, node || '-t' AS name, 'task' || k AS image FROM apps WHERE k % 4 < 2
+  UNION ALL SELECT node, node || '-u', 'util' || k FROM apps WHERE k % 4 = 1),
+edges AS (
+  SELECT node AS src, 'p' || (k // 2) AS dst, k % 3 <> 2 AS runs FROM apps WHERE k > 0
+  UNION ALL SELECT node, 'p' || (k // 3) || '-t', false FROM apps WHERE k % 5 = 0
+  UNION ALL SELECT node, 'none-' || k, false FROM apps WHERE k % 31 = 0),
+gone AS (SELECT node FROM apps JOIN part ON p_partkey = k WHERE p_brand = 'Brand#7' UNION SELECT name FROM images WHERE image LIKE '%7'),
+a(node) AS (SELECT 'p' || p_partkey FROM part WHERE p_size = 50 UNION SELECT dst FROM a JOIN edges ON src = node WHERE runs),
+b(node) AS (SELECT 'p' || p_partkey FROM part WHERE p_size = 50 UNION SELECT dst FROM b JOIN edges ON src = node),
+f AS (SELECT node FROM a WHERE node IN (SELECT node FROM apps) AND node NOT IN (SELECT node FROM gone)),
+o AS (SELECT node FROM b WHERE node IN (SELECT node FROM apps) AND node NOT IN (SELECT node FROM f)
+  UNION SELECT split_part(node, '-', 1) FROM b WHERE node NOT IN (SELECT node FROM apps) AND contains(node, '-')),
+r AS (
+  SELECT name, app, image FROM images WHERE app IN (SELECT node FROM f)
+  UNION SELECT apps.node, apps.node, apps.image FROM apps WHERE apps.image IS NOT NULL AND apps.node IN (SELECT node FROM b) AND apps.node NOT IN (SELECT node FROM f)
+  UNION SELECT name, app, image FROM images WHERE app IN (SELECT node FROM o) AND name IN (SELECT node FROM b))
+SELECT name, app, image FROM r WHERE name NOT IN (SELECT node FROM gone)""")
+def include_images(spark, sf):
+    """Parts as applications with images inside them; some are only needed for a build."""
+    part = table(spark, sf, "part")
+    key = F.col("p_partkey")
+    name = F.concat(F.lit("p"), d.text(key))
+
+    def to(target, given, runs):
+        return F.when(given, F.struct(target.alias("dst"), F.lit(runs).alias("kind")) if isinstance(runs, str) else F.struct(target.alias("dst"), runs.alias("kind")))
+
+    inside = F.filter(F.array(
+        F.when(key % 4 < 2, F.struct(F.concat(name, F.lit("-t")).alias("name"), F.concat(F.lit("task"), d.text(key)).alias("image"))),
+        F.when(key % 4 == 1, F.struct(F.concat(name, F.lit("-u")).alias("name"), F.concat(F.lit("util"), d.text(key)).alias("image")))),
+        lambda i: i.isNotNull())
+    links = F.filter(F.array(
+        to(F.concat(F.lit("p"), d.text(F.floor(key / 2))), key > 0, F.when(key % 3 == 2, "build").otherwise("hard")),
+        to(F.concat(F.lit("p"), d.text(F.floor(key / 3)), F.lit("-t")), key % 5 == 0, "build"),
+        to(F.concat(F.lit("none-"), d.text(key)), key % 31 == 0, "build")), lambda e: e.isNotNull())
+    apps = part.select(name.alias("node"), F.when(key % 3 != 0, F.concat(F.lit("img"), d.text(key))).alias("image"))
+    images = part.select(name.alias("app"), F.explode(inside).alias("i")).select("app", "i.*")
+    edges = part.select(name.alias("src"), F.explode(links).alias("e")).select("src", "e.*")
+    excluded = part.filter("p_brand = 'Brand#7'").select(name.alias("node")).union(images.filter("image like '%7'").select("name"))
+    seeds = part.filter("p_size = 50").select(name.alias("node"))
+    return graph.included_images(seeds, edges, excluded, apps, images)
+
+
 @query("dep_levels", f"""WITH RECURSIVE
 l(node, level) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT p_partkey, level + 1 FROM l JOIN part ON p_partkey // 2 = node AND p_partkey > 0)
 SELECT node, CAST(level AS BIGINT) AS level, 'placed' AS status FROM l""")
@@ -237,12 +283,36 @@ b AS (SELECT g, substr(k, 1, 2) AS k, sha1(string_agg(k || ':' || h, chr(10) ORD
 tree AS (SELECT g, sha1(string_agg(k || ':' || h, chr(10) ORDER BY k)) AS fingerprint FROM b GROUP BY 1)"""
 
 
-@query("fingerprint", "WITH " + _sql_tree("SELECT source AS g, lang || '/' || doc_id AS p, text AS c FROM documents WHERE lang <> 'de'")
+IGNORE = ["/de/", "[e-f]*/*7", "!en/*17", "**/1?"]
+
+
+@query("fingerprint", "WITH " + _sql_tree("""SELECT source AS g, lang || '/' || doc_id AS p, text AS c FROM documents
+    WHERE NOT (lang = 'de' OR length(doc_id::VARCHAR) = 2 AND doc_id::VARCHAR LIKE '1_' AND NOT false
+      OR regexp_matches(lang, '^[e-f]') AND doc_id::VARCHAR LIKE '%7' AND NOT (lang = 'en' AND doc_id::VARCHAR LIKE '%17'))""")
        + " SELECT g AS source, fingerprint FROM tree")
 def fingerprint(spark, sf):
-    """Sources as directories; the folder ``de`` is on the ignore list."""
+    """Sources as directories, with an ignore list of four patterns."""
     docs = table(spark, sf, "documents").select("source", F.concat_ws("/", "lang", d.text("doc_id")).alias("path"), "text")
-    return graph.fingerprint(docs, "source", "path", "text", ignore="^de/")
+    return graph.fingerprint(docs, "source", "path", "text", IGNORE)
+
+
+@query("fingerprint_wide", """WITH t AS (
+  SELECT source, sha1(sha1(text)) AS tag, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, row_number() OVER (ORDER BY doc_id) - 1 AS every FROM documents),
+n AS (SELECT source AS node, pos, tag FROM t UNION ALL SELECT 'all', every, tag FROM t),
+c AS (SELECT node, pos // 16 AS chunk, string_agg(tag, '' ORDER BY pos) AS s FROM n GROUP BY 1, 2),
+j AS (SELECT node, CASE WHEN count(*) = 1 THEN min(s) ELSE string_agg(sha1(s), '' ORDER BY chunk) END AS s FROM c GROUP BY 1)
+SELECT node, sha1(node || s) AS tag FROM j""")
+def fingerprint_wide(spark, sf):
+    """Each source depends on all its documents, and one node on every document there is."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.sha1("text").alias("own"))
+    leaf = F.concat(F.lit("doc"), d.text("doc_id"))
+    docs = number_rows(docs.withColumn("node", leaf), ["source", "doc_id"], "n", 0)
+    first = docs.groupBy("source").agg(F.min("n").alias("first"))
+    edges = docs.join(first, "source").select(F.col("source").alias("src"), F.col("node").alias("dst"), (F.col("n") - F.col("first")).alias("pos"))
+    every = number_rows(docs.select("doc_id", "node"), ["doc_id"], "pos", 0)
+    edges = edges.unionByName(every.select(F.lit("all").alias("src"), F.col("node").alias("dst"), "pos"))
+    nodes = docs.select("node", "own").unionByName(edges.select(F.col("src").alias("node"), F.col("src").alias("own")).distinct())
+    return graph.chained_tags(nodes, edges, chunk=16).filter(~F.col("node").startswith("doc")).select("node", "tag")
 
 
 @query("fingerprint_chain", "WITH RECURSIVE " + _sql_tree("SELECT source AS g, CAST(doc_id AS VARCHAR) AS p, text AS c FROM documents")

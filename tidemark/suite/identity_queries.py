@@ -247,6 +247,26 @@ def attr_resolve(spark, sf):
     return at.resolve_groups(_attributes(spark, sf))
 
 
+SQL_HOOK = f"""{d.SQL_GROUPS},
+num AS (SELECT "user", path, CASE WHEN q LIKE '%Gb' THEN CAST(replace(q, 'Gb', '') AS DOUBLE) * 1024
+    WHEN CAST(q AS INTEGER) % 5 = 0 THEN NULL ELSE CAST(q AS DOUBLE) END AS v FROM groups WHERE q IS NOT NULL)"""
+
+
+@query("attr_resolve_hook", f"""WITH {SQL_HOOK}
+SELECT "user", 'quota-max' AS "key", max(v) AS value FROM num g WHERE v IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM num x WHERE x."user" = g."user" AND starts_with(x.path, g.path || '/')) GROUP BY 1""")
+def attr_resolve_hook(spark, sf):
+    """Values through a Python function that fails on some of them."""
+    def megabytes(value):
+        if value.endswith("Gb"):
+            return float(value[:-2]) * 1024
+        if int(value) % 5 == 0:
+            raise ValueError(value)
+        return float(value)
+
+    return at.resolve_groups_with(_attributes(spark, sf), megabytes)
+
+
 @query("quota_effective", f"""WITH {SQL_LIVE},
 own AS (SELECT c_custkey AS "user", 'quota-max' AS "key", CAST(c_custkey % 40 AS DOUBLE) AS v FROM customer WHERE c_custkey % 11 = 0
   UNION ALL SELECT c_custkey, 'quota-cpu', 2.5 FROM customer WHERE c_custkey % 22 = 0),
@@ -347,3 +367,23 @@ def apply_task(spark, sf):
 
     schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, net double, bulk boolean"
     return picks.run_task(table(spark, sf, "lineitem").select(*columns), price, schema)
+
+
+@query("apply_task_isolated", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       CASE WHEN l_orderkey % 2003 = 5 THEN NULL ELSE l_extendedprice * (1 - l_discount) END AS net,
+       CASE WHEN l_orderkey % 2003 = 5 THEN 'ValueError: order ' || l_orderkey END AS error
+FROM lineitem""")
+def apply_task_isolated(spark, sf):
+    """A task that fails on some orders: their lines go out with the error, all others arrive."""
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount"]
+
+    def price(frame):
+        bad = frame["l_orderkey"][frame["l_orderkey"] % 2003 == 5]
+        if len(bad):
+            raise ValueError(f"order {bad.iloc[0]}")
+        return frame[columns[:4]].assign(net=frame["l_extendedprice"] * (1 - frame["l_discount"]))
+
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, net double"
+    rows = table(spark, sf, "lineitem").select(*columns)
+    return picks.run_task_isolated(rows, price, schema, keys=columns[:4])

@@ -221,6 +221,49 @@ def layer_merge_files(spark, sf):
     )
 
 
+@query("layer_merge_cases", """
+WITH a AS (SELECT p_partkey AS k, p_size AS s, p_name AS n FROM part)
+SELECT k, 'app.json' AS file, '{"a":{"deep":{"x":' || s || '.12345678901234567890123,"y":1}},"n":2}' AS content, CAST(NULL AS VARCHAR) AS raw FROM a WHERE k % 6 = 0
+UNION ALL SELECT k, 'app.json', '{"a":' || s || '}', NULL FROM a WHERE k % 6 = 1
+UNION ALL SELECT k, 'app.json', '{oops', NULL FROM a WHERE k % 6 = 2
+UNION ALL SELECT k, 'app.json', '{"a":1,"b":null}', NULL FROM a WHERE k % 6 = 3
+UNION ALL SELECT k, 'image.bin', NULL, 'FFFE' || lower(hex(CAST(s AS VARCHAR))) FROM a WHERE k % 6 = 4
+UNION ALL SELECT k, 'sub/kept.txt', 'second ' || n, NULL FROM a WHERE k % 6 = 5""")
+def layer_merge_cases(spark, sf):
+    """One case per part and two roots: exact deep numbers, a broken overlay and an empty layer, a
+    broken base file, a null value, a file that is no text, and folders and files that are skipped."""
+    key = F.col("p_partkey")
+    size = d.text("p_size")
+
+    def layer(root, file, content):
+        return F.struct(F.lit(root).alias("root"), F.lit(file).alias("file"), F.encode(content, "utf-8").alias("raw"))
+
+    deep = F.concat(F.lit('{"a":{"deep":{"x":'), size, F.lit('.12345678901234567890123}},"n":1}'))
+    binary = F.struct(F.lit(1).alias("root"), F.lit("image.bin").alias("file"), F.concat(F.unhex(F.lit("FFFE")), F.encode(size, "utf-8")).alias("raw"))
+    cases = [
+        [layer(0, "app.json", deep), layer(1, "app.json", F.lit('{"a":{"deep":{"y":1}},"n":2}'))],
+        [layer(0, "app.json", F.concat(F.lit('{"a":'), size, F.lit("}"))), layer(0, "app-dev.json", F.lit("{broken")), layer(1, "app.json", F.lit("{}"))],
+        [layer(0, "app.json", F.lit('{"a":1}')), layer(1, "app.json", F.lit("{oops"))],
+        [layer(0, "app.json", F.lit('{"a":1,"b":2}')), layer(1, "app.json", F.lit("null")), layer(1, "app-dev.json", F.lit('{"b":null}'))],
+        [layer(0, "image.bin", F.lit("old")), binary],
+        [layer(0, "sub/kept.txt", F.lit("first")), layer(1, "sub/kept.txt", F.concat(F.lit("second "), "p_name")),
+         layer(1, "x/node_modules/y/a.json", F.lit("{}")), layer(0, ".git/config", F.lit("x")), layer(0, "sub/node_modules", F.lit("x"))],
+    ]
+    rows = F.when(F.lit(False), F.array(*cases[0]))
+    for n, case in enumerate(cases):
+        rows = F.when(key % len(cases) == n, F.array(*case)).otherwise(rows)
+    found = table(spark, sf, "part").select("p_partkey", F.explode(rows).alias("f"))
+    text = F.col("f.raw").cast("string")
+    long = found.select(
+        "f.root", F.concat(d.text("p_partkey"), F.lit("/"), F.col("f.file")).alias("file"),
+        F.when(F.is_valid_utf8(text), text).alias("content"), F.col("f.raw").alias("raw"))
+    merged = files.merge_layers(files.mergeable(long), ["dev"]).filter(~F.col("file").endswith("-dev.json"))
+    # the bytes are of interest where there is no text
+    return merged.select(
+        F.substring_index("file", "/", 1).cast("long").alias("k"), F.regexp_replace("file", "^[0-9]+/", "").alias("file"), "content",
+        F.when(F.col("content").isNull(), F.concat(F.lit("FFFE"), F.lower(F.hex(F.substring("raw", 3, 9))))).alias("raw"))
+
+
 def _results(spark, sf):
     return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey", "l_linenumber",
