@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -238,40 +239,59 @@ def test_importance_prefers_the_target(spark):
 # ---- line dedup
 
 def plain_repeats(texts, least):
-    """Lines inside a stretch of at least ``least`` words that an earlier document holds, or the same one before."""
-    seen: dict[tuple, tuple] = {}
-    gone = defaultdict(set)
+    """Texts without the words of runs of ``least`` words that an earlier document holds, or the same one before."""
+    seen, out = {}, {}
     for doc, text in texts:
-        lines = [(i, x.strip(), len(x.split())) for i, x in enumerate(text.split("\n")) if x.split()]
-        spans = set()
-        for a in range(len(lines)):
-            for step in (1, -1):
-                b, words = a, lines[a][2]
-                while words < least and 0 <= b + step < len(lines):
-                    b += step
-                    words += lines[b][2]
-                if words >= least:
-                    spans.add((min(a, b), max(a, b)))
-        for a, b in sorted(spans):
-            key = tuple(x for _, x, _ in lines[a:b + 1])
-            first = seen.setdefault(key, (doc, a, b))
-            if first != (doc, a, b) and (first[0] != doc or a > first[2]):
-                gone[doc].update(range(lines[a][0], lines[b][0] + 1))
-    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in texts}
+        words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        body, gone = [text[a:b] for a, b in words], set()
+        for i in range(len(body) - least + 1):
+            first = seen.setdefault(tuple(body[i:i + least]), (doc, i))
+            if first[0] != doc or i - first[1] >= least:
+                gone.update(range(i, i + least))
+        lines, n = [], 0
+        for line in text.split("\n"):
+            count = len(re.findall(r"[^\x20\x09-\x0D]+", line))
+            own = [k for k in range(n, n + count) if k not in gone]
+            if len(own) == count:
+                lines.append(line)
+            elif own:
+                runs = [[own[0], own[0]]]
+                for k in own[1:]:
+                    if k == runs[-1][1] + 1:
+                        runs[-1][1] = k
+                    else:
+                        runs.append([k, k])
+                lines.append(" ".join(text[words[a][0]:words[b][1]] for a, b in runs))
+            n += count
+        out[doc] = "\n".join(lines)
+    return out
 
 
 def test_line_query(spark, docs):
     got = {r["doc_id"]: r["text"] for r in queries.QUERIES["op7_line_dedup"](spark, SF).collect()}
-    assert got == plain_repeats([(d, t) for d, t, _ in docs], 50)
-
-
-def test_line_runs(spark):
-    rng = random.Random(5)
-    pool = [" ".join(f"w{rng.randint(0, 9)}" for _ in range(rng.randint(1, 9))) for _ in range(12)]
-    texts = [(i, "\n".join(rng.choice([*pool, ""]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
-    frame = spark.createDataFrame(texts, "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in line_winnow.dedup_lines(frame, min_words=20).collect()}
-    assert got == plain_repeats(texts, 20)
+    want = plain_repeats([(d, t) for d, t, _ in docs], 50)
+    assert got == want and sum(want[d] != t for d, t, _ in docs) > 10
+
+
+@pytest.mark.parametrize("least", [3, 8, 20])
+def test_line_runs(spark, least):
+    rng = random.Random(least)
+    pool = [" ".join(f"w{rng.randint(0, 9)}" for _ in range(rng.randint(1, 40))) for _ in range(25)]
+    texts = [(i, rng.choice(["\n", " ", "  \t"]).join(rng.choice([*pool, "", f"own{i}", "x x x x x x"]) for _ in range(rng.randint(0, 25)))) for i in range(60)]
+    texts += [(60, "p q " * 60), (61, "p q " * 20 + "r " * 30), (62, "")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["text"] for r in line_winnow.dedup_lines(frame, min_words=least).collect()}
+    assert got == plain_repeats(texts, least)
+
+
+def test_line_passages_begin_anywhere(spark):
+    """A passage of 50 words inside other lines, with other breaks, is found in every later document."""
+    passage = [f"p{i}" for i in range(50)]
+    texts = [(i, " ".join(f"a{i}x{k}" for k in range(i * 7 % 30)) + " " + ("\n" if i % 2 else " ").join(passage) + f" z{i} " * 60) for i in range(20)]
+    texts.append((20, " ".join(passage[:49])))
+    rows = {r["doc_id"]: r for r in line_winnow.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert rows[0]["n_removed"] == 0 and rows[20]["n_removed"] == 0
+    assert all(rows[i]["n_removed"] == 50 and "p49" not in rows[i]["text"] and f"z{i}" in rows[i]["text"] for i in range(1, 20))
 
 
 # ---- decontamination

@@ -112,3 +112,28 @@ def gathered(batches: Iterator[pa.RecordBatch], text: str = "text", least: int =
             held, size = [], 0
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+LIKELY_BITS = 1 << 23
+
+
+def likely(df: DataFrame, key: Column, wanted: DataFrame, flag: str | None = None) -> DataFrame:
+    """The rows of ``df`` whose ``key`` (a long) may be in ``wanted`` (one long column), and few others; with
+    ``flag`` all rows, with that boolean column.
+
+    ``wanted`` becomes a bit map of ``LIKELY_BITS`` bits, so what is broadcast is at most 131,072 rows of two
+    numbers, whatever the size of either side: with very many keys more rows pass, none is lost. Use it
+    before a join that decides exactly, to shuffle less.
+    """
+    def place(k: Column) -> Column:
+        return F.pmod(F.xxhash64(k), F.lit(LIKELY_BITS))
+
+    at = place(F.col(wanted.columns[0]))
+    bits = wanted.select(F.shiftright(at, 6).cast("int").alias("_word"), F.expr("1L").alias("_one"), at.bitwiseAND(F.lit(63)).cast("int").alias("_bit"))
+    bits = bits.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(_one, _bit)")).alias("_bits"))
+    own = place(key)
+    marked = df.withColumns({"_word": F.shiftright(own, 6).cast("int"), "_bit": own.bitwiseAND(F.lit(63)).cast("int")})
+    marked = marked.join(F.broadcast(bits), "_word", "left" if flag else "inner")
+    hit = F.coalesce(F.expr("getbit(_bits, _bit)") == 1, F.lit(False))
+    out = marked.withColumn(flag, hit) if flag else marked.filter(hit)
+    return out.drop("_word", "_bit", "_bits")

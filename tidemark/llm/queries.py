@@ -98,7 +98,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the runs of lines that an earlier one holds."""
+    """All documents without the runs of 50 words that an earlier one holds."""
     return line_winnow.dedup_lines(table(spark, sf_dir, "documents"), min_words=50).select("doc_id", "text", "n_removed", "spans")
 
 
