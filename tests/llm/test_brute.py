@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import (
-    components, decontaminate, divergence, elias_fano, importance, license_align, line_winnow, ngram_lm, packing, queries,
+    base, components, decontaminate, divergence, elias_fano, importance, license_align, line_winnow, ngram_lm, packing, queries,
     simhash, token_blocks, toxicity, word_ids,
 )
 from tidemark.session import scratch
@@ -334,6 +334,19 @@ def test_long_item_and_blocks_of_the_index(spark):
         assert list(map(tuple, got)) == [(1, 9)]
 
 
+def test_one_id_with_two_texts_and_scores_over_blocks(spark):
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.8))}x{rng.randint(0, 40)}" for _ in range(4000)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(8, 90)))) for i in range(60)]
+    items += [(7, "an entirely different question about rivers? with an answer of its own"), (7, None), (7, items[3][1])]
+    docs = [(i, " ".join(rng.choices(words, k=200)) + " " + (items[i][1] or "") + " tail " * 50) for i in range(len(items))]
+    frames = (spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = [sorted(map(tuple, decontaminate.find_leaks(*frames, index_words=n).drop("version").collect())) for n in (200_000, 600)]
+    assert found[0] == found[1]
+    pairs = {(r[0], r[1]) for r in found[0]}
+    assert pairs >= {(i, items[i][0]) for i in range(len(items)) if items[i][1]} and (60, 7) in pairs and (7, 7) in pairs and (3, 7) in pairs
+
+
 # ---- licenses
 
 def test_increasing():
@@ -403,6 +416,12 @@ def test_packing_query(spark, docs):
         assert sum(n for _, n in edges) <= 2048
 
 
+def test_equal_rows_go_to_all_shards(spark):
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit(None).cast("string").alias("source"))
+    sizes = [r["count"] for r in packing.pack_documents(docs, 64, shard_pieces=100).groupBy(F.shiftright("bin_id", 32)).count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 160
+
+
 # ---- quality rules and pipeline
 
 def test_quality_has_no_python(spark):
@@ -417,6 +436,24 @@ def test_repeated_words_and_lines(spark):
     assert (row["n_words"], row["word_chars"], row["n_dup_lines"], row["n_repeat_words"]) == (11, 11, 1, 6)
 
 
+def test_keep_one_of_a_group(spark):
+    same, other, third = "one two three four five six", "seven eight nine ten eleven", "a b c d e f g"
+    docs = [(3, same), (1, same), (2, other), (2, other), (None, same), (None, third), (None, third), (5, None), (6, "")]
+    got = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(1, same), (2, other), (None, third), (5, None)])
+
+
+def test_likely_rows_lose_none(spark, monkeypatch):
+    monkeypatch.setattr(base, "LIKELY_BITS", 1 << 10)
+    df = spark.range(5000).withColumn("k", F.when(F.col("id") % 100 != 0, F.col("id")))
+    wanted = spark.createDataFrame([(i,) for i in range(1, 5000, 50)] + [(-4,)], "h long")
+    got = {r["id"] for r in base.likely(df, F.col("k"), wanted).collect()}
+    assert got >= set(range(1, 5000, 50)) and len(got) < 1200
+    marked = base.likely(df, F.col("k"), wanted, flag="maybe").collect()
+    assert len(marked) == 5000 and {r["id"] for r in marked if r["maybe"]} == got
+    assert base.likely(df, F.col("k"), wanted.limit(0)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

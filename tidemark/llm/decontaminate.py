@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import broadcast_object, rows, slices, texts, unpack, utf8
+from tidemark.llm.base import broadcast_object, likely, rows, slices, texts, unpack, utf8
 from tidemark.session import cut_lineage
 
 STRIDE = 64
@@ -80,32 +80,47 @@ class Side:
         return best
 
 
+def parts_of(found: list[bytes]) -> list[Counter]:
+    """An item's words in parts of at most ``STRIDE``, the last one reaching back."""
+    return [Counter(found[max(0, min(at, len(found) - STRIDE)):at + STRIDE]) for at in range(0, len(found), STRIDE)]
+
+
+def counts_of(parts: list[Counter]) -> tuple[dict[bytes, int], int, float]:
+    """(parts that hold each word, number of parts, their mean length)."""
+    return Counter(w for p in parts for w in p), len(parts), sum(sum(p.values()) for p in parts) / max(1, len(parts))
+
+
 class Index:
     """Inverted index of item parts of at most ``STRIDE`` words: a passage holds any part whole."""
 
-    def __init__(self, items: Iterable[tuple[int, bytes]]):
+    def __init__(self, items: Iterable[tuple[int, bytes]], counts: tuple[dict[bytes, int], int, float] | None = None):
+        """``counts``: the parts that hold each word, all parts, their mean length; if left out, those of these
+        items. An item is known by its place among those with a word, as ids may repeat."""
         self.terms: dict[bytes, int] = {}
         self.item: list[int] = []
-        self.sides: dict[int, list[Side]] = {}
-        self.length: dict[int, int] = {}
-        self.joined: dict[int, bytes] = {}
-        parts = []
+        self.ids: list[int] = []
+        self.sides: list[list[Side]] = []
+        self.length: list[int] = []
+        self.joined: list[bytes] = []
+        found_parts = []
         for item, raw in items:
             found = tokens(raw)
             if not found:
                 continue
-            self.sides[item] = [Side(x) for x in question_and_answer(raw)]
-            self.length[item], self.joined[item] = len(found), b" ".join(found)
-            for at in range(0, len(found), STRIDE):
-                parts.append(Counter(found[max(0, min(at, len(found) - STRIDE)):at + STRIDE]))
-                self.item.append(item)
-        df = Counter(w for p in parts for w in p)
-        mean = sum(sum(p.values()) for p in parts) / max(1, len(parts))
+            self.ids.append(item)
+            self.sides.append([Side(x) for x in question_and_answer(raw)])
+            self.length.append(len(found))
+            self.joined.append(b" ".join(found))
+            for part in parts_of(found):
+                found_parts.append(part)
+                self.item.append(len(self.ids) - 1)
+        parts = found_parts
+        df, total, mean = counts or counts_of(parts)
         postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         for number, part in enumerate(parts):
             size = sum(part.values())
             impact = {
-                w: math.log(1 + (len(parts) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean))
+                w: math.log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean))
                 for w, n in part.items()}
             whole = sum(impact.values())
             for w, x in impact.items():
@@ -174,7 +189,7 @@ class Index:
 
     def hits(self, found: list[bytes], threshold: float, overlap: float,
              passages: Iterable[int]) -> dict[int, tuple[float, float, float, int]]:
-        """Per item the verified hit with the best score: (score, question, answer, first word)."""
+        """Per item, by its place in ``ids``, the verified hit with the best score: (score, question, answer, first word)."""
         best: dict[int, tuple[float, float, float, int]] = {}
         for at in passages:
             terms = {t for t in map(self.terms.get, found[at:at + PASSAGE]) if t is not None}
@@ -229,7 +244,7 @@ def _search(index: Index, batches: Iterator[pa.RecordBatch], threshold: float, o
         out = []
         for i, passages in reached(index, docs, threshold):
             for item, hit in index.hits(docs[i], threshold, overlap, passages).items():
-                out.append((i, item, *hit))
+                out.append((i, index.ids[item], *hit))
         if out:
             cols = list(zip(*out))
             yield pa.RecordBatch.from_arrays(
@@ -239,6 +254,24 @@ def _search(index: Index, batches: Iterator[pa.RecordBatch], threshold: float, o
                 ["doc_id", "version", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block of items the parts that hold each word; the row without a word counts all parts and their words."""
+    for piece in slices(batches):
+        sums: dict[tuple[int, bytes | None], list[int]] = defaultdict(lambda: [0, 0])
+        for block, raw in zip(piece.column("block").to_pylist(), utf8(piece.column("text"))):
+            for part in parts_of(tokens(raw)):
+                every = sums[block, None]
+                every[0] += 1
+                every[1] += sum(part.values())
+                for w in part:
+                    sums[block, w][0] += 1
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b for b, _ in sums], pa.int32()), pa.array([w for _, w in sums], pa.binary()),
+                 pa.array([p for p, _ in sums.values()], pa.int64()), pa.array([n for _, n in sums.values()], pa.int64())],
+                ["block", "term", "parts", "words"])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, overlap: float = 0.8,
                index_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -246,36 +279,53 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, o
     ``score``, ``question_overlap``, ``answer_overlap``, ``first_word`` of the passage.
 
     The items are indexed in blocks of about ``index_words`` words (the bound of what is broadcast at
-    once); every document is searched against each block. Null texts and items without a word match
+    once); every document is searched against each block. A word's weight and the mean length come from
+    all items, so a score does not depend on the blocks. Null texts and items without a word match
     nothing; items with a null id are left out, as a hit could not be named. Items that repeat an id
     are searched apart, and the best hit is returned. Rows that repeat doc_id and text give one row.
     """
     spark = docs.sparkSession
     marked = texts(docs, id_col, text_col).withColumn("version", F.xxhash64("text"))
     items = texts(benchmark, item_col, item_text_col).filter("doc_id is not null").distinct()
-    items = cut_lineage(items.withColumn("n", F.size(F.split("text", r"\s+"))))
+    items = items.withColumn("n", F.size(F.split("text", r"\s+")))
+    items = cut_lineage(items.withColumn("h", F.xxhash64("doc_id", "text")))
     total = items.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-int(total) // index_words))
+    # a block holds about index_words words, whatever the number of items
+    own = F.pmod(F.col("h"), F.lit(blocks)).cast("int")
+    held = cut_lineage(items.select(own.alias("block"), "text").mapInArrow(_count_words, "block int, term binary, parts long, words long"))
+    sums = held.filter("term is null").agg(F.sum("parts"), F.sum("words")).first()
+    n_parts, n_words = (int(x or 0) for x in sums)
+    df = cut_lineage(held.filter("term is not null").groupBy("term").agg(F.sum("parts").alias("parts")))
     out = None
     for k in range(blocks):
-        # a block holds about index_words words, whatever the number of items
-        own = items.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == k).orderBy("doc_id", "text")
-        index = broadcast_object(spark, Index((r.doc_id, r.text.encode()) for r in own.collect()))
+        ours = df.join(held.filter(F.col("block") == k).select("term").distinct(), "term", "left_semi").collect()
+        counts = {bytes(r["term"]): r["parts"] for r in ours}, n_parts, n_words / max(1, n_parts)
+        rows_ = items.filter(own == k).orderBy("doc_id", "text").collect()
+        index = broadcast_object(spark, Index(((r.doc_id, r.text.encode()) for r in rows_), counts))
 
         def run(batches, index=index):
             return _search(index(), batches, threshold, overlap)
 
         found = marked.mapInArrow(
             run, "doc_id long, version long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
+        if blocks > 1:
+            found = cut_lineage(found)  # one block's index at a time
         out = found if out is None else out.union(found)
     best = F.max(F.struct("score", "question_overlap", "answer_overlap", "first_word")).alias("b")
     return out.groupBy("doc_id", "version", "item_id").agg(best).select("doc_id", "version", "item_id", "b.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` in which no item leaks, with their own columns."""
+    """The rows of ``docs`` in which no item leaks, with their own columns.
+
+    Null and empty texts stay, as do all rows of a table without items; rows that repeat id and text
+    share their fate, each with its own columns; an empty table stays empty.
+    """
     leaks = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options)
     leaks = cut_lineage(leaks.select(F.col("doc_id").alias("l_id"), F.col("version").alias("l_version")).distinct())
-    marked = rows(docs, id_col, text_col).withColumn("version", F.xxhash64("text"))
+    marked = rows(docs, id_col, text_col).withColumn("version", F.xxhash64("text")).drop("text")
+    split = likely(marked, F.xxhash64("doc_id", "version"), leaks.select(F.xxhash64("l_id", "l_version")), flag="maybe")
     same = F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("version") == F.col("l_version"))
-    return unpack(marked.join(leaks, same, "left_anti"), docs)
+    rest = split.filter("maybe").join(leaks, same, "left_anti")
+    return unpack(split.filter(~F.col("maybe")).select("row").union(rest.select("row")), docs)

@@ -164,7 +164,9 @@ def verdict(featured: DataFrame, limits: Limits = Limits()) -> DataFrame:
     document has no reference, and its documents are judged by the base rules alone.
     """
     f = F.col("f")
-    df = featured.join(references(featured, limits).withColumnRenamed("lang", "ref_lang"), f["lang"] == F.col("ref_lang"), "left")
+    # written first: the planner then knows that it is small, and whole rows are not shuffled to meet it
+    known = cut_lineage(references(featured, limits).withColumnRenamed("lang", "ref_lang"))
+    df = featured.join(known, f["lang"] == F.col("ref_lang"), "left")
     df = df.select(
         "row", "f",
         distance(shares(f["chars"]), F.col("ref_chars")).alias("char_distance"),

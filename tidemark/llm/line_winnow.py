@@ -162,9 +162,10 @@ def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     met = found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min("cls").alias("c"), F.max("cls").alias("d"))
     shared = cut_lineage(met.filter("a != b").select("fp", (F.col("c") != F.col("d")).alias("several")))
     held = cut_lineage(likely(found, F.col("fp"), shared.select("fp")).join(shared, "fp").distinct())
-    firsts = held.groupBy("fp", "cls").agg(F.min(place).alias("kept"))
-    judged = held.join(firsts, ["fp", "cls"]).withColumn("same", _same("", "kept."))
-    near = F.col("same") & (F.col("place") - F.col("kept.place") < min_words)  # the first one itself too
+    # written, so that the join meets plain tables and AQE can split a class with very many members
+    firsts = held.groupBy("fp", "cls").agg(F.min(place).alias("kept"), F.max(place).alias("last")).filter("kept != last")
+    judged = held.join(cut_lineage(firsts.select("fp", "cls", "kept")), ["fp", "cls"], "left")
+    near = F.col("kept").isNull() | _same("", "kept.") & (F.col("place") - F.col("kept.place") < min_words)  # the first one itself too
     judged = cut_lineage(judged.select(
         "doc_id", "version", "place", "left", "right", "several", near.alias("near")))
     whole = judged.filter(~F.col("near")).select(
@@ -177,7 +178,8 @@ def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     texts = some.join(opened, _same("", "o_")).groupBy("doc_id", "version").agg(F.first("text").alias("text"), F.first("open").alias("open"))
     windows = cut_lineage(_windows(texts, min_words))
     start = F.struct("doc_id", "version", "start")
-    kept = windows.groupBy("content").agg(F.min(start).alias("kept"), F.max(start).alias("last")).filter("kept != last").select("content", "kept")
+    kept = windows.groupBy("content").agg(F.min(start).alias("kept"), F.max(start).alias("last")).filter("kept != last")
+    kept = cut_lineage(kept.select("content", "kept"))
     again = windows.join(kept, "content").filter(~_same("", "kept.") | (F.col("start") - F.col("kept.start") >= min_words))
     single = again.select("doc_id", "version", F.col("start").alias("first"), (F.col("start") + min_words).alias("end"))
     return whole.unionByName(single).groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "end")).alias("spans"))

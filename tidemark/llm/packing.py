@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into training sequences.
 
-Pieces are dealt to shards by a hash of their identity, so a source with a third of all rows is in
-every shard alike. A shard packs its pieces longest first: the open bins are kept in the order of
+Pieces are dealt to shards by a hash of their identity and row, so a source with a third of all rows, or
+one row repeated as often, is in every shard alike. A shard packs its pieces longest first: the open bins are kept in the order of
 their residual, each with a bitmap of the sources and one of the duplicate clusters it holds, and
 the search goes on from the first bin that is large enough until it meets the tightest one without
 a conflict.
@@ -130,8 +130,9 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, shard_pieces: int = 16
         F.when(known, own).alias("cluster"),
         size.cast("long").alias("size"),
         F.xxhash64(text).alias("version"),
+        F.monotonically_increasing_id().alias("_row"),
     )
-    base = cut_lineage(base)
+    base = cut_lineage(base)  # written, so that a row keeps its number
     pieces = base.select(
         "*", F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)))).alias("piece", "_k")
     ).drop("_k")
@@ -149,7 +150,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, shard_pieces: int = 16
             yield from out.to_batches()
 
     dealt = (
-        pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "version", "piece"), F.lit(shards)))
+        pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "version", "piece", "_row"), F.lit(shards)))
         .repartition("shard").sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "piece", "version")
         .select("doc_id", "version", "piece", "n_tokens", "source", "cluster", "shard")
     )

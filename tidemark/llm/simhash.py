@@ -18,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import rows, slices, texts, unpack, utf8, words
+from tidemark.llm.base import likely, rows, slices, texts, unpack, utf8, words
 from tidemark.llm.components import components
 from tidemark.session import cut_lineage
 
@@ -292,11 +292,25 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "
     """The rows of ``docs`` with the smallest doc_id of each group, with their own columns; a row
     without an id stays only where its group has none with one. Repeated rows leave one.
     """
-    classes = near_duplicates(docs, shingle, radius, id_col, text_col)
+    classes = cut_lineage(near_duplicates(docs, shingle, radius, id_col, text_col))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
     group = F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("loose")
-    kept = classes.groupBy("component_id", group).agg(F.min(place).alias("k"))
-    kept = cut_lineage(kept.select(F.col("k.doc_id").alias("k_id"), F.col("k.version").alias("k_version")))
+    kept = classes.groupBy("component_id", group).agg(F.min(place).alias("k"), F.count(F.lit(1)).alias("n"))
+    kept = cut_lineage(kept.filter("n > 1").select("component_id", "loose", F.col("k.doc_id").alias("k_id"), F.col("k.version").alias("k_version")))
+    # a document that is alone in its group passes without a shuffle; the others meet the kept ones
+    in_group = F.col("component_id").eqNullSafe(F.col("g_component")) & F.col("g_loose").eqNullSafe(F.col("loose"))
+    named = kept.select(F.col("component_id").alias("g_component"), F.col("loose").alias("g_loose"))
+    crowded = classes.select("doc_id", "version", "component_id", group).join(named, in_group, "left_semi")
+    key = F.xxhash64("doc_id", "version")
     marked = rows(docs, id_col, text_col).withColumn("version", F.xxhash64("text")).drop("text")
-    found = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("version") == F.col("k_version")))
-    return unpack(found.groupBy("doc_id", "version").agg(F.first("row").alias("row")), docs)
+    split = likely(marked, key, cut_lineage(crowded.select(key.alias("h"))), flag="maybe")
+    crowd = crowded.select("doc_id", "version").distinct().withColumnsRenamed({"doc_id": "c_id", "version": "c_version"})
+    winners = kept.select("k_id", "k_version").distinct()
+
+    def same(id_: str, version: str) -> Column:
+        return F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col("version") == F.col(version))
+
+    met = split.filter("maybe")
+    won = met.join(winners, same("k_id", "k_version"), "left_semi").groupBy("doc_id", "version").agg(F.first("row").alias("row"))
+    alone = met.join(crowd, same("c_id", "c_version"), "left_anti")
+    return unpack(split.filter(~F.col("maybe")).select("row").union(alone.select("row")).union(won.select("row")), docs)
