@@ -11,31 +11,45 @@ from tidemark.session import cut_lineage, prepare
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the divergence checks keep."""
+    """Documents that the base rules and the divergence checks keep.
+
+    A null or empty text has too few words and goes; rows that repeat are judged each; an empty table stays empty.
+    """
     prepare(spark)
     return unpack(divergence.assess(docs).filter("kept"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of lines that an earlier one holds; those left without a line go."""
+    """Documents without the runs of 50 words that an earlier one holds; those left without a word go.
+
+    Null and empty texts stay as they are. The smallest doc_id keeps a run, a null one counting as the
+    smallest; rows equal in id and text are one document, of which every row stays.
+    """
     prepare(spark)
     return line_winnow.clean(docs, min_words=50)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
+    """One document of each SimHash group: the smallest doc_id.
+
+    Null and empty texts have fingerprint zero and are one group; a row without an id stays only where its
+    group has none with one; repeated rows leave one.
+    """
     prepare(spark)
     return simhash.keep_one(docs, shingle=3, radius=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
+    """Documents that hold no test item. Null and empty texts stay; rows that repeat share their fate."""
     prepare(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of the documents in sequences of 2,048 words."""
+    """The place of every piece of the documents in sequences of 2,048 words.
+
+    A null text is an end token alone; null ids and repeated rows are kept; ties go by doc_id.
+    """
     prepare(spark)
     return packing.pack_documents(docs, capacity=2048).drop("version")
 
