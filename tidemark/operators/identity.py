@@ -106,6 +106,14 @@ def _two_key_match(source: DataFrame, target: DataFrame, only_unlinked: bool) ->
     )
 
 
+def match_by_email(target: DataFrame, source: DataFrame) -> DataFrame:
+    """Give target users the ``ext_id`` of the source user with the same e-mail address, of several the
+    lowest; NULL where there is none. An empty address matches nothing. Addresses are grouped before
+    the join, so one that very many source users share is one row."""
+    first = source.filter(F.nullif(F.col("email"), F.lit("")).isNotNull()).groupBy("email").agg(F.min("ext_id").alias("ext_id"))
+    return target.join(first, "email", "left")
+
+
 def resolve_users(source: DataFrame, target: DataFrame) -> DataFrame:
     """Label source users ``matched_id``, ``matched_name``, ``new``, ``rejected`` (no user name
     and no e-mail) or ``conflict`` (the name belongs to another user of the batch).

@@ -387,3 +387,20 @@ def apply_task_isolated(spark, sf):
     schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, net double"
     rows = table(spark, sf, "lineitem").select(*columns)
     return picks.run_task_isolated(rows, price, schema, keys=columns[:4])
+
+
+@query("match_email", """
+WITH src AS (SELECT printf('u%09d', c_custkey) AS ext_id, CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 19 = 0 THEN ''
+    ELSE 'mail' || (c_custkey - CASE WHEN c_custkey % 5 = 4 THEN 1 ELSE 0 END) END AS email FROM customer),
+f AS (SELECT email, min(ext_id) AS ext_id FROM src WHERE email <> '' GROUP BY 1)
+SELECT c_custkey AS "user", ext_id FROM customer LEFT JOIN f ON f.email = CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'mail' || c_custkey END""")
+def match_email(spark, sf):
+    """Target users by their address; some addresses are shared, empty or missing."""
+    key = F.col("c_custkey")
+    customers = table(spark, sf, "customer")
+    shared = F.concat(F.lit("mail"), d.text(key - F.when(key % 5 == 4, 1).otherwise(0)))
+    source = customers.select(
+        F.format_string("u%09d", key).alias("ext_id"),
+        F.when(key % 17 == 0, F.lit(None)).when(key % 19 == 0, "").otherwise(shared).alias("email"))
+    target = customers.select(key.alias("user"), F.when(key % 7 == 0, "").otherwise(F.concat(F.lit("mail"), d.text(key))).alias("email"))
+    return identity.match_by_email(target, source).select("user", "ext_id")
