@@ -136,6 +136,15 @@ def test_held_out_accuracy(spark):
     assert hit[0, 1] / (hit[0, 1] + hit[0, 0]) < 0.01
 
 
+def test_sample_is_bounded_in_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y: seen.append(len(y)) or (0.0, 0.0, 0.0, 0.0))
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("stupid text "), "id").alias("text")).union(
+        spark.createDataFrame([(2, "a clean text"), (3, "another")], "doc_id long, text string"))
+    toxicity.train(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int"), sample_rows=3, min_documents=1)
+    assert seen == [3]
+
+
 # ---- SimHash
 
 def plain_fingerprint(text):

@@ -148,15 +148,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, lexicon
           label_col: str = "toxic") -> Lexicon:
     """A lexicon from the labelled documents.
 
-    At most ``sample_rows`` labelled ids are used (those with the smallest hash), which bounds what is
-    broadcast and fitted; at most ``lexicon_size`` terms are kept. Labels without a document, without
+    At most ``sample_rows`` labelled ids are used (those with the smallest hash), each with one row (of
+    several the one whose text has the smallest hash), which bounds what is broadcast and fitted; at most ``lexicon_size`` terms are kept. Labels without a document, without
     an id or with a null label are passed over; without toxic documents every score is the base rate.
     """
     spark = docs.sparkSession
     chosen = labels.select(column(id_col).cast("long").alias("doc_id"), (column(label_col) > 0).alias("label"))
     chosen = chosen.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = cut_lineage(texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id"))
+    found = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    # one row per id, so that an id with very many rows does not go beyond the bound
+    sample = cut_lineage(found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label")))
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
 
