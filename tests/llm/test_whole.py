@@ -91,3 +91,69 @@ def test_edited_notices():
         # a notice after a piece of it
         at = 60 + len(template) - half + 20
         assert (at, at + len(template)) in found(pad, template[half:], pad[:20], template, pad)
+
+
+def longest_common(text, template):
+    row = [0] * (len(template) + 1)
+    for w in text:
+        last = 0
+        for j, t in enumerate(template, 1):
+            row[j], last = (last + 1 if w == t else max(row[j], row[j - 1])), row[j]
+    return row[-1]
+
+
+def test_scan_against_every_place():
+    scanner, rng = license_align.Scanner(license_align.TEMPLATES), random.Random(6)
+    names = list(scanner.templates)
+    loose = [w for t in scanner.templates.values() for w in t]
+    for _ in range(12):
+        text = []
+        for name in rng.sample(names, 3):
+            text += [rng.choice(loose) if rng.random() < 0.2 else b"w%d" % rng.randint(0, 99) for _ in range(rng.randint(0, 60))]
+            text += [b"edit" if rng.random() < 0.1 else w for w in scanner.templates[name] if rng.random() > 0.05]
+        found = scanner.scan(text, 0.8)
+        for name, share, a, b, n in found:
+            template = scanner.templates[name]
+            assert share == n / len(template) >= 0.8 and longest_common(text[a:b], template) >= n
+        for name, template in scanner.templates.items():
+            own = [x[2:4] for x in found if x[0] == name]
+            size = len(template)
+            for a in range(len(text)):
+                if text[a] not in template:
+                    continue
+                pairs = license_align.align(text[a:a + size], template)
+                if len(pairs) >= 0.8 * size:
+                    assert any(x < a + size and a < y for x, y in own), (name, a, own)
+
+
+def test_notices_in_far_pieces():
+    scanner, rng = license_align.Scanner(license_align.TEMPLATES), random.Random(3)
+
+    def pad(n):
+        return [b"w%d" % rng.randint(0, 999) for _ in range(n)]
+
+    for name, template in scanner.templates.items():
+        size = len(template)
+        if size < license_align.JOINED:
+            continue
+        least = min(license_align.PIECE, int(0.2 * size) + 1)
+
+        def found(*parts):
+            return [x[1:] for x in scanner.scan([w for p in parts for w in p], 0.8) if x[0] == name]
+
+        for _ in range(20):
+            p = rng.randint(1, size - 1)
+            one, = found(pad(30), template[:p], pad(size + 40), template[p:], pad(30))
+            assert one[3] == size or max(p, size - p) >= 0.8 * size  # a piece that is enough stays by itself
+            p, q = sorted(rng.sample(range(1, size), 2))
+            words = sum(x for x in (p, q - p, size - q) if x >= least)
+            if words >= 0.8 * size:
+                got, = found(pad(30), template[:p], pad(300), template[p:q], pad(2000), template[q:], pad(30))
+                assert got[0] == got[3] / size
+                assert got[3] >= words or max(p, q - p, size - q) >= 0.8 * size
+        half = size // 2
+        # pieces in another order are no notice; two notices in pieces are two; a whole one between pieces counts for itself
+        assert not found(template[half:], pad(300), template[:half])
+        assert len(found(template[:half], pad(300), template[half:], pad(300), template[:half], pad(300), template[half:])) == 2
+        assert sorted(x[0] for x in found(template[:half], pad(300), template, pad(300), template[half:])) == [1.0, 1.0]
+        assert not found(*[x for i in range(0, size, 2) for x in (template[i:i + 2], pad(300))])

@@ -3,13 +3,14 @@
 Words that occur once in a template and once in a stretch of text are anchors; the longest
 increasing subsequence of anchors holds, and the gaps between them are aligned in the same way,
 down to gaps without an anchor, whose equal words at either end still match. Coverage is the share
-of the template's words that are matched.
+of the template's words that are matched. Pieces of a notice that are far apart in the text are
+aligned each and joined in the order of the template, whatever lies between them.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
@@ -54,6 +55,8 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved",
 }
 WORD = re.compile(rb"[a-z0-9.+-]*[a-z0-9]")
+PIECE = 6    # words of a piece of a notice, or what a notice may lack, if that is less
+JOINED = 16  # shorter templates are one sentence, which is not put together from pieces
 # fixed values: words too common to start a scan at
 FUNCTION_WORDS = frozenset(
     b"a all and any are as at be by for from in is it may must not of on or that the this to under use with you".split())
@@ -153,10 +156,71 @@ class Scanner:
                 elif len(same) == 1 and wide[4] > same[0][4]:
                     own[own.index(same[0])] = wide
             out += own
+            if len(self.templates[name]) >= JOINED:
+                out += self._joined(name, found, at, near, least, own)
         return out
 
+    def _joined(self, name: str, found: list[bytes], at: list[int], reach: int, least: float, own: list[tuple]) -> Iterator[tuple[str, float, int, int, int]]:
+        """Notices in pieces that are any distance apart, without the stretches found already.
+
+        A chain is (words, first place, place after the last, template word after the last); ``best[t]``
+        is the chain up to template word t with most words, of equal ones the one that begins last. One
+        that covers enough goes out as soon as a piece comes that does not continue it.
+        """
+        size = len(self.templates[name])
+        taken = self.count[name]
+        # the words of all pieces bound what a chain can cover
+        if sum((Counter(found[i] for i in at) & taken).values()) + sum(n for w, n in taken.items() if w not in self.keys) < least * size:
+            return
+        empty = (0, 0, 0, 0)
+        best, done = [empty] * (size + 1), None
+        ends = sorted((x[3], x[2]) for x in own)
+        for first, last, c, d, words in self._pieces(name, found, at, reach, min(PIECE, int((1 - least) * size) + 1)):
+            k = bisect_right(ends, (first, len(found)))
+            if k < len(ends) and ends[k][1] < last:
+                continue
+            if done and c < done[3]:
+                yield name, done[0] / size, done[1], done[2], done[0]
+                best, done = [empty] * (size + 1), None
+            before = max(best[:c + 1])
+            chain = (before[0] + words, before[1] if before[0] else first, last, d)
+            best[d] = max(best[d], chain)
+            if chain[0] >= least * size:
+                done = chain
+        if done:
+            yield name, done[0] / size, done[1], done[2], done[0]
+
+    def _pieces(self, name: str, found: list[bytes], at: list[int], reach: int, most: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """(first place, place after the last, first template word, template word after the last, words) of
+        aligned runs of ``most`` matched words or more, at most ``reach`` words between neighbours."""
+        for a, b in self._ranges(name, found, at, reach):
+            stretch = found[a:b]
+            if sum((Counter(stretch) & self.count[name]).values()) < most:
+                continue
+            run: list[tuple[int, int]] = []
+            for pair in [*align(stretch, self.templates[name]), None]:
+                if run and (pair is None or pair[0] - run[-1][0] > reach or pair[1] - run[-1][1] > reach):
+                    if len(run) >= most:
+                        yield a + run[0][0], a + run[-1][0] + 1, run[0][1], run[-1][1] + 1, len(run)
+                    run = []
+                run.append(pair)
+
     def _stretches(self, name: str, found: list[bytes], at: list[int], reach: int, least: float) -> list[tuple[str, float, int, int, int]]:
         out, template = [], self.templates[name]
+        for a, b in self._ranges(name, found, at, reach):
+            # words match as often as both sides have them at most, which bounds the coverage
+            stretch = found[a:b]
+            if sum((Counter(stretch) & self.count[name]).values()) < least * len(template):
+                continue
+            pairs = align(stretch, template)
+            share = len(pairs) / len(template)
+            if share >= least:
+                out.append((name, share, a + pairs[0][0], a + pairs[-1][0] + 1, len(pairs)))
+        return out
+
+    def _ranges(self, name: str, found: list[bytes], at: list[int], reach: int) -> Iterator[tuple[int, int]]:
+        """Stretches of words around key words that are at most ``reach`` words apart."""
+        half = max(1, len(self.templates[name]) // 2)
         begin, seen = 0, {}
         for k in range(1, len(at) + 1):
             # a new stretch begins after a gap, or where a word that the template has once comes
@@ -164,21 +228,13 @@ class Scanner:
             word = found[at[k - 1]]
             if word in self.single[name]:
                 seen.setdefault(word, at[k - 1])
-            if k < len(at) and at[k] - at[k - 1] <= reach and at[k] - seen.get(found[at[k]], at[k]) < max(1, len(template) // 2):
+            if k < len(at) and at[k] - at[k - 1] <= reach and at[k] - seen.get(found[at[k]], at[k]) < half:
                 continue
-            # words match as often as both sides have them at most, which bounds the coverage
             a, b = max(0, at[begin] - reach), min(len(found), at[k - 1] + 1 + reach)
             if k < len(at):
                 b = min(b, at[k])
             begin, seen = k, {}
-            stretch = found[a:b]
-            if sum((Counter(stretch) & self.count[name]).values()) < least * len(template):
-                continue
-            pairs = align(stretch, template)
-            share = len(pairs) / len(template)
-            if share >= least:
-                out.append((name, share, a + pairs[0][0], a + pairs[-1][0] + 1, len(pairs)))
-        return out
+            yield a, b
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = 0.8,
@@ -188,7 +244,8 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, lea
     document with most matched words (equal: the first by place, then name).
 
     Null and empty texts match nothing; repeated rows give repeated results. Templates without a word
-    are passed over. Their total size should stay within what a task can hold.
+    are passed over. Their total size should stay within what a task can hold. Pieces of a notice count
+    together however far apart they are, if each has ``PIECE`` words and the template ``JOINED``.
     """
     sent = broadcast_object(docs.sparkSession, Scanner(templates))
 
