@@ -245,6 +245,43 @@ def test_importance_prefers_the_target(spark):
     assert {r["doc_id"] % 2 for r in rows} == {1}
 
 
+def test_importance_against_plain_counts(spark):
+    rng = random.Random(8)
+    kinds = ["the cat sat on a mat and ate", "buy now cheap %% offer $$ click", "x"]
+    rows = [(i, " ".join(rng.choices(rng.choice(kinds).split(), k=rng.randint(0, 30)))) for i in range(120)]
+    rows += [(5, "a row with an id that comes twice"), (None, "the cat sat"), (7, None)]
+    target = {i for i in range(0, 60, 3)} | {5, 7}
+    got = importance.resample(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in target], "doc_id long"), reach=0.9).collect()
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(w.encode()) for w in (text or "").split()]
+        for i, x in enumerate(h):
+            yield x % importance.FEATURES
+            if i + 1 < len(h):
+                x = x * 0x9E3779B97F4A7C15 % 2**64 ^ h[i + 1]
+                yield (x ^ x >> 29) % importance.FEATURES
+
+    every, good = Counter(), Counter()
+    for doc, text in rows:
+        every.update(grams(text))
+        if doc in target:
+            good.update(grams(text))
+    n_every, n_good = importance.FEATURES + every.total(), importance.FEATURES + good.total()
+    wanted = Counter()
+    for doc, text in rows:
+        own = Counter(grams(text)) if doc in target else Counter()  # a target row is not in its own model
+        weight = sum(math.log((good[g] + 1 - own[g]) / (n_good - own.total()) * n_every / (every[g] + 1)) for g in grams(text))
+        wanted[doc, doc in target, len(list(grams(text))), round(weight, 6)] += 1
+    assert Counter((r["doc_id"], r["in_target"], r["n_grams"], round(r["log_weight"], 6)) for r in got) == wanted
+    # noise of a Gumbel draw on top, and as many rows as reach the key of nine tenths of the target
+    keys = sorted(r["key"] for r in got if r["in_target"])
+    least = keys[math.ceil(len(keys) * 0.1) - 1]
+    assert all(r["selected"] == (r["key"] >= least) for r in got)
+    noise = [r["key"] / 1e6 - r["log_weight"] for r in got]
+    assert abs(sum(noise) / len(noise) - 0.577) < 0.4 and min(noise) > -2.5
+
+
 # ---- line dedup
 
 def plain_repeats(texts, least):

@@ -1,7 +1,8 @@
 """Importance resampling: the ratio of hashed n-gram models of target and raw text, sampled without
 replacement by Gumbel top-k.
 
-A document's weight is the log ratio of its probability under the two bag-of-n-grams models (words
+A target document is weighed by a target model without it, so that it counts like a new text of its
+kind; how many rows are drawn follows from these weights. A document's weight is the log ratio of its probability under the two bag-of-n-grams models (words
 and word pairs, hashed into ``FEATURES`` buckets). Adding independent Gumbel noise to the weights and
 taking the k highest draws k documents in proportion to their weights. The k-th highest key is found
 by counting keys in 2**12 ranges a pass, so no task and no driver sees all of them.
@@ -62,28 +63,40 @@ def _counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratio(counts: DataFrame) -> np.ndarray:
-    """log(target / raw) of each bucket, add-one smoothed; ``FEATURES`` numbers at most."""
-    raw, target = np.ones(FEATURES), np.ones(FEATURES)
-    for row in counts.collect():
-        raw[row.bucket] += row.raw
-        target[row.bucket] += row.target
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+class Ratio:
+    """log(target / raw) of each bucket, add-one smoothed; ``FEATURES`` numbers of each."""
 
+    def __init__(self, counts: DataFrame):
+        raw, self.target = np.ones(FEATURES), np.ones(FEATURES)
+        for row in counts.collect():
+            raw[row.bucket] += row.raw
+            self.target[row.bucket] += row.target
+        self.raw = np.log(raw / raw.sum())
+        self.log = np.log(self.target / self.target.sum()) - self.raw
 
-def _weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+    def weight(self, found: np.ndarray, good: bool) -> float:
+        """The log ratio of a text's n-grams; a ``good`` text is taken out of the target model."""
+        if not good or not len(found):
+            return float(self.log[found].sum())
+        own, count = np.unique(found, return_counts=True)
+        left = np.log((self.target[own] - count) / (self.target.sum() - len(found)))
+        return float((count * (left - self.raw[own])).sum())
+
+
+def _weights(docs: DataFrame, ratio: Ratio) -> DataFrame:
     sent = broadcast_object(docs.sparkSession, ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, memory = sent(), Memory()
+        own, memory = sent(), Memory()
         for part in slices(batches):
             found = [buckets(t, memory) for t in utf8(part.column("text"))]
+            good = part.column("good")
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("version"),
-                 pa.array([float(table[b].sum()) for b in found], pa.float64()),
-                 pa.array([len(b) for b in found], pa.int64())], ["doc_id", "version", "log_weight", "n_grams"])
+                [part.column("doc_id"), part.column("version"), good,
+                 pa.array(map(own.weight, found, good.to_pylist()), pa.float64()),
+                 pa.array([len(b) for b in found], pa.int64())], ["doc_id", "version", "in_target", "log_weight", "n_grams"])
 
-    return docs.select("doc_id", "version", "text").mapInArrow(run, "doc_id long, version long, log_weight double, n_grams long")
+    return docs.mapInArrow(run, "doc_id long, version long, in_target boolean, log_weight double, n_grams long")
 
 
 def gumbel(seed: int, *key: str) -> Column:
@@ -119,23 +132,27 @@ def top_k(frame: DataFrame, key: str, k: int) -> DataFrame:
     return frame.withColumn("selected", F.coalesce(F.col(key) >= low, F.lit(False)))
 
 
-def resample(docs: DataFrame, target: DataFrame, k: int | None = None, share: float = 0.85, seed: int = 7,
+def resample(docs: DataFrame, target: DataFrame, k: int | None = None, reach: float = 0.98, seed: int = 7,
              target_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", target_id_col: str = "doc_id") -> DataFrame:
-    """(``doc_id``, ``version``, ``log_weight``, ``n_grams``, ``key``, ``selected``) of every row.
+    """(``doc_id``, ``version``, ``in_target``, ``log_weight``, ``n_grams``, ``key``, ``selected``) of every row.
 
     ``target`` names documents of the target text by id; at most ``target_rows`` of them, those with
     the smallest hash, make the target model (that bounds what is broadcast). All documents make the
-    raw model. ``k`` documents are drawn, or ``share`` of all rows. Null text is empty and has weight
-    0; a row with a null id is raw text only; equal rows draw the same noise, so they are selected
-    together, as all ties with the k-th key are. Without target documents smoothing decides.
+    raw model. ``k`` documents are drawn, or as many as have a key that ``reach`` of the target rows
+    come up to, however many others there are. Null text is empty and has weight 0; a row with a null
+    id is raw text only; equal rows draw the same noise, so they are selected together, as all ties
+    with the k-th key are. Without target rows smoothing decides, and ``reach`` of all rows are drawn.
     """
     good = target.select(column(target_id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).withColumn("good", F.lit(True))
+    # written, so that both passes know the same target and the planner its size
+    good = cut_lineage(good)
     marked = texts(docs, id_col, text_col).withColumn("version", F.xxhash64("text"))
-    told = marked.join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    ratio = log_ratio(_counts(told))
-    weighed = cut_lineage(_weights(marked, ratio).withColumn(
+    told = marked.join(F.broadcast(good), "doc_id", "left").select("doc_id", "version", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    ratio = Ratio(_counts(told.select("text", "good")))
+    weighed = cut_lineage(_weights(told, ratio).withColumn(
         "key", _ordered(F.col("log_weight") + gumbel(seed, "doc_id", "version"))))
     if k is None:
-        k = int(weighed.count() * share)
+        least = weighed.filter("in_target").agg(F.percentile_approx("key", 1 - reach, 100_000)).first()[0]
+        k = weighed.filter(F.col("key") >= least).count() if least is not None else int(weighed.count() * reach)
     return top_k(weighed, "key", k)
