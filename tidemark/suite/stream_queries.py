@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.session import scratch
 from tidemark.sources import topics
 from tidemark.streaming import consume as st
+from tidemark.streaming import groups
 from tidemark.streaming import identity as sync
 from tidemark.streaming import stateful
 from tidemark.suite import derive as d
@@ -65,6 +66,31 @@ def stream_restart(spark, sf):
     return spark.read.schema("key string, offset bigint, topic string").parquet(out)
 
 
+@query("consumer_groups", f"""WITH {d.SQL_CDC}
+SELECT g AS "group", user_id % 4 AS "partition", "offset", app || '.cdc.' || message_type AS topic
+FROM cdc, (VALUES ('early'), ('late')) AS t(g)""")
+def consumer_groups(spark, sf):
+    rows = d.cdc_topic(spark, sf).select(*topics.TOPIC_COLUMNS)
+    path, offsets, out = (scratch(spark, n) for n in ("topic", "offsets", "handled"))
+    names = [f"shop{i}.cdc.{kind}" for i in range(3) for kind in ("even", "odd")]
+    least, top = rows.agg(F.min("offset"), F.max("offset")).first()
+    middle = ((least or 0) + (top or 0)) // 2
+
+    def handle(group):
+        return lambda batch, n: st.write_batch(batch.select("topic", "partition", "offset"), f"{out}/{group}", n)
+
+    topics.write_topic(rows.filter(F.col("offset") < middle), path)
+    groups.consume_group(spark, path, offsets, "early", names, handle("early"), most=max(1, (middle - (least or 0)) // 2))
+    topics.write_topic(rows.filter(F.col("offset") >= middle), path)
+    # a consumer that ends before its commit: the next one of the group gets the same again
+    handle("early")(groups.poll(spark, path, offsets, "early", names), max(st.committed_batches(spark, f"{offsets}/early"), default=-1) + 1)
+    groups.consume_group(spark, path, offsets, "early", names, handle("early"))
+    groups.consume_group(spark, path, offsets, "late", names, handle("late"))
+    found = [st.read_batches(spark, f"{out}/{g}", "topic string, partition int, offset bigint").withColumn("group", F.lit(g))
+             for g in ("early", "late")]
+    return found[0].unionByName(found[1]).select("group", F.col("partition").cast("long").alias("partition"), "offset", "topic")
+
+
 @query("stream_cdc_state", f"""WITH {d.SQL_GOOD},
 r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY "offset" DESC) AS rn FROM good)
 SELECT uid, "offset", operation, message_type, round(value, 2) AS value FROM r WHERE rn = 1 AND operation <> 'delete'""")
