@@ -127,6 +127,35 @@ def test_exceptions_and_longest_match():
     assert lexicon.matches(toxicity.fold("xtrash")) == []
 
 
+def test_matches_against_plain_search():
+    rng = random.Random(12)
+    words = ["ab", "abc", "abcd", "b", "bc", "abab", "c"]
+    for _ in range(300):
+        terms = {rng.choice(words) + rng.choice(["", " "]): rng.randint(1, 9) / 4 for _ in range(rng.randint(0, 6))}
+        phrases = [" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(rng.randint(0, 4))]
+        phrases = [p for p in phrases if p + " " not in terms]
+        body = rng.choices(words, k=rng.randint(0, 40))
+        folded, wanted, at = f" {' '.join(body)} ", [], 0
+        inside = set()
+        for phrase in phrases:
+            size = phrase.count(" ") + 1
+            for i in range(len(body)):
+                if body[i:i + size] == phrase.split():
+                    inside.update(range(i, i + size))
+        for i, word in enumerate(body):
+            fits = [t for t in terms if (word + " ").startswith(t)]
+            if fits and i not in inside:
+                wanted.append((at, terms[max(fits, key=len)]))
+            at += len(word) + 1
+        assert toxicity.Lexicon(terms, phrases).matches(folded) == wanted
+
+
+def test_long_text_of_spared_matches():
+    lexicon = toxicity.Lexicon({"trash": 1.0}, ["trash can"])
+    found = lexicon.matches(toxicity.fold("trash can and trash talk " * 100_000))
+    assert len(found) == 100_000 and found[0] == (14, 1.0)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     scored = queries.QUERIES["op2_toxicity"](spark, sf).filter("held_out")

@@ -98,7 +98,14 @@ class Lexicon:
                 spared.append((at, end))
             elif at not in best or best[at][0] < size:
                 best[at] = (size, weight)
-        return [(at, w) for at, (_, w) in sorted(best.items()) if not any(a <= at < b for a, b in spared)]
+        spared.sort()
+        out, k, until = [], 0, -1
+        for at, (_, w) in sorted(best.items()):
+            while k < len(spared) and spared[k][0] <= at:
+                until, k = max(until, spared[k][1]), k + 1
+            if at >= until:
+                out.append((at, w))
+        return out
 
     def features(self, folded: str, found: list[tuple[int, float]]) -> tuple[float, float, float]:
         """Matched weight, the same normalised by length, and the number of matches, all damped."""
