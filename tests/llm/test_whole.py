@@ -6,7 +6,9 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, license_align, ngram_lm, queries
 
@@ -71,6 +73,46 @@ def test_lm_of_all_pairs(spark, monkeypatch, shard_tokens):
         assert abs(got[doc] - score) < 0.05 * len(x)  # 8-bit probabilities
 
 
+def test_lm_splits_frequent_pairs(spark, monkeypatch):
+    """Two words make a third of all pairs, most of them in few documents; half of the begins are one word."""
+    for name, value in (("SHARD_TOKENS", 4000), ("CHUNK_TOKENS", 2000), ("FREQUENT", 2)):
+        monkeypatch.setattr(ngram_lm, name, value)
+    rng = random.Random(11)
+    pool = [f"w{i}" for i in range(12)]  # so few that each shard has a level for each probability
+    texts = [" ".join(["hot", "pair"] * rng.randint(150, 250) if i % 6 == 0 else rng.choices([*pool, "hot", "pair"], k=rng.randint(0, 90)))
+             for i in range(600)]
+    texts += ["hot", "pair hot pair", "unseen hot unseen pair", "hot unseen"]
+    held = [i % 5 == 1 or i >= 600 for i in range(len(texts))]
+    frame = spark.createDataFrame(list(zip(range(len(texts)), texts)), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r for r in ngram_lm.score_corpus(frame, (F.col("doc_id") % 5 == 1) | (F.col("doc_id") >= 600)).collect()}
+
+    docs = [["begin", *t.split(), "end"] for t in texts]
+    train = [x for x, h in zip(docs, held) if not h]
+    count, pairs = Counter(w for x in train for w in x[1:]), Counter(p for x in train for p in zip(x, x[1:]))
+    context, follow = Counter(), Counter(u for u, _ in pairs)
+    for (u, _), n in pairs.items():
+        context[u] += n
+    space = sum(count.values()) + len(count) + 1
+    for doc, x in enumerate(docs):
+        base = sum(math.log10((count[w] + 1) / space) for w in x[1:])
+        score = 0
+        for u, w in zip(x, x[1:]):
+            single = (count[w] + 1) / space
+            score += math.log10((max(pairs[u, w] - 0.75, 0) + 0.75 * follow[u] * single) / context[u] if context[u] else single)
+        row = got[doc]
+        assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (len(x) - 1, sum(count[w] > 0 for w in x[1:]), sum(count.values()))
+        assert row["base_score"] == pytest.approx(base, rel=1e-9)
+        assert abs(row["score"] - score) < 1e-4 * len(x), doc
+
+    rows = frame.select(F.col("doc_id").alias("key"), F.lit(False).alias("held_out"), "text")
+    deal = ngram_lm.Deal(*ngram_lm.frequent(rows))
+    key = ngram_lm._pair_key(*(np.array([ngram_lm.Ids()[w]], np.uint64) for w in (b"hot", b"pair")))
+    assert key[0] in deal.pairs
+    # two bytes a use: no shard has much more than its part of them
+    uses = ngram_lm._dealt(rows, deal).mapValues(lambda x: len(ngram_lm._unpack(x[2], ngram_lm.KINDS)[5])).reduceByKey(lambda a, b: a + b)
+    assert max(n for _, n in uses.collect()) < 3 * ngram_lm.SHARD_TOKENS
+
+
 # ---- licenses
 
 def test_edited_notices():

@@ -4,7 +4,8 @@ p(w | u) = (n(u,w) - D) / c(u) + b(u) p(w) over all pairs seen, p(w) add-one smo
 over the unigram, so every shard can add up its own pairs.
 
 The pairs of all documents are dealt once, by the hash of the context; contexts with many pairs are
-spread by the hash of the next word. A map task sends the different pairs of a chunk with the
+spread by the hash of the next word, and pairs with many occurrences by the chunk too; the counts of
+such contexts and pairs are added up apart and are the same in each of their shards. A map task sends the different pairs of a chunk with the
 documents that hold them, packed, so a frequent pair costs one entry per chunk. The same dealt rows
 are counted (training documents only) and then scored (all documents): Spark keeps the shuffle, and
 makes lost parts of it anew. No part of the model is bounded by anything but the input.
@@ -33,6 +34,7 @@ CHUNK_TOKENS = 1 << 20
 CHUNK_DOCS = 60_000
 SHARD_TOKENS = 3 << 20
 FREQUENT = 64
+FREQUENT_PAIR = 4
 
 
 class Ids(dict):
@@ -50,47 +52,106 @@ def _mix(ids: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(32)) >> np.uint64(7)
 
 
-def frequent_words(docs: DataFrame) -> tuple[int, dict[int, int]]:
-    """(number of tokens, {id: count} of words with over a quarter of a shard): counts leave out tasks
-    in which a word comes less than ``FREQUENT`` times. They only decide where pairs go."""
+def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = u * np.uint64(0x9E3779B97F4A7C15) ^ w * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (x ^ x >> np.uint64(29)) >> np.uint64(1)
+
+
+def frequent(docs: DataFrame) -> tuple[int, dict[int, int], dict[int, int]]:
+    """(number of tokens, {id: count} of words and {key: count} of pairs with over a quarter of a shard). Counts
+    leave out tasks in which a word comes less than ``FREQUENT`` times, and slices in which a pair comes
+    less than ``FREQUENT_PAIR`` times. They only decide where pairs go."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, total, held = Ids(), 0, {}
+        ids, total, held = Ids(), 0, [{}, {}]
         for part in slices(batches, most=1 << 22):
-            found = np.fromiter((i for t in utf8(part.column("text")) for i in (BOS, *map(ids.__getitem__, words(t)))), np.int64)
+            found = np.fromiter((i for t in utf8(part.column("text")) for i in (BOS, *map(ids.__getitem__, words(t)))), np.uint64)
             total += len(found)
-            values, counts = np.unique(found, return_counts=True)
-            for v, n in zip(values[counts > 1].tolist(), counts[counts > 1].tolist()):
-                held[v] = held.get(v, 0) + n
-            if len(held) > 1 << 20:
-                held = {v: n for v, n in held.items() if n >= FREQUENT}
-        rows = [(0, total), *[(v, n) for v, n in held.items() if n >= FREQUENT]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["id", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    # the words kept have a quarter of a shard each: at most four times the number of shards
-    found = {r["id"]: r["n"] for r in counted.filter((F.col("id") == 0) | (F.col("n") > SHARD_TOKENS // 4)).collect()}
-    return found.pop(0, 0), found
+            after = np.append(found[1:], np.uint64(BOS))
+            after[after == BOS] = END
+            for own, keys, least in zip(held, (found, _pair_key(found, after)), (2, FREQUENT_PAIR)):
+                values, counts = np.unique(keys, return_counts=True)
+                some = counts >= least
+                for v, n in zip(values[some].tolist(), counts[some].tolist()):
+                    own[v] = own.get(v, 0) + n
+            held = [{v: n for v, n in own.items() if n >= FREQUENT} if len(own) > 1 << 20 else own for own in held]
+        rows = [(0, 0, total), *[(kind, v, n) for kind, own in enumerate(held) for v, n in own.items() if n >= FREQUENT]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1, 2)], ["kind", "id", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "kind long, id long, n long").groupBy("kind", "id").agg(F.sum("n").alias("n"))
+    # the words and pairs kept have a quarter of a shard each: at most four times the number of shards of either
+    found: list[dict[int, int]] = [{}, {}]
+    for r in counted.filter(((F.col("kind") == 0) & (F.col("id") == 0)) | (F.col("n") > SHARD_TOKENS // 4)).collect():
+        found[r["kind"]][r["id"]] = r["n"]
+    return found[0].pop(0, 0), *found
+
+
+def _index(held: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted number in an ascending array, or -1."""
+    if not len(held):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+    return np.where(held[at] == wanted, at, -1)
 
 
 class Deal:
-    """Where a pair goes."""
+    """Where a pair goes: a context has one shard, or ``spread`` ones in a row, in which a word has one place,
+    or several in a row that its chunks share."""
 
-    def __init__(self, tokens: int, frequent: dict[int, int]):
+    def __init__(self, tokens: int, frequent: dict[int, int], pairs: dict[int, int]):
         self.shards = max(1, -(-tokens // SHARD_TOKENS))
-        self.hot = np.array(sorted(frequent), np.uint64)
-        self.spread = np.array([min(self.shards, -(-4 * frequent[int(i)] // SHARD_TOKENS)) for i in self.hot], np.uint64)
+        self.hot, self.spread = self._wide(frequent)
+        self.pairs, self.pair_spread = self._wide(pairs)
+
+    def _wide(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.array(sorted(counts), np.uint64)
+        return keys, np.array([min(self.shards, -(-4 * counts[int(k)] // SHARD_TOKENS)) for k in keys], np.uint64)
 
     def is_hot(self, u: np.ndarray) -> np.ndarray:
-        return np.isin(u, self.hot)
-
-    def shard(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        out = _mix(u)
-        if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, u), len(self.hot) - 1)
-            hot = np.flatnonzero(self.hot[at] == u)
-            out[hot] += _mix(w[hot]) % self.spread[at[hot]]
+        return _index(self.hot, u) >= 0
+
+    def hot_pair(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Place among the pairs spread by chunk, or -1; their contexts are spread themselves."""
+        out = np.full(len(u), -1, np.int64)
+        own = np.flatnonzero(self.is_hot(u))
+        out[own] = _index(self.pairs, _pair_key(u[own], w[own]))
+        return out
+
+    def shard(self, u: np.ndarray, w: np.ndarray, chunk: int) -> np.ndarray:
+        out = _mix(u) % np.uint64(self.shards)
+        at = _index(self.hot, u)
+        own = np.flatnonzero(at >= 0)
+        offset, pair = _mix(w[own]), self.hot_pair(u[own], w[own])
+        wide = pair >= 0
+        offset[wide] += _mix(np.array([chunk], np.uint64)) % self.pair_spread[pair[wide]]
+        out[own] += offset % self.spread[at[own]]
         return (out % np.uint64(self.shards)).astype(np.int32)
 
+    def holds(self, shard: int, u: np.ndarray) -> np.ndarray:
+        """Whether pairs of the spread contexts ``u`` can be in a shard."""
+        return self._offset(shard, u) < self.spread[_index(self.hot, u)]
+
+    def holds_pair(self, shard: int, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Whether occurrences of the spread pairs can be in a shard."""
+        wide = self.spread[_index(self.hot, u)]
+        offset = self._offset(shard, u)
+        return (offset < wide) & ((offset + wide - _mix(w) % wide) % wide < self.pair_spread[self.hot_pair(u, w)])
+
+    def _offset(self, shard: int, u: np.ndarray) -> np.ndarray:
+        shards = np.uint64(self.shards)
+        return (np.uint64(shard) + shards - _mix(u) % shards) % shards
+
+
+class Whole:
+    """What is known of spread contexts (id, count, mass) and pairs (context, word, count, count of the word)."""
+
+    def __init__(self, contexts: dict[int, tuple], pairs: list[tuple]):
+        ids = sorted(contexts)
+        self.ids = np.array(ids, np.uint64)
+        self.n = np.array([contexts[i][0] for i in ids], np.int64)
+        self.mass = np.array([contexts[i][1] for i in ids], np.float64)
+        self.pairs = np.array([p[:2] for p in pairs], np.uint64).reshape(-1, 2)
+        self.uses = np.array([p[2:] for p in pairs], np.int64).reshape(-1, 2)
+
 
 def _pack(parts: list[np.ndarray]) -> bytes:
     return b"".join(struct.pack("<Q", p.nbytes) + p.tobytes() for p in parts)
@@ -118,7 +179,7 @@ def _eight(packed: np.ndarray) -> np.ndarray:
 KINDS = ["<i8", "u1", "<u4", "u1", "<u4", "<u2"]  # documents (differences), contexts, pairs each, words, uses each, uses
 
 
-def _chunk_rows(doc_ids: list[int], tokens: list[np.ndarray], deal: Deal) -> Iterator[tuple[int, bytes]]:
+def _chunk_rows(doc_ids: list[int], tokens: list[np.ndarray], deal: Deal, chunk: int) -> Iterator[tuple[int, bytes]]:
     """(shard, payload) of the pairs of some documents. ``tokens`` begin with BOS and end with END."""
     flat = np.concatenate(tokens)
     sizes = np.array([len(t) for t in tokens])
@@ -136,7 +197,7 @@ def _chunk_rows(doc_ids: list[int], tokens: list[np.ndarray], deal: Deal) -> Ite
     u = table[(pair[begin] >> np.uint64(bits)).astype(np.int64)]
     w = table[(pair[begin] & np.uint64((1 << bits) - 1)).astype(np.int64)]
     used = (key & np.uint64(0xFFFF)).astype("<u2")
-    shard = deal.shard(u, w)
+    shard = deal.shard(u, w, chunk)
     order = np.argsort(shard, kind="stable")
     docs = np.diff(np.array(doc_ids, "<i8"), prepend=0).astype("<i8")
     edges = np.concatenate(([0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]))
@@ -160,8 +221,8 @@ def _dealt(docs: DataFrame, deal: Deal):
 
         def flush(train: bool) -> pa.RecordBatch:
             nonlocal number
-            rows = list(_chunk_rows(*held[train], own))
             chunk = (task << 32) + number
+            rows = list(_chunk_rows(*held[train], own, chunk))
             number, sizes[train], held[train] = number + 1, 0, ([], [])
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()),
@@ -193,7 +254,7 @@ def _own(shard: int) -> int:
 
 def _pairs(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     """Ids and counts of contexts, pairs of each, their words and counts; sorted by context and word."""
-    us, ws, ns = [], [], []
+    us, ws, ns = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for payload in payloads:
         _, u, per, w, uses, _ = _unpack(payload, KINDS)
         us.append(np.repeat(_eight(u), per))
@@ -203,26 +264,39 @@ def _pairs(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     us, ws, ns = None, None, None
     order = np.lexsort((w, u))
     u, w, n = u[order], w[order], n[order]
+    if not len(u):
+        return u, n, n, w, n
     begin = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
     u, w, n = u[begin], w[begin], np.add.reduceat(n, begin)
     edge = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
     return u[edge], np.add.reduceat(n, edge), np.diff(np.concatenate((edge, [len(u)]))), w, n
 
 
+def _apart(pairs: tuple[np.ndarray, ...], wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and numbers of pairs of the contexts without the spread pairs."""
+    ids, counts, per, _, n = pairs
+    place = np.repeat(np.arange(len(ids)), per)[wide]
+    return counts - np.bincount(place, n[wide], len(ids)).astype(np.int64), per - np.bincount(place, minlength=len(ids))
+
+
 def _count(rows, deal: Deal) -> Iterator[tuple]:
-    """Per shard: contexts with counts, the parts of spread contexts, and the different next words."""
+    """Per shard: contexts with counts, the parts of spread contexts and pairs, and the different next words."""
     shard, held = None, []
     for shard, (_, train, payload) in rows:
         if train:
             held.append(payload)
     if not held:
         return
-    ids, counts, per, w, _ = _pairs(held)
+    found = _pairs(held)
+    ids, _, per, w, n = found
+    u = np.repeat(ids, per)
+    wide = deal.hot_pair(u, w) >= 0
+    counts, per = _apart(found, wide)
     mass = counts - DISCOUNT * per
     hot = deal.is_hot(ids)
     yield (shard, int(counts[~hot & (ids != BOS)].sum()), int((~hot & (ids != BOS)).sum()),
            bytearray(_pack([ids[~hot], counts[~hot], mass[~hot]])), bytearray(_pack([ids[hot], counts[hot], mass[hot]])),
-           bytearray(_pack([np.unique(w)])))
+           bytearray(_pack([u[wide], w[wide], n[wide]])), bytearray(_pack([np.unique(w)])))
 
 
 def _columns(frame: DataFrame, payload: str, kinds: list[str], schema: str) -> DataFrame:
@@ -253,14 +327,13 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"))
     # a key that packs a null id: ids keep their value, null is the smallest long
     rows = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "held_out", "text")
-    tokens, frequent = frequent_words(rows)
-    deal = Deal(tokens, frequent)
+    deal = Deal(*frequent(rows))
     dealt = _dealt(rows, deal)
     sent = broadcast_object(spark, deal)
 
     counted = spark.createDataFrame(
         dealt.mapPartitions(lambda part: _count(part, sent())),
-        "shard int, tokens long, types long, contexts binary, spread binary, next binary")
+        "shard int, tokens long, types long, contexts binary, spread binary, pairs binary, next binary")
     counted = cut_lineage(counted)
     # a spread context has one row in each of its shards; their number follows that of the shards
     parts = _columns(counted, "spread", ["<u8", "<i8", "<f8"], "shard int, id long, n long, mass double")
@@ -268,6 +341,10 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     totals = counted.agg(F.sum("tokens"), F.sum("types")).first()
     unigrams = _columns(counted, "contexts", ["<u8", "<i8", "<f8"], "shard int, id long, n long, mass double").select("id", "n")
     whole = {r["id"]: (r["n"], r["mass"]) for r in spread}
+    parts = _columns(counted, "pairs", ["<u8", "<u8", "<i8"], "shard int, u long, w long, n long")
+    pairs = [(r["u"], r["w"], r["n"]) for r in parts.groupBy("u", "w").agg(F.sum("n").alias("n")).collect()]
+    for u, _, n in pairs:
+        whole[u] = (whole[u][0] + n, whole[u][1] + n - DISCOUNT)
     # every training text has one beginning and one end
     ends = whole[BOS][0] if BOS in whole else (unigrams.filter(F.col("id") == BOS).agg(F.sum("n")).first()[0] or 0)
     n_total = (totals[0] or 0) + sum(n for i, (n, _) in whole.items() if i != BOS) + ends
@@ -287,11 +364,13 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
 
     bundles = grouped.mapInArrow(bundle, "shard int, bundle binary").rdd.map(lambda r: (r[0], (None, None, bytes(r[1]))))
     space = n_total + n_types + 1
-    whole_sent = broadcast_object(spark, whole)
+    followers = spark.createDataFrame([(i,) for i in {w for _, w, _ in pairs}], "id long")
+    of = {r["id"]: r["n"] for r in unigrams.join(followers, "id").collect()} if pairs else {}
+    whole_sent = broadcast_object(spark, Whole(whole, [(u, w, n, of[w]) for u, w, n in pairs]))
     # the counts of a shard's words come before its rows, which are counted again and then scored: their
     # pairs take more room on disk than time
     held = bundles.partitionBy(deal.shards, _own).union(dealt)
-    partial = held.mapPartitions(lambda part: _score(part, whole_sent, space)).reduceByKey(
+    partial = held.mapPartitions(lambda part: _score(part, sent, whole_sent, space)).reduceByKey(
         lambda a, b: a if b is None else [a[0], *[x + y for x, y in zip(a[1:], b[1:])]])
     out = spark.createDataFrame(partial.map(lambda x: (x[0][1], bytearray(_pack(x[1])))), "train boolean, sums binary")
     end_score = float(np.log10((ends + 1) / space))
@@ -311,33 +390,49 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _trie(payloads: list[bytes], bundle: bytes, whole: dict, space: int) -> bytes:
-    """The trie of a shard; a spread context has its whole count and back-off in every shard."""
-    ids, counts, per, w, n = _pairs(payloads)
+def _trie(shard: int, payloads: list[bytes], bundle: bytes | None, deal: Deal, whole: Whole, space: int) -> bytes | None:
+    """The trie of a shard. Every spread context and pair whose occurrences may be in the shard is in it, with its
+    whole count and back-off, whether or not the shard has training occurrences of it."""
+    found = _pairs(payloads)
+    ids, _, per, w, n = found
+    u = np.repeat(ids, per)
+    wide = deal.hot_pair(u, w) >= 0
+    counts, per = _apart(found, wide)
+    u, w, n = u[~wide], w[~wide], n[~wide]
     mass = counts - DISCOUNT * per
-    for at in np.flatnonzero(np.isin(ids, np.array(list(whole), np.uint64))):
-        counts[at], mass[at] = whole[int(ids[at])]
-    backoff = 1 - mass / counts
-    place = np.repeat(np.arange(len(ids)), per)
-    words_known, c = _unpack(bundle, ["<i8", "<i8"])
-    single = (c[np.searchsorted(words_known, w.view("<i8"))] + 1) / space
-    gain = np.log10((n - DISCOUNT) / counts[place] / single + backoff[place])
+    words_known, c = _unpack(bundle, ["<i8", "<i8"]) if bundle else ([], np.empty(0, np.int64))
+    c = c[np.searchsorted(words_known, w.view("<i8"))]
+    here = deal.holds(shard, whole.ids)
+    every = np.union1d(ids, whole.ids[here])
+    if not len(every):
+        return None
+    n_context, mass_context = np.zeros(len(every), np.int64), np.zeros(len(every))
+    for own, own_n, own_mass in ((ids, counts, mass), (whole.ids[here], whole.n[here], whole.mass[here])):
+        at = np.searchsorted(every, own)
+        n_context[at], mass_context[at] = own_n, own_mass
+    some = deal.holds_pair(shard, *whole.pairs.T)
+    u, w = (np.concatenate((x, y)) for x, y in zip((u, w), whole.pairs[some].T))
+    n, c = (np.concatenate((x, y)) for x, y in zip((n, c), whole.uses[some].T))
+    place = np.searchsorted(every, u)
+    backoff = 1 - mass_context / n_context
+    gain = np.log10((n - DISCOUNT) / n_context[place] / ((c + 1) / space) + backoff[place])
     short = w & np.uint64(0xFFFFFFFF)
     order = np.lexsort((short, place))
-    return Trie.encode(ids, counts, np.log10(backoff), place[order], short[order], gain[order])
+    return Trie.encode(every, n_context, np.log10(backoff), place[order], short[order], gain[order])
 
 
-def _score(rows, whole, space: int) -> Iterator[tuple]:
+def _score(rows, deal, whole, space: int) -> Iterator[tuple]:
     """((chunk, train), [doc keys, base, gain, words, known words]) of each payload of a shard."""
     held, bundle = [], None
-    for _, (chunk, train, payload) in rows:
+    for shard, (chunk, train, payload) in rows:
         if chunk is None:
             bundle = payload
         else:
             held.append((chunk, train, payload))
-    own = [payload for _, train, payload in held if train]
-    trie = Trie(_trie(own, bundle, whole(), space)) if own else None
-    own = None
+    if not held:
+        return
+    encoded = _trie(shard, [payload for _, train, payload in held if train], bundle, deal(), whole(), space)
+    trie = Trie(encoded) if encoded else None
     while held:
         chunk, train, payload = held.pop()
         docs, u, per, w, uses, used = _unpack(payload, KINDS)
