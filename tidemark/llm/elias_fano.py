@@ -11,6 +11,8 @@ import struct
 import numpy as np
 
 PART = 1 << 15
+ONE = np.uint64(1)
+HALVES = [np.uint64(1 << k) for k in range(5, -1, -1)]
 
 
 def _low_bits(n: int, top: int) -> int:
@@ -58,9 +60,17 @@ class EliasFano:
             own = k[a:a + PART]
             word = np.searchsorted(before, own, side="right") - 1
             bits = self.high[word] if ones else ~self.high[word]
-            count = np.cumsum(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=1, dtype=np.uint8)
-            inside = (count <= (own - before[word]).astype(np.uint8)[:, None]).sum(axis=1)
-            out[a:a + PART] = word * 64 + inside
+            left = (own - before[word]).astype(np.uint8)
+            inside = np.zeros(len(own), np.uint64)
+            # the half that holds the place, six times
+            for width in HALVES:
+                count = np.bitwise_count(bits & ((ONE << width) - ONE))
+                past = left >= count
+                left -= count * past
+                step = width * past
+                bits >>= step
+                inside += step
+            out[a:a + PART] = word * 64 + inside.astype(np.int64)
         return out
 
     def _low(self, i: np.ndarray) -> np.ndarray:
