@@ -106,7 +106,7 @@ def test_lm_splits_frequent_pairs(spark, monkeypatch):
 
     rows = frame.select(F.col("doc_id").alias("key"), F.lit(False).alias("held_out"), "text")
     deal = ngram_lm.Deal(*ngram_lm.frequent(rows))
-    key = ngram_lm._pair_key(*(np.array([ngram_lm.Ids()[w]], np.uint64) for w in (b"hot", b"pair")))
+    key = ngram_lm._pair_key(*ngram_lm.word_ids([b"hot", b"pair"]).reshape(2, 1))
     assert key[0] in deal.pairs
     # two bytes a use: no shard has much more than its part of them
     uses = ngram_lm._dealt(rows, deal).mapValues(lambda x: len(ngram_lm._unpack(x[2], ngram_lm.KINDS)[5])).reduceByKey(lambda a, b: a + b)

@@ -14,7 +14,8 @@ makes lost parts of it anew. No part of the model is bounded by anything but the
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,9 @@ FREQUENT = 64
 FREQUENT_PAIR = 4
 
 
-class Ids(dict):
-    """48-bit ids of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 18:
-            self.clear()
-        value = self[word] = max(xxhash.xxh64_intdigest(word) & ((1 << 48) - 1), END + 1)
-        return value
+def word_ids(found: Iterable[bytes], count: int = -1) -> np.ndarray:
+    """48-bit ids of words; hashing again is cheaper than a look-up among so many."""
+    return np.maximum(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, count) & ID_BITS, np.uint64(END + 1))
 
 
 def _mix(ids: np.ndarray) -> np.ndarray:
@@ -62,9 +58,11 @@ def frequent(docs: DataFrame) -> tuple[int, dict[int, int], dict[int, int]]:
     leave out tasks in which a word comes less than ``FREQUENT`` times, and slices in which a pair comes
     less than ``FREQUENT_PAIR`` times. They only decide where pairs go."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, total, held = Ids(), 0, [{}, {}]
+        total, held = 0, [{}, {}]
         for part in slices(batches, most=1 << 22):
-            found = np.fromiter((i for t in utf8(part.column("text")) for i in (BOS, *map(ids.__getitem__, words(t)))), np.uint64)
+            found = [words(t) for t in utf8(part.column("text"))]
+            begins = np.cumsum([0, *map(len, found[:-1])])
+            found = np.insert(word_ids(chain.from_iterable(found)), begins, BOS)
             total += len(found)
             after = np.append(found[1:], np.uint64(BOS))
             after[after == BOS] = END
@@ -215,7 +213,7 @@ def _dealt(docs: DataFrame, deal: Deal):
     sent = broadcast_object(docs.sparkSession, deal)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, ids = sent(), Ids()
+        own = sent()
         held: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
         sizes, number, task = {True: 0, False: 0}, 0, TaskContext.get().partitionId()
 
@@ -233,7 +231,7 @@ def _dealt(docs: DataFrame, deal: Deal):
                 found = words(raw)
                 tokens = np.empty(len(found) + 2, np.uint64)
                 tokens[0], tokens[-1] = BOS, END
-                tokens[1:-1] = np.fromiter(map(ids.__getitem__, found), np.uint64, len(found))
+                tokens[1:-1] = word_ids(found, len(found))
                 train = not held_out
                 held[train][0].append(doc)
                 held[train][1].append(tokens)
