@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import likely, rows, slices
@@ -149,6 +151,16 @@ def _key():
     return F.xxhash64("doc_id", "version")
 
 
+def _met(df: DataFrame, key: str, place: str, *more: Column) -> DataFrame:
+    """The keys that occur at more than one place, with ``more`` aggregates. Places are equal where the least and
+    the largest of each part are: numbers, so that the grouping needs no sort as one of structs would."""
+    parts = [F.col("doc_id").isNull().cast("int"), F.col("doc_id"), F.col("version"), F.col(place)]
+    ends = [f(c).alias(f"_{n}{k}") for k, c in enumerate(parts) for n, f in (("a", F.min), ("b", F.max))]
+    alike = reduce(and_, [F.col(f"_a{k}").eqNullSafe(F.col(f"_b{k}")) for k in range(len(parts))])
+    found = df.groupBy(key).agg(*ends, *more).filter(~alike)
+    return found.drop(*[f"_{n}{k}" for k in range(len(parts)) for n in "ab"])
+
+
 def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(``doc_id``, ``version``, ``spans`` array of (first, end) word) of documents with repeats.
 
@@ -159,8 +171,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     found = cut_lineage(_places(docs, min_words))
     place = F.struct("doc_id", "version", "place")
     # rows that are the same document meet here as equal places
-    met = found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min("cls").alias("c"), F.max("cls").alias("d"))
-    shared = cut_lineage(met.filter("a != b").select("fp", (F.col("c") != F.col("d")).alias("several")))
+    shared = cut_lineage(_met(found, "fp", "place", (F.min("cls") != F.max("cls")).alias("several")))
     held = cut_lineage(likely(found, F.col("fp"), shared.select("fp")).join(shared, "fp").distinct())
     # written, so that the join meets plain tables and AQE can split a class with very many members
     firsts = held.groupBy("fp", "cls").agg(F.min(place).alias("kept"), F.max(place).alias("last")).filter("kept != last")
@@ -177,9 +188,9 @@ def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     some = likely(docs, _key(), opened.select(F.xxhash64("o_doc_id", "o_version")))
     texts = some.join(opened, _same("", "o_")).groupBy("doc_id", "version").agg(F.first("text").alias("text"), F.first("open").alias("open"))
     windows = cut_lineage(_windows(texts, min_words))
-    start = F.struct("doc_id", "version", "start")
-    kept = windows.groupBy("content").agg(F.min(start).alias("kept"), F.max(start).alias("last")).filter("kept != last")
-    kept = cut_lineage(kept.select("content", "kept"))
+    several = cut_lineage(_met(windows, "content", "start"))
+    windows = cut_lineage(likely(windows, F.col("content"), several).join(several, "content"))
+    kept = cut_lineage(windows.groupBy("content").agg(F.min(F.struct("doc_id", "version", "start")).alias("kept")))
     again = windows.join(kept, "content").filter(~_same("", "kept.") | (F.col("start") - F.col("kept.start") >= min_words))
     single = again.select("doc_id", "version", F.col("start").alias("first"), (F.col("start") + min_words).alias("end"))
     return whole.unionByName(single).groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
