@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import likely, rows, slices
@@ -68,7 +68,7 @@ class Words:
         powers, self.back = np.cumprod(powers), np.cumprod(self.back)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(own * powers[:-1])))
 
-    def stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def stretch(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
         """Hash of the words from ``start`` to before ``end``, the same wherever they stand."""
         return _mixed((self.sums[end] - self.sums[start]) * self.back[start])
 
@@ -93,12 +93,12 @@ def selected(words: Words, min_words: int) -> tuple[np.ndarray, ...]:
     starts = np.arange(words.n - min_words + 1) if words.n >= min_words else np.empty(0, np.int64)
     if not len(starts):
         return (np.empty(0, np.int64),) * 6
-    lines = words.stretch(np.arange(words.n - line + 1), np.arange(line, words.n + 1))
+    lines = words.stretch(slice(words.n - line + 1), slice(line, None))
     # the last place of equal hashes wins: it has the smaller complement
     low = np.uint64((1 << PLACE_BITS) - 1)
     keys = (lines & ~low) | (low - np.arange(len(lines), dtype=np.uint64))
     least = (low - (_minima(keys, width) & low)).astype(np.int64)
-    inside = words.text_of[starts] == words.text_of[starts + min_words - 1]
+    inside = words.text_of[:len(starts)] == words.text_of[min_words - 1:]
     starts, least = starts[inside], least[inside]
     if not len(starts):
         return (np.empty(0, np.int64),) * 6
@@ -151,14 +151,14 @@ def _key():
     return F.xxhash64("doc_id", "version")
 
 
-def _met(df: DataFrame, key: str, place: str, *more: Column) -> DataFrame:
-    """The keys that occur at more than one place, with ``more`` aggregates. Places are equal where the least and
-    the largest of each part are: numbers, so that the grouping needs no sort as one of structs would."""
-    parts = [F.col("doc_id").isNull().cast("int"), F.col("doc_id"), F.col("version"), F.col(place)]
-    ends = [f(c).alias(f"_{n}{k}") for k, c in enumerate(parts) for n, f in (("a", F.min), ("b", F.max))]
-    alike = reduce(and_, [F.col(f"_a{k}").eqNullSafe(F.col(f"_b{k}")) for k in range(len(parts))])
-    found = df.groupBy(key).agg(*ends, *more).filter(~alike)
-    return found.drop(*[f"_{n}{k}" for k in range(len(parts)) for n in "ab"])
+def _met(found: DataFrame) -> DataFrame:
+    """The fingerprints that occur at more than one place, and whether with ``several`` classes. Places are equal
+    where the least and the largest of each part are: numbers, so that the grouping needs no sort as one of
+    structs would."""
+    parts = [F.col("doc_id").isNull().cast("int"), F.col("doc_id"), F.col("version"), F.col("place")]
+    ends = [f(c).alias(f"{n}{k}") for k, c in enumerate(parts) for n, f in (("a", F.min), ("b", F.max))]
+    alike = reduce(and_, [F.col(f"a{k}").eqNullSafe(F.col(f"b{k}")) for k in range(len(parts))])
+    return found.groupBy("fp").agg(*ends, (F.min("cls") != F.max("cls")).alias("several")).filter(~alike).select("fp", "several")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -171,7 +171,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     found = cut_lineage(_places(docs, min_words))
     place = F.struct("doc_id", "version", "place")
     # rows that are the same document meet here as equal places
-    shared = cut_lineage(_met(found, "fp", "place", (F.min("cls") != F.max("cls")).alias("several")))
+    shared = cut_lineage(_met(found))
     held = cut_lineage(likely(found, F.col("fp"), shared.select("fp")).join(shared, "fp").distinct())
     # written, so that the join meets plain tables and AQE can split a class with very many members
     firsts = held.groupBy("fp", "cls").agg(F.min(place).alias("kept"), F.max(place).alias("last")).filter("kept != last")
@@ -188,9 +188,9 @@ def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     some = likely(docs, _key(), opened.select(F.xxhash64("o_doc_id", "o_version")))
     texts = some.join(opened, _same("", "o_")).groupBy("doc_id", "version").agg(F.first("text").alias("text"), F.first("open").alias("open"))
     windows = cut_lineage(_windows(texts, min_words))
-    several = cut_lineage(_met(windows, "content", "start"))
-    windows = cut_lineage(likely(windows, F.col("content"), several).join(several, "content"))
-    kept = cut_lineage(windows.groupBy("content").agg(F.min(F.struct("doc_id", "version", "start")).alias("kept")))
+    start = F.struct("doc_id", "version", "start")
+    kept = windows.groupBy("content").agg(F.min(start).alias("kept"), F.max(start).alias("last")).filter("kept != last")
+    kept = cut_lineage(kept.select("content", "kept"))
     again = windows.join(kept, "content").filter(~_same("", "kept.") | (F.col("start") - F.col("kept.start") >= min_words))
     single = again.select("doc_id", "version", F.col("start").alias("first"), (F.col("start") + min_words).alias("end"))
     return whole.unionByName(single).groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
