@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import events as ev
+from tidemark.plans.spread import parts_of
 from tidemark.sources import topics
 from tidemark.suite.registry import table
 
@@ -348,14 +349,21 @@ def admins(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- groups from `region`, `nation` and `customer`
 
+USERS_A_TASK = 20_000
+
+
 def user_groups(spark: SparkSession, sf: str) -> DataFrame:
     """(user, path, attributes) rows: region, nation and segment groups of two branches."""
     nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    customers = table(spark, sf, "customer").select(
+    # a user's rows are expanded in one task of few users; equal rows leave before, so a user has few
+    customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    parts = parts_of(customers, USERS_A_TASK)
+    customers = customers.repartition(parts).distinct().repartition(parts, "c_custkey").select(
         "c_custkey", "c_mktsegment",
         F.explode(F.array(F.col("c_nationkey"), (F.col("c_nationkey") + 7) % 25)).alias("n_nationkey"),
     )
-    rows = customers.join(nations, "n_nationkey")
+    # named, as the planner may else send the customers, a small file of many rows, and have one task do the rest
+    rows = customers.join(F.broadcast(nations), "n_nationkey")
     region = F.concat(F.lit("/"), F.col("r_name"))
     nation = F.concat(region, F.lit("/"), F.col("n_name"))
     segment = F.concat(nation, F.lit("/"), F.col("c_mktsegment"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import attributes as at
 from tidemark.operators import identity, layers, picks
+from tidemark.plans.spread import spread
 from tidemark.suite import derive as d
 from tidemark.suite.registry import query, table
 
@@ -276,7 +277,7 @@ SELECT c_custkey AS "user", k."key", CAST(coalesce(own.v, live.value, k.def) AS
 FROM customer CROSS JOIN k LEFT JOIN own ON own."user" = c_custkey AND own."key" = k."key"
 LEFT JOIN live ON live."user" = c_custkey AND k."key" = 'quota-max'""")
 def quota_effective(spark, sf):
-    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user"))
+    users = spread(table(spark, sf, "customer").select(F.col("c_custkey").alias("user")), d.USERS_A_TASK)
     key = F.col("user")
     own = users.filter(key % 11 == 0).select("user", F.lit("quota-max").alias("key"), d.text(key % 40).alias("value")).unionByName(
         users.filter(key % 22 == 0).select("user", F.lit("quota-cpu").alias("key"), F.lit("2.5").alias("value"))
