@@ -85,15 +85,16 @@ def concat_logs(lines: DataFrame, key: str, seq: str, text: str, lines_per_part:
 def results_of(operations: DataFrame, results: DataFrame, key: str) -> DataFrame:
     """The result messages of each operation, one row per message, and one ``missing`` row for
     an operation without any. Rows are not collected per operation, which may have any number;
-    AQE splits the side of the results where one operation has very many."""
-    found = results.join(operations.select(key), key).withColumn("result_status", F.lit("ok"))
+    AQE splits the side of the results where one operation has very many. The results pass by a table of
+    the operations' keys, unsorted."""
+    found = results.join(operations.select(key).hint("shuffle_hash"), key).withColumn("result_status", F.lit("ok"))
     missing = missing_results(operations, results, key)
     return found.unionByName(missing.withColumn("result_status", F.lit("missing")), allowMissingColumns=True)
 
 
 def missing_results(operations: DataFrame, results: DataFrame, key: str) -> DataFrame:
     """Operations that put no result in their queue."""
-    return operations.select(key).join(results.select(key).distinct(), key, "left_anti")
+    return operations.select(key).join(results.select(key).distinct().hint("shuffle_hash"), key, "left_anti")
 
 
 def duplicate_names(tasks: DataFrame, operation: str, name: str) -> DataFrame:
