@@ -8,6 +8,7 @@ from tidemark.functions import jsontree, maps
 from tidemark.functions import text as tx
 from tidemark.operators import events as ev
 from tidemark.operators import history, identity, layers, textset
+from tidemark.plans.spread import spread
 from tidemark.suite import derive as d
 from tidemark.suite.registry import query, table
 
@@ -228,6 +229,9 @@ def attr_filter(spark, sf):
     return d.user_groups(spark, sf).select("user", "path", F.try_element_at(kept, F.lit("quota-max")).alias("quota"))
 
 
+MERGES_A_TASK = 2_500
+
+
 @query("deep_merge", """
 SELECT p_partkey, p_brand AS plain_brand, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size + 1 AS VARCHAR) ELSE CAST(p_size AS VARCHAR) END AS plain_size,
        CASE WHEN p_partkey % 5 = 0 THEN 'null' ELSE '"' || p_type || '"' END AS plain_type,
@@ -255,7 +259,8 @@ def deep_merge(spark, sf):
     kind = F.when(key % 5 == 0, ',"type":null').otherwise("")
     box = F.when(key % 3 == 0, "7").otherwise('{"b":2}')
     right = F.concat(F.lit('{"core":'), size, kind, F.lit(',"box":'), box, deep("r", F.lit("1")), F.lit(',"extra":"x"}'))
-    rows = table(spark, sf, "part").select("p_partkey", F.parse_json(left).alias("l"), F.parse_json(right).alias("r"))
+    parts = spread(table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_type"), MERGES_A_TASK)
+    rows = parts.select("p_partkey", F.parse_json(left).alias("l"), F.parse_json(right).alias("r"))
     left, right = F.col("l"), F.col("r")
     merged = rows.select(
         "p_partkey",
