@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,6 +19,8 @@ from tidemark.operators.retention import IDLE_SECONDS
 
 # Fixed value: seconds between two checks for idle sessions.
 CULL_EVERY = 600
+# Fixed value: rows that an exit-notice task takes before it folds them.
+FOLD_ROWS = 100_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MICROS = 1_000_000
 
@@ -33,19 +36,30 @@ def exit_notices(changes: DataFrame, key: str = "op") -> DataFrame:
     Of several that arrive in one batch the earliest counts. Later ones, repeats and rows of a
     repeated batch send nothing, as the state of a key is committed with the batch that sent it.
     ``changes``: key, status, ts; a change without a key belongs to no operation.
-    """
-    kind = dict(changes.dtypes)[key]
 
-    def notice(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            return
-        firsts = pd.concat([f.sort_values(["ts", "status"]).head(1) for f in frames])
-        state.update((True,))
-        yield firsts.sort_values(["ts", "status"]).head(1)[[key, "status", "ts"]]
+    Each batch is cut down to the earliest row per key first, in a task that holds one row per key of its
+    partition; the state then only keeps the keys. The key is of an atomic type.
+    """
+    def earliest(tables: list[pa.Table]) -> pa.Table:
+        rows = pa.concat_tables(tables).sort_by([("ts", "ascending"), ("status", "ascending")])
+        rows = rows.append_column("_row", pa.array(range(rows.num_rows), pa.int64()))
+        firsts = rows.group_by(key, use_threads=False).aggregate([("_row", "min")])["_row_min"]
+        return rows.drop_columns(["_row"]).take(firsts)
+
+    def notices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            waiting += batch.num_rows
+            # folded when as many rows wait as are held, so a row is sorted a few times at most
+            if waiting >= max(FOLD_ROWS, held[0].num_rows):
+                held, waiting = [earliest(held)], 0
+        if held:
+            yield from earliest(held).to_batches(max_chunksize=FOLD_ROWS)
 
     done = changes.filter(F.col("status").isin(*TERMINAL) & F.col(key).isNotNull() & F.col("ts").isNotNull())
-    return done.select(key, "status", "ts").groupBy(key).applyInPandasWithState(
-        notice, f"{key} {kind}, status string, ts timestamp", "sent boolean", "append", GroupStateTimeout.NoTimeout)
+    done = done.select(key, "status", "ts")
+    return done.repartition(key).mapInArrow(notices, done.schema).dropDuplicates([key])
 
 
 def next_check(micros: int, every: int) -> int:
@@ -63,6 +77,14 @@ def cull_at(first: int, last: int, timeout: int, max_age: int, every: int) -> tu
     return (old, "age") if old is not None and old < idle else (idle, "idle")
 
 
+def _until_check(ts: str, timeout: int, every: int) -> Column:
+    """The interval from an activity to just after the check that would end its session."""
+    now = F.unix_micros(F.col(ts).cast("timestamp"))
+    over, step = now + timeout * MICROS, every * MICROS
+    micros = over - F.pmod(over, F.lit(step)) + step - now + 1
+    return F.make_interval(secs=(micros.cast("decimal(18,0)") / MICROS).cast("decimal(18,6)"))
+
+
 def culled_sessions(activity: DataFrame, timeout: int = IDLE_SECONDS, max_age: int = 0, every: int = CULL_EVERY,
                     delay: str = "0 seconds", user: str = "user") -> DataFrame:
     """(user, tick, reason): the sessions that the checks end, each once, as a timer of its own.
@@ -71,9 +93,15 @@ def culled_sessions(activity: DataFrame, timeout: int = IDLE_SECONDS, max_age: i
     (the latest activity of anybody, less ``delay``) has passed its check; what a user does after
     the check begins another session, also when both arrive in one batch. An activity at the moment of
     a check still counts for it. All users count, administrators too. Rows without user or time are
-    left out.
+    left out. Without ``max_age`` a session is a session window whose gap ends with the check of its last
+    activity; with it, its checks are walked one by one in Python.
     """
     kind = dict(activity.dtypes)[user]
+    rows = activity.filter(F.col(user).isNotNull() & F.col("ts").isNotNull()).select(user, "ts").withWatermark("ts", delay)
+    if not max_age:
+        sessions = rows.groupBy(user, F.session_window("ts", _until_check("ts", timeout, every)).alias("_s")).count()
+        tick = F.col("_s.end").cast("timestamp") - F.expr("INTERVAL 0.000001 SECOND")
+        return sessions.select(user, tick.alias("tick"), F.lit("idle").alias("reason"))
 
     def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ended: list[tuple[int, str]] = []
@@ -104,8 +132,7 @@ def culled_sessions(activity: DataFrame, timeout: int = IDLE_SECONDS, max_age: i
                 "reason": [r for _, r in ended],
             })
 
-    rows = activity.filter(F.col(user).isNotNull() & F.col("ts").isNotNull()).select(user, "ts")
-    return rows.withWatermark("ts", delay).groupBy(user).applyInPandasWithState(
+    return rows.groupBy(user).applyInPandasWithState(
         watch, f"{user} {kind}, tick timestamp, reason string", "first bigint, last bigint", "append",
         GroupStateTimeout.EventTimeTimeout)
 
