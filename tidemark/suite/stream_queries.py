@@ -5,6 +5,7 @@ query also goes through a restart from its checkpoint."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from tidemark.session import scratch
 from tidemark.sources import topics
@@ -23,12 +24,21 @@ def _replay(spark, rows, earlier, start, read=None):
     _replay_steps(spark, rows, F.when(earlier, 0).otherwise(1), 2, start, read)
 
 
+def _parted(spark, rows, step):
+    """The rows of each step. All are derived once, and written by step."""
+    path = scratch(spark, "steps")
+    rows.withColumn("_step", step.cast("int")).write.partitionBy("_step").parquet(path)
+    held = spark.read.schema(StructType([*rows.schema.fields]).add("_step", IntegerType())).parquet(path)
+    return lambda number: held.filter(F.col("_step") == number).drop("_step")
+
+
 def _replay_steps(spark, rows, step, steps, start, read=None, after=None):
     """Write ``rows`` in several steps, by their number; run the query, and ``after``, after each."""
     source = scratch(spark, "stream-in")
     read = read or (lambda path: spark.readStream.schema(rows.schema).parquet(path))
+    part = _parted(spark, rows, step)
     for number in range(steps):
-        rows.filter(step == number).write.mode("append").parquet(source)
+        part(number).write.mode("append").parquet(source)
         st.run_to_end(start(read(source)))
         if after:
             after()
@@ -226,9 +236,18 @@ def _run_results(spark, sf):
 def _replay_both(spark, ops, results, start):
     """Both inputs year by year, so that each side's clock moves with the other's."""
     places = [scratch(spark, n) for n in ("ops-in", "results-in")]
-    for low, high in ((0, 1994), (1994, 1997), (1997, 2000), (2000, 2050), (2050, 9999)):
-        for df, ts, path in ((ops, "start_ts", places[0]), (results, "ts", places[1])):
-            df.filter((F.year(ts) >= low) & (F.year(ts) < high)).write.mode("append").parquet(path)
+    ends = (1994, 1997, 2000, 2050, 9999)
+
+    def period(ts):
+        found = F.lit(None)
+        for number, end in reversed([*enumerate(ends)]):
+            found = F.when(F.year(ts) < end, number).otherwise(found)
+        return F.when(F.year(ts) >= 0, found)
+
+    parts = [_parted(spark, df, period(ts)) for df, ts in ((ops, "start_ts"), (results, "ts"))]
+    for number in range(len(ends)):
+        for part, path in zip(parts, places):
+            part(number).write.mode("append").parquet(path)
         st.run_to_end(start(*[spark.readStream.schema(df.schema).parquet(p) for df, p in zip((ops, results), places)]))
 
 
