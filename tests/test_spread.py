@@ -65,6 +65,17 @@ def test_user_groups_of_repeated_users(spark, places, monkeypatch):
     assert text.count("BuildLeft") == 0
 
 
+def test_provider_members_are_dealt(spark, places, monkeypatch):
+    put, path = places
+    put("customer", [(1, 4, "AUTO"), (1, 4, "AUTO"), (2, 5, "HOME"), (4, None, "HOME"), (7, 26, "AUTO")], "c_custkey bigint, c_nationkey int, c_mktsegment string")
+    monkeypatch.setattr(derive, "USERS_A_TASK", 2)
+    found = derive.provider_members(spark, path)
+    text = plan(found)
+    assert "RoundRobinPartitioning(3)" in text and "BuildLeft" not in text
+    names = sorted((r["user_ext"], r["name"]) for r in found.collect())
+    assert names == sorted([("u000000001", n) for n in ("N4", "R", "AUTO")] * 2 + [("u000000002", n) for n in ("N5", "S", "HOME")])
+
+
 def test_results_are_not_sorted(spark):
     ops = spark.createDataFrame([(1,), (2,), (2,), (None,)], "op bigint")
     results = spark.createDataFrame([(1, 1), (1, 2), (None, 3), (4, 4)], "op bigint, seq int")

@@ -97,7 +97,7 @@ def culled_sessions(activity: DataFrame, timeout: int = IDLE_SECONDS, max_age: i
     the check begins another session, also when both arrive in one batch. An activity at the moment of
     a check still counts for it. All users count, administrators too. Rows without user or time are
     left out. Without ``max_age`` a session is a session window whose gap ends with the check of its last
-    activity; with it, its checks are walked one by one in Python.
+    activity, and an activity behind the clock counts until its own check has passed; with it, such are dropped, and checks are walked one by one in Python.
     """
     kind = dict(activity.dtypes)[user]
     rows = activity.filter(F.col(user).isNotNull() & F.col("ts").isNotNull()).select(user, "ts").withWatermark("ts", delay)

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import events as ev
-from tidemark.plans.spread import parts_of
+from tidemark.plans.spread import parts_of, spread
 from tidemark.sources import topics
 from tidemark.suite.registry import table
 
+USERS_A_TASK = 20_000
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -237,7 +238,8 @@ def provider_groups(spark: SparkSession, sf: str) -> DataFrame:
 def provider_members(spark: SparkSession, sf: str) -> DataFrame:
     """Memberships of the provider's users in a nation's and a region's group and in an organization."""
     places = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = table(spark, sf, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = spread(table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), USERS_A_TASK)
+    rows = customers.join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
     none = F.lit(None).cast("string")
     org = F.when(F.col("c_custkey") % 4 != 0, F.struct(
         F.lit("organization").alias("kind"), F.concat(F.lit("o"), "c_mktsegment").alias("ext_id"), F.col("c_mktsegment").alias("name")))
@@ -349,9 +351,6 @@ def admins(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- groups from `region`, `nation` and `customer`
 
-USERS_A_TASK = 20_000
-
-
 def user_groups(spark: SparkSession, sf: str) -> DataFrame:
     """(user, path, attributes) rows: region, nation and segment groups of two branches."""
     nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
