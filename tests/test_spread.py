@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidemark.operators import history
+from tidemark.operators import attributes, history
 from tidemark.plans.spread import spread
 from tidemark.streaming import stateful
 from tidemark.suite import derive, record_queries, stream_queries
@@ -65,6 +65,28 @@ def test_user_groups_of_repeated_users(spark, places, monkeypatch):
     assert text.count("BuildLeft") == 0
 
 
+def test_hook_leaves_rows_of_a_hot_value_where_they_are(spark):
+    items = [(user, path, "k", value) for user in range(40) for path, value in (("/a", "7"), ("/a/b", "x" if user % 4 else "2"), ("/c", None))]
+    items += items[:5] + [(None, "/a", "k", "x"), (None, "/b", "k", "3")]
+    rows = spark.createDataFrame(items, "user int, path string, key string, value string").repartition(3, "user")
+    want = sorted([(user, "k", 2.0) for user in range(0, 40, 4)] + [(-1, "k", 3.0)])
+
+    def resolved():
+        found = attributes.resolve_groups_with(rows, float)
+        return plan(found), sorted((-1 if r["user"] is None else r["user"], r["key"], r["value"]) for r in found.collect())
+
+    text, got = resolved()
+    assert got == want
+    # the rows are dealt once, by user: neither by value nor again for the two groupings
+    assert text.count("Exchange hashpartitioning") == 1 and "hashpartitioning(value" not in text
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert resolved()[1] == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_provider_members_are_dealt(spark, places, monkeypatch):
     put, path = places
     put("customer", [(1, 4, "AUTO"), (1, 4, "AUTO"), (2, 5, "HOME"), (4, None, "HOME"), (7, 26, "AUTO")], "c_custkey bigint, c_nationkey int, c_mktsegment string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.maps import filter_attributes
 from tidemark.functions.text import to_number
+from tidemark.session import cut_lineage
 
 
 def ancestors(path: Column) -> Column:
@@ -51,6 +52,8 @@ def convert_values(attributes: DataFrame, hook: Callable[[str], object], kind: s
 
     The function runs once per distinct value, over Arrow batches; a value on which it fails, or for
     which it gives None, becomes NULL, which ``resolve_groups`` skips. NULL values are not given to it.
+    The converted values are written as a table, so that the planner knows its true size and sends it
+    to the rows where it is small: a third of all rows may have one value, and would meet in one task.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -63,7 +66,7 @@ def convert_values(attributes: DataFrame, hook: Callable[[str], object], kind: s
             yield pd.DataFrame({"value": frame["value"], "_done": pd.Series(done, dtype=object, index=frame.index)})
 
     distinct = attributes.select("value").filter(F.col("value").isNotNull()).distinct()
-    converted = distinct.mapInPandas(run, f"value string, _done {kind}")
+    converted = cut_lineage(distinct.mapInPandas(run, f"value string, _done {kind}"))
     rest = [c for c in attributes.columns if c != "value"]
     return attributes.join(converted, "value", "left").select(*rest, F.col("_done").alias("value"))
 
